@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .exact import EXACT_SQL, exact_query
+from .mixing import mix_query
 from .secrets import secrets_query
+from .simhash import simhash_query
 
 QUERIES = {
+    "op2_radix_exact": exact_query,
+    "op5_simhash_pigeonhole": simhash_query,
+    "op6_entropy_mix": mix_query,
     "op10_secret_ledger": secrets_query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_radix_exact": EXACT_SQL,
+}
