@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, stored
 
 SPANS = "array<struct<start:int,rule:string,end:int>>"
 
@@ -140,6 +140,7 @@ def find_secrets(versions: DataFrame, ledger_path: str | None = None, text_col:
         F.col("blob").alias("_found"),
         F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), F.element_at(kinds, s["place"]).alias("kind"), s["end"].alias("end"))).alias("spans"),
     )
+    found = stored(found, "secret-findings")  # read back, so that both sides of the join are plain exchanges
     rows = versions.drop("blob", "spans").withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
     out = rows.join(found, F.col("blob") == F.col("_found"), "left").drop("_found")
     empty = F.array().cast("array<struct<start:int,kind:string,end:int>>")
