@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from .bpe import bpe_query
 from .exact import EXACT_SQL, exact_query
+from .hpy import hpy_query
+from .licenses import license_query
 from .mixing import mix_query
+from .pca import pca_query
 from .secrets import secrets_query
 from .simhash import simhash_query
+from .tokens import tokens_query
+from .toxicity import toxicity_query
 
 QUERIES = {
+    "op1_hpy_score": hpy_query,
     "op2_radix_exact": exact_query,
+    "op3_pca_tiles": pca_query,
+    "op4_toxicity": toxicity_query,
     "op5_simhash_pigeonhole": simhash_query,
     "op6_entropy_mix": mix_query,
+    "op7_license_diagonals": license_query,
+    "op8_bpe_tree": bpe_query,
+    "op9_token_codes": tokens_query,
     "op10_secret_ledger": secrets_query,
 }
 
