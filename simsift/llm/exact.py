@@ -14,15 +14,18 @@ Texts move once at most; what is broadcast is the heavy groups, whose number is
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SPACE, partitions, table
+from .common import SPACE, partitions, stored, table
 
 #: Bytes of the digits, first to last; the last width repeats.
 WIDTHS = (16, 64, 256, 1024, 4096)
@@ -53,16 +56,127 @@ def radix_classes(texts: list[bytes], width: int = 16) -> list[list[int]]:
     return done
 
 
-def _finish(id_col: str, text_col: str, columns: list[str], schema: pa.Schema):
-    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
+@dataclass
+class Trie:
+    """Heavy groups. Node 0 is the whole table; a child is a digit with whether all texts of it have ended there."""
+
+    children: dict = field(default_factory=dict)
+    #: Ended heavy groups: node to the id that stays, its row, and the number of rows.
+    leaves: dict = field(default_factory=dict)
+    nodes: int = 1
+
+    def descend(self, text: bytes) -> tuple[int, bytes, bool, int]:
+        """Node where the text leaves the trie (an ended group, or one without such a child), and its digit there, whether
+        the text ends in it, and the level."""
+        node, at, level = 0, 0, 0
+        while True:
+            width = WIDTHS[min(level, len(WIDTHS) - 1)]
+            digit, ended = text[at : at + width], len(text) <= at + width
+            child = self.children.get((node, digit, ended))
+            if child is None or child in self.leaves:
+                return node if child is None else child, digit, ended, level
+            node, at, level = child, at + width, level + 1
+
+
+def _normal(column: pa.Array) -> list[bytes]:
+    """Texts after each run of white space became one space; null is empty."""
+    return pc.replace_substring_regex(pc.fill_null(column, ""), SPACE, " ").cast(pa.binary()).to_pylist()
+
+
+def _earlier(a: tuple, b: tuple) -> bool:
+    """Order of (id is null, id, place): null ids last."""
+    return a[0] < b[0] if a[0] != b[0] else a[2] < b[2] if a[0] else a[1:] < b[1:]
+
+
+def _count(trie: Trie, level: int, id_type: pa.DataType):
+    """Weight, rows and first row of each digit that follows a node of the level."""
+    names = ["node", "digit", "ended", "weight", "n", "id", "seen_at"]
+    kinds = pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), id_type, pa.int64()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*k, v[0], v[1], *v[2][1:]) for k, v in found.items()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        for b in batches:
+            for text, doc, seen in zip(_normal(b.column(1)), b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                node, digit, ended, depth = trie.descend(text)
+                if depth == level and node not in trie.leaves:
+                    first = (doc is None, doc, seen)
+                    old = found.get((node, digit, ended))
+                    if old is None:
+                        found[node, digit, ended] = [len(text) + ROW, 1, first]
+                    else:
+                        old[0] += len(text) + ROW
+                        old[1] += 1
+                        if _earlier(first, old[2]):
+                            old[2] = first
+            if len(found) > 100_000:
+                yield flush()
+        if found:
+            yield flush()
+
+    return run
+
+
+def _light(trie: Trie, text_col: str):
+    """Rows outside ended heavy groups, with the number of the group they stopped in."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, group = [], []
+            for i, text in enumerate(_normal(b.column(0).field(text_col))):
+                node, digit, _, _ = trie.descend(text)
+                if node not in trie.leaves:
+                    keep.append(i)
+                    group.append(zlib.crc32(digit, node) - (1 << 31))  # says where a row goes, not what it equals
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(group, pa.int32())], names=["row", "group"])
+
+    return run
+
+
+def _output(columns: list[str], own: pa.StructArray, keep: list, size: list, kept: list, sha: list, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    arrays = [own.field(c) for c in columns]
+    arrays += [pa.array(keep, id_type), pa.array(size, pa.int64()), pa.array(kept, pa.bool_()), pa.array(sha, pa.string())]
+    yield from pa.Table.from_arrays(arrays, names=[*columns, *ADDED]).to_batches(max_chunksize=2000)
+
+
+def _heavy(trie: Trie, text_col: str, columns: list[str], id_type: pa.DataType):
+    """Rows of ended heavy groups, finished where they are read."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests: dict[int, str] = {}
+        for b in batches:
+            keep, found, stays, sha = [], [], [], []
+            for i, (text, seen) in enumerate(zip(_normal(b.column(0).field(text_col)), b.column(1).to_pylist(), strict=True)):
+                node = trie.descend(text)[0]
+                if node in trie.leaves:
+                    if node not in digests:
+                        digests[node] = hashlib.sha256(text).hexdigest()
+                    keep.append(i)
+                    found.append(trie.leaves[node])
+                    stays.append(seen == trie.leaves[node][1])
+                    sha.append(digests[node])
+            if keep:
+                own = b.column(0).take(pa.array(keep, pa.int64()))
+                yield from _output(columns, own, [f[0] for f in found], [f[2] for f in found], stays, sha, id_type)
+
+    return run
+
+
+def _finish(id_col: str, text_col: str, columns: list[str], id_type: pa.DataType):
+    """The rest of the recursion, in memory."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b.column(0) for b in batches if b.num_rows]
         if not got:
             return
-        rows = pa.Table.from_batches(got)
+        own = pa.concat_arrays(got)
         del got
-        text = pc.fill_null(rows["row"].combine_chunks().field(text_col), "")
-        text = pc.replace_substring_regex(text, SPACE, " ").cast(pa.binary()).to_pylist()
-        ids = rows["row"].combine_chunks().field(id_col).to_pylist()
+        text, ids = _normal(own.field(text_col)), own.field(id_col).to_pylist()
         n = len(text)
         keep, size, kept, sha = [None] * n, [0] * n, [False] * n, [""] * n
         for group in radix_classes(text):
@@ -71,12 +185,9 @@ def _finish(id_col: str, text_col: str, columns: list[str], schema: pa.Schema):
             for i in group:
                 keep[i], size[i], sha[i] = ids[best], len(group), digest
         del text
-        own = rows["row"].combine_chunks()
-        arrays = [own.field(c) for c in columns]
-        out = pa.Table.from_arrays([*arrays, pa.array(keep, schema.field("keep_id").type), pa.array(size, pa.int64()), pa.array(kept, pa.bool_()), pa.array(sha, pa.string())], names=[*columns, *ADDED])
-        yield from out.to_batches(max_chunksize=2000)
+        yield from _output(columns, own, keep, size, kept, sha, id_type)
 
-    return finish
+    return run
 
 
 def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,50 +200,36 @@ def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c.lower() not in ADDED]
-    body = F.regexp_replace(F.coalesce(F.col("row")[text_col], F.lit("")), SPACE, " ").cast("binary")
-    packed = docs.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("seen_at"))
-    rows = packed.withColumns({"body": body, "at": F.lit(0), "leaf": F.lit(None).cast("int"), "stop": F.lit(0), "digit": F.lit(b"").cast("binary")})
-    rows = rows.withColumn("weight", F.length("body") + F.lit(ROW))
+    kind = docs.schema[id_col].dataType
+    id_type = to_arrow_type(kind)
+    rows = docs.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("seen_at"))
+    counted = T.StructType([T.StructField("node", T.IntegerType()), T.StructField("digit", T.BinaryType()), T.StructField("ended", T.BooleanType())])
+    counted = counted.add("weight", T.LongType()).add("n", T.LongType()).add("id", kind).add("seen_at", T.LongType())
 
-    depth, level, nodes, total, parts = 0, 0, 1, None, None
+    trie, level, total, parts = Trie(), 0, None, None
     while True:
-        width = WIDTHS[min(level, len(WIDTHS) - 1)]
-        digit, ended = F.expr(f"substring(body, {depth + 1}, {width})"), F.length("body") <= depth + width
-        looked = rows.where("at is not null").select("at", digit.alias("digit"), ended.alias("ended"), "weight")
-        counts = looked.groupBy("at", "digit", "ended").agg(F.sum("weight").alias("weight"))
+        looked = rows.select(F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("text"), "seen_at")
+        counts = looked.mapInArrow(_count(trie, level, id_type), counted).groupBy("node", "digit", "ended")
+        first = F.struct(F.col("id").isNull().alias("none"), "id", "seen_at")
+        counts = counts.agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"), F.min(first).alias("first"))
         if total is None:
-            total = looked.agg(F.sum("weight")).first()[0] or 0
+            counts = stored(counts, "exact-digits")
+            total = counts.agg(F.sum("weight")).first()[0] or 0
             parts = partitions(spark, total)
-        heavy = [(r["at"], bytes(r["digit"]), r["ended"], nodes + i) for i, r in enumerate(counts.where(F.col("weight") > HEAVY * total / parts).collect())]
-        nodes += len(heavy)
-        known = spark.createDataFrame(heavy, "h_at int, h_digit binary, h_ended boolean, h_node int")
-        rows = rows.withColumns({"here": digit, "over": ended})
-        rows = rows.join(F.broadcast(known), (F.col("at") == F.col("h_at")) & (F.col("here") == F.col("h_digit")) & (F.col("over") == F.col("h_ended")), "left")
-        stays = F.col("at").isNotNull() & F.col("h_node").isNull()
-        rows = rows.select(
-            "row", "seen_at", "body", "weight",
-            F.when(F.col("h_node").isNotNull() & ~F.col("h_ended"), F.col("h_node")).alias("at"),
-            F.when(F.col("h_ended"), F.col("h_node")).otherwise(F.col("leaf")).alias("leaf"),
-            F.when(stays, F.col("at")).otherwise(F.col("stop")).alias("stop"),
-            F.when(stays, F.col("here")).otherwise(F.col("digit")).alias("digit"),
-        )
-        depth, level = depth + width, level + 1
-        if all(e for _, _, e, _ in heavy):
+        heavy = counts.where(F.col("weight") > HEAVY * total / parts).collect()  # parts / HEAVY rows at most
+        for r in heavy:
+            trie.children[r["node"], bytes(r["digit"]), r["ended"]] = trie.nodes
+            if r["ended"]:
+                trie.leaves[trie.nodes] = r["first"]["id"], r["first"]["seen_at"], r["n"]
+            trie.nodes += 1
+        level += 1
+        if all(r["ended"] for r in heavy):
             break
 
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([*[docs.schema[c] for c in own], T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()), T.StructField("kept", T.BooleanType()), T.StructField("text_sha256", T.StringType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    light = rows.where("leaf is null").select("row", F.xxhash64("stop", "digit").alias("group")).repartition(parts, "group")
-    light = light.mapInArrow(_finish(id_col, text_col, own, to_arrow_schema(schema)), schema)
-    if nodes == 1 or not any(e for _, _, e, _ in heavy) and rows.where("leaf is not null").isEmpty():
-        return light
-    first = F.struct(F.col("row")[id_col].isNull().alias("none"), F.col("row")[id_col].alias("id"), F.col("seen_at").alias("seen_at"))
-    same = rows.where("leaf is not null").select("row", "seen_at", "leaf", F.sha2("body", 256).alias("sha"), first.alias("first"))
-    classes = same.groupBy("leaf").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n"), F.min("sha").alias("text_sha256")).withColumnRenamed("leaf", "of")
-    joined = same.join(F.broadcast(classes), F.col("leaf") == F.col("of"))
-    return light.unionByName(joined.select("row.*", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("seen_at") == F.col("best.seen_at")).alias("kept"), "text_sha256"))
+    out = T.StructType([*[docs.schema[c] for c in own], T.StructField("keep_id", kind), T.StructField("group_size", T.LongType()), T.StructField("kept", T.BooleanType()), T.StructField("text_sha256", T.StringType())])
+    light = rows.select("row").mapInArrow(_light(trie, text_col), T.StructType([rows.schema["row"], T.StructField("group", T.IntegerType())]))
+    light = light.repartition(parts, "group").select("row").mapInArrow(_finish(id_col, text_col, own, id_type), out)
+    return light.union(rows.mapInArrow(_heavy(trie, text_col, own, id_type), out)) if trie.leaves else light
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
