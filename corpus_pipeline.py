@@ -1,17 +1,76 @@
-"""A corpus pipeline over the documents table; each stage is one operator of simsift.llm."""
+"""A corpus pipeline over the documents table; each stage is one operator of simsift.llm.
 
-from __future__ import annotations
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are written as
+Parquet and read again. All stages but the last return the columns of documents.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from simsift.llm.bpe import digests
+from simsift.llm.common import stored, table
+from simsift.llm.exact import drop_exact
+from simsift.llm.mixing import mix
+from simsift.llm.simhash import drop_near
+from simsift.llm.toxicity import score_toxicity, train
+
+#: Words of a shingle, and bits that may differ, in the near-duplicate stage.
+WORDS, BITS, VERIFY = 5, 9, 22
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic. It learns from all labels of the documents at hand."""
+    model = train(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_exact(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, by shingles of five words at a similarity of 0.8.
+
+    Two fingerprints of that similarity differ in 9 of 64 bits on average, and in 19 of 128 further bits, which
+    leave chance no room; 22 are let pass, as bits are a sample.
+    """
+    return drop_near(docs, words=WORDS, bits=BITS, further=2, verify=VERIFY)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix takes it; those it leaves out go."""
+    mixed = mix(docs).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
+    import public_tokenizers
+
+    rows = docs.select("doc_id", F.col("text").alias("body"))
+    return digests(rows, "body", public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("mixing", mixing),
+    ("BPE encoding", encoding),
+]
 
 #: Model fitting and tokenization have no SQL form; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return reduce(lambda df, stage: stage[1](spark, df, sf_dir), STAGES, docs)
+    """All stages in order over documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, f"stage-{i + 1}-{name.split()[0]}")
+    return docs

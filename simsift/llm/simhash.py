@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import partitions, stored, table
 from .components import Forest, components
@@ -35,18 +36,23 @@ KEYS_PER_TASK = 2_000_000
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """SimHash of the shingles of a text, A-Z in lower case: bit i is set if it is in over half of the XXH64 (seed 42)."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of a text, repeats included, A-Z in lower case; of the whole of a shorter one."""
     tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return 0
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), 42)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), 42)] if tokens else [], np.uint64)
     body = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(tokens) - words + 1].tolist()
     h, digest = np.empty(len(starts), np.uint64), xxhash.xxh64_intdigest
     h[:] = [digest(body[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
+    return h
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit i is set if it is in over half of the hashes; 0 without any."""
+    if len(h) < 2:
+        return int(h[0]) if len(h) else 0
     counts = np.zeros(64, np.int64)
     for k in range(8):  # bit k of all eight bytes at once; a lane holds 255 at most
         bits = (h >> np.uint64(k)) & _LANES
@@ -57,19 +63,41 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(words: int):
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    return majority(shingle_hashes(text, words))
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Further hashes of the same shingles, by a finalizer of multiplications and shifts."""
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _fingerprints(words: int, further: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(x, words) for x in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            found = np.zeros((b.num_rows, 1 + further), np.uint64)
+            for i, text in enumerate(b.column(1).to_pylist()):
+                h = shingle_hashes(text, words)
+                found[i] = [majority(h), *(majority(mixed(h, k)) for k in range(1, further + 1))]
+            columns = [pa.array(np.ascontiguousarray(c)) for c in found.view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", *names(further)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint's 64 bits as a long."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(words), f"id {kind}, fp long")
+def names(further: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, further + 1))]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, further: int = 0) -> DataFrame:
+    """(id, fp, fp1, ...) of every row: 64 bits as a long, and 64 for each of `further` other hashes of the shingles."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)])
+    for c in names(further):
+        schema = schema.add(c, T.LongType())
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(words, further), schema)
 
 
 def _together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,89 +201,102 @@ def keys(fp: Column, plan: list[tuple[list[int], int]]) -> Column:
     return F.concat(*out)
 
 
-def _close(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= bits
-
-
-def _compare(at: np.ndarray, fp: np.ndarray, bits: int, forest: Forest, free: np.ndarray) -> None:
-    """Join all of fp[at] that are within bits. free: positions by which a large bucket can be cut again."""
-    if len(at) > BUCKET and len(free) > bits:
-        for cut in np.array_split(free, bits + 1):
-            value = fp[at] & np.uint64(sum(1 << int(b) for b in cut))
-            order = np.argsort(value, kind="stable")
-            edge = np.flatnonzero(np.diff(value[order])) + 1
-            rest = np.setdiff1d(free, cut)
-            for part in np.split(at[order], edge):
-                if len(part) > 1:
-                    _compare(part, fp, bits, forest, rest)
-        return
-    rows = max(1, (1 << 20) // len(at))
-    for i in range(0, len(at), rows):
-        a, b = np.nonzero(_close(fp[at[i : i + rows], None], fp[None, at[i:]], bits))
-        forest.join(at[i : i + rows][a], at[i:][b])
-
-
-def _links(bits: int):
+class _Nodes:
+    """Distinct nodes of a task, their fingerprints and further bits."""
+
+    def __init__(self, fp: np.ndarray, further: list[np.ndarray], bits: int, verify: int) -> None:
+        self.fp, self.further, self.bits, self.verify, self.forest = fp.view(np.uint64), [f.view(np.uint64) for f in further], bits, verify, Forest(len(fp))
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found = np.bitwise_count(self.fp[a] ^ self.fp[b]) <= self.bits
+        if self.further and found.any():
+            found = found & (sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int16) for f in self.further) <= self.verify)
+        return found
+
+    def compare(self, at: np.ndarray, free: np.ndarray) -> None:
+        """Join all of `at` that are near. A large bucket is cut again by the positions in free, where that leaves less to compare."""
+        if len(at) > BUCKET and len(free) > self.bits:
+            cuts, work = [], 0
+            for cut in np.array_split(free, self.bits + 1):
+                value = self.fp[at] & np.uint64(sum(1 << int(b) for b in cut))
+                order = np.argsort(value, kind="stable")
+                parts = np.split(at[order], np.flatnonzero(np.diff(value[order])) + 1)
+                cuts.append((np.setdiff1d(free, cut), parts))
+                work += sum(len(p) ** 2 for p in parts)
+            if work < len(at) ** 2 / 2:
+                for rest, parts in cuts:
+                    for part in parts:
+                        if len(part) > 1:
+                            self.compare(part, rest)
+                return
+        rows = max(1, (1 << 20) // len(at))
+        for i in range(0, len(at), rows):
+            a, b = np.nonzero(self.near(at[i : i + rows, None], at[None, i:]))
+            self.forest.join(at[i : i + rows][a], at[i:][b])
+
+
+def _links(bits: int, verify: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not got:
             return
-        key, fp = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        key, node, *values = (np.concatenate([g[i] for g in got]) for i in range(len(got[0])))
         del got
         order = np.argsort(key, kind="stable")
-        key, (node, place) = key[order], np.unique(fp[order], return_inverse=True)
+        key, (node, first, place) = key[order], np.unique(node[order], return_index=True, return_inverse=True)
+        nodes = _Nodes(*(lambda v: (v[0], v[1:]))([v[order][first] for v in values]), bits, verify)
         bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        length, forest, values = np.diff(bounds), Forest(len(node)), node.view(np.uint64)
-        found: list = []
-        small = np.repeat(np.minimum(length, 65), length)  # runs of up to 64 are compared by distance in the run, all runs at once
+        length = np.diff(bounds)
+        small = np.repeat(length <= 64, length)  # runs of up to 64 are compared by distance in the run, all runs at once
         rest = np.repeat(bounds[1:], length) - np.arange(len(key))
         for d in range(1, int(min(length.max(), 64))):
-            i = np.flatnonzero((small <= 64) & (rest > d))
-            a, b = place[i], place[i + d]
-            near = _close(values[a], values[b], bits) & (a != b)
-            if near.any():
-                found.append((a[near], b[near]))
-        for a, b in found:
-            forest.join(a, b)
+            i = np.flatnonzero(small & (rest > d))
+            for j in range(0, len(i), 1 << 20):
+                a, b = place[i[j : j + (1 << 20)]], place[i[j : j + (1 << 20)] + d]
+                near = nodes.near(a, b) & (a != b)
+                nodes.forest.join(a[near], b[near])
         for s, n in zip(bounds[:-1][length > 64].tolist(), length[length > 64].tolist(), strict=True):
-            _compare(np.unique(place[s : s + n]), values, bits, forest, np.arange(64))
-        a, b = forest.links()
+            nodes.compare(np.unique(place[s : s + n]), np.arange(64))
+        a, b = nodes.forest.links()
         for i in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(node[a[i : i + 100_000]]), pa.array(node[b[i : i + 100_000]])], names=["a", "b"])
 
     return run
 
 
-def near_links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) that connect just those of the distinct fingerprints nodes.fp that a chain of distances <= bits connects."""
+def near_links(nodes: DataFrame, bits: int = BITS, further: int = 0, verify: int = 0) -> DataFrame:
+    """Links (a, b) that connect just those of nodes (node, fp, ...) that a chain of near ones connects."""
     n, ones, correlation = bit_statistics(nodes)
     plan = allocate(n, ones, correlation, bits)
     per_node = sum((0, 1, 1 + len(p) / 2, 1 + len(p))[t + 1] for p, t in plan)
     parts = max(partitions(nodes.sparkSession), int(n * per_node / KEYS_PER_TASK) + 1)
-    probes = nodes.select(F.explode(keys(F.col("fp"), plan)).alias("key"), "fp").repartition(parts, "key")
-    return probes.mapInArrow(_links(bits), "a long, b long")
+    probes = nodes.select(F.explode(keys(F.col("fp"), plan)).alias("key"), "node", *names(further)).repartition(parts, "key")
+    return probes.mapInArrow(_links(bits, verify), "a long, b long")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS, further: int = 0, verify: int = 0) -> DataFrame:
     """(id, fp, component_id) of every row: its fingerprint, and the smallest id that links reach.
 
-    Two rows link when their fingerprints differ in `bits` positions at most. A null text counts as empty;
+    Two rows link when their fingerprints differ in `bits` positions at most and, with `further` other fingerprints of
+    the same shingles, those differ in `verify` positions together at most. A null text counts as empty;
     texts without words have fingerprint zero and link like any other. Rows with equal ids each keep their
     fingerprint; a null id is never a component's name unless no row of the component has another.
     Repeated rows stay repeated. An empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, words), "simhash")
-    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    labels = components(near_links(nodes, bits), "simhash-links")
-    named = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = named.join(names, "label").select(F.col("fp").alias("of"), "component_id")
-    return rows.join(classes, F.col("fp") == F.col("of")).select("id", "fp", "component_id")
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+    own = names(further)
+    rows = stored(fingerprints(docs, id_col, text_col, words, further), "simhash")
+    nodes = rows.groupBy(*own).agg(F.min("id").alias("least"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id() if further else F.col("fp")), "simhash-nodes")
+    labels = components(near_links(nodes, bits, further, verify), "simhash-links").withColumnRenamed("node", "linked")
+    named = nodes.join(labels, F.col("node") == F.col("linked"), "left").select(*own, "least", F.coalesce("label", "node").alias("label"))
+    best = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    classes = named.join(best, "label").select(*own, "component_id")
+    return rows.join(classes, own).select("id", "fp", "component_id")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS, further: int = 0, verify: int = 0) -> DataFrame:
     """The rows of docs that name their component (the smallest id); rows with a null id stay. Ids are taken to be distinct."""
-    found = near_components(docs.select(id_col, text_col), id_col, text_col, words, bits)
+    found = near_components(docs.select(id_col, text_col), id_col, text_col, words, bits, further, verify)
     gone = found.where("id <> component_id").select(F.col("id").alias("_gone"))
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
