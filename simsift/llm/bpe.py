@@ -17,10 +17,13 @@ shorter ones are encoded where they are read. Encodings of words are kept in a b
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,35 @@ from .common import partitions, table
 
 #: Characters of the leaves of the tree, of the pieces that Spark deals out, and from which on it does.
 LEAF, PIECE, LONG = 2048, 32_768, 65_536
-#: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers; beyond that, the first half stays, as frequent words come early.
+REMEMBERED = 400_000
 #: Ids on each side of a join that are encoded again at first.
 WINDOW = 4
 
 
+# The steps before the model of a lower-casing word tokenizer, for which plain words are cut here.
+_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same split, for words of printable ASCII and Latin-1 letters in lower case only.
+_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\[-`{-~]+")
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Bytes that the byte-level alphabet does not show as the character of that number.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class _Known(dict):
+    """Ids of words; a new word is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[bytes], bytes], items: Iterable = ()) -> None:
+        super().__init__(items)
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = self.encode(word)
+        return ids
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, without special tokens being added."""
 
@@ -48,17 +74,40 @@ class Encoder:
         self.tk = Tokenizer.from_file(path)
         self.tk.no_truncation()
         self.tk.no_padding()
-        self.words: dict[bytes, bytes] = {}
+        self.words = _Known(self._word)
         self.names = [self.tk.id_to_token(i) for i in range(self.tk.get_vocab_size(with_added_tokens=True))]
         special = sorted((t.content for t in self.tk.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         one = [self._direct([w])[0] for w in ("a", "b.", "c", " ", "a \n b.\tc ")]
+        self.plain = self._cuts_plain_words()
         self.drops_space = not one[3] and one[0] + one[1] + one[2] == one[4]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tk.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _cuts_plain_words(self) -> bool:
+        steps = json.loads(self.tk.to_str())
+        normalizers = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])]
+        cuts = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if normalizers != _NORMALIZER or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or steps["model"]["type"] != "BPE":
+            return False
+        return cuts[0]["pattern"] == {"Regex": _SPLIT} and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+
+    def _plain_word(self, word: str) -> bytes | None:
+        """Ids by the model alone, for a word whose normal form and pre-tokens are plain to see; None for others."""
+        if not self.plain:
+            return None
+        if word.isascii() and word.isalpha():
+            pieces = [word.lower()]
+        elif _PLAIN.fullmatch(word) and "<|" not in word:
+            pieces = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES) for p in _PIECES.findall(word.lower())]
+        else:
+            return None
+        tokenize = self.tk.model.tokenize
+        ids = [t.id for p in pieces for t in tokenize(p)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     # -- one unsplit run ---------------------------------------------------------------------
 
     def _run(self, piece: str) -> list[tuple[int, int]]:
@@ -115,28 +164,24 @@ class Encoder:
 
     # -- texts -------------------------------------------------------------------------------
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
-        short = [w for w in new if len(w) <= LEAF]
-        for w, ids in zip(short, self._direct([w.decode() for w in short]), strict=True):
-            self.words[w] = ids
-        for w in new:
-            if len(w) > LEAF:
-                self.words[w] = self._long_word(w.decode())
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if len(word) > LEAF:
+            return self._long_word(text)
+        ids = self._plain_word(text)
+        return self._direct([text])[0] if ids is None else ids
+
+    def forget(self) -> None:
+        if len(self.words) > REMEMBERED:
+            self.words = _Known(self._word, islice(self.words.items(), REMEMBERED // 2))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.drops_space:
             return self._direct(texts)
-        split = [x.encode().split() for x in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        seen: set[bytes] = set()
-        for words in split:
-            seen.update(words)
-        self.learn(seen)
+        self.forget()
         get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, x.encode().split())) for x in texts]
 
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, "<u4").tolist()
@@ -172,7 +217,6 @@ def encode_part(text: str, enc: Encoder) -> Part:
         return Part(body)
     head = b"" if body[:1].isspace() else words.pop(0)
     tail = b"" if body[-1:].isspace() or not words else words.pop()
-    enc.learn(set(words))
     return Part(head, b"".join(map(enc.words.__getitem__, words)), tail)
 
 
@@ -210,8 +254,7 @@ def _parts(path: str) -> Callable:
         enc = encoder(path)
         for b in batches:
             found = [encode_part(x, enc) for x in b.column(3).to_pylist()]
-            if len(enc.words) > REMEMBERED:
-                enc.words.clear()
+            enc.forget()
             arrays = [pa.array([getattr(p, k) for p in found], pa.binary()) for k in ("head", "ids", "tail")]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *arrays], names=["key", "row", "part", "head", "ids", "tail"])
 
