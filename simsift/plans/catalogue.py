@@ -1,7 +1,604 @@
-"""Named queries over the driver tables, with their SQL counterparts."""
+"""Named queries over the driver tables, with their SQL counterparts.
+
+Every query returns plain columns: arrays are written as text, doubles are rounded.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import features as ft
+from ..functions import hashing
+from ..functions import text as tx
+from ..functions.similarity import hamming
+from ..operators import encode as enc
+from ..operators import evaluate as ev
+from ..operators.hamming import BlockIndex, brute_force
+from ..operators.minhash import PRIME, MinHash, MinHashIndex, permutations
+from ..operators.prefix import PrefixIndex
+from ..session import scratch, stored
+from ..sources import datasets, posts, sinks
+from .tables import bits, table, titles, turns, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "lsh_topk"
+
+
+def query(sql: str | None = None):
+    def add(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+# -- pieces of SQL -------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+_CLEAN = "lower(regexp_replace({c}, '[^a-zA-Z0-9 \\n]+', '', 'g'))"
+_WORDS = "list_filter(string_split_regex(coalesce(" + _CLEAN + ", ''), '[ \\n]+'), lambda w: w <> '')"
+_TOKENS = "list_filter(" + _WORDS + f", lambda w: w not in ({_STOP}))"
+
+
+def _text(template: str, column: str = "text") -> str:
+    return template.format(c=column)
+
+
+_TITLES = f"titles as (select doc_id as id, ({_text(_TOKENS)})[1:16] as tokens from documents), t as (select * from titles where len(tokens) > 0)"
+_LE32 = "('0x' || substr(sha1({x}), 7, 2) || substr(sha1({x}), 5, 2) || substr(sha1({x}), 3, 2) || substr(sha1({x}), 1, 2))::UBIGINT::BIGINT"
+
+
+def _signed(n: int = 128, source: str = "t") -> str:
+    a, b = zip(*permutations(n), strict=True)
+    hashes = f"list_transform(list_distinct(tokens), lambda w: {_LE32.format(x='w')} % {PRIME})"
+    sig = f"list_transform(range(1, {n + 1}), lambda i: list_min(list_transform(hs, lambda h: ({list(a)}[i] * h + {list(b)}[i]) % {PRIME})))"
+    return f"{source}_h as (select id, {hashes} as hs from {source}), {source}_sig as (select id, {sig} as sig from {source}_h)"
+
+
+_BANDS = 25, 5
+_BANDED = "select id, i as band, sig[i * 5 + 1 : i * 5 + 5] as key from {t}_sig, range(0, 25) r(i)"
+_SIM = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] = p[2])::INT)) / 128.0"
+_BITS = "list_transform(embedding, lambda v: (v > 0)::INT)"
+_HAM = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] <> p[2])::INT)) / len({a})"
+
+
+def _joined(column: str) -> str:
+    return f"array_to_string({column}, ' ')"
+
+
+# -- cleaning and words --------------------------------------------------------------------------
+
+
+@query(f"select doc_id, {_text(_CLEAN)} as cleaned from documents")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.clean(F.col("text")).alias("cleaned"))
+
+
+@query(f"select item_id, {_joined(_text(_TOKENS))} as words, len({_text(_TOKENS)})::INT as n_words from benchmark")
+def clean_query_tokens(spark, sf_dir):
+    words = tx.clean_query(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("words"), F.size(words).alias("n_words"))
+
+
+@query(f"with {_TITLES} select id, {_joined('tokens')} as tokens from titles")
+def doc_tokens16(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(tx.tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"with {_TITLES} select id, {_joined('tokens')} as tokens from t")
+def title_stream(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.clean(F.col("text")).alias("title"))
+    return posts.title_tokens(rows).select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(f"select doc_id, count(*) as n_words from (select doc_id, unnest({_text(_WORDS)}) as word from documents) where word not in ({_STOP}) group by doc_id")
+def stopword_anti_join(spark, sf_dir):
+    stop = spark.createDataFrame([(w,) for w in tx.STOP_WORDS], "word string")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.words(tx.clean(F.col("text")))).alias("word"))
+    return words.join(F.broadcast(stop), "word", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
+
+
+@query(f"select word, count(*) as n from (select unnest({_text(_WORDS)}) as word from documents) group by word having count(*) >= 2")
+def vocabulary(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(tx.words(tx.clean(F.col("text")))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+
+
+@query(f"select id, (u.i - 1)::INT as place, ws[u.i] as word from (select doc_id as id, {_text(_WORDS)} as ws from documents), lateral unnest(range(1, len(ws) + 1)) u(i)")
+def body_words(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.clean(F.col("text")).alias("body"))
+    return posts.body_words(rows)
+
+
+@query(f"select (row_number() over (order by doc_id) - 1) as tag, {_joined(_text(_WORDS))} as words from documents")
+def title_sentences_tagged(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.clean(F.col("text")).alias("title"))
+    tagged = posts.sentences(posts.with_ordinal(rows, "doc_id"))
+    return tagged.select(F.col("tag").cast("long").alias("tag"), F.array_join("words", " ").alias("words"))
+
+
+def _slice(lo: int, hi: int, exclusive: bool = False):
+    def run(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents").select("doc_id")
+        kept = posts.posts_in_range(docs, lo, hi, "doc_id", answer=F.lit(False), exclusive=exclusive)
+        return kept.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"))
+
+    return run
+
+
+_ORDINAL = "select * from (select doc_id, row_number() over (order by doc_id) as ordinal from documents) where ordinal between {} and {}"
+QUERIES |= {"doc_slice_train": _slice(0, 100), "doc_slice_test": _slice(100, 140), "doc_slice_strict": _slice(100, 140, True)}
+ORACLES |= {"doc_slice_train": _ORDINAL.format(1, 100), "doc_slice_test": _ORDINAL.format(100, 140), "doc_slice_strict": _ORDINAL.format(101, 140)}
+
+
+@query("select page_id, length(html) as n_html from pages where page_id = 7")
+def post_lookup(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html")
+    return posts.find_post(pages, 7).select(F.col("id").alias("page_id"), F.length("html").cast("long").alias("n_html"))
+
+
+@query()
+def strip_html_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", tx.strip_html(F.col("html")).alias("text"), tx.clean_string(F.col("html")).alias("cleaned"))
+
+
+# -- features ------------------------------------------------------------------------------------
+
+_WORD_ROWS = f"with {_TITLES}, w as (select distinct unnest(tokens) as word from t)"
+_COUNTS = "list_transform(range(97, 129), lambda k: len(list_filter(string_split(word, ''), lambda c: c <> '' and unicode(c) = k)))"
+
+
+def _distinct_words(spark, sf_dir):
+    return titles(spark, sf_dir).select(F.explode("tokens").alias("word")).distinct()
+
+
+@query(f"{_WORD_ROWS} select word, array_to_string({_COUNTS}, ' ') as counts from w")
+def letter_histogram(spark, sf_dir):
+    counts = F.transform(ft.histogram(F.col("word")), lambda c: c.cast("int").cast("string"))
+    return _distinct_words(spark, sf_dir).select("word", F.array_join(counts, " ").alias("counts"))
+
+
+@query(f"{_WORD_ROWS}, h as (select word, {_COUNTS} as c from w) select word, array_to_string(list_transform(c, lambda x: case when list_max(c) = 0 then 0 else round_even(x / list_max(c), 0)::INT end), ' ') as bits from h")
+def letter_histogram_binarized(spark, sf_dir):
+    found = ft.binarized(ft.histogram(F.col("word")))
+    return _distinct_words(spark, sf_dir).select("word", F.array_join(F.transform(found, lambda c: c.cast("int").cast("string")), " ").alias("bits"))
+
+
+def _matrices(spark, sf_dir):
+    return titles(spark, sf_dir).select("id", ft.matrix(F.col("tokens"), 32, 16, lambda w: ft.binarized(ft.histogram(w))).alias("x"))
+
+
+def _shown(column):
+    return F.array_join(F.transform(column, lambda c: c.cast("int").cast("string")), "")
+
+
+_BINARY = _COUNTS.replace("string_split(word, '')", "string_split(tokens[r], '')")
+_ROW = f"list_transform({_BINARY}, lambda x: case when list_max({_BINARY}) = 0 then 0 else round_even(x / list_max({_BINARY}), 0)::INT end)"
+_MATRIX = (
+    f"with {_TITLES}, cells as (select id, r, {_ROW} as row from t, lateral unnest(range(1, len(tokens) + 1)) u(r)), "
+    "m as (select t.id, r.i as r, coalesce(c.row, list_transform(range(0, 32), lambda i: 0)) as row from t cross join range(1, 17) r(i) left join cells c on c.id = t.id and c.r = r.i)"
+)
+
+
+@query(f"{_MATRIX} select id, string_agg(array_to_string(row, ''), '' order by r) as x from m group by id")
+def sentence_matrix(spark, sf_dir):
+    return _matrices(spark, sf_dir).select("id", _shown("x").alias("x"))
+
+
+def _picked(salt: str, n: int) -> str:
+    key = f"md5('{salt}' || ':' || '1:' || id || ':' || i)"
+    return f"p as (select id, i, row_number() over (partition by id order by {key}, i) as k from t cross join range(0, 16) r(i)), picked as (select * from p where k <= {n})"
+
+
+@query(f"{_MATRIX}, {_picked('drop', 3)} select m.id, string_agg(case when q.i is null then array_to_string(row, '') else repeat('0', 32) end, '' order by r) as x from m left join picked q on q.id = m.id and q.i = m.r - 1 group by m.id")
+def noise_drop_words(spark, sf_dir):
+    return _matrices(spark, sf_dir).select("id", _shown(ft.drop_rows(F.col("x"), 32, 3, F.concat(F.lit("1:"), F.col("id")))).alias("x"))
+
+
+@query(f"{_MATRIX}, {_picked('swap', 3)}, moves as (select a.id, a.i as to_row, b.i as from_row from picked a join picked b on a.id = b.id and b.k = a.k % 3 + 1), moved as (select m.id, m.r, coalesce(v.from_row + 1, m.r) as src from m left join moves v on v.id = m.id and v.to_row = m.r - 1) select v.id, string_agg(array_to_string(m.row, ''), '' order by v.r) as x from moved v join m on m.id = v.id and m.r = v.src group by v.id")
+def noise_swap_words(spark, sf_dir):
+    return _matrices(spark, sf_dir).select("id", _shown(ft.swap_rows(F.col("x"), 32, 3, F.concat(F.lit("1:"), F.col("id")))).alias("x"))
+
+
+@query()
+def title_training_set(spark, sf_dir):
+    made = datasets.title_set(titles(spark, sf_dir), 32, lambda w: ft.binarized(ft.histogram(w)), drop=3, swap=3)
+    return made.select("id", _shown("x").alias("x"), _shown("x_hat").alias("x_hat"))
+
+
+@query()
+def synthetic_training_set(spark, sf_dir):
+    return datasets.resolve("example", spark).select("id", _shown("x").alias("x"), _shown("x_hat").alias("x_hat"))
+
+
+@query("select round(min(v), 6) as low, round(max(v), 6) as high from (select unnest(embedding)::DOUBLE as v from embeddings)")
+def feature_minmax(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.explode("embedding").alias("v")).select(F.col("v").cast("double").alias("v"))
+    return v.agg(F.round(F.min("v"), 6).alias("low"), F.round(F.max("v"), 6).alias("high"))
+
+
+@query("select label, i::INT as i, round(avg(embedding[i + 1]::DOUBLE), 6) as mean from embeddings, range(0, 64) r(i) group by label, i")
+def mean_pool_by_label(spark, sf_dir):
+    parts = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    return parts.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query("select vec_id, round(list_sum(list_transform(embedding, lambda v: greatest(0.0, least(1.0, (v::DOUBLE + 0.5) * 1.0)))), 6) as total from embeddings")
+def rescale_clamp(spark, sf_dir):
+    scaled = ft.rescale(F.transform("embedding", lambda v: v.cast("double")), -0.5, 0.5, 0.0, 1.0)
+    total = F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total, 6).alias("total"))
+
+
+@query("select vec_id, array_to_string(list_transform(embedding, lambda v: (v > 0.1)::INT), '') as bits from embeddings")
+def threshold_binarize(spark, sf_dir):
+    found = ft.threshold(F.transform("embedding", lambda v: v.cast("double")), 0.1)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(found, lambda b: b.cast("string")), "").alias("bits"))
+
+
+@query("select vec_id, array_to_string(list_transform(range(1, 17), lambda i: (floor((abs(embedding[1]::DOUBLE) - floor(abs(embedding[1]::DOUBLE))) * pow(2.0, i)) % 2)::INT), '') as digits from embeddings")
+def binary_fraction_digits(spark, sf_dir):
+    digits = ft.fraction_digits(F.col("embedding")[0].cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(digits, lambda d: d.cast("string")), "").alias("digits"))
+
+
+@query()
+def float_bit_strings(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", ft.float_bits(F.col("embedding")[0]).alias("bits"))
+
+
+# -- hashes --------------------------------------------------------------------------------------
+
+
+@query(f"{_WORD_ROWS} select word, {_LE32.format(x='word')} as hash from w")
+def sha1_le32(spark, sf_dir):
+    return _distinct_words(spark, sf_dir).select("word", hashing.sha1_le32(F.col("word")).alias("hash"))
+
+
+@query()
+def other_hashes(spark, sf_dir):
+    return _distinct_words(spark, sf_dir).select("word", hashing.sha3_le32(F.col("word")).alias("sha3"), hashing.xxh32_le32(F.col("word")).alias("xxh32"))
+
+
+@query()
+def digest_floats(spark, sf_dir):
+    pair = hashing.digest_floats(F.unhex(F.sha1(F.col("word").cast("binary"))))
+    return _distinct_words(spark, sf_dir).select("word", pair[0].cast("string").alias("first"), pair[1].cast("string").alias("second"))
+
+
+# -- MinHash index -------------------------------------------------------------------------------
+
+
+@query(f"with {_TITLES}, {_signed()} select id, array_to_string(sig, ',') as sig from t_sig")
+def minhash_signature(spark, sf_dir):
+    return MinHash().signatures(titles(spark, sf_dir)).select("id", F.array_join(F.transform("sig", lambda s: s.cast("string")), ",").alias("sig"))
+
+
+@query(f"with {_TITLES}, {_signed()} select id, band::INT as band, array_to_string(key, ',') as key from ({_BANDED.format(t='t')})")
+def minhash_bands(spark, sf_dir):
+    method = MinHash()
+    keys = method.band_keys(stored(method.signatures(titles(spark, sf_dir)), "signatures"))
+    return keys.select("id", "band", F.array_join(F.transform("key", lambda s: s.cast("string")), ",").alias("key"))
+
+
+_CLASSES = "classes as (select sig, min(id) as id, count(*) as n from t_sig group by sig), c_sig as (select id, sig from classes)"
+
+
+@query(f"with {_TITLES}, {_signed()}, {_CLASSES}, b as ({_BANDED.format(t='c')}), p as (select distinct x.id as a, y.id as b from b x join b y using (band, key) where x.id < y.id) select a, b, round({_SIM.format(a='u.sig', b='v.sig')}, 6) as similarity from p join c_sig u on u.id = a join c_sig v on v.id = b")
+def lsh_candidates(spark, sf_dir):
+    found = MinHashIndex.build(titles(spark, sf_dir)).candidates()
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def _topk_sql(asked: str, asked_cte: str = "") -> str:
+    return (
+        f"with {_TITLES}{asked_cte}, {_signed()}, b as ({_BANDED.format(t='t')}), q as ({_BANDED.format(t=asked)}), "
+        "p as (select distinct q.id as query, b.id as id from q join b using (band, key)), "
+        f"s as (select query, p.id, {_SIM.format(a='u.sig', b='v.sig')} as similarity from p join {asked}_sig u on u.id = query join t_sig v on v.id = p.id) "
+        "select query, id, round(similarity, 6) as similarity, place::INT as place from (select *, row_number() over (partition by query order by similarity desc, id) as place from s) where place <= 10"
+    )
+
+
+@query(_topk_sql("t"))
+def lsh_topk(spark, sf_dir):
+    items = titles(spark, sf_dir)
+    found = MinHashIndex.build(items).search(items)
+    return found.select("query", "id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+@query(_topk_sql("a", f", a as (select item_id as id, ({_text(_TOKENS)}) as tokens from benchmark), {_signed(source='a')}"))
+def search_benchmark_queries(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), tx.clean_query(F.col("text")).alias("tokens"))
+    found = MinHashIndex.build(titles(spark, sf_dir)).search(asked)
+    return found.select("query", "id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+@query(f"with {_TITLES} select count(*) as index_size from t")
+def lsh_index_size(spark, sf_dir):
+    """Built from one half, the other inserted, saved and loaded."""
+    items = titles(spark, sf_dir)
+    index = MinHashIndex.build(items.where("id % 2 = 0")).insert(items.where("id % 2 = 1"))
+    path = scratch(spark, "minhash-index")
+    index.save(path)
+    return MinHashIndex.load(spark, path).size()
+
+
+@query(f"with {_TITLES}, s as (select id, list_distinct(tokens) as tokens from t), w as (select id, unnest(tokens) as word from s), p as (select x.id as a, y.id as b, count(*) as common from w x join w y using (word) where x.id < y.id group by 1, 2) select a, b, round(common / (len(u.tokens) + len(v.tokens) - common), 6) as similarity from p join s u on u.id = a join s v on v.id = b where common * 2 >= len(u.tokens) + len(v.tokens) - common")
+def exact_jaccard_pairs(spark, sf_dir):
+    """Pairs of titles that share half of their words, by a prefix filter: with words in order of rarity, two sets of that
+    similarity share one of their first size - ceil(size / 2) + 1 words."""
+    sets = titles(spark, sf_dir).select("id", F.array_distinct("tokens").alias("tokens"))
+    words = sets.select("id", F.explode("tokens").alias("word"))
+    order = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = words.join(order, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
+    ranked = stored(ranked.select("id", F.transform("ranked", lambda r: r["word"]).alias("tokens")), "ranked-sets")
+    size = F.size("tokens")
+    lead = ranked.select("id", F.explode(F.slice("tokens", F.lit(1), size - F.ceil(size / 2).cast("int") + 1)).alias("word"))
+    pairs = lead.toDF("a", "word").join(lead.toDF("b", "word"), "word").where("a < b").select("a", "b").distinct()
+    both = pairs.join(ranked.toDF("a", "ta"), "a").join(ranked.toDF("b", "tb"), "b")
+    common = F.size(F.array_intersect("ta", "tb"))
+    similarity = common / (F.size("ta") + F.size("tb") - common)
+    return both.select("a", "b", F.round(similarity, 6).alias("similarity")).where(similarity >= 0.5)
+
+
+@query(f"with {_TITLES}, s as (select id, {_joined('tokens')} as s from t) select s.id, min(o.id) as first, count(*) as n from s join s o using (s) group by s.id")
+def whole_string_match(spark, sf_dir):
+    """Titles as one element: an index finds equal titles only."""
+    index = MinHashIndex.build(titles(spark, sf_dir), MinHash(shingle="whole"))
+    classes = index.classes.select("class", "n")
+    return index.members.join(classes, "class").select("id", F.col("class").alias("first"), "n")
+
+
+@query()
+def compat_signature(spark, sf_dir):
+    signed = MinHash(compat=True).signatures(titles(spark, sf_dir))
+    return signed.select("id", F.array_join(F.transform("sig", lambda s: s.cast("string")), ",").alias("sig"))
+
+
+# -- Hamming and prefix indexes ------------------------------------------------------------------
+
+_ENTRIES = f"e as (select vec_id as val, ({_BITS})[1:16] as key from embeddings), q as (select val as query, key as asked from e where val % 20 = 0)"
+
+
+def _entries(spark, sf_dir):
+    return vectors(spark, sf_dir, 16).select(F.col("vec").alias("key"), F.col("id").alias("val"))
+
+
+def _asked(entries):
+    return entries.where("val % 20 = 0").select(F.col("val").alias("query"), "key")
+
+
+def _found(df):
+    return df.select("query", "val", F.round("distance", 6).alias("distance"), "place")
+
+
+_NEAREST = "select query, val, round(distance, 6) as distance, place::INT as place from (select *, row_number() over (partition by query order by distance, key, val) as place from d{w}) where place <= 10"
+
+
+@query(f"with {_ENTRIES}, d as (select query, val, key, {_HAM.format(a='key', b='asked')} as distance from e, q) {_NEAREST.format(w=' where distance <= 0.125')}")
+def hamming_bruteforce(spark, sf_dir):
+    entries = _entries(spark, sf_dir)
+    return _found(brute_force(entries, _asked(entries), 0.125))
+
+
+@query(f"with {_ENTRIES}, d as (select query, val, key, {_HAM.format(a='key', b='asked')} as distance from e, q) {_NEAREST.format(w='')}")
+def hamming_topk(spark, sf_dir):
+    entries = _entries(spark, sf_dir)
+    return _found(brute_force(entries, _asked(entries), 1.0))
+
+
+_BLOCKED = f"{_ENTRIES}, b as (select *, (row_number() over (order by key, val) - 1) // 50 as block from e)"
+
+
+@query(f"with {_BLOCKED} select val, block, array_to_string(key, '') as key from b")
+def block_sorted_index(spark, sf_dir):
+    content = BlockIndex.build(_entries(spark, sf_dir), 50).content()
+    return content.select("val", "block", F.array_join(F.transform("key", lambda b: b.cast("string")), "").alias("key"))
+
+
+@query(f"with {_BLOCKED}, f as (select block, min(key) as first from b group by block), w as (select query, asked, coalesce(max(case when first <= asked then block end), 0) as block from q, f group by query, asked), d as (select query, val, key, {_HAM.format(a='key', b='asked')} as distance from w join b using (block)) {_NEAREST.format(w='')}")
+def block_search(spark, sf_dir):
+    entries = _entries(spark, sf_dir)
+    path = scratch(spark, "block-index")
+    BlockIndex.build(entries, 50).save(path)
+    return _found(BlockIndex.load(spark, path).search(_asked(entries)))
+
+
+_LCP = "coalesce(list_max(list_filter(range(1, 17), lambda i: x[1:i] = y[1:i])), 0)"
+
+
+@query(f"with v as (select vec_id as id, ({_BITS})[1:16] as vec from embeddings), p as (select q.id as query, v.id, v.vec, q.vec as x, v.vec as y from v q, v where q.id % 20 = 0), s as (select query, id, vec, {_LCP} as length from p) select query, id, length::INT as length, place::INT as place from (select *, row_number() over (partition by query order by length desc, vec, id) as place from s where length >= 1) where place <= 10")
+def prefix_topk(spark, sf_dir):
+    rows = vectors(spark, sf_dir, 16)
+    return PrefixIndex.build(rows, 16).search(rows.where("id % 20 = 0"), 10)
+
+
+@query(f"with v as (select vec_id as id, ({_BITS})[1:8] as vec from embeddings) select q.id as query, v.id from v q join v using (vec) where q.id % 20 = 0")
+def exact_vector_lookup(spark, sf_dir):
+    rows = vectors(spark, sf_dir, 8)
+    path = scratch(spark, "prefix-index")
+    PrefixIndex.build(rows, 8).save(path)
+    return PrefixIndex.load(spark, path).lookup(rows.where("id % 20 = 0"))
+
+
+@query(f"with v as (select vec_id as id, {_BITS} as vec from embeddings) select a.id as a, b.id as b, round({_HAM.format(a='a.vec', b='b.vec')}, 6) as distance from v a join v b on b.id = a.id + 1")
+def hamming_neighbours(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), bits(F.col("embedding")).alias("vec"))
+    pairs = v.toDF("a", "x").join(v.select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.col("vec").alias("y")), "a")
+    return pairs.select("a", "b", F.round(hamming(F.col("x"), F.col("y")), 6).alias("distance"))
+
+
+# -- answers -------------------------------------------------------------------------------------
+
+_TURNS = "o as (select *, row_number() over (order by conv_id, turn) as pos, role = 'assistant' as ans from conversations), p as (select *, case when not ans then row_number() over (partition by ans order by pos) end as post from o)"
+
+
+def _positional_sql(lo: int, hi: int | None) -> str:
+    keep = f"not ans and post >= {lo}" + (f" and post <= {hi}" if hi else "")
+    return (
+        f"with {_TURNS}, w as (select *, min(case when {keep} then pos end) over (order by pos rows between current row and unbounded following) as owner from p), "
+        "a as (select owner, string_agg(conv_id || ':' || turn, ',' order by pos) as answers, count(*) as n from w where ans and owner is not null group by owner) "
+        f"select w.conv_id, w.turn, w.post as post_ordinal, a.answers, a.n as n_answers from w left join a on a.owner = w.pos where {keep}"
+    )
+
+
+def _positional(lo: int, hi: int):
+    def run(spark, sf_dir):
+        found = posts.attach_positional(turns(spark, sf_dir), F.col("role") == "assistant", "conv_id", "turn", lo=lo, hi=hi)
+        names = F.array_join(F.transform("answers", lambda a: F.concat_ws(":", a["conv_id"], a["turn"])), ",")
+        n = F.when(F.col("answers").isNotNull(), F.size("answers").cast("long"))
+        return found.select("conv_id", "turn", F.col("post_ordinal").cast("long").alias("post_ordinal"), names.alias("answers"), n.alias("n_answers"))
+
+    return run
+
+
+QUERIES |= {"answers_positional": _positional(1, 0), "answers_positional_range": _positional(20, 60)}
+ORACLES |= {"answers_positional": _positional_sql(1, None), "answers_positional_range": _positional_sql(20, 60)}
+
+
+@query("with a as (select conv_id, turn, text from conversations where role = 'assistant'), p as (select conv_id, turn from conversations where role = 'user') select p.conv_id, p.turn, string_agg(a.turn::VARCHAR, ',' order by a.turn) as answers from p left join a on a.conv_id = p.conv_id and a.turn = p.turn + 1 group by p.conv_id, p.turn")
+def answers_by_parent(spark, sf_dir):
+    """An assistant turn answers the turn before it."""
+    rows = turns(spark, sf_dir)
+    asked = rows.where("role = 'user'").select(F.struct("conv_id", "turn").alias("id"), "conv_id", "turn")
+    given = rows.where("role = 'assistant'").select(F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("parent_id"), F.col("turn").alias("at"))
+    found = posts.attach_by_parent(asked, given, "id", "parent_id", "at")
+    return found.select("conv_id", "turn", F.array_join(F.transform("answers", lambda a: a["at"].cast("string")), ",").alias("answers"))
+
+
+@query("with a as (select conv_id, min(turn) as first, max(turn) as last from conversations where role = 'assistant' group by conv_id) select conv_id, last as accepted from a")
+def accepted_answer(spark, sf_dir):
+    """With the last assistant turn of a conversation as the accepted one."""
+    given = turns(spark, sf_dir).where("role = 'assistant'").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").alias("id"))).alias("answers"), F.max("turn").alias("wanted"))
+    return given.select("conv_id", posts.accepted_answer(F.col("answers"), F.col("wanted"))["id"].alias("accepted"))
+
+
+@query(f"with {_TITLES} select item_id, {_joined('tokens')} as title from benchmark left join t on t.id = item_id")
+def title_lookup(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select("item_id")
+    found = asked.join(titles(spark, sf_dir), F.col("item_id") == F.col("id"), "left")
+    return found.select("item_id", F.array_join("tokens", " ").alias("title"))
+
+
+# -- evaluation ----------------------------------------------------------------------------------
+
+_DROPPED = f"list_filter(tokens, lambda w, i: i - 1 <> {_LE32.format(x=_joined('tokens'))} % len(tokens))"
+_ASKED = f"asked as (select id, 'title' as kind, tokens from t union all select id, 'dropped', {_DROPPED} from t), a as (select struct_pack(id := id, kind := kind) as id, tokens from asked where len(tokens) > 0)"
+
+
+def _compared_sql(tail: str) -> str:
+    return (
+        f"with {_TITLES}, {_ASKED}, {_signed(source='a')}, {_signed()}, b as ({_BANDED.format(t='t')}), q as ({_BANDED.format(t='a')}), "
+        "p as (select distinct q.id as query, b.id as id from q join b using (band, key)), "
+        f"s as (select query, p.id, {_SIM.format(a='u.sig', b='v.sig')} as similarity from p join a_sig u on u.id = query join t_sig v on v.id = p.id), "
+        "k as (select *, row_number() over (partition by query order by similarity desc, id) as place from s), "
+        "r as (select query, string_agg(id::VARCHAR, ',' order by place) as results, bool_or(id = query.id) as hit from k where place <= 10 group by query), "
+        f"f as (select a.id.id as id, a.id.kind as kind, coalesce(results, '') as results, coalesce(hit, false) as sha1 from a left join r on r.query = a.id) {tail}"
+    )
+
+
+def _indexes(items, *names):
+    return {n: ev.make_index(items, n) for n in names}
+
+
+@query(_compared_sql("select id, kind, 'sha1' as index_name, results from f"))
+def compare_searches(spark, sf_dir):
+    items = titles(spark, sf_dir)
+    found = ev.compare(items, _indexes(items, "sha1"))
+    return found.select("id", "kind", "index_name", F.array_join(F.transform("results", lambda r: r.cast("string")), ",").alias("results"))
+
+
+@query(_compared_sql("select id, kind, sha1 from f"))
+def hits_wide(spark, sf_dir):
+    items = titles(spark, sf_dir)
+    return ev.hits(ev.compare(items, _indexes(items, "sha1")), ["sha1"])
+
+
+@query(_compared_sql("select 'sha1' as index_name, sum(sha1::INT)::BIGINT as hits, count(*) as queries from f"))
+def recall_sum(spark, sf_dir):
+    items = titles(spark, sf_dir)
+    return ev.recall(ev.hits(ev.compare(items, _indexes(items, "sha1")), ["sha1"]), ["sha1"])
+
+
+@query()
+def recall_by_hash(spark, sf_dir):
+    """The comparison of hashes: SHA-1, SHA-3 and xxh32 over tokens, and a learned hash over whole titles."""
+    items = titles(spark, sf_dir)
+    codes = _codes(spark, sf_dir).select("id", F.array(F.array_join(F.transform("vec", lambda v: v.cast("string")), "")).alias("tokens"))
+    indexes = _indexes(items, "sha1", "sha3", "xxh32") | {"whole": ev.make_index(items, whole=True)}
+    learned = ev.recall(ev.hits(ev.compare(codes, {"learned": ev.make_index(codes)}, drop=0), ["learned"]), ["learned"])
+    names = list(indexes)
+    return ev.recall(ev.hits(ev.compare(items, indexes), names), names).unionByName(learned)
+
+
+# -- learned encodings ---------------------------------------------------------------------------
+
+
+def _codes(spark, sf_dir, latent: int = 16):
+    """(id, vec): bits of a fixed projection of each title's matrix."""
+    projection = enc.projection(512, latent)
+    codes = enc.encode(_matrices(spark, sf_dir), lambda x: x @ projection)
+    return stored(codes.select("id", F.transform("code", lambda v: F.when(v > 0, 1).otherwise(0)).alias("vec")), "codes")
+
+
+@query()
+def learned_encode(spark, sf_dir):
+    return _codes(spark, sf_dir).select("id", F.array_join(F.transform("vec", lambda v: v.cast("string")), "").alias("code"))
+
+
+@query()
+def learned_prefix_search(spark, sf_dir):
+    codes = _codes(spark, sf_dir)
+    return PrefixIndex.build(codes, 16).search(codes.where("id % 20 = 0"), 10)
+
+
+@query()
+def autoencoder_codes(spark, sf_dir):
+    """A small autoencoder trained on sampled titles, then used for all."""
+    net = enc.Autoencoder("fcn", 32, latent=2, last="sigmoid")
+    rows = stored(_matrices(spark, sf_dir), "matrices")
+    sample = rows.orderBy(F.xxhash64("id")).limit(256).toPandas()["x"].tolist()
+
+    def data(drop: int, swap: int):
+        import numpy as np
+
+        x = np.array(sample, float)
+        noisy = x.reshape(len(x), 16, 32).copy()
+        noisy[:, :drop] = 0
+        return noisy.reshape(len(x), -1), x
+
+    net.fit(data, epochs=2, batch=32, rate=1e-3)
+    shown = F.transform("code", lambda v: F.round(v.cast("double"), 6).cast("string"))
+    return enc.encode(rows, net.encode).select("id", F.array_join(shown, " ").alias("code"))
+
+
+@query()
+def word_vector_sentences(spark, sf_dir):
+    """Word vectors learned from titles, and the sum of each title's matrix."""
+    items = titles(spark, sf_dir)
+    vectors_ = stored(enc.train_word_vectors(items.select(F.col("tokens").alias("words")), size=16, min_count=2), "word-vectors")
+    found = enc.sentence_matrix(items, vectors_, 16)
+    return found.select("id", F.size("matrix").alias("cells"))
+
+
+@query("select count(*) as n_rows, 64 as width from embeddings")
+def projector_files(spark, sf_dir):
+    """Vectors and their labels as tab-separated tables, read back."""
+    path = scratch(spark, "projector")
+    rows = table(spark, sf_dir, "embeddings")
+    sinks.write_projector(rows, path, F.col("embedding"), F.col("vec_id").alias("ID"), F.col("label").cast("string").alias("Title"))
+    vecs = spark.read.text(f"{path}/vecs").select(F.size(F.split("value", "\t")).alias("width"))
+    return vecs.groupBy("width").agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", "width")
+
+
+@query("select event_type as name, (user_id % 5)::INT as epoch, round(avg(value), 6) as value from events group by 1, 2")
+def mean_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), (F.col("user_id") % 5).cast("int").alias("epoch"), "value")
+    return sinks.mean_metrics(rows).select("name", "epoch", F.round("value", 6).alias("value"))
