@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch, shared_dir, stored
+
+__all__ = ["SPACE", "crc_mod", "partitions", "scratch", "shared_dir", "stored", "table"]
+
 #: White space of every contract of this package: space and 0x09-0x0D, nothing else.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,35 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a folder of our own is chosen, and set for checkpoint() as well.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = sc.getCheckpointDir()
-        if not found:
-            sc.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
-            found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/simsift/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession, total_bytes: float = 0, target: int = 64 << 20) -> int:
     """Shuffle partitions for so many bytes: the session's number, or more where a partition would exceed target."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_bytes / target))
@@ -53,11 +27,3 @@ def partitions(spark: SparkSession, total_bytes: float = 0, target: int = 64 <<
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a column written as text, modulo n; null where the column is null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
-
-
-def free_name(df: DataFrame, wanted: str) -> str:
-    """wanted, with underscores until no column of df has it in any case."""
-    have = {c.lower() for c in df.columns}
-    while wanted.lower() in have:
-        wanted += "_"
-    return wanted

@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,15 +42,15 @@ from .common import crc_mod, partitions, stored, table
 #: Restaurants of contexts.
 CONTEXTS = 1 << 16
 #: Gibbs sweeps before the first sample and in all samples (one sweep apart).
-BURN_IN, SAMPLES = 2, 3
+BURN_IN, SAMPLES = 1, 3
 #: Concentrations of the context restaurants and of their parent; discounts are estimated from counts of counts.
 CONCENTRATION, ROOT_CONCENTRATION = 1.0, 1.0
 #: Tokens and texts of a chunk at most; tokens of a bucket, about.
-CHUNK, CHUNK_TEXTS, BUCKET = 1 << 20, 60_000, 1_000_000
+CHUNK, CHUNK_TEXTS, BUCKET = 1 << 20, 60_000, 500_000
 #: Customers of one dish in one restaurant that are reseated one by one; more are reseated in blocks of 1/16.
-ONE_BY_ONE = 96
+ONE_BY_ONE = 64
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _END, _START = b" end", b" start"  # no word has a space
 _BLOCK = 4096
 
@@ -76,18 +77,22 @@ class _Words(dict):
         return n
 
 
-def _tokens(text: str | None, words: _Words) -> list[int]:
-    return [words[w] for w in (text or "").encode().lower().split()] + [0]
+def _tokens(text: str | None, words: _Words) -> np.ndarray:
+    found = (text or "").encode().lower().split()
+    found.append(_END)
+    return np.fromiter(map(words.__getitem__, found), np.int32, len(found))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     out = [struct.pack("<B", len(arrays))]
     for a in arrays:
         out += [struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)), a.tobytes()]
-    return b"".join(out)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays of _pack. They are compressed there, so that shuffle, sort and files hold the small form only."""
+    data = zstandard.ZstdDecompressor().decompress(data)
     out, at = [], 1
     for _ in range(data[0]):
         kind, n = struct.unpack_from("<2sq", data, at)
@@ -108,19 +113,20 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in np.flatnonzero(counts >= max(2, counts.sum() // 20_000)).tolist():
             frequent[words.hashes[i]] = frequent.get(words.hashes[i], 0) + int(counts[i])
 
-    for b in batches:
-        for text, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = np.array(_tokens(text, words))
-            if len(words) > len(counts):
-                counts = np.concatenate((counts, np.zeros(2 * len(words) - len(counts), np.int64)))
-            counts += np.bincount(found, minlength=len(counts))[: len(counts)] if len(found) > 10_000 else 0
-            if len(found) <= 10_000:
-                np.add.at(counts, found, 1)
-            tokens += len(found)
-            if not held:
-                trained += len(found)
-                before = np.concatenate(([1], found[:-1]))
-                np.add.at(contexts, _context(np.array([words.hashes[i] for i in before.tolist()], np.uint64)), 1)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
+            b = batch.slice(i, 512)
+            texts = [_tokens(text, words) for text in b.column(0).to_pylist()]
+            sizes = np.array([len(t) for t in texts])
+            found = np.concatenate(texts)
+            now = np.bincount(found, minlength=len(words))
+            now[: len(counts)] += counts
+            counts = now
+            train = np.repeat(~np.array(b.column(1).to_pylist(), bool), sizes)
+            before = np.concatenate(([1], found[:-1]))
+            before[np.cumsum(sizes) - sizes] = 1
+            contexts += np.bincount(_context(np.array(words.hashes, np.uint64))[before[train]], minlength=CONTEXTS)
+            tokens, trained = tokens + len(found), trained + int(train.sum())
             if len(words) > REMEMBERED:
                 fold()
                 words, counts = _Words(), np.zeros(0, np.int64)
@@ -195,7 +201,7 @@ def _deal(buckets: int, salts: dict[int, int], id_type: pa.DataType):
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 for doc, text, held in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    found = np.array(_tokens(text, words), np.int64)
+                    found = _tokens(text, words)
                     texts.append((doc, held, found))
                     size += len(found)
                     if size >= CHUNK or len(texts) >= CHUNK_TEXTS:
@@ -208,22 +214,45 @@ def _deal(buckets: int, salts: dict[int, int], id_type: pa.DataType):
 
 
 class Bucket:
-    """The pairs of one bucket, merged over chunks."""
+    """The pairs of one bucket, merged over chunks.
+
+    words: hashes; word, context, count by pair; place: the pair of each chunk's pairs, in order; parts: by chunk, its
+    number, texts and training texts, then the number of texts of each of its pairs, those texts, and the tokens in each.
+    """
 
-    def __init__(self, blobs: Iterable[bytes]) -> None:
+    FIELDS = ("words", "word", "context", "count", "place", "meta", "texts", "at", "n")
+
+    def __init__(self, *arrays: np.ndarray) -> None:
+        for name, a in zip(self.FIELDS, arrays, strict=True):
+            setattr(self, name, a)
+
+    @classmethod
+    def merged(cls, blobs: Iterable[bytes]) -> Bucket:
         parts = [_unpack(b) for b in blobs]
-        hashes = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-        self.words, word = np.unique(hashes, return_inverse=True)
-        del hashes
-        key = word.astype(np.int64) << 16 | np.concatenate([p[3] for p in parts])
-        pairs, self.place = np.unique(key, return_inverse=True)  # place: the pair of each chunk's pair
-        self.word, self.context = pairs >> 16, pairs & 0xFFFF
-        sums = []
-        for meta, _, _, _, texts, at, n in parts:
-            edge = np.cumsum(texts.astype(np.int64)) - texts
-            sums.append(np.add.reduceat(np.where(at < meta[2], n, 0).astype(np.int64), edge))
-        self.count = np.bincount(self.place, np.concatenate(sums), len(pairs)).astype(np.int64)
-        self.parts = [(p[0], p[4], p[5], p[6]) for p in parts]
+        words, word = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        key = np.repeat(word.astype(np.int64), np.concatenate([p[2] for p in parts])) << 16
+        key |= np.concatenate([p[3] for p in parts])
+        pairs, place = np.unique(key, return_inverse=True)
+        del key
+        sums, meta = [], []
+        for m, _, _, own, texts, at, n in parts:
+            edge = np.cumsum(texts, dtype=np.int64) - texts
+            sums.append(np.add.reduceat(np.where(at < m[2], n, 0).astype(np.int64), edge))
+            meta += [*m.tolist(), len(own), len(at)]
+        count = np.bincount(place, np.concatenate(sums), len(pairs)).astype(np.uint32)
+        joined = [np.concatenate([p[i] for p in parts]) for i in (4, 5, 6)]
+        return cls(words, (pairs >> 16).astype(np.uint32), (pairs & 0xFFFF).astype(np.uint16), count, place.astype(np.uint32), np.array(meta), *joined)
+
+    def dump(self) -> bytes:
+        return _pack(*(getattr(self, name) for name in self.FIELDS))
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each chunk: number, texts; and by text of a pair: pair, text, tokens."""
+        i = j = 0
+        for chunk, n_texts, _, pairs, entries in self.meta.reshape(-1, 5).tolist():
+            pair = np.repeat(self.place[i : i + pairs], self.texts[i : i + pairs])
+            yield chunk, n_texts, pair, self.at[j : j + entries], self.n[j : j + entries]
+            i, j = i + pairs, j + entries
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
@@ -233,13 +262,12 @@ def _gather(frequent: frozenset[int]):
     """One row for each bucket: its blobs, pairs by context, and sums over its pairs and words."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        names = ["bucket", "chunk", "ids", "held", "sizes", "blobs", "pairs", "sums", "frequent"]
-        kinds = pa.int64(), pa.int64(), rows.schema.field("ids").type, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.int64()), pa.binary()
+        names = ["bucket", "chunk", "ids", "held", "sizes", "state", "pairs", "sums", "frequent"]
+        kinds = pa.int64(), pa.int64(), rows.schema.field("ids").type, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()
         if key[0].as_py() < 0:
             first = [rows[c][0].as_py() for c in ("bucket", "chunk", "ids", "held", "sizes")]
             return pa.table([pa.array([v], k) for v, k in zip([*first, None, None, None, None], kinds, strict=True)], names=names)
-        blobs = rows["blob"].to_pylist()
-        b = Bucket(blobs)
+        b = Bucket.merged(rows["blob"].to_pylist())
         seen = b.count > 0
         pairs = np.bincount(b.context[seen], minlength=CONTEXTS)
         counts, types = b.word_counts(), np.bincount(b.word[seen], minlength=len(b.words))
@@ -247,7 +275,7 @@ def _gather(frequent: frozenset[int]):
         once, twice = (int((b.count == k).sum()) for k in (1, 2))
         one, two = (int((types[~often] == k).sum()) for k in (1, 2))
         sums = [int((counts[~often] > 0).sum()), once, twice, one, two, int(counts.sum()), int(seen.sum())]
-        values = [key[0].as_py(), None, None, None, None, blobs, pairs.astype("<u4").tobytes(), sums, _pack(b.words[often], counts[often])]
+        values = [key[0].as_py(), None, None, None, None, b.dump(), pairs.astype("<u4").tobytes(), sums, _pack(b.words[often], counts[often])]
         return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     return run
@@ -331,7 +359,7 @@ class Model:
         d, d0 = self.discounts
         rng = np.random.default_rng([self.seed, bucket])
         seen = np.flatnonzero(b.count > 0)
-        count, word, context = b.count[seen], b.word[seen], b.context[seen]
+        count, word, context = b.count[seen].astype(np.int64), b.word[seen], b.context[seen]
         seating = Seating(count, d, rng)
         local = b.word_counts()
         whole = np.array([self.frequent.get(h, c) for h, c in zip(b.words.tolist(), local.tolist(), strict=True)], float)
@@ -375,7 +403,7 @@ def _seat(model):
         sums, frequent = np.zeros((SAMPLES, 2), np.int64), {}
         for batch in batches:
             for i in range(batch.num_rows):
-                b = Bucket(batch.column(1)[i].as_py())
+                b = Bucket(*_unpack(batch.column(1)[i].as_py()))
                 often = [(k, h) for k, h in enumerate(b.words.tolist()) if h in m.frequent]
                 places = np.array([k for k, _ in often], int)
                 for s, (tables, customers, root) in enumerate(m.seatings(batch.column(0)[i].as_py(), b)):
@@ -405,7 +433,7 @@ def _score(model):
         d = m.discounts[0]
         for batch in batches:
             for i in range(batch.num_rows):
-                b = Bucket(batch.column(1)[i].as_py())
+                b = Bucket(*_unpack(batch.column(1)[i].as_py()))
                 total = np.zeros(len(b.count))
                 for sample, (tables, customers, root) in zip(m.samples, m.seatings(batch.column(0)[i].as_py(), b), strict=True):
                     parent = m.parent(sample, b.words, customers, root)
@@ -414,14 +442,11 @@ def _score(model):
                 score = np.log10(total / len(m.samples))
                 counts = np.array([m.frequent.get(h, c) for h, c in zip(b.words.tolist(), b.word_counts().tolist(), strict=True)], float)
                 base, known = np.log10(counts + 0.5)[b.word], (counts > 0)[b.word]
-                at = 0
-                for (chunk, n_texts, _), texts, text, n in b.parts:
-                    pair = np.repeat(b.place[at : at + len(texts)], texts)
-                    at += len(texts)
-                    if int(chunk) not in chunks:
-                        chunks[int(chunk)] = np.zeros((3, int(n_texts)))
-                    for row, values in zip(chunks[int(chunk)], (score, base, known), strict=True):
-                        row += np.bincount(text, values[pair] * n, int(n_texts))
+                for chunk, n_texts, pair, text, n in b.parts():
+                    if chunk not in chunks:
+                        chunks[chunk] = np.zeros((3, n_texts))
+                    for row, values in zip(chunks[chunk], (score, base, known), strict=True):
+                        row += np.bincount(text, values[pair] * n, n_texts)
         for chunk, (score, base, known) in chunks.items():
             values = [chunk], [score.astype("<f4").tobytes()], [base.astype("<f8").tobytes()], [known.astype("<u4").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if i == 0 else pa.binary()) for i, v in enumerate(values)], names=names)
@@ -480,7 +505,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         [
             *[T.StructField(c, T.LongType()) for c in ("bucket", "chunk")],
             *ids,
-            T.StructField("blobs", T.ArrayType(T.BinaryType())),
+            T.StructField("state", T.BinaryType()),
             T.StructField("pairs", T.BinaryType()),
             T.StructField("sums", T.ArrayType(T.LongType())),
             T.StructField("frequent", T.BinaryType()),
@@ -489,11 +514,9 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     pairs = rows.mapInArrow(_deal(buckets, salts, to_arrow_type(kind)), dealt)
     pairs = stored(pairs.groupBy("bucket").applyInArrow(_gather(frozenset(salts)), state), "hpy-buckets")
 
-    sums, by_context, frequent = np.zeros(7, np.int64), np.zeros(CONTEXTS, np.int64), {}
-    facts = pairs.where("bucket >= 0").select(F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(0).cast("long").alias("key"), F.col(c).alias("value")) for i, c in enumerate(("pairs", "frequent"))])).alias("f"), "sums")
+    by_context, frequent = np.zeros(CONTEXTS, np.int64), {}
     total = pairs.where("bucket >= 0").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(7)]).first()
     sums = np.array([total[i] or 0 for i in range(7)])
-    del facts
     for r in pairs.where("bucket >= 0").select("pairs", "frequent").mapInArrow(_facts, three).groupBy("kind", "key").applyInArrow(_add, three).collect():
         value = np.frombuffer(r["value"], "<i8")
         if r["kind"] == 1:
@@ -503,7 +526,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     vocabulary = int(sums[0]) + sum(c > 0 for c in frequent.values())
     model = Model(n, vocabulary, contexts, by_context, (_discount(int(sums[1]), int(sums[2])), _discount(int(sums[3]), int(sums[4]))), frequent, seed)
 
-    buckets_only = pairs.where("bucket >= 0").select("bucket", "blobs")
+    buckets_only = pairs.where("bucket >= 0").select("bucket", "state")
     first = spark.sparkContext.broadcast(model)
     rng, d0 = np.random.default_rng([seed, 0]), model.discounts[1]
     samples = [{"tables": np.zeros(CONTEXTS), "frequent": {}, "total": 0.0, "root": 0.0} for _ in range(SAMPLES)]
