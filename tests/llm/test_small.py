@@ -166,8 +166,8 @@ def test_mix(docs, empty):
         taken[r["source"]] += r["size"] * r["copies"]
     largest = max(size(r[1]) for r in rows())
     assert all(abs(taken[s] - targets[s]) <= largest / 2 + 1 for s in totals)
-    again = {(r["doc_id"], r["text"], r["source"]): r["copies"] for r in mixing.mix(docs.repartition(3)).collect()}
-    assert sum(again.values()) == sum(r["copies"] for r in found)
+    copies = lambda rows_: Counter((r["doc_id"], r["text"], r["source"], r["copies"]) for r in rows_)
+    assert copies(mixing.mix(docs.repartition(3)).collect()) == copies(found)
     assert mixing.mix(empty).count() == 0
 
 
@@ -356,7 +356,7 @@ def test_secrets(spark, docs, empty, tmp_path):
     spans = lambda r: [(s["kind"], s["start"], s["end"]) for s in r["spans"]]
     ledger = f"file://{tmp_path}/ledger"
     found = {r["doc_id"]: spans(r) for r in secrets.find_secrets(clash(df, "spans", "seen", "rules"), ledger).collect()}
-    assert found[0] == [] and found[1] == [("assign", 0, 22)]
+    assert found[0] == [] and found[1] == [("assign", 0, 21)]
     assert found[2] == [("assign", 13, 44), ("hex", 22, 44)]
     assert found[3] == [("access", 0, 18)] and found[4] == [("access", 2, 36), ("hex", 37, 53)]
     assert found[5] == found[6] == found[7] == [] and found[8] == [("private_key", 0, 31)]
@@ -391,7 +391,7 @@ def test_language_model(docs, empty):
     again = {(r["id"], r["n_tokens"]): r["score"] for r in hpy.score_texts(docs, crc_mod("doc_id", 5) == 1).collect()}
     assert len(again) > 40
     assert hpy.score_texts(empty, crc_mod("doc_id", 5) == 1).count() == 0
-    assert all(r["base_score"] == 0 for r in hpy.score_texts(docs, F.lit(True)).collect())
+    assert all(abs(r["base_score"]) < 1e-9 for r in hpy.score_texts(docs, F.lit(True)).collect())
 
 
 def test_probabilities_sum_to_one(spark):
