@@ -44,6 +44,17 @@ def register_hash(name: str, function: Callable[[Column], Column]) -> None:
     HASHES[name] = function
 
 
+def float_le32(number: Column) -> Column:
+    """The four bytes of a number as little-endian float32, read as an unsigned integer: the hash of a learned code."""
+
+    @F.pandas_udf("long")
+    def run(numbers: pd.Series) -> pd.Series:
+        found = pd.Series(numbers.to_numpy("float32", na_value=np.nan).view("<u4").astype("int64"), dtype="Int64")
+        return found.mask(numbers.isna().reset_index(drop=True))
+
+    return run(number)
+
+
 def digest_floats(digest: Column) -> Column:
     """The first eight bytes of a digest as two little-endian float32."""
 

@@ -47,13 +47,17 @@ def native_signature(hashes: Column, num_perm: int) -> Column:
     return F.transform(perms, lambda p: F.array_min(F.transform(hashes, lambda h: (p["a"] * (h % PRIME) + p["b"]) % PRIME)))
 
 
+def compat_permutations(n: int, seed: int = 1) -> list[tuple[int, int]]:
+    draw = np.random.RandomState(seed)
+    return [(int(draw.randint(1, _MERSENNE, dtype=np.uint64)), int(draw.randint(0, _MERSENNE, dtype=np.uint64))) for _ in range(n)]
+
+
 def compat_signature(hashes: Column, num_perm: int, seed: int = 1) -> Column:
     """The common library family: 64-bit products that wrap, modulo 2^61-1, low 32 bits, permutations from a Mersenne twister."""
 
     @F.pandas_udf("array<long>")
     def run(rows: pd.Series) -> pd.Series:
-        draw = np.random.RandomState(seed)
-        pairs = np.array([(draw.randint(1, _MERSENNE, dtype=np.uint64), draw.randint(0, _MERSENNE, dtype=np.uint64)) for _ in range(num_perm)], np.uint64).T
+        pairs = np.array(compat_permutations(num_perm, seed), np.uint64).T
         low = lambda h: np.bitwise_and((np.asarray(h, np.uint64)[:, None] * pairs[0] + pairs[1]) % np.uint64(_MERSENNE), np.uint64(_MAX)).min(axis=0, initial=_MAX)
         return rows.map(lambda h: low(h).astype(np.int64))
 

@@ -17,10 +17,11 @@ from ..functions.similarity import hamming
 from ..operators import encode as enc
 from ..operators import evaluate as ev
 from ..operators.hamming import BlockIndex, brute_force
-from ..operators.minhash import PRIME, MinHash, MinHashIndex, permutations
+from ..operators.minhash import PRIME, MinHash, MinHashIndex, compat_permutations, permutations
 from ..operators.prefix import PrefixIndex
 from ..session import scratch, stored
 from ..sources import datasets, posts, sinks
+from ..streaming import ingest
 from .tables import bits, table, titles, turns, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,7 +357,14 @@ def whole_string_match(spark, sf_dir):
     return index.members.join(classes, "class").select("id", F.col("class").alias("first"), "n")
 
 
-@query()
+def _compat_sql() -> str:
+    a, b = zip(*compat_permutations(128), strict=True)
+    wrapped = f"(({list(a)}[i]::HUGEINT * h + {list(b)}[i]::HUGEINT) % 18446744073709551616::HUGEINT) % {(1 << 61) - 1}::HUGEINT % 4294967296::HUGEINT"
+    hashes = f"list_transform(list_distinct(tokens), lambda w: {_LE32.format(x='w')}::HUGEINT)"
+    return f"with {_TITLES}, h as (select id, {hashes} as hs from t) select id, array_to_string(list_transform(range(1, 129), lambda i: list_min(list_transform(hs, lambda h: {wrapped}))), ',') as sig from h"
+
+
+@query(_compat_sql())
 def compat_signature(spark, sf_dir):
     signed = MinHash(compat=True).signatures(titles(spark, sf_dir))
     return signed.select("id", F.array_join(F.transform("sig", lambda s: s.cast("string")), ",").alias("sig"))
@@ -548,17 +556,30 @@ def _codes(spark, sf_dir, latent: int = 16):
     return stored(codes.select("id", F.transform("code", lambda v: F.when(v > 0, 1).otherwise(0)).alias("vec")), "codes")
 
 
-@query()
+_PROJECTION = [int(v) for v in enc.projection(512, 16).T.ravel()]
+_BIT = f"list_transform(range(0, 16), lambda k: (list_sum(list_transform(range(1, 513), lambda i: substr(x, i, 1)::INT * {_PROJECTION}[k * 512 + i])) > 0)::INT)"
+_CODES = f"{_MATRIX}, x as (select id, string_agg(array_to_string(row, ''), '' order by r) as x from m group by id), v as (select id, {_BIT} as vec from x)"
+
+
+@query(f"{_CODES} select id, array_to_string(vec, '') as code from v")
 def learned_encode(spark, sf_dir):
     return _codes(spark, sf_dir).select("id", F.array_join(F.transform("vec", lambda v: v.cast("string")), "").alias("code"))
 
 
-@query()
+@query(f"{_CODES}, p as (select q.id as query, v.id, v.vec, q.vec as x, v.vec as y from v q, v where q.id % 20 = 0), s as (select query, id, vec, {_LCP} as length from p) select query, id, length::INT as length, place::INT as place from (select *, row_number() over (partition by query order by length desc, vec, id) as place from s where length >= 1) where place <= 10")
 def learned_prefix_search(spark, sf_dir):
     codes = _codes(spark, sf_dir)
     return PrefixIndex.build(codes, 16).search(codes.where("id % 20 = 0"), 10)
 
 
+@query()
+def learned_hash(spark, sf_dir):
+    """The first coordinate of a code as a 32-bit hash."""
+    projection = enc.projection(512, 1)
+    codes = stored(enc.encode(_matrices(spark, sf_dir), lambda x: x @ projection), "codes")
+    return codes.select("id", F.col("code")[0].alias("first")).select("id", hashing.float_le32(F.col("first")).alias("hash"))
+
+
 @query()
 def autoencoder_codes(spark, sf_dir):
     """A small autoencoder trained on sampled titles, then used for all."""
@@ -602,3 +623,21 @@ def projector_files(spark, sf_dir):
 def mean_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), (F.col("user_id") % 5).cast("int").alias("epoch"), "value")
     return sinks.mean_metrics(rows).select("name", "epoch", F.round("value", 6).alias("value"))
+
+
+@query(f"with {_TITLES} select count(*) as index_size from t")
+def streamed_index_size(spark, sf_dir):
+    """documents as a stream of posts, indexed in micro-batches."""
+    docs = table(spark, sf_dir, "documents")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]")
+    path = scratch(spark, "streamed-index")
+    ingest.index_stream(ingest.title_stream(stream, "doc_id", "text"), f"{path}/signatures", f"{path}/progress").awaitTermination()
+    return ingest.streamed_index(spark, f"{path}/signatures").size()
+
+
+@query("select time_bucket(interval '1 hour', ts)::VARCHAR as hour, event_type as word, count(*) as n from events group by 1, 2")
+def events_by_hour(spark, sf_dir):
+    """The windowed count that a stream keeps, over the whole table."""
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("word"))
+    counted = ingest.word_counts(rows)
+    return counted.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "word", "n")
