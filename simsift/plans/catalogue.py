@@ -193,9 +193,17 @@ def sentence_matrix(spark, sf_dir):
     return _matrices(spark, sf_dir).select("id", _shown("x").alias("x"))
 
 
-def _picked(salt: str, n: int) -> str:
+def _picked(salt: str, n: int, name: str = "picked") -> str:
     key = f"md5('{salt}' || ':' || '1:' || id || ':' || i)"
-    return f"p as (select id, i, row_number() over (partition by id order by {key}, i) as k from t cross join range(0, 16) r(i)), picked as (select * from p where k <= {n})"
+    ranked = f"select id, i, row_number() over (partition by id order by {key}, i) as k from t cross join range(0, 16) r(i)"
+    return f"{name} as (select * from ({ranked}) where k <= {n})"
+
+
+_MOVED = (
+    "moves as (select a.id, a.i as to_row, b.i as from_row from picked a join picked b on a.id = b.id and b.k = a.k % 3 + 1), "
+    "moved as (select m.id, m.r, coalesce(v.from_row + 1, m.r) as src from m left join moves v on v.id = m.id and v.to_row = m.r - 1), "
+    "swapped as (select v.id, v.r, m.row from moved v join m on m.id = v.id and m.r = v.src)"
+)
 
 
 @query(f"{_MATRIX}, {_picked('drop', 3)} select m.id, string_agg(case when q.i is null then array_to_string(row, '') else repeat('0', 32) end, '' order by r) as x from m left join picked q on q.id = m.id and q.i = m.r - 1 group by m.id")
@@ -203,12 +211,12 @@ def noise_drop_words(spark, sf_dir):
     return _matrices(spark, sf_dir).select("id", _shown(ft.drop_rows(F.col("x"), 32, 3, F.concat(F.lit("1:"), F.col("id")))).alias("x"))
 
 
-@query(f"{_MATRIX}, {_picked('swap', 3)}, moves as (select a.id, a.i as to_row, b.i as from_row from picked a join picked b on a.id = b.id and b.k = a.k % 3 + 1), moved as (select m.id, m.r, coalesce(v.from_row + 1, m.r) as src from m left join moves v on v.id = m.id and v.to_row = m.r - 1) select v.id, string_agg(array_to_string(m.row, ''), '' order by v.r) as x from moved v join m on m.id = v.id and m.r = v.src group by v.id")
+@query(f"{_MATRIX}, {_picked('swap', 3)}, {_MOVED} select id, string_agg(array_to_string(row, ''), '' order by r) as x from swapped group by id")
 def noise_swap_words(spark, sf_dir):
     return _matrices(spark, sf_dir).select("id", _shown(ft.swap_rows(F.col("x"), 32, 3, F.concat(F.lit("1:"), F.col("id")))).alias("x"))
 
 
-@query()
+@query(f"{_MATRIX}, {_picked('swap', 3)}, {_MOVED}, {_picked('drop', 3, 'gone')} select s.id, string_agg(case when g.i is null then array_to_string(row, '') else repeat('0', 32) end, '' order by r) as x, string_agg(array_to_string(row, ''), '' order by r) as x_hat from swapped s left join gone g on g.id = s.id and g.i = s.r - 1 group by s.id")
 def title_training_set(spark, sf_dir):
     made = datasets.title_set(titles(spark, sf_dir), 32, lambda w: ft.binarized(ft.histogram(w)), drop=3, swap=3)
     return made.select("id", _shown("x").alias("x"), _shown("x_hat").alias("x_hat"))
@@ -600,7 +608,7 @@ def autoencoder_codes(spark, sf_dir):
     return enc.encode(rows, net.encode).select("id", F.array_join(shown, " ").alias("code"))
 
 
-@query()
+@query(f"with {_TITLES} select id, 256 as cells from t")
 def word_vector_sentences(spark, sf_dir):
     """Word vectors learned from titles, and the sum of each title's matrix."""
     items = titles(spark, sf_dir)
