@@ -275,7 +275,7 @@ def _gather(frequent: frozenset[int]):
         once, twice = (int((b.count == k).sum()) for k in (1, 2))
         one, two = (int((types[~often] == k).sum()) for k in (1, 2))
         sums = [int((counts[~often] > 0).sum()), once, twice, one, two, int(counts.sum()), int(seen.sum())]
-        values = [key[0].as_py(), None, None, None, None, b.dump(), pairs.astype("<u4").tobytes(), sums, _pack(b.words[often], counts[often])]
+        values = [key[0].as_py(), None, None, None, None, b.dump(), _pack(pairs.astype("<u4")), sums, _pack(b.words[often], counts[often])]
         return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     return run
@@ -564,7 +564,7 @@ def _facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_context, frequent = np.zeros(CONTEXTS, np.int64), {}
     for b in batches:
         for pairs, often in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            by_context += np.frombuffer(pairs, "<u4")
+            by_context += _unpack(pairs)[0]
             for h, c in zip(*(x.tolist() for x in _unpack(often)), strict=True):
                 frequent[h] = frequent.get(h, 0) + c
     kind, key, value = [], [], []
