@@ -246,7 +246,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     named = nodes.join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").join(counts, F.col("node") == F.col("a"), "left")
     named = named.select(F.col("vector").alias("of"), "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "node").alias("label"))
     named = stored(named, "pca-named")
-    names = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    names = stored(named.groupBy("label").agg(F.min("least").alias("component_id")), "pca-names")
     classes = stored(named.join(names, "label").select("of", "n_links", "component_id"), "pca-classes")
     linked = rows.where("fit").join(classes, F.col("vector") == F.col("of"))
     alone = rows.where("not fit").select("row", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -289,7 +289,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id() if further else F.col("fp")), "simhash-nodes")
     labels = components(near_links(nodes, bits, further, verify), "simhash-links").withColumnRenamed("node", "linked")
     named = nodes.join(labels, F.col("node") == F.col("linked"), "left").select(*own, "least", F.coalesce("label", "node").alias("label"))
-    best = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = stored(named, "simhash-named")  # read back, as is the next: a join of plain exchanges can split a large component
+    best = stored(named.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-names")
     classes = named.join(best, "label").select(*own, "component_id")
     return rows.join(classes, own).select("id", "fp", "component_id")
 
