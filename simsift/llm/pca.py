@@ -256,3 +256,19 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def pca_query(spark, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "n_links", "component_id", "kept")
+
+
+PCA_SQL = """
+with recursive v as (
+    select vec_id, embedding::DOUBLE[] as e from embeddings
+    where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+n as (select a, count(*) as n from l group by a),
+m as (select a, min(b) as least from r group by a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(least(least, vec_id), vec_id) as component_id,
+       coalesce(least(least, vec_id), vec_id) = vec_id as kept
+from embeddings left join n on n.a = vec_id left join m on m.a = vec_id
+"""

@@ -7,8 +7,8 @@ from .exact import EXACT_SQL, exact_query
 from .hpy import hpy_query
 from .licenses import license_query
 from .mixing import mix_query
-from .pca import pca_query
-from .secrets import secrets_query
+from .pca import PCA_SQL, pca_query
+from .secrets import SECRETS_SQL, secrets_query
 from .simhash import simhash_query
 from .tokens import tokens_query
 from .toxicity import toxicity_query
@@ -28,4 +28,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_radix_exact": EXACT_SQL,
+    "op3_pca_tiles": PCA_SQL,
+    "op10_secret_ledger": SECRETS_SQL,
 }

@@ -158,3 +158,29 @@ def secrets_query(spark, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
     return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """All spans by splitting at the matches, as in the operator, in another engine."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    lengths = lambda parts, n: f"coalesce(list_sum(list_transform({parts}[1:{n}], lambda x: length(x))), 0)"
+    lists = []
+    for k, rule in enumerate(RULES):
+        p = quoted(rule.pattern)
+        start = f"({lengths('g', 'i')} + {lengths('m', 'i - 1')})::BIGINT"
+        span = f"struct_pack(a := {start}, k := {k}, b := ({start} + length(m[i]))::BIGINT, n := length(v[i]))"
+        found = f"list_transform(range(1, len(m) + 1), lambda i: {span})"
+        source = f"(select regexp_extract_all(t, {p}) as m, regexp_extract_all(t, {p}, {rule.group}) as v, regexp_split_to_array(t, {p}) as g)"
+        lists.append(f"(select list_filter({found}, lambda s: s.n >= {rule.least}) from {source})")
+    kinds = ", ".join(quoted(r.kind) for r in RULES)
+    shown = "list_transform({s}, lambda s: [" + kinds + "][s.k + 1] || ':' || s.a || ':' || s.b)"
+    base = "list_filter(spans, lambda s: s.k < 3)"
+    count = lambda k, name: f"len(list_filter(spans, lambda s: s.k = {k})) as n_{name}"
+    return (
+        f"with d as (select doc_id, coalesce(text, '') as t from documents), f as (select doc_id, list_sort(flatten([{', '.join(lists)}])) as spans from d) "
+        f"select doc_id, {count(0, 'assign')}, {count(1, 'access')}, {count(2, 'hex')}, sha256(array_to_string({shown.format(s=base)}, ',')) as base_sha256, "
+        f"array_to_string({shown.format(s='spans')}, ',') as spans from f"
+    )
+
+
+SECRETS_SQL = _sql()
