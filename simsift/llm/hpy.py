@@ -52,7 +52,8 @@ ONE_BY_ONE = 64
 #: Words that a worker remembers.
 REMEMBERED = 200_000
 _END, _START = b" end", b" start"  # no word has a space
-_BLOCK = 4096
+#: Contexts whose totals travel together, and groups of tasks that are added up first.
+_BLOCK, _FANIN = 1024, 32
 
 
 def _hash(word: bytes) -> int:
@@ -131,17 +132,35 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fold()
                 words, counts = _Words(), np.zeros(0, np.int64)
     fold()
-    kind, key, value = [0], [0], [np.array([tokens, trained], "<i8").tobytes()]
-    for i in range(0, CONTEXTS, _BLOCK):
-        kind.append(1), key.append(i), value.append(contexts[i : i + _BLOCK].astype("<i8").tobytes())
-    for h, n in frequent.items():
-        kind.append(2), key.append(h - (1 << 63)), value.append(np.array([n], "<i8").tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(value, pa.binary())], names=["kind", "key", "value"])
+    yield _totals([tokens, trained], contexts[None], frequent)
+
+
+def _totals(sums, by_context: np.ndarray, frequent: dict) -> pa.RecordBatch:
+    """Rows of a task: kind 0, sums; 1, totals by context in blocks, a row of by_context after the other; 2, numbers of
+    frequent words, with the first also as n."""
+    rows = [(0, 0, 0, np.array(sums))]
+    for s, row in enumerate(by_context):
+        rows += [(1, s * CONTEXTS + i, 0, row[i : i + _BLOCK]) for i in range(0, CONTEXTS, _BLOCK)]
+    rows += [(2, h - (1 << 63), int(np.atleast_1d(n)[0]), np.atleast_1d(n)) for h, n in frequent.items()]
+    kind, key, n, value = zip(*rows, strict=True)
+    arrays = pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array([v.astype("<i8").tobytes() for v in value], pa.binary())
+    return pa.RecordBatch.from_arrays(list(arrays), names=["kind", "key", "n", "value"])
+
+
+_TOTALS = "kind int, key long, n long, value binary"
 
 
 def _add(rows: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(v, "<i8") for v in rows["value"].to_pylist())
-    return pa.table({"kind": rows["kind"][:1], "key": rows["key"][:1], "value": pa.array([total.tobytes()], pa.binary())})
+    n = sum(rows["n"].to_pylist())
+    return pa.table({"kind": rows["kind"][:1], "key": rows["key"][:1], "n": pa.array([n], pa.int64()), "value": pa.array([total.tobytes()], pa.binary())})
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    """Totals over all tasks, in two steps, so that no task adds up what every other has sent."""
+    some = rows.withColumn("tasks", F.pmod(F.spark_partition_id(), F.lit(_FANIN))).groupBy("kind", "key", "tasks")
+    first = some.applyInArrow(_add, _TOTALS)
+    return first.groupBy("kind", "key").applyInArrow(_add, _TOTALS)
 
 
 # -- 2: pairs by bucket --------------------------------------------------------------------------
@@ -411,13 +430,7 @@ def _seat(model):
                     sums[s] += int(customers.sum()), int(root.sum() - root[places].sum())
                     for k, h in often:
                         frequent.setdefault(h, np.zeros(SAMPLES, np.int64))[s] += int(customers[k])
-        kind, key, value = [0], [0], [sums.astype("<i8").tobytes()]
-        for s in range(SAMPLES):
-            for i in range(0, CONTEXTS, _BLOCK):
-                kind.append(1), key.append(s * CONTEXTS + i), value.append(by_context[s, i : i + _BLOCK].astype("<i8").tobytes())
-        for h, n in frequent.items():
-            kind.append(2), key.append(h - (1 << 63)), value.append(n.astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(value, pa.binary())], names=["kind", "key", "value"])
+        yield _totals(sums.ravel(), by_context, frequent)
 
     return run
 
@@ -481,20 +494,17 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    three = "kind int, key long, value binary"
-    survey = rows.select("text", "held").mapInArrow(_survey, three).groupBy("kind", "key").applyInArrow(_add, three)
-    tokens, n, contexts, often = 0, 0, np.zeros(CONTEXTS), {}
-    # what comes back has a fixed size: totals by context, and words with 1/20000 of a task's tokens
-    for r in survey.collect():
+    survey = stored(_added(rows.select("text", "held").mapInArrow(_survey, _TOTALS)), "hpy-survey")
+    tokens, n, contexts = 0, 0, np.zeros(CONTEXTS)
+    for r in survey.where("kind < 2").collect():  # of a fixed size
         value = np.frombuffer(r["value"], "<i8")
         if r["kind"] == 0:
             tokens, n = int(value[0]), int(value[1])
-        elif r["kind"] == 1:
-            contexts[r["key"] : r["key"] + _BLOCK] = value
         else:
-            often[r["key"] + (1 << 63)] = int(value[0])
+            contexts[r["key"] : r["key"] + _BLOCK] = value
     buckets = max(partitions(spark), tokens // BUCKET + 1)
-    salts = {h: min(CONTEXTS, 4 * buckets * c // tokens + 1) for h, c in often.items() if 4 * buckets * c >= tokens}
+    often = survey.where((F.col("kind") == 2) & (F.col("n") * 4 * buckets >= tokens)).collect()  # 4 * buckets words at most
+    salts = {r["key"] + (1 << 63): min(CONTEXTS, 4 * buckets * r["n"] // tokens + 1) for r in often}
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -517,11 +527,11 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     by_context, frequent = np.zeros(CONTEXTS, np.int64), {}
     total = pairs.where("bucket >= 0").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(7)]).first()
     sums = np.array([total[i] or 0 for i in range(7)])
-    for r in pairs.where("bucket >= 0").select("pairs", "frequent").mapInArrow(_facts, three).groupBy("kind", "key").applyInArrow(_add, three).collect():
+    for r in pairs.where("bucket >= 0").select("pairs", "frequent").mapInArrow(_facts, _TOTALS).transform(_added).collect():
         value = np.frombuffer(r["value"], "<i8")
         if r["kind"] == 1:
             by_context[r["key"] : r["key"] + _BLOCK] = value
-        else:
+        elif r["kind"] == 2:
             frequent[r["key"] + (1 << 63)] = int(value[0])
     vocabulary = int(sums[0]) + sum(c > 0 for c in frequent.values())
     model = Model(n, vocabulary, contexts, by_context, (_discount(int(sums[1]), int(sums[2])), _discount(int(sums[3]), int(sums[4]))), frequent, seed)
@@ -530,7 +540,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     first = spark.sparkContext.broadcast(model)
     rng, d0 = np.random.default_rng([seed, 0]), model.discounts[1]
     samples = [{"tables": np.zeros(CONTEXTS), "frequent": {}, "total": 0.0, "root": 0.0} for _ in range(SAMPLES)]
-    for r in sorted(buckets_only.mapInArrow(_seat(first), three).groupBy("kind", "key").applyInArrow(_add, three).collect(), key=lambda r: (r["kind"], r["key"])):
+    for r in sorted(_added(buckets_only.mapInArrow(_seat(first), _TOTALS)).collect(), key=lambda r: (r["kind"], r["key"])):
         value = np.frombuffer(r["value"], "<i8")
         if r["kind"] == 0:
             for s, (customers, tables) in zip(samples, value.reshape(-1, 2).tolist(), strict=True):
@@ -567,12 +577,7 @@ def _facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_context += _unpack(pairs)[0]
             for h, c in zip(*(x.tolist() for x in _unpack(often)), strict=True):
                 frequent[h] = frequent.get(h, 0) + c
-    kind, key, value = [], [], []
-    for i in range(0, CONTEXTS, _BLOCK):
-        kind.append(1), key.append(i), value.append(by_context[i : i + _BLOCK].astype("<i8").tobytes())
-    for h, n in frequent.items():
-        kind.append(2), key.append(h - (1 << 63)), value.append(np.array([n], "<i8").tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(value, pa.binary())], names=["kind", "key", "value"])
+    yield _totals([0], by_context[None], frequent)
 
 
 def hpy_query(spark, sf_dir: str) -> DataFrame:
