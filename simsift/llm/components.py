@@ -55,9 +55,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             break
         state = now
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # minima are read back, so that the joins are of plain exchanges, which Spark can split at a hot node
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large, name)
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         edges = stored(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), name)
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
