@@ -14,23 +14,29 @@ FIRST, LAST = 97, 128
 UNKNOWN = 0.0001
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def histogram(word: Column) -> Column:
     """32 counts of a word's characters from 'a' on, as doubles."""
-    letters = F.split(word, "")
-    return F.transform(F.sequence(F.lit(FIRST), F.lit(LAST)), lambda k: F.size(F.filter(letters, lambda c: (c != "") & (F.ascii(c) == k))).cast("double"))
+    codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), F.ascii)
+    return bind(codes, lambda cs: F.transform(F.sequence(F.lit(FIRST), F.lit(LAST)), lambda k: F.size(F.filter(cs, lambda c: c == k)).cast("double")))
 
 
 def binarized(counts: Column) -> Column:
     """Counts over their maximum, rounded half to even; zeros stay."""
-    top = F.array_max(counts)
-    return F.when(top == 0, counts).otherwise(F.transform(counts, lambda c: F.bround(c / top, 0)))
+    scaled = lambda cs, top: F.when(top == 0, cs).otherwise(F.transform(cs, lambda c: F.bround(c / top, 0)))
+    return bind(counts, lambda cs: bind(F.array_max(cs), lambda top: scaled(cs, top)))
 
 
 def matrix(words: Column, width: int, rows: int, feature: Callable[[Column], Column]) -> Column:
     """Features of the first `rows` words, one after the other, padded by zeros."""
     pad = F.array_repeat(F.lit(0.0), width)
     cells = lambda word: F.when(word.isNull(), pad).otherwise(feature(word))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: cells(F.get(words, i))))
+    places = F.sequence(F.lit(0), F.lit(rows - 1))
+    return bind(words, lambda ws: F.flatten(F.transform(places, lambda i: bind(F.get(ws, i), cells))))
 
 
 def positions(n: int, seed: Column, salt: str) -> Column:
