@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from simsift.llm.bpe import digests
 from simsift.llm.common import stored, table
 from simsift.llm.exact import drop_exact
+from simsift.llm.jaccard import drop_similar
 from simsift.llm.mixing import mix
-from simsift.llm.simhash import drop_near
 from simsift.llm.toxicity import score_toxicity, train
 
-#: Words of a shingle, and bits that may differ, in the near-duplicate stage.
-WORDS, BITS, VERIFY = 5, 9, 22
+#: Words of a shingle in the near-duplicate stage.
+WORDS = 5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +32,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by shingles of five words at a similarity of 0.8.
-
-    Two fingerprints of that similarity differ in 9 of 64 bits on average, and in 19 of 128 further bits, which
-    leave chance no room; 22 are let pass, as bits are a sample.
+    """One document of each group of near-duplicates: those that a chain of pairs connects whose sets of shingles of
+    five words have a Jaccard similarity of 0.8 at least. The shingles themselves decide, no fingerprints.
     """
-    return drop_near(docs, words=WORDS, bits=BITS, further=2, verify=VERIFY)
+    return drop_similar(docs, words=WORDS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

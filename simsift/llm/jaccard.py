@@ -1,0 +1,213 @@
+"""Near-duplicates by the Jaccard similarity of shingle sets: all pairs at 0.8 or more, and no others, are linked.
+
+A fingerprint threshold wide enough for nearly all pairs at 0.8 (16 of 64 bits) leaves keys so short that its work
+is quadratic. A prefix filter loses nothing: with shingles in any fixed order, two sets of that similarity share one
+of their first n - ceil(0.8 n) + 1. Frequent shingles come last in the order; they are estimated on a share of the
+rows, and no result depends on them.
+
+Plan: rows are dealt by nothing but the keys of their prefixes; equal sets are one node. A key's nodes whose sizes
+and positions allow the similarity are candidates. First, small keys compare all and larger ones a few neighbours by
+size; then larger keys compare just the pairs that verified links have not connected, so that a large group of near
+copies costs no pair for each two. Candidates are verified on their whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import partitions, stored
+from .components import components
+from .simhash import KEYS_PER_TASK, shingle_hashes
+
+#: Share of the rows whose shingles are counted is 1 / SAMPLE; those that SEEN of them have come last in the order.
+SAMPLE, SEEN = 16, 3
+#: Frequent shingles that are ordered, the most frequent first: a bound on memory; others are taken as rare.
+FREQUENT = 1 << 20
+#: Nodes of a key that are compared all with all at once, and up to which they are looked through for partners.
+SMALL, LOOK = 8, 4096
+#: Distances, in order of size, of the nodes of a larger key that are compared first.
+STEPS = (1, 2, 4, 8)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def similar(common: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """If sets of `total` shingles in all that share `common` have a Jaccard similarity of 0.8 at least; in whole numbers."""
+    return 9 * common >= 4 * total
+
+
+def _shingles(words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), words).view(np.int64))], names=["h"])
+
+    return run
+
+
+def frequent(rows: DataFrame, words: int) -> np.ndarray:
+    """Hashes of frequent shingles, the rarest of them first."""
+    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_shingles(words), "h long")
+    counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN)
+    found = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    return found.column("h").to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
+def prefix(h: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order; known is sorted, rank its places."""
+    n = len(h)
+    if not n:
+        return h
+    late = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        late = np.where(known[at] == h, rank[at] + 1, 0)
+    return h[np.argsort(late, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
+
+
+def _marks(words: int, last: np.ndarray):
+    order = np.argsort(last)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = last[order]
+        for b in batches:
+            sets = (shingle_set(t.as_py(), words) for t in b.column(1))
+            found = [(xxhash.xxh64_intdigest(h.tobytes()), len(h), prefix(h, known, order)) for h in sets]
+            node = pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64))
+            lead = pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array([f[1] for f in found], pa.int32()), lead], names=["row", "node", "n", "lead"])
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def possible(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """If two nodes can be similar whose first common shingle is at these positions. Similar ones pass at that key."""
+    na, nb = n[a], n[b]
+    return similar(1 + np.minimum(na - pos[a] - 1, nb - pos[b] - 1), na + nb)
+
+
+def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns (key, node, n, pos, ...) of a task by key, size and node, and where keys begin."""
+    got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if got:
+        columns = [np.concatenate([g[i] for g in got]) for i in range(len(got[0]))]
+        got.clear()
+        order = np.lexsort((columns[1], columns[2], columns[0]))
+        columns = [c[order].astype(np.int64) for c in columns]
+        yield columns, np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1], [True])))
+
+
+def _blocks(start: int, stop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places, some at a time."""
+    every = np.arange(start, stop)
+    rows = max(1, (1 << 20) // len(every))
+    for i in range(0, len(every), rows):
+        a, b = np.broadcast_arrays(every[i : i + rows, None], every[None, i:])
+        ahead = a < b
+        yield a[ahead], b[ahead]
+
+
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a possible partner at their key."""
+    for (key, node, n, pos), bounds in _keyed(batches):
+        kept = np.zeros(len(key), bool)
+        for s, e in zip(bounds[:-1][np.diff(bounds) > 1].tolist(), bounds[1:][np.diff(bounds) > 1].tolist(), strict=True):
+            if e - s > LOOK:
+                kept[s:e] = True
+                continue
+            for a, b in _blocks(s, e):
+                ok = possible(n, pos, a, b)
+                kept[a[ok]] = kept[b[ok]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (key, node, n, pos)], names=["key", "node", "n", "pos"])
+
+
+def _told(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack((np.minimum(node[a], node[b]), np.maximum(node[a], node[b]))), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def _first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (key, node, n, pos), bounds in _keyed(batches):
+        length = np.diff(bounds)
+        large = np.repeat(length > SMALL, length)
+        rest = np.repeat(bounds[1:], length) - np.arange(len(key))
+        for d in range(1, max(SMALL, max(STEPS) + 1)):
+            a = np.flatnonzero((rest > d) & (~large if d not in STEPS else (large | (d < SMALL))))
+            a = a[possible(n, pos, a, a + d)]
+            yield _told(node, a, a + d)
+
+
+def _second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (_, node, n, pos, label), bounds in _keyed(batches):
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if e - s > SMALL and (label[s:e] != label[s]).any():
+                for a, b in _blocks(s, e):
+                    ok = label[a] != label[b]
+                    a, b = a[ok], b[ok]
+                    ok = possible(n, pos, a, b)
+                    yield _told(node, a[ok], b[ok])
+
+
+def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(2), b.column(3), strict=True):
+            u, v = (np.frombuffer(c.as_buffer(), np.uint64) for c in (x, y))
+            keep.append(bool(similar(len(np.intersect1d(u, v, assume_unique=True)), len(u) + len(v))))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    pairs = stored(pairs.distinct(), f"{name}-pairs")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    return stored(both.mapInArrow(_verified, "a long, b long"), f"{name}-links")
+
+
+def similar_labels(rows: DataFrame, words: int) -> DataFrame:
+    """(row, label) of rows (row, text), row being distinct: equal labels for just those that a chain of links connects.
+
+    A null text counts as empty; texts without words are equal sets. An empty table gives an empty result.
+    """
+    spark = rows.sparkSession
+    marks = stored(rows.mapInArrow(_marks(words, frequent(rows, words)), "row long, node long, n int, lead array<long>"), "shingle-marks")
+    probes = marks.dropDuplicates(["node"]).select("node", "n", F.posexplode("lead").alias("pos", "key")).select("key", "node", "n", "pos")
+    total = marks.agg(F.sum(F.size("lead"))).first()[0] or 0
+    parts = max(partitions(spark), total // KEYS_PER_TASK + 1)
+    keyed = "key long, node long, n long, pos long"
+    shared = stored(probes.repartition(parts, "key").mapInArrow(_shared, keyed), "shingle-shared")
+    members = shared.select("node").distinct().join(marks.groupBy("node").agg(F.min("row").alias("row")), "node")
+    sets = stored(rows.join(members, "row").select("node", "text").mapInArrow(_sets(words), "node long, shingles binary"), "shingle-sets")
+    links = _links(shared.repartition(parts, "key").mapInArrow(_first, "a long, b long"), sets, "shingle-first")
+    labels = components(links, "shingle-components")
+    apart = shared.join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+    more = _links(apart.repartition(parts, "key").mapInArrow(_second, "a long, b long"), sets, "shingle-second")
+    labels = components(links.union(more), "shingle-components").withColumnRenamed("node", "linked")
+    return marks.join(labels, F.col("node") == F.col("linked"), "left").select("row", F.coalesce("label", "node").alias("label"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest id, nulls last; of equal ids, any one of them."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    labels = similar_labels(rows.select(F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text")), words)
+    named = rows.select(F.col("_row").alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("name"))
+    named = stored(named.join(labels, "row"), "near-named")
+    best = stored(named.groupBy("label").agg(F.min("name")["row"].alias("best")), "near-best")
+    gone = named.join(best, "label").where("row <> best").select(F.col("row").alias("_gone"))
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)

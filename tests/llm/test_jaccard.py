@@ -1,0 +1,71 @@
+"""Near-duplicates by shingle sets against a comparison of all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+
+from simsift.llm import jaccard
+from simsift.llm.components import Forest
+
+
+def shingles(text, words=5):
+    t = (text or "").encode().lower().split()
+    return {tuple(t[i : i + words]) for i in range(max(1, len(t) - words + 1))} if t else set()
+
+
+def near(a, b):
+    a, b = shingles(a), shingles(b)
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def texts():
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    out = [None, "", " \t", "A b c", "a  B c", "a b", "a b c d e", "a b c d e f"]
+    shared = [word() for _ in range(30)]  # a passage that many have
+    for _ in range(30):
+        base = [*shared, *(word() for _ in range(rng.randint(10, 150)))]
+        out.append(" ".join(base))
+        for share in (0.005, 0.01, 0.02, 0.03):  # around a similarity of 0.8
+            out.append(" ".join(word() if rng.random() < share else w for w in base))
+    base = [word() for _ in range(100)]
+    return out + [" ".join(word() if rng.random() < 0.01 else w for w in base) for _ in range(80)]
+
+
+@pytest.mark.parametrize("seen", [3, 10**9])  # with and without frequent shingles
+def test_all_pairs_and_no_others(spark, monkeypatch, seen):
+    monkeypatch.setattr(jaccard, "SEEN", seen)
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    found = texts()
+    forest = Forest(len(found))
+    for i, a in enumerate(found):
+        linked = [j for j in range(i) if near(a, found[j])]
+        forest.join(np.full(len(linked), i), np.array(linked, int))
+    expected = sorted(set(forest.root(np.arange(len(found))).tolist()))
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in jaccard.drop_similar(docs).collect()) == expected
+
+
+def test_pipeline_stage_at_the_threshold(spark):
+    """Pairs just above 0.8 are found, and those just below are kept: neither was so by fingerprints."""
+    import corpus_pipeline
+
+    rows, expected = [], 0
+    for k in range(60):
+        base = [f"k{k}w{i}" for i in range(400)]
+        changed = 11 * 5 if k % 2 else 10 * 4  # 40 or 55 words at the end: shingles in common 356 of 436, 341 of 451
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[: 400 - changed], *(f"k{k}x{i}" for i in range(changed))]))]
+        expected += 1 + (not near(rows[-1][1], rows[-2][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert expected == 90
+    assert corpus_pipeline.near(spark, docs, "").count() == expected
+
+
+def test_rows_without_own_ids(spark):
+    rows = [(1, "a b"), (1, "A b"), (1, "other text"), (None, "x y"), (None, "X y"), (0, "Other text")]
+    kept = jaccard.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or -1), r["text"].lower()) for r in kept if r["doc_id"] != 0) == [(-1, "x y"), (1, "a b")]
+    assert [r["text"] for r in kept if r["doc_id"] == 0] == ["Other text"]
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert jaccard.drop_similar(empty).count() == 0
