@@ -276,6 +276,18 @@ def _numbers(spark: SparkSession, path: str) -> list:
         return []
 
 
+def noisy(x: np.ndarray, words: int, drop: int, swap: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(x, target) of flat matrices of so many words: in each, `drop` random words of x are zeroed, and then `swap`
+    random words are permuted, alike in x and target."""
+    shape = (len(x), words, -1)
+    x, target, rows = x.reshape(shape).copy(), x.reshape(shape).copy(), np.arange(len(x))[:, None]
+    x[rows, rng.random((len(x), words)).argsort(axis=1)[:, :drop]] = 0
+    at = rng.random((len(x), words)).argsort(axis=1)[:, :swap]
+    to = rng.permuted(at, axis=1)
+    x[rows, to], target[rows, to] = x[rows, at], target[rows, at]
+    return x.reshape(len(x), -1), target.reshape(len(x), -1)
+
+
 def projection(width: int, latent: int, seed: int = 0) -> np.ndarray:
     """A random projection with entries -1, 0 and 1, the same for a seed."""
     return np.random.default_rng(seed).integers(-1, 2, (width, latent)).astype(float)

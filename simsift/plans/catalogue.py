@@ -590,18 +590,19 @@ def learned_hash(spark, sf_dir):
 
 @query()
 def autoencoder_codes(spark, sf_dir):
-    """A small autoencoder trained on sampled titles, then used for all."""
+    """A small autoencoder trained on enc.SAMPLE titles at most, with random words dropped and swapped, then used for all."""
+    import numpy as np
+
     net = enc.Autoencoder("fcn", 32, latent=2, last="sigmoid")
     rows = stored(_matrices(spark, sf_dir), "matrices")
-    sample = rows.orderBy(F.xxhash64("id")).limit(256).toPandas()["x"].tolist()
+    chosen = rows.select("id").orderBy(F.xxhash64("id")).limit(enc.SAMPLE)  # ids first: every task sends as many rows as the limit
+    sample = rows.join(chosen, "id", "left_semi").select("id", F.col("x").cast("array<float>").alias("x")).toArrow()
+    order = np.argsort(sample.column("id").to_numpy(), kind="stable")
+    sample = sample.column("x").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+    rng = np.random.default_rng(0)
 
     def data(drop: int, swap: int):
-        import numpy as np
-
-        x = np.array(sample, float)
-        noisy = x.reshape(len(x), 16, 32).copy()
-        noisy[:, :drop] = 0
-        return noisy.reshape(len(x), -1), x
+        return enc.noisy(sample, 16, drop, swap, rng)
 
     net.fit(data, epochs=2, batch=32, rate=1e-3)
     shown = F.transform("code", lambda v: F.round(v.cast("double"), 6).cast("string"))
