@@ -9,12 +9,23 @@ is chosen by the same estimate, so keys get wider as the corpus grows and the wo
 Plan: fingerprints are computed in the map tasks; equal ones become one node by a partial aggregate, so
 a group of copies costs one row. Nodes probe by keys (their bits in a part, and neighbours of those); a
 key's nodes are compared in one task, which returns a spanning forest of the links it verified and not
-the pairs. A bucket beyond BUCKET nodes is cut again by the same principle on the other positions.
+the pairs. A key with more than HOT nodes is dealt to several tasks by the same principle on positions
+all over the fingerprint, and a bucket beyond BUCKET nodes is cut once more in memory.
+
+Near-duplicates by Jaccard similarity (`drop_near`) use the same probes: two sets of similarity s differ
+in a share acos(2s / (1 + s)) / pi of the positions, and `reach` chooses how many fingerprints are probed
+within how many bits, so that a pair at the threshold is found with probability RECALL at the least
+estimated cost. With more documents it takes more fingerprints and narrower keys; a fixed radius would
+compare a fixed share of all pairs. Candidates are verified on their whole shingle sets, so no pair
+below the threshold links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +44,14 @@ BUCKET = 2048
 KEY_COST = 20.0
 #: Key rows a task reads.
 KEYS_PER_TASK = 2_000_000
+#: Nodes of a key from which on it is dealt to several tasks; keys are counted on one node in COUNTED.
+HOT, COUNTED = 50_000, 8
+#: Hot keys that are broadcast at most; more are joined like any table.
+HOT_KEYS = 10_000
+#: Words and Jaccard similarity of near-duplicates, and the share of pairs at just that similarity that probes should find.
+NEAR_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
+#: Cost of a further fingerprint of a document against that of a compared pair.
+FINGERPRINT_COST = 30_000.0
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -75,15 +94,11 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _fingerprints(words: int, further: int):
+def _fingerprints(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.zeros((b.num_rows, 1 + further), np.uint64)
-            for i, text in enumerate(b.column(1).to_pylist()):
-                h = shingle_hashes(text, words)
-                found[i] = [majority(h), *(majority(mixed(h, k)) for k in range(1, further + 1))]
-            columns = [pa.array(np.ascontiguousarray(c)) for c in found.view(np.int64).T]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", *names(further)])
+            found = np.array([fingerprint(text, words) for text in b.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
     return run
 
@@ -92,12 +107,10 @@ def names(further: int) -> list[str]:
     return ["fp", *(f"fp{k}" for k in range(1, further + 1))]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, further: int = 0) -> DataFrame:
-    """(id, fp, fp1, ...) of every row: 64 bits as a long, and 64 for each of `further` other hashes of the shingles."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)])
-    for c in names(further):
-        schema = schema.add(c, T.LongType())
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(words, further), schema)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(id, fp) of every row: 64 bits as a long."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(words), schema)
 
 
 def _together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,17 +164,18 @@ def within(ones: np.ndarray, part: list[int]) -> np.ndarray:
     return np.cumsum(p)[:3]
 
 
-def allocate(n: int, ones: np.ndarray, correlation: np.ndarray, bits: int = BITS) -> list[tuple[list[int], int]]:
-    """Parts with their thresholds, -1 for a part that goes unused. Sum of threshold + 1 is bits + 1.
+def allocate(n: int, ones: np.ndarray, correlation: np.ndarray | None, bits: int = BITS) -> tuple[list[tuple[list[int], int]], float]:
+    """Parts with their thresholds, -1 for a part that goes unused, and the cost. Sum of threshold + 1 is bits + 1.
 
     For each number of parts, a dynamic program over the parts spends bits + 1 units, three on a part at
     most, at the least cost: keys to shuffle and pairs to compare, estimated from all fingerprints.
+    Without correlations, positions are taken in turn.
     """
     best, plan = np.inf, []
     for m in range(2, bits + 2):
         if 3 * m < bits + 1:
             continue
-        parts = group_bits(correlation, m)
+        parts = [list(range(k, 64, m)) for k in range(m)] if correlation is None else group_bits(correlation, m)
         least = {0: (0.0, [])}
         for part in parts:
             p, w = within(ones, part), len(part)
@@ -176,7 +190,7 @@ def allocate(n: int, ones: np.ndarray, correlation: np.ndarray, bits: int = BITS
         c, chosen = least[bits + 1]
         if c < best:
             best, plan = c, list(zip(parts, chosen, strict=True))
-    return plan
+    return plan, best
 
 
 def _signed(x: int) -> int:
@@ -201,17 +215,34 @@ def keys(fp: Column, plan: list[tuple[list[int], int]]) -> Column:
     return F.concat(*out)
 
 
+def _hot(probes: DataFrame, bits: int) -> DataFrame:
+    """probes (key, node, fp, ...) with the rows of hot keys under bits + 1 narrower keys each: the key and the bits at
+    every (bits + 1)th position. Two within `bits` agree on one of these cuts, so none is lost."""
+    some = probes.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0)
+    hot = stored(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * COUNTED > HOT).select(F.col("key").alias("hot")), "simhash-hot")
+    n = hot.count()
+    if not n:
+        return probes
+    both = probes.join(F.broadcast(hot) if n <= HOT_KEYS else hot, F.col("key") == F.col("hot"), "left")
+    cuts = [F.xxhash64("key", F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in range(k, 64, bits + 1)))))) for k in range(bits + 1)]
+    narrow = F.when(F.col("hot").isNull(), F.array("key")).otherwise(F.array(*cuts))
+    others = [c for c in probes.columns if c != "key"]
+    return both.select(F.explode(narrow).alias("key"), *others)
+
+
 class _Nodes:
-    """Distinct nodes of a task, their fingerprints and further bits."""
+    """Distinct nodes of a task and their fingerprints."""
 
-    def __init__(self, fp: np.ndarray, further: list[np.ndarray], bits: int, verify: int) -> None:
-        self.fp, self.further, self.bits, self.verify, self.forest = fp.view(np.uint64), [f.view(np.uint64) for f in further], bits, verify, Forest(len(fp))
+    def __init__(self, fp: np.ndarray, bits: int) -> None:
+        self.fp, self.bits, self.forest = fp.view(np.uint64), bits, Forest(len(fp))
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        found = np.bitwise_count(self.fp[a] ^ self.fp[b]) <= self.bits
-        if self.further and found.any():
-            found = found & (sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int16) for f in self.further) <= self.verify)
-        return found
+        return np.bitwise_count(self.fp[a] ^ self.fp[b]) <= self.bits
+
+    def short(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join those of the pairs (a, b) that are near."""
+        near = self.near(a, b) & (a != b)
+        self.forest.join(a[near], b[near])
 
     def compare(self, at: np.ndarray, free: np.ndarray) -> None:
         """Join all of `at` that are near. A large bucket is cut again by the positions in free, where that leaves less to compare."""
@@ -229,13 +260,68 @@ class _Nodes:
                         if len(part) > 1:
                             self.compare(part, rest)
                 return
+        self.every(at)
+
+    def every(self, at: np.ndarray) -> None:
         rows = max(1, (1 << 20) // len(at))
         for i in range(0, len(at), rows):
             a, b = np.nonzero(self.near(at[i : i + rows, None], at[None, i:]))
             self.forest.join(at[i : i + rows][a], at[i:][b])
 
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.forest.links()
+
+
+class _Candidates(_Nodes):
+    """Candidates for a check that may refuse them: pairs within `bits` in the first fingerprint and within `most` in all
+    together. Links are chosen as a forest of the nearest pairs; with labels, they are all pairs of different labels."""
+
+    def __init__(self, fp: np.ndarray, bits: int, further: list[np.ndarray], most: int, label: np.ndarray | None) -> None:
+        super().__init__(fp, bits)
+        self.further, self.most, self.label, self.found = [f.view(np.uint64) for f in further], most, label, []
+
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.fp[a] ^ self.fp[b]).astype(np.int16) + sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int16) for f in self.further)
+
+    def short(self, a: np.ndarray, b: np.ndarray) -> None:
+        near = self.near(a, b) & (a != b)
+        self.take(a[near], b[near], self.most)
+
+    def every(self, at: np.ndarray) -> None:
+        if self.label is not None and (self.label[at] == self.label[at[0]]).all():
+            return
+        rows, dense = max(1, (1 << 20) // len(at)), len(at) > BUCKET
+        for most in (self.most // 2, self.most) if dense and self.label is None else (self.most,):  # the nearest first, where they come block by block
+            for i in range(0, len(at), rows):
+                a, b = np.nonzero(self.near(at[i : i + rows, None], at[None, i:]))
+                self.take(at[i : i + rows][a], at[i:][b], most)
+
+    def take(self, a: np.ndarray, b: np.ndarray, most: int) -> None:
+        d = self.distances(a, b)
+        if self.label is not None:
+            ok = (d <= most) & (self.label[a] != self.label[b])
+            self.found.append((a[ok], b[ok]))
+            return
+        ok = np.flatnonzero((d <= most) & (a != b))
+        ok = ok[np.argsort(d[ok], kind="stable")]
+        a, b = a[ok], b[ok]
+        while len(a):
+            ra, rb = self.forest.root(a), self.forest.root(b)
+            apart = ra != rb
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            first = np.unique(np.unique(np.concatenate((ra, rb)), return_index=True)[1] % max(len(a), 1))  # of each tree, its nearest pair
+            self.found.append((a[first], b[first]))
+            self.forest.join(a[first], b[first])
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.found:
+            return np.empty(0, int), np.empty(0, int)
+        return np.concatenate([f[0] for f in self.found]), np.concatenate([f[1] for f in self.found])
+
+
+def _links(make):
+    """Links of the nodes of each key; make: from the distinct nodes' columns after (key, node) to _Nodes."""
 
-def _links(bits: int, verify: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not got:
@@ -244,7 +330,7 @@ def _links(bits: int, verify: int):
         del got
         order = np.argsort(key, kind="stable")
         key, (node, first, place) = key[order], np.unique(node[order], return_index=True, return_inverse=True)
-        nodes = _Nodes(*(lambda v: (v[0], v[1:]))([v[order][first] for v in values]), bits, verify)
+        nodes = make([v[order][first] for v in values])
         bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         length = np.diff(bounds)
         small = np.repeat(length <= 64, length)  # runs of up to 64 are compared by distance in the run, all runs at once
@@ -252,54 +338,175 @@ def _links(bits: int, verify: int):
         for d in range(1, int(min(length.max(), 64))):
             i = np.flatnonzero(small & (rest > d))
             for j in range(0, len(i), 1 << 20):
-                a, b = place[i[j : j + (1 << 20)]], place[i[j : j + (1 << 20)] + d]
-                near = nodes.near(a, b) & (a != b)
-                nodes.forest.join(a[near], b[near])
+                nodes.short(place[i[j : j + (1 << 20)]], place[i[j : j + (1 << 20)] + d])
         for s, n in zip(bounds[:-1][length > 64].tolist(), length[length > 64].tolist(), strict=True):
             nodes.compare(np.unique(place[s : s + n]), np.arange(64))
-        a, b = nodes.forest.links()
+        a, b = nodes.links()
         for i in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(node[a[i : i + 100_000]]), pa.array(node[b[i : i + 100_000]])], names=["a", "b"])
+            x, y = node[a[i : i + 100_000]], node[b[i : i + 100_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
 
-def near_links(nodes: DataFrame, bits: int = BITS, further: int = 0, verify: int = 0) -> DataFrame:
-    """Links (a, b) that connect just those of nodes (node, fp, ...) that a chain of near ones connects."""
-    n, ones, correlation = bit_statistics(nodes)
-    plan = allocate(n, ones, correlation, bits)
+def _probed(nodes: DataFrame, bits: int, own: str, others: list[str]) -> DataFrame:
+    """(key, node, fp, others) of nodes by the keys of the fingerprint `own`, dealt by key."""
+    n, ones, correlation = bit_statistics(nodes.select(F.col(own).alias("fp")))
+    plan, _ = allocate(n, ones, correlation, bits)
     per_node = sum((0, 1, 1 + len(p) / 2, 1 + len(p))[t + 1] for p, t in plan)
     parts = max(partitions(nodes.sparkSession), int(n * per_node / KEYS_PER_TASK) + 1)
-    probes = nodes.select(F.explode(keys(F.col("fp"), plan)).alias("key"), "node", *names(further)).repartition(parts, "key")
-    return probes.mapInArrow(_links(bits, verify), "a long, b long")
+    probes = nodes.select(F.explode(keys(F.col(own), plan)).alias("key"), "node", F.col(own).alias("fp"), *others)
+    return _hot(probes, bits).repartition(parts, "key")
+
+
+def near_links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links (a, b) that connect just those of nodes (node, fp) that a chain of near ones connects."""
+    return _probed(nodes, bits, "fp", []).mapInArrow(_links(lambda v: _Nodes(v[0], bits)), "a long, b long")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS, further: int = 0, verify: int = 0) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """(id, fp, component_id) of every row: its fingerprint, and the smallest id that links reach.
 
-    Two rows link when their fingerprints differ in `bits` positions at most and, with `further` other fingerprints of
-    the same shingles, those differ in `verify` positions together at most. A null text counts as empty;
+    Two rows link when their fingerprints differ in `bits` positions at most. A null text counts as empty;
     texts without words have fingerprint zero and link like any other. Rows with equal ids each keep their
     fingerprint; a null id is never a component's name unless no row of the component has another.
     Repeated rows stay repeated. An empty table gives an empty result.
     """
-    own = names(further)
-    rows = stored(fingerprints(docs, id_col, text_col, words, further), "simhash")
-    nodes = rows.groupBy(*own).agg(F.min("id").alias("least"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id() if further else F.col("fp")), "simhash-nodes")
-    labels = components(near_links(nodes, bits, further, verify), "simhash-links").withColumnRenamed("node", "linked")
-    named = nodes.join(labels, F.col("node") == F.col("linked"), "left").select(*own, "least", F.coalesce("label", "node").alias("label"))
+    rows = stored(fingerprints(docs, id_col, text_col, words), "simhash")
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = stored(nodes.withColumn("node", F.col("fp")), "simhash-nodes")
+    labels = components(near_links(nodes, bits), "simhash-links").withColumnRenamed("node", "linked")
+    named = nodes.join(labels, F.col("node") == F.col("linked"), "left").select("fp", "least", F.coalesce("label", "node").alias("label"))
     named = stored(named, "simhash-named")  # read back, as is the next: a join of plain exchanges can split a large component
     best = stored(named.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-names")
-    classes = named.join(best, "label").select(*own, "component_id")
-    return rows.join(classes, own).select("id", "fp", "component_id")
+    classes = named.join(best, "label").select("fp", "component_id")
+    return rows.join(classes, "fp").select("id", "fp", "component_id")
+
+
+# -- near-duplicates by Jaccard similarity ---------------------------------------------------------
+
+
+def differing(similarity: float) -> float:
+    """Share of positions in which the fingerprints of two sets of this Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _at_most(n: int, p: float, k: int) -> float:
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(min(k, n) + 1))
+
+
+def reach(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """Fingerprints to probe by, and bits within which: the cheapest for n documents that find a pair of the similarity
+    with the probability asked for."""
+    p, even = differing(similarity), np.full(64, 0.5)
+    best = (math.inf, 1, 4)
+    for bits in range(4, 17):
+        probes = max(1, math.ceil(math.log(1 - recall) / math.log(1 - _at_most(64, p, bits))))
+        cost = probes * (allocate(n, even, None, bits)[1] + FINGERPRINT_COST * n)
+        best = min(best, (cost, probes, bits))
+    return best[1], best[2]
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS, further: int = 0, verify: int = 0) -> DataFrame:
-    """The rows of docs that name their component (the smallest id); rows with a null id stay. Ids are taken to be distinct."""
-    found = near_components(docs.select(id_col, text_col), id_col, text_col, words, bits, further, verify)
-    gone = found.where("id <> component_id").select(F.col("id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def bound(similarity: float, fingerprints_: int) -> int:
+    """Bits in all fingerprints together within which 99 in 100 pairs of the similarity are."""
+    p, k = differing(similarity), 0
+    while _at_most(64 * fingerprints_, p, k) < 0.99:
+        k += 1
+    return k
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def similar(common: int, total: int, similarity: float) -> bool:
+    """If sets of `total` shingles in all that share `common` have the similarity at least; in whole numbers."""
+    s = Fraction(str(similarity))
+    return common * (s.numerator + s.denominator) >= s.numerator * total
+
+
+def _marks(words: int, n: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.zeros((b.num_rows, 1 + n), np.uint64)
+            for i, text in enumerate(b.column(1)):
+                h = shingle_set(text.as_py(), words)
+                found[i] = [xxhash.xxh64_intdigest(h.tobytes()), majority(h), *(majority(mixed(h, k)) for k in range(1, n))]
+            columns = [pa.array(np.ascontiguousarray(c)) for c in found.view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["row", "node", *names(n - 1)])
+
+    return run
+
+
+def _verified(words: int, similarity: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, last = [], (None, None)
+            for a, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if a != last[0]:
+                    last = a, shingle_set(x.as_py(), words)
+                u, v = last[1], shingle_set(y.as_py(), words)
+                keep.append(similar(len(np.intersect1d(u, v, assume_unique=True)), len(u) + len(v), similarity))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_labels(rows: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """(row, label) of rows (row, text), row being distinct: equal labels for those that a chain of links connects.
+
+    Links are pairs of candidates whose sets of shingles have the similarity. Candidates are first a forest of the
+    nearest in each task, then all pairs that verified links have left apart, so that a large group of near copies
+    costs no pair for each two. A null text counts as empty; texts without words are equal sets.
+    """
+    probes, bits = reach(rows.count(), similarity, recall)
+    n = max(2, probes)  # a second fingerprint rules out most chance neighbours of the first
+    most, own = bound(similarity, n), names(n - 1)
+    marks = stored(rows.mapInArrow(_marks(words, n), ", ".join(["row long", "node long", *(f"{c} long" for c in own)])), "near-marks")
+    nodes = stored(marks.groupBy("node", *own).agg(F.min("row").alias("row")), "near-nodes")
+
+    def candidates(some: DataFrame, labelled: bool) -> DataFrame:
+        def make(v: list[np.ndarray]) -> _Candidates:
+            return _Candidates(v[0], bits, v[1:n], most, v[n] if labelled else None)
+
+        each = [_probed(some, bits, c, [x for x in own if x != c] + ["label"] * labelled).mapInArrow(_links(make), "a long, b long") for c in own[:probes]]
+        return reduce(DataFrame.union, each).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+        return stored(both.mapInArrow(_verified(words, similarity), "a long, b long"), "near-links")
+
+    first = stored(candidates(nodes, False), "near-pairs")
+    touched = stored(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-touched")
+    some = stored(nodes.join(touched, "node"), "near-some")  # all that have a candidate
+    texts = stored(rows.join(some.select("node", "row"), "row").select("node", "text"), "near-texts")
+    links = verified(first)
+    labels = components(links, "near-components").withColumnRenamed("node", "linked")
+    apart = stored(some.join(labels, F.col("node") == F.col("linked"), "left").select("node", *own, F.coalesce("label", "node").alias("label")), "near-apart")
+    second = stored(candidates(apart, True).join(first, ["a", "b"], "left_anti"), "near-pairs")
+    labels = components(links.union(verified(second)), "near-components").withColumnRenamed("node", "linked")
+    return marks.join(labels, F.col("node") == F.col("linked"), "left").select("row", F.coalesce("label", "node").alias("label"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest id, nulls last; of equal ids, any one of them.
+
+    Groups are those that chains of pairs connect whose sets of shingles have the Jaccard similarity or more. Every
+    link is verified; a pair at just the similarity is found with about the probability `recall`, a closer one more
+    likely. A null text counts as empty, and texts without words are one group. Repeated rows are near-duplicates
+    like others: rows go by their place, not by their id. All columns stay, whatever their names. An empty table
+    gives an empty result.
+    """
+    own = docs.columns
+    packed = docs.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("place"))
+    packed = stored(packed, "near-rows")
+    labels = similar_labels(packed.select(F.col("place").alias("row"), F.col("row")[text_col].cast("string").alias("text")), words, similarity, recall)
+    id_ = F.col("row")[id_col]
+    named = packed.select("place", F.struct(id_.isNull().alias("none"), id_.alias("id"), "place").alias("name"))
+    named = stored(named.join(labels.withColumnRenamed("row", "place"), "place"), "near-named")
+    best = stored(named.groupBy("label").agg(F.min("name")["place"].alias("best")), "near-best")
+    gone = named.join(best, "label").where("place <> best").select("place")
+    return packed.join(gone, "place", "left_anti").select("row.*")
 
 
 def simhash_query(spark, sf_dir: str) -> DataFrame:

@@ -103,7 +103,6 @@ def test_simhash(docs, empty):
         assert fp in by_fp and r["id"] in by_fp[fp]
         assert r["component_id"] == min(names[int(forest.root(np.array([fps.index(fp)]))[0])])
     assert simhash.near_components(empty).count() == 0
-    assert simhash.drop_near(clash(docs, "fp", "node", "label")).count() <= len(rows())
 
 
 @pytest.mark.parametrize(("bits", "n"), [(4, 3000), (9, 400)])
@@ -124,11 +123,17 @@ def test_pigeonhole_is_complete(spark, bits, n):
     assert sorted(found.values()) == sorted(v for v in expected.values() if v > 1)
 
 
+def test_hot_keys_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    monkeypatch.setattr(simhash, "COUNTED", 1)
+    test_pigeonhole_is_complete(spark, 4, 1500)
+
+
 def test_large_bucket(monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 16)
     rng = np.random.default_rng(0)
     fps = np.unique(rng.integers(0, 2**20, 500, dtype=np.uint64) << np.uint64(40))
-    nodes = simhash._Nodes(fps, [], 4, 0)
+    nodes = simhash._Nodes(fps, 4)
     nodes.compare(np.arange(len(fps)), np.arange(64))
     plain = Forest(len(fps))
     for i in range(len(fps)):
