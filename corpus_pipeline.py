@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from simsift.llm.bpe import digests
 from simsift.llm.common import stored, table
 from simsift.llm.exact import drop_exact
-from simsift.llm.jaccard import drop_similar
 from simsift.llm.mixing import mix
+from simsift.llm.simhash import drop_near
 from simsift.llm.toxicity import score_toxicity, train
 
-#: Words of a shingle in the near-duplicate stage.
-WORDS = 5
+#: Words of a shingle and least Jaccard similarity in the near-duplicate stage.
+WORDS, SIMILARITY = 5, 0.8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: those that a chain of pairs connects whose sets of shingles of
-    five words have a Jaccard similarity of 0.8 at least. The shingles themselves decide, no fingerprints.
+    five words have a Jaccard similarity of 0.8 at least. SimHash probes find the pairs, the sets verify them.
     """
-    return drop_similar(docs, words=WORDS)
+    return drop_near(docs, words=WORDS, similarity=SIMILARITY)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
