@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch, shared_dir, stored
+from ..session import scratch, shared_dir, stored, temporary
 
-__all__ = ["SPACE", "crc_mod", "partitions", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["SPACE", "crc_mod", "numbered", "partitions", "scratch", "shared_dir", "stored", "table", "temporary"]
 
 #: White space of every contract of this package: space and 0x09-0x0D, nothing else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -27,3 +28,17 @@ def partitions(spark: SparkSession, total_bytes: float = 0, target: int = 64 <<
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a column written as text, modulo n; null where the column is null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+def numbered(df: DataFrame, row: str, place: str) -> DataFrame:
+    """All columns of df as the struct `row`, and `place`, a struct of two longs that tells rows apart and is the same
+    each time the table is read. For rows of files it is the file and the row's number in it; others are stored first."""
+    own = [F.col(f"`{c}`") for c in df.columns]
+    try:
+        at = F.struct(F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").cast("long").alias("at"))
+        out = df.select(F.struct(*own).alias(row), at.alias(place))
+        out.schema  # noqa: B018  fails here, where there is no such column
+        return out
+    except AnalysisException:
+        at = F.struct(F.spark_partition_id().cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+        return stored(df.select(F.struct(*own).alias(row), at.alias(place)), "numbered")

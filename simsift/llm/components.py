@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, temporary
 
 
 class Forest:
@@ -47,20 +47,21 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     the number of links never grows and falls to one per node in a number of rounds that is logarithmic
     in practice. Minima are partial aggregates; a node with very many links is split by the skew join.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    state = None
+    pairs = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, state = stored(pairs, name), None
     while True:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == state or not now["n"]:
             break
         state = now
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        # minima are read back, so that the joins are of plain exchanges, which Spark can split at a hot node
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, name)
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        edges = stored(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), name)
+        with temporary(edges.sparkSession) as kept:
+            both = edges.union(edges.select("b", "a")).toDF("u", "v")
+            # minima are read back, so that the joins are of plain exchanges, which Spark can split at a hot node
+            least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            large = stored(large, name)
+            least = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
+            small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+            edges = kept(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), name)
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.union(edges.select(F.col("b"), F.col("b")).distinct())

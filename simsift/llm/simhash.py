@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, stored, table
+from .common import numbered, partitions, stored, table, temporary
 from .components import Forest, components
 
 WORDS, BITS = 4, 4
@@ -48,6 +48,8 @@ KEYS_PER_TASK = 2_000_000
 HOT, COUNTED = 50_000, 8
 #: Hot keys that are broadcast at most; more are joined like any table.
 HOT_KEYS = 10_000
+#: Nodes of a cell in which all pairs are compared by their sets, and of those that join every cell of a group.
+CELL, PIVOTS = 128, 8
 #: Words and Jaccard similarity of near-duplicates, and the share of pairs at just that similarity that probes should find.
 NEAR_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
 #: Cost of a further fingerprint of a document against that of a compared pair.
@@ -268,55 +270,21 @@ class _Nodes:
             a, b = np.nonzero(self.near(at[i : i + rows, None], at[None, i:]))
             self.forest.join(at[i : i + rows][a], at[i:][b])
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.forest.links()
-
 
 class _Candidates(_Nodes):
-    """Candidates for a check that may refuse them: pairs within `bits` in the first fingerprint and within `most` in all
-    together. Links are chosen as a forest of the nearest pairs; with labels, they are all pairs of different labels."""
+    """Nodes that are near if they are within `bits` in the first fingerprint and within `most` in all together."""
 
-    def __init__(self, fp: np.ndarray, bits: int, further: list[np.ndarray], most: int, label: np.ndarray | None) -> None:
+    def __init__(self, fp: np.ndarray, bits: int, further: list[np.ndarray], most: int) -> None:
         super().__init__(fp, bits)
-        self.further, self.most, self.label, self.found = [f.view(np.uint64) for f in further], most, label, []
-
-    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.fp[a] ^ self.fp[b]).astype(np.int16) + sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int16) for f in self.further)
-
-    def short(self, a: np.ndarray, b: np.ndarray) -> None:
-        near = self.near(a, b) & (a != b)
-        self.take(a[near], b[near], self.most)
+        self.further, self.most = [f.view(np.uint64) for f in further], most
 
-    def every(self, at: np.ndarray) -> None:
-        if self.label is not None and (self.label[at] == self.label[at[0]]).all():
-            return
-        rows, dense = max(1, (1 << 20) // len(at)), len(at) > BUCKET
-        for most in (self.most // 2, self.most) if dense and self.label is None else (self.most,):  # the nearest first, where they come block by block
-            for i in range(0, len(at), rows):
-                a, b = np.nonzero(self.near(at[i : i + rows, None], at[None, i:]))
-                self.take(at[i : i + rows][a], at[i:][b], most)
-
-    def take(self, a: np.ndarray, b: np.ndarray, most: int) -> None:
-        d = self.distances(a, b)
-        if self.label is not None:
-            ok = (d <= most) & (self.label[a] != self.label[b])
-            self.found.append((a[ok], b[ok]))
-            return
-        ok = np.flatnonzero((d <= most) & (a != b))
-        ok = ok[np.argsort(d[ok], kind="stable")]
-        a, b = a[ok], b[ok]
-        while len(a):
-            ra, rb = self.forest.root(a), self.forest.root(b)
-            apart = ra != rb
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            first = np.unique(np.unique(np.concatenate((ra, rb)), return_index=True)[1] % max(len(a), 1))  # of each tree, its nearest pair
-            self.found.append((a[first], b[first]))
-            self.forest.join(a[first], b[first])
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.found:
-            return np.empty(0, int), np.empty(0, int)
-        return np.concatenate([f[0] for f in self.found]), np.concatenate([f[1] for f in self.found])
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found = super().near(a, b)
+        i = np.nonzero(found)
+        a, b = (np.broadcast_to(x, found.shape)[i] for x in (a, b))
+        total = np.bitwise_count(self.fp[a] ^ self.fp[b]).astype(np.int16) + sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int16) for f in self.further)
+        found[i] = total <= self.most
+        return found
 
 
 def _links(make):
@@ -341,10 +309,9 @@ def _links(make):
                 nodes.short(place[i[j : j + (1 << 20)]], place[i[j : j + (1 << 20)] + d])
         for s, n in zip(bounds[:-1][length > 64].tolist(), length[length > 64].tolist(), strict=True):
             nodes.compare(np.unique(place[s : s + n]), np.arange(64))
-        a, b = nodes.links()
+        a, b = nodes.forest.links()
         for i in range(0, len(a), 100_000):
-            x, y = node[a[i : i + 100_000]], node[b[i : i + 100_000]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[a[i : i + 100_000]]), pa.array(node[b[i : i + 100_000]])], names=["a", "b"])
 
     return run
 
@@ -373,13 +340,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows stay repeated. An empty table gives an empty result.
     """
     rows = stored(fingerprints(docs, id_col, text_col, words), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = stored(nodes.withColumn("node", F.col("fp")), "simhash-nodes")
-    labels = components(near_links(nodes, bits), "simhash-links").withColumnRenamed("node", "linked")
-    named = nodes.join(labels, F.col("node") == F.col("linked"), "left").select("fp", "least", F.coalesce("label", "node").alias("label"))
-    named = stored(named, "simhash-named")  # read back, as is the next: a join of plain exchanges can split a large component
-    best = stored(named.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-names")
-    classes = named.join(best, "label").select("fp", "component_id")
+    with temporary(docs.sparkSession) as kept:
+        nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+        nodes = stored(nodes.withColumn("node", F.col("fp")), "simhash-nodes")
+        labels = components(near_links(nodes, bits), "simhash-links").withColumnRenamed("node", "linked")
+        named = nodes.join(labels, F.col("node") == F.col("linked"), "left").select("fp", "least", F.coalesce("label", "node").alias("label"))
+        named = stored(named, "simhash-named")  # read back, as is the next: a join of plain exchanges can split a large component
+        best = stored(named.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-names")
+        classes = kept(named.join(best, "label").select("fp", "component_id"), "simhash-classes")
     return rows.join(classes, "fp").select("id", "fp", "component_id")
 
 
@@ -419,12 +387,6 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def similar(common: int, total: int, similarity: float) -> bool:
-    """If sets of `total` shingles in all that share `common` have the similarity at least; in whole numbers."""
-    s = Fraction(str(similarity))
-    return common * (s.numerator + s.denominator) >= s.numerator * total
-
-
 def _marks(words: int, n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -438,54 +400,110 @@ def _marks(words: int, n: int):
     return run
 
 
-def _verified(words: int, similarity: float):
+def _sets(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, last = [], (None, None)
-            for a, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
-                if a != last[0]:
-                    last = a, shingle_set(x.as_py(), words)
-                u, v = last[1], shingle_set(y.as_py(), words)
-                keep.append(similar(len(np.intersect1d(u, v, assume_unique=True)), len(u) + len(v), similarity))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets = [shingle_set(t.as_py(), words).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return run
 
 
+def shared(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each set, its place and the number of elements it shares with every set."""
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, int)
+    ends = np.cumsum([len(s) for s in sets])
+    mark = np.zeros(len(number) + 1, np.int64)
+    for k, (s, e) in enumerate(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)):
+        mark[number[s:e]] = 1
+        sums = np.concatenate(([0], np.cumsum(mark[number])))
+        mark[number[s:e]] = 0
+        yield k, sums[ends] - np.concatenate(([0], sums[ends[:-1]]))
+
+
+def _tile(similarity: float):
+    """Links of a forest of the nodes of a tile, by their whole sets; rows: node, shingles."""
+    ratio = Fraction(str(similarity))
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, first = np.unique(rows["node"].to_numpy(), return_index=True)
+        values = rows["shingles"].combine_chunks()
+        sets = [np.frombuffer(values[i].as_buffer(), np.uint64) for i in first.tolist()]
+        size, forest = np.array([len(s) for s in sets], np.int64), Forest(len(sets))
+        for k, common in shared(sets):
+            near = np.flatnonzero(common * (ratio.numerator + ratio.denominator) >= ratio.numerator * (size[k] + size))
+            forest.join(np.full(len(near), k), near)
+        a, b = forest.links()
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+
+    return run
+
+
+def _cell(n) -> Column:
+    """Nodes of a cell of a group of n: CELL, or more where the group has over 32 * CELL."""
+    return F.greatest(F.lit(CELL), F.least(F.lit(32 * CELL), F.floor(n / 32)))
+
+
 def similar_labels(rows: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(row, label) of rows (row, text), row being distinct: equal labels for those that a chain of links connects.
 
-    Links are pairs of candidates whose sets of shingles have the similarity. Candidates are first a forest of the
-    nearest in each task, then all pairs that verified links have left apart, so that a large group of near copies
-    costs no pair for each two. A null text counts as empty; texts without words are equal sets.
+    SimHash probes give a forest of candidates; what it connects is a group. In a group of up to CELL nodes all pairs
+    are compared by their whole sets of shingles. The nodes of a larger group are dealt to cells first, each together
+    with a few nodes that have many candidates; then cells are compared with each other, but for pairs of cells that
+    hold only nodes of the label that most of the group has by then. So a large group of near copies costs no row for
+    each two. A null text counts as empty; texts without words are equal sets.
     """
+    spark = rows.sparkSession
     probes, bits = reach(rows.count(), similarity, recall)
     n = max(2, probes)  # a second fingerprint rules out most chance neighbours of the first
     most, own = bound(similarity, n), names(n - 1)
-    marks = stored(rows.mapInArrow(_marks(words, n), ", ".join(["row long", "node long", *(f"{c} long" for c in own)])), "near-marks")
-    nodes = stored(marks.groupBy("node", *own).agg(F.min("row").alias("row")), "near-nodes")
-
-    def candidates(some: DataFrame, labelled: bool) -> DataFrame:
-        def make(v: list[np.ndarray]) -> _Candidates:
-            return _Candidates(v[0], bits, v[1:n], most, v[n] if labelled else None)
-
-        each = [_probed(some, bits, c, [x for x in own if x != c] + ["label"] * labelled).mapInArrow(_links(make), "a long, b long") for c in own[:probes]]
-        return reduce(DataFrame.union, each).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-        return stored(both.mapInArrow(_verified(words, similarity), "a long, b long"), "near-links")
-
-    first = stored(candidates(nodes, False), "near-pairs")
-    touched = stored(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-touched")
-    some = stored(nodes.join(touched, "node"), "near-some")  # all that have a candidate
-    texts = stored(rows.join(some.select("node", "row"), "row").select("node", "text"), "near-texts")
-    links = verified(first)
-    labels = components(links, "near-components").withColumnRenamed("node", "linked")
-    apart = stored(some.join(labels, F.col("node") == F.col("linked"), "left").select("node", *own, F.coalesce("label", "node").alias("label")), "near-apart")
-    second = stored(candidates(apart, True).join(first, ["a", "b"], "left_anti"), "near-pairs")
-    labels = components(links.union(verified(second)), "near-components").withColumnRenamed("node", "linked")
-    return marks.join(labels, F.col("node") == F.col("linked"), "left").select("row", F.coalesce("label", "node").alias("label"))
+    kind = rows.schema["row"].dataType.simpleString()
+    with temporary(spark) as kept:
+        marks = stored(rows.mapInArrow(_marks(words, n), ", ".join([f"row {kind}", "node long", *(f"{c} long" for c in own)])), "near-marks")
+        nodes = stored(marks.groupBy("node", *own).agg(F.min("row").alias("row")), "near-nodes")
+        each = [_probed(nodes, bits, c, [x for x in own if x != c]).mapInArrow(_links(lambda v: _Candidates(v[0], bits, v[1:], most)), "a long, b long") for c in own[:probes]]
+        pairs = stored(reduce(DataFrame.union, each).distinct(), "near-pairs")
+        groups = components(pairs, "near-groups").withColumnRenamed("label", "group")
+        degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        members = stored(groups.join(degree, "node"), "near-members")
+        sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+        texts = rows.join(members.join(nodes, "node").select("node", "row"), "row").select("node", "text")
+        sets = stored(texts.mapInArrow(_sets(words), "node long, shingles binary"), "near-sets")
+
+        turn = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS))
+        pivots = members.groupBy("group", turn.alias("turn")).agg(F.max(F.struct("degree", "node"))["node"].alias("node"))
+        cells = F.ceil(F.col("n") / _cell(F.col("n")))
+        alone = members.join(sizes, "group").select("node", "group", F.pmod(F.xxhash64("node"), cells).alias("cell"))
+        led = pivots.join(sizes.where(cells > 1), "group").select("node", "group", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)).alias("cell"))
+        tiles = alone.unionByName(led).select("node", F.xxhash64("group", "cell").alias("tile"))
+
+        def compared(tiles: DataFrame) -> DataFrame:
+            dealt = tiles.join(sets, "node").select("tile", "node", "shingles")
+            return stored(dealt.groupBy("tile").applyInArrow(_tile(similarity), "a long, b long"), "near-links")
+
+        links = compared(tiles)
+        large = stored(sizes.where(cells > 1), "near-large")
+        if large.count():
+            labels = components(links, "near-labels").withColumnRenamed("node", "linked")
+            named = members.join(large, "group").join(labels, F.col("node") == F.col("linked"), "left").select("node", "group", F.coalesce("label", "node").alias("label"))
+            named = stored(named, "near-apart")
+            counts = named.groupBy("group", "label").agg(F.count(F.lit(1)).alias("m"))
+            facts = stored(counts.groupBy("group").agg(F.max(F.struct("m", "label")).alias("main"), F.sum("m").alias("n")), "near-mains")
+            size, rest = _cell(F.col("n")), F.col("n") - F.col("main.m")
+            facts = facts.select("group", F.col("main.label").alias("main"), F.ceil(rest / size).alias("others"), F.ceil(F.col("main.m") / size).alias("mains")).where("others > 0")
+            named = named.join(facts, "group")
+            # cells of the other labels are 0 to others - 1, those of the main one follow; a tile is a pair of cells, the first one of others
+            other = F.pmod(F.xxhash64("node", F.lit(2)), "others")
+            main = F.col("others") + F.pmod(F.xxhash64("node", F.lit(2)), "mains")
+            with_ = lambda a, b: F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
+            zero = F.lit(0).cast("long")
+            as_other = F.transform(F.sequence(zero, F.col("others") + F.col("mains") - 1), lambda c: with_(other, c))
+            as_main = F.transform(F.sequence(zero, F.col("others") - 1), lambda c: with_(main, c))
+            pairs_of = F.explode(F.when(F.col("label") == F.col("main"), as_main).otherwise(as_other)).alias("t")
+            tiles = named.select("node", "group", pairs_of).select("node", F.xxhash64("group", "t.i", "t.j").alias("tile"))
+            links = links.union(compared(tiles))
+        labels = components(links, "near-labels").withColumnRenamed("node", "linked")
+        return kept(marks.join(labels, F.col("node") == F.col("linked"), "left").select("row", F.coalesce("label", "node").alias("label")), "near-labelled")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -497,15 +515,14 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     like others: rows go by their place, not by their id. All columns stay, whatever their names. An empty table
     gives an empty result.
     """
-    own = docs.columns
-    packed = docs.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("place"))
-    packed = stored(packed, "near-rows")
-    labels = similar_labels(packed.select(F.col("place").alias("row"), F.col("row")[text_col].cast("string").alias("text")), words, similarity, recall)
-    id_ = F.col("row")[id_col]
-    named = packed.select("place", F.struct(id_.isNull().alias("none"), id_.alias("id"), "place").alias("name"))
-    named = stored(named.join(labels.withColumnRenamed("row", "place"), "place"), "near-named")
-    best = stored(named.groupBy("label").agg(F.min("name")["place"].alias("best")), "near-best")
-    gone = named.join(best, "label").where("place <> best").select("place")
+    packed = numbered(docs, "row", "place")
+    with temporary(docs.sparkSession) as kept:
+        labels = similar_labels(packed.select(F.col("place").alias("row"), F.col("row")[text_col].cast("string").alias("text")), words, similarity, recall)
+        id_ = F.col("row")[id_col]
+        named = packed.select("place", F.struct(id_.isNull().alias("none"), id_.alias("id"), "place").alias("name"))
+        named = stored(named.join(labels.withColumnRenamed("row", "place"), "place"), "near-named")
+        best = stored(named.groupBy("label").agg(F.min("name")["place"].alias("best")), "near-best")
+        gone = kept(named.join(best, "label").where("place <> best").select("place"), "near-gone")
     return packed.join(gone, "place", "left_anti").select("row.*")
 
 

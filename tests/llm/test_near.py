@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from simsift.llm import simhash
@@ -90,6 +89,14 @@ def test_reach_grows_with_the_corpus():
         assert 1 - (1 - simhash._at_most(64, p, bits)) ** probes >= 0.95
 
 
-@pytest.mark.parametrize(("common", "total", "yes"), [(4, 9, True), (8, 18, True), (8, 19, False), (0, 0, True)])
-def test_similar(common, total, yes):
-    assert simhash.similar(common, total, 0.8) == yes
+def test_shared():
+    rng = np.random.default_rng(1)
+    found = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 30, 30, 200, 0)]
+    for k, common in simhash.shared(found):
+        assert common.tolist() == [len(np.intersect1d(found[k], s)) for s in found]
+
+
+def test_large_groups_are_dealt_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 8)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    test_drop_near(spark)
