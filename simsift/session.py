@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +30,44 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/simsift/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that open blocks of temporary() have stored.
+_OPEN: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    return _written(df, name, _OPEN[-1] if _OPEN else None)
+
+
+def _written(df: DataFrame, name: str, paths: list[str] | None) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Kept:
+    def __init__(self, outer: list[str] | None) -> None:
+        self.outer = outer
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        """Store df where the block's end leaves it."""
+        return _written(df, name, self.outer)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Kept]:
+    """Tables stored inside the block are removed at its end; what is needed after it must be stored by what the block
+    is given. A block that fails leaves its tables, for tasks may still read them."""
+    paths: list[str] = []
+    outer = _OPEN[-1] if _OPEN else None
+    _OPEN.append(paths)
+    try:
+        yield Kept(outer)
+    finally:
+        _OPEN.remove(paths)
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
