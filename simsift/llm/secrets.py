@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import scratch, stored
 
 SPANS = "array<struct<start:int,rule:string,end:int>>"
+#: Matches of a text that are put into one array at a time.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,8 @@ RULES = (
 
 
 def _spans(text: Column, rule: Rule) -> Column:
-    """All spans of a rule in code points. The gaps between matches give the positions."""
+    """All spans of a rule in code points. The gaps between matches give the positions; they are added up in blocks of
+    matches, so that the work doesn't grow as the square of their number."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
@@ -63,7 +66,10 @@ def _spans(text: Column, rule: Rule) -> Column:
         F.transform(whole, F.length).alias("len"),
         F.transform(value, F.length).alias("value"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    blocks = F.transform(F.sequence(F.lit(1), F.size(steps), F.lit(BLOCK)), lambda i: F.slice(steps, i, F.lit(BLOCK)))
+    length = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, s: n + s["gap"] + F.coalesce(s["len"], F.lit(0))))
+    before = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(length, before, lambda x, n: F.struct((x["at"] + n).alias("at"), F.concat(x["out"], F.array(x["at"])).alias("out")), lambda x: x["out"])
 
     def step(state: Column, s: Column) -> Column:
         begin = state["at"] + s["gap"]
@@ -72,7 +78,10 @@ def _spans(text: Column, rule: Rule) -> Column:
         keep = s["len"].isNotNull() & (s["value"] >= rule.least)
         return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], hit)).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda s: s["out"])
+    def spans_of(b: Column, at: Column) -> Column:
+        return F.aggregate(b, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step, lambda s: s["out"])
+
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), starts.alias("at")), lambda x: spans_of(x["b"], x["at"])))
 
 
 def scan(text: Column, rules=RULES, unseen: Column | None = None) -> Column:
@@ -137,14 +146,15 @@ def find_secrets(versions: DataFrame, ledger_path: str | None = None, text_col:
     found = found.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     ordered = F.array_sort(F.array_distinct(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end")))))
     found = found.select(
-        F.col("blob").alias("_found"),
+        F.col("blob").alias("found"),
         F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), F.element_at(kinds, s["place"]).alias("kind"), s["end"].alias("end"))).alias("spans"),
     )
     found = stored(found, "secret-findings")  # read back, so that both sides of the join are plain exchanges
-    rows = versions.drop("blob", "spans").withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    out = rows.join(found, F.col("blob") == F.col("_found"), "left").drop("_found")
+    own = [F.col(f"`{c}`") for c in versions.columns if c.lower() not in ("blob", "spans")]
+    rows = versions.select(F.struct(*own).alias("row"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"))
+    out = rows.join(found, F.col("blob") == F.col("found"), "left")
     empty = F.array().cast("array<struct<start:int,kind:string,end:int>>")
-    return out.withColumns({"blob": F.lower(F.hex("blob")), "spans": F.coalesce("spans", empty)})
+    return out.select("row.*", F.lower(F.hex("blob")).alias("blob"), F.coalesce("spans", empty).alias("spans"))
 
 
 def written(spans: Column) -> Column:

@@ -360,7 +360,7 @@ def test_secrets(spark, docs, empty, tmp_path):
     df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
     spans = lambda r: [(s["kind"], s["start"], s["end"]) for s in r["spans"]]
     ledger = f"file://{tmp_path}/ledger"
-    found = {r["doc_id"]: spans(r) for r in secrets.find_secrets(clash(df, "spans", "seen", "rules"), ledger).collect()}
+    found = {r["doc_id"]: spans(r) for r in secrets.find_secrets(clash(df, "spans", "seen", "rules", "_found", "found", "row"), ledger).collect()}
     assert found[0] == [] and found[1] == [("assign", 0, 21)]
     assert found[2] == [("assign", 13, 44), ("hex", 22, 44)]
     assert found[3] == [("access", 0, 18)] and found[4] == [("access", 2, 36), ("hex", 37, 53)]
@@ -368,6 +368,8 @@ def test_secrets(spark, docs, empty, tmp_path):
     size = spark.read.parquet(ledger).count()
     assert size == len(set(t or "" for t in texts))
     assert secrets.find_secrets(df, ledger).count() == len(texts) + 1 and spark.read.parquet(ledger).count() == size
+    many = spark.createDataFrame([(0, "é token = abcdefghijkl " * 1000)], "doc_id long, text string")
+    assert spans(secrets.find_secrets(many).first()) == [("assign", 2 + 23 * i, 22 + 23 * i) for i in range(1000)]
     more = (*secrets.RULES, secrets.Rule("word", r"secret", 1))
     again = {r["doc_id"]: spans(r) for r in secrets.find_secrets(df, ledger, rules=more).collect()}
     assert again[2] == [("assign", 13, 44), ("word", 13, 19), ("hex", 22, 44)] or again[2][0] == ("assign", 13, 44)
