@@ -26,10 +26,12 @@ from .bpe import encoder
 from .common import partitions, scratch, table
 
 MAGIC = b"DAC1"
+#: Places of the whole stream that are joined with the shards as one key.
+BLOCK = 1 << 20
 #: Bits of the bitmap per entry of the rank directory.
 RANK = 512
-#: Ids after which a shard ends.
-SHARD = 1 << 20
+#: Ids after which a shard ends: what one look-up reads. Files are not compressed, so no look-up decodes more.
+SHARD = 1 << 16
 
 
 class DirectCodes:
@@ -146,8 +148,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    order = F.asc_nulls_last("id")
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession, total), order).sortWithinPartitions(order)
+    rows = rows.withColumn("tie", F.xxhash64("text"))  # rows without an id, or with the same, need not be one range
+    order = F.asc_nulls_last("id"), F.col("tie")
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession, total), *order).sortWithinPartitions(*order)
     ranged = ranged.select("id", "text", F.spark_partition_id().alias("part"))
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -162,7 +165,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
             T.StructField("codes", T.BinaryType()),
         ]
     )
-    ranged.mapInArrow(_write(tokenizer, end_id, to_arrow_type(kind), shard), schema).write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(_write(tokenizer, end_id, to_arrow_type(kind), shard), schema).write.option("compression", "none").parquet(path)
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
@@ -174,7 +177,7 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
         starts.append((part, at))
         at += n
     first = spark.createDataFrame(starts, "of int, offset long")
-    return rows.join(F.broadcast(first), F.col("part") == F.col("of")).withColumn("start", F.col("offset") + F.col("before")).drop("of", "offset")
+    return rows.join(first, F.col("part") == F.col("of")).withColumn("start", F.col("offset") + F.col("before")).drop("of", "offset")
 
 
 def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +215,10 @@ def read_tokens(spark: SparkSession, path: str, positions: list[int]) -> DataFra
     """(position, token) of the given places in the whole stream, by random access; places outside it give no row."""
     wanted = spark.createDataFrame([(int(p),) for p in positions], "position long")
     rows = shards(spark, path)
-    hit = rows.join(F.broadcast(wanted), (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_tokens")))
+    end = F.col("start") + F.col("n_tokens")
+    block = lambda at: F.floor(at / BLOCK)
+    spread = rows.select("start", "n_tokens", "codes", F.explode(F.sequence(block(F.col("start")), block(end - 1))).alias("block"))
+    hit = spread.join(wanted.withColumn("block", block(F.col("position"))), "block").where((F.col("position") >= F.col("start")) & (F.col("position") < end))
     return hit.select("start", "codes", "position").groupBy("start").applyInArrow(_lookup, "position long, token long")
 
 
