@@ -25,10 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SPACE, partitions, stored, table
+from .common import SPACE, numbered, partitions, stored, table
 
-#: Bytes of the digits, first to last; the last width repeats.
+#: Bytes of the first digits; each further one is twice as wide as the one before it.
 WIDTHS = (16, 64, 256, 1024, 4096)
+
+
+def width_of(level: int) -> int:
+    return WIDTHS[level] if level < len(WIDTHS) else WIDTHS[-1] << (level - len(WIDTHS) + 1)
+
+
 #: A group is heavy beyond this share of an average partition's bytes.
 HEAVY = 0.5
 #: Bytes that a row weighs besides its text.
@@ -70,7 +76,7 @@ class Trie:
         the text ends in it, and the level."""
         node, at, level = 0, 0, 0
         while True:
-            width = WIDTHS[min(level, len(WIDTHS) - 1)]
+            width = width_of(level)
             digit, ended = text[at : at + width], len(text) <= at + width
             child = self.children.get((node, digit, ended))
             if child is None or child in self.leaves:
@@ -83,26 +89,34 @@ def _normal(column: pa.Array) -> list[bytes]:
     return pc.replace_substring_regex(pc.fill_null(column, ""), SPACE, " ").cast(pa.binary()).to_pylist()
 
 
+#: Place of a row, as `numbered` gives it.
+PLACE = pa.struct([("file", pa.int64()), ("at", pa.int64())])
+
+
+def _places(column: pa.Array) -> list[tuple[int, int]]:
+    return list(zip(column.field("file").to_pylist(), column.field("at").to_pylist(), strict=True))
+
+
 def _earlier(a: tuple, b: tuple) -> bool:
     """Order of (id is null, id, place): null ids last."""
     return a[0] < b[0] if a[0] != b[0] else a[2] < b[2] if a[0] else a[1:] < b[1:]
 
 
-def _count(trie: Trie, level: int, id_type: pa.DataType):
+def _count(shipped, level: int, id_type: pa.DataType):
     """Weight, rows and first row of each digit that follows a node of the level."""
     names = ["node", "digit", "ended", "weight", "n", "id", "seen_at"]
-    kinds = pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), id_type, pa.int64()
+    kinds = pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), id_type, PLACE
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict = {}
+        found, trie = {}, shipped.value
 
         def flush() -> pa.RecordBatch:
-            rows = [(*k, v[0], v[1], *v[2][1:]) for k, v in found.items()]
+            rows = [(*k, v[0], v[1], v[2][1], dict(zip(("file", "at"), v[2][2], strict=True))) for k, v in found.items()]
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for b in batches:
-            for text, doc, seen in zip(_normal(b.column(1)), b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, doc, seen in zip(_normal(b.column(1)), b.column(0).to_pylist(), _places(b.column(2)), strict=True):
                 node, digit, ended, depth = trie.descend(text)
                 if depth == level and node not in trie.leaves:
                     first = (doc is None, doc, seen)
@@ -122,10 +136,11 @@ def _count(trie: Trie, level: int, id_type: pa.DataType):
     return run
 
 
-def _light(trie: Trie, text_col: str):
+def _light(shipped, text_col: str):
     """Rows outside ended heavy groups, with the number of the group they stopped in."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shipped.value
         for b in batches:
             keep, group = [], []
             for i, text in enumerate(_normal(b.column(0).field(text_col))):
@@ -144,14 +159,14 @@ def _output(columns: list[str], own: pa.StructArray, keep: list, size: list, kep
     yield from pa.Table.from_arrays(arrays, names=[*columns, *ADDED]).to_batches(max_chunksize=2000)
 
 
-def _heavy(trie: Trie, text_col: str, columns: list[str], id_type: pa.DataType):
+def _heavy(shipped, text_col: str, columns: list[str], id_type: pa.DataType):
     """Rows of ended heavy groups, finished where they are read."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests: dict[int, str] = {}
+        trie, digests = shipped.value, {}
         for b in batches:
             keep, found, stays, sha = [], [], [], []
-            for i, (text, seen) in enumerate(zip(_normal(b.column(0).field(text_col)), b.column(1).to_pylist(), strict=True)):
+            for i, (text, seen) in enumerate(zip(_normal(b.column(0).field(text_col)), _places(b.column(1)), strict=True)):
                 node = trie.descend(text)[0]
                 if node in trie.leaves:
                     if node not in digests:
@@ -202,14 +217,15 @@ def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = [c for c in docs.columns if c.lower() not in ADDED]
     kind = docs.schema[id_col].dataType
     id_type = to_arrow_type(kind)
-    rows = docs.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("seen_at"))
+    rows = numbered(docs.select(*[F.col(f"`{c}`") for c in own]), "row", "seen_at")
+    ship = spark.sparkContext.broadcast
     counted = T.StructType([T.StructField("node", T.IntegerType()), T.StructField("digit", T.BinaryType()), T.StructField("ended", T.BooleanType())])
-    counted = counted.add("weight", T.LongType()).add("n", T.LongType()).add("id", kind).add("seen_at", T.LongType())
+    counted = counted.add("weight", T.LongType()).add("n", T.LongType()).add("id", kind).add("seen_at", rows.schema["seen_at"].dataType)
 
     trie, level, total, parts = Trie(), 0, None, None
     while True:
         looked = rows.select(F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("text"), "seen_at")
-        counts = looked.mapInArrow(_count(trie, level, id_type), counted).groupBy("node", "digit", "ended")
+        counts = looked.mapInArrow(_count(ship(trie), level, id_type), counted).groupBy("node", "digit", "ended")
         first = F.struct(F.col("id").isNull().alias("none"), "id", "seen_at")
         counts = counts.agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"), F.min(first).alias("first"))
         if total is None:
@@ -220,16 +236,17 @@ def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for r in heavy:
             trie.children[r["node"], bytes(r["digit"]), r["ended"]] = trie.nodes
             if r["ended"]:
-                trie.leaves[trie.nodes] = r["first"]["id"], r["first"]["seen_at"], r["n"]
+                trie.leaves[trie.nodes] = r["first"]["id"], tuple(r["first"]["seen_at"]), r["n"]
             trie.nodes += 1
         level += 1
         if all(r["ended"] for r in heavy):
             break
 
     out = T.StructType([*[docs.schema[c] for c in own], T.StructField("keep_id", kind), T.StructField("group_size", T.LongType()), T.StructField("kept", T.BooleanType()), T.StructField("text_sha256", T.StringType())])
-    light = rows.select("row").mapInArrow(_light(trie, text_col), T.StructType([rows.schema["row"], T.StructField("group", T.IntegerType())]))
+    known = ship(trie)
+    light = rows.select("row").mapInArrow(_light(known, text_col), T.StructType([rows.schema["row"], T.StructField("group", T.IntegerType())]))
     light = light.repartition(parts, "group").select("row").mapInArrow(_finish(id_col, text_col, own, id_type), out)
-    return light.union(rows.mapInArrow(_heavy(trie, text_col, own, id_type), out)) if trie.leaves else light
+    return light.union(rows.mapInArrow(_heavy(known, text_col, own, id_type), out)) if trie.leaves else light
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
