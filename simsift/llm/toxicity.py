@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, table
+from .common import crc_mod, numbered, table
 
 #: Labelled rows of either label that the fit takes at most.
 TOXIC, CLEAN = 4000, 6000
@@ -147,10 +147,12 @@ def _sample(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, tex
     """Distinct words and labels of the sampled rows, and the share of toxic among all training labels."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(trains)
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    parts = [known.where(F.col("toxic") == y).orderBy(*order).limit(most) for y, most in ((1, TOXIC), (0, CLEAN))]
-    chosen = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("_id"), "toxic")  # TOXIC + CLEAN rows at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("_id"))
+    rows = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "row", "place")
+    there = rows.select("place", F.col("row.id").alias("id")).join(known, F.col("id") == F.col("doc_id")).select("place", "id", "toxic")
+    order = F.xxhash64("id"), F.col("id"), F.col("place")
+    parts = [there.where(F.col("toxic") == y).orderBy(*order).limit(most) for y, most in ((1, TOXIC), (0, CLEAN))]
+    chosen = parts[0].unionByName(parts[1]).select("place", "toxic")  # TOXIC + CLEAN rows at most, whatever ids repeat
+    rows = rows.join(F.broadcast(chosen), "place").select(F.col("row.id").alias("id"), F.col("row.text").alias("text"), "toxic")
     found = rows.select("id", "text", "toxic").mapInArrow(_words, "id string, words array<string>, toxic int").toArrow()
     order = np.argsort(np.array(found["id"].to_pylist(), dtype=str), kind="stable")
     texts, toxic = found["words"].to_pylist(), np.array(found["toxic"].to_pylist(), float)
