@@ -4,9 +4,10 @@ Among all document rates r_d in [0, cap] that give every source its target numbe
 closest to "every document once" minimises sum(r_d log r_d - r_d). The Lagrange dual has one multiplier
 per source and r_d = min(cap, exp(lambda_source * c_d)), where c_d is the document's size over the
 source's typical size: an exponential tilt. As a document has one source, the Hessian of the dual is
-diagonal: a Newton step of a source needs that source's sums only, so all sources iterate at once, each
-in its own task, over the counts of its sizes. That table has a row for each size that occurs, however
-many documents there are; a source with a third of all rows has no more than the longest text allows.
+diagonal: a Newton step of a source needs that source's sums only. Each iteration is one aggregate over
+the counts of sizes by source, for all sources at once; multipliers and brackets are a table with a row
+for each source. The counts have a row for each size that occurs, however many documents there are; a
+source with a third of all rows has no more than the longest text allows.
 
 Rates are rounded into whole copies by error diffusion from the largest size to the smallest, so what a
 large document takes too much or too little, smaller ones give back. Which documents of a size get the
@@ -17,19 +18,20 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, temporary
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: The mix holds this share of all words, and no source more than CAP times its own.
 SHARE, CAP = 1.5, 2.0
-#: Sub-groups of the documents of one source and size.
-SPREAD = 64
+#: Sub-groups of the documents of one source and size at least; there are more where a sub-group could exceed SUB rows.
+SPREAD, SUB = 64, 100_000
+#: Newton iterations at most (a bracket halves where a step leaves it), and the relative error that ends them.
+ROUNDS, EXACT = 200, 1e-10
 #: Sources that one task puts in order.
 ORDERED = 1_000_000
 
@@ -47,11 +49,12 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap
     """
     n = max(1, math.ceil(totals.count() / ORDERED))
     ranged = stored(totals.repartitionByRange(n, F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), "mix-sources")
-    before, counts = 0, {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}
-    offset = F.lit(0)
-    for part in sorted(counts):
-        offset, before = F.when(F.col("part") == part, before).otherwise(offset), before + counts[part]
-    place = offset + F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("source"))) - 1
+    before, starts = 0, []
+    for part, count in sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect()):
+        starts.append((part, before))
+        before += count
+    ranged = ranged.join(totals.sparkSession.createDataFrame(starts, "part int, offset long"), "part")
+    place = F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("source"))) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights)).cast("int") + 1)
     ranked = ranged.withColumn("weight", weight)
     limit = F.col("source_size") * F.lit(float(cap))
@@ -68,54 +71,59 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap
     return ranked.select("source", "source_size", F.least(F.col("weight") * F.lit(level), limit).alias("target"))
 
 
-def tilt(size: np.ndarray, n: np.ndarray, target: float, cap: float = CAP, rounds: int = 200) -> np.ndarray:
-    """Rates min(cap, exp(lam * c)) of a source whose sizes occur n times, such that its words come to target.
+def _tilted(lam: Column, size: Column, mean: Column, cap: float) -> Column:
+    return F.exp(F.least(lam * size / mean, F.lit(math.log(cap))))
 
-    Newton's method on the dual's derivative, which grows with lam; a bracket holds every step.
-    """
-    words = size * n
-    total = words.sum()
-    if target <= 0 or total == 0:
-        return np.zeros(len(size))
-    if target >= cap * total:
-        return np.full(len(size), cap)
-    c = size / ((size * words).sum() / total)
-    low, high, lam = -math.inf, math.inf, 0.0
-    top = math.log(cap)
-    for _ in range(rounds):
-        free = lam * c < top
-        rate = np.where(free, np.exp(np.minimum(lam * c, top)), cap)
-        over = (words * rate).sum() - target
-        if abs(over) <= 1e-10 * target:
-            break
-        low, high = (low, lam) if over > 0 else (lam, high)
-        slope = (words * rate * c)[free].sum()
-        step = lam - over / slope if slope > 0 else math.nan
-        if not low < step < high:
-            step = (low + high) / 2 if math.isfinite(low + high) else (2 * lam - 1 if over > 0 else 2 * lam + 1)
-        lam = step
-    return rate
 
+def tilt(sizes: DataFrame, cap: float = CAP) -> DataFrame:
+    """sizes (source, size, n, target, ...) with rate = min(cap, exp(lam * c)), such that the words of each source come to target.
 
-def diffuse(size: np.ndarray, n: np.ndarray, rate: np.ndarray, cap: float = CAP) -> np.ndarray:
+    Newton's method on the derivative of the dual, which grows with lam; a bracket holds every step.
+    """
+    words = F.col("size") * F.col("n")
+    facts = sizes.groupBy("source").agg(F.sum(words).cast("double").alias("total"), F.sum(F.col("size") * words.cast("double")).alias("squares"), F.first("target").alias("goal"))
+    facts = facts.select(F.col("source").alias("of"), "goal", F.try_divide("squares", "total").alias("mean"), (F.col("goal") <= 0).alias("none"), (F.col("goal") >= cap * F.col("total")).alias("all"))
+    infinity = float("inf")
+    start = facts.select("*", F.lit(0.0).alias("lam"), F.lit(-infinity).alias("low"), F.lit(infinity).alias("high"), (F.col("mean").isNull() | F.col("none") | F.col("all")).alias("done"))
+    state = stored(start, "mix-dual")
+    for _ in range(ROUNDS):
+        if state.where("not done").isEmpty():
+            break
+        with temporary(sizes.sparkSession) as kept:
+            now = sizes.join(state.where("not done"), F.col("source").eqNullSafe(F.col("of")))
+            rate, c = _tilted(F.col("lam"), F.col("size"), F.col("mean"), cap), F.col("size") / F.col("mean")
+            free = F.col("lam") * c < math.log(cap)
+            sums = now.groupBy(F.col("source").alias("s")).agg(F.sum(words * rate).alias("words"), F.sum(F.when(free, words * rate * c)).alias("slope"))
+            over = F.col("words") - F.col("goal")
+            low, high = F.when(over > 0, F.col("low")).otherwise(F.col("lam")), F.when(over > 0, F.col("lam")).otherwise(F.col("high"))
+            newton = F.col("lam") - over / F.nullif(F.col("slope"), F.lit(0.0))
+            far = F.when((low > -infinity) & (high < infinity), (low + high) / 2).when(over > 0, 2 * F.col("lam") - 1).otherwise(2 * F.col("lam") + 1)
+            step = F.when((newton > low) & (newton < high), newton).otherwise(far)
+            ended = F.abs(over) <= EXACT * F.col("goal")
+            moved = state.where("not done").join(sums, F.col("of").eqNullSafe(F.col("s")))
+            moved = moved.select("of", "goal", "mean", "none", "all", F.when(ended, F.col("lam")).otherwise(step).alias("lam"), low.alias("low"), high.alias("high"), ended.alias("done"))
+            state = kept(state.where("done").unionByName(moved), "mix-dual")
+    rate = F.when(F.col("none") | F.col("mean").isNull(), 0.0).when(F.col("all"), float(cap)).otherwise(_tilted(F.col("lam"), F.col("size"), F.col("mean"), cap))
+    return sizes.join(state, F.col("source").eqNullSafe(F.col("of"))).select(*sizes.columns, rate.alias("rate"))
+
+
+def diffuse(size: list[int], n: list[int], rate: list[float], cap: float = CAP) -> list[int]:
     """Whole copies of all documents of each size, sizes in descending order; the error moves on to smaller ones."""
-    out, carry = np.zeros(len(size), np.int64), 0.0
-    for i, (s, k, r) in enumerate(zip(size, n, rate, strict=True)):
+    out, carry = [], 0.0
+    for s, k, r in zip(size, n, rate, strict=True):
         if s > 0:
             want = s * k * r + carry
-            out[i] = min(max(round(want / s), 0), math.floor(cap) * k)
-            carry = want - out[i] * s
+            out.append(min(max(round(want / s), 0), math.floor(cap) * k))
+            carry = want - out[-1] * s
         else:
-            out[i] = k
+            out.append(k)
     return out
 
 
-def _solve(cap: float):
+def _diffused(cap: float):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size", ascending=False)
-        size, n = rows["size"].to_numpy(float), rows["n"].to_numpy(np.int64)
-        rate = tilt(size, n, float(rows["target"].iloc[0]), cap)
-        return rows.assign(rate=rate, copies_all=diffuse(size, n, rate, cap))
+        return rows.assign(copies_all=diffuse(rows["size"].tolist(), rows["n"].tolist(), rows["rate"].tolist(), cap))
 
     return solve
 
@@ -133,14 +141,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     order = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(
         F.struct(*own).alias("row"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), order.alias("order")
-    ).withColumn("sub", F.pmod("order", F.lit(SPREAD)).cast("int"))
+    )
+    rows = rows.withColumn("sub", F.pmod("order", F.lit(max(SPREAD, math.ceil(docs.count() / SUB)))).cast("int"))
     counts = stored(rows.groupBy("source", "size", "sub").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     sizes = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
     totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = stored(source_targets(totals, weights, share, cap), "mix-targets")
     known = sizes.alias("z").join(targets.alias("t"), F.col("z.source").eqNullSafe(F.col("t.source"))).select("z.source", "size", "n", "source_size", "target")
+    known = tilt(stored(known, "mix-known"), float(cap))
     plan = known.groupBy("source").applyInPandas(
-        _solve(float(cap)), f"source {dict(docs.dtypes)[source_col]}, size long, n long, source_size long, target double, rate double, copies_all long"
+        _diffused(float(cap)), f"source {dict(docs.dtypes)[source_col]}, size long, n long, source_size long, target double, rate double, copies_all long"
     )
     plan = stored(plan, "mix-plan")
     ahead = F.sum("n").over(Window.partitionBy("source", "size").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1))
