@@ -1,34 +1,40 @@
 """License scan by diagonal voting.
 
-Every template (a phrase or a license text) is a sequence of words. The hashes of all k-grams of words of a document
-are joined with the template positions that have the same hash. A hit at document word p and template word q votes for
-the diagonal p - q; a passage that follows a template puts all its votes on one diagonal, and words that were added or
-left out move the rest to a neighbouring one. Votes are counted by diagonal, neighbouring diagonals are merged into
-spans, and a span counts after its words have been compared with the template's.
-
-Phrases have two or three words, so they use k = 2 and must be complete; license texts use k = LONG_K and need
-COVER of their k-grams. The templates are a fixed list and broadcast; votes are keyed by document, template and place,
-so neither a common word nor a common line brings rows of different documents together.
+Every template (a phrase or a license text) is a sequence of words. The hashes of all rolling k-grams of words of a
+document are joined with the template positions that have the same hash. A hit at document word p and template word q
+votes for the diagonal p - q; a passage that follows a template puts all its votes on one diagonal, and words that were
+added or left out move the rest to a neighbouring one. Votes are counted by diagonal, and neighbouring diagonals whose
+places follow each other are merged into spans. A span is verified by aligning its words with the template's (longest
+common subsequence): it holds a license text if it has COVER of the template's words and these are DENSE of its own.
+
+Phrases have two or three words, so they use k = 2 and must be complete; license texts use k = LONG_K. The templates
+are a fixed list and broadcast; grams meet them in the map tasks, and only votes are dealt, by document, with the words
+of the documents that have any. Neither a common word nor a common line brings rows of different documents together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
 
 SHORT_K, LONG_K = 2, 4
-#: Diagonals this near each other are merged; share of a license text's k-grams that a span must match.
-SHIFT, COVER = 8, 0.5
+#: Multiplier of the rolling hash, and words whose hash a worker remembers.
+_BASE, REMEMBERED = 0x9E3779B97F4A7C15, 400_000
+#: Diagonals this near each other are merged, if the next begins so many words after the end of the last at most.
+SHIFT, GAP = 8, 32
+#: Share of a license text's words that a span must hold, and share of a span's words that must be the license's.
+COVER, DENSE = 0.5, 0.5
+#: Hashes of a row that every document has, and of the row with its words.
+_DOCUMENT, _BODY = 1, 2
 
 
 @dataclass(frozen=True)
@@ -60,7 +66,15 @@ TEMPLATES = (
     Template("ISC", "isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     Template("MPL-2.0", "mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     Template("CC", "cc", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    Template("CC line", "cc", "Licensed under CC BY-NC 4.0"),
+    Template("CC BY", "cc", "Licensed under CC BY 4.0"),
+    Template("CC BY-SA", "cc", "Licensed under CC BY-SA 4.0"),
+    Template("CC BY-ND", "cc", "Licensed under CC BY-ND 4.0"),
+    Template("CC BY-NC", "cc", "Licensed under CC BY-NC 4.0"),
+    Template("CC BY-NC-SA", "cc", "Licensed under CC BY-NC-SA 4.0"),
+    Template("CC BY-NC-ND", "cc", "Licensed under CC BY-NC-ND 4.0"),
+    Template("MIT warranty", "mit", "The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."),
+    Template("Apache-2.0 warranty", "apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    Template("GPL warranty", "gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     Template("Unlicense", "unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
@@ -72,74 +86,99 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LOWER).split()
 
 
-def _gram(found: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(found), len(found)) - (1 << 63)
+class _Hashes(dict):
+    """Hash of each word, computed when it is first asked for."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 7)
+        return h
 
-def positions(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(hash, gram, template, at): every k-gram of every template."""
-    rows = []
+
+def grams(found: list[bytes], k: int, hashes: _Hashes) -> np.ndarray:
+    """Rolling hashes of all k-grams; the number of words is part of a hash."""
+    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+    n = max(len(h) - k + 1, 0)
+    value = np.full(n, k, np.uint64)
+    for i in range(k):
+        value = value * np.uint64(_BASE) + h[i : i + n]
+    return value.view(np.int64)
+
+
+def positions(templates=TEMPLATES) -> list[tuple[int, int, int, int]]:
+    """(hash, template, at, k): every k-gram of every template, and the two rows of a document."""
+    rows = [(_DOCUMENT, -1, 0, 0), (_BODY, -2, 0, 0)]
     for t, template in enumerate(templates):
-        w = template.words
-        rows += [(_gram(w[i : i + template.k]), b" ".join(w[i : i + template.k]).decode(), t, i) for i in range(len(w) - template.k + 1)]
-    return spark.createDataFrame(rows, "hash long, gram string, template int, at int")
+        rows += [(h, t, i, template.k) for i, h in enumerate(grams(template.words, template.k, _Hashes()).tolist())]
+    return rows
 
 
-class _Grams:
-    """Rolling k-grams of a document that some template may have.
+def _scan(templates):
+    names = ["key", "id", "n_words", "body", "grams"]
 
-    Words are numbered by their place in the templates' vocabulary, 0 for all others, so that the grams of a document
-    are found by arithmetic on arrays; those with a word that no template has join with nothing and are not sent.
-    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known = _Hashes(), np.array([p[0] for p in positions(templates)[2:]], np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                b = batch.slice(i, 512)
+                at, n, body, every = [], [], [], []
+                for r, text in enumerate(b.column(2).to_pylist()):
+                    found = words(text)
+                    own = np.concatenate(([_DOCUMENT], *(grams(found, k, hashes) for k in (SHORT_K, LONG_K))))
+                    at.append(r)
+                    n.append(len(found))
+                    body.append(None)
+                    every.append(own)
+                    if np.isin(own, known).any():  # the words, to verify what the votes find
+                        at.append(r)
+                        n.append(len(found))
+                        body.append(b" ".join(found).decode())
+                        every.append(np.array([_BODY]))
+                ends = np.cumsum([0, *map(len, every)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(every)))
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(n, pa.int64()), pa.array(body, pa.string()), lists], names=names)
 
-    def __init__(self, templates) -> None:
-        self.number = {w: i + 1 for i, w in enumerate(sorted({w for t in templates for w in t.words}))}
-        self.known: dict[int, dict[int, int]] = {}
-        for t in templates:
-            w = t.words
-            for i in range(len(w) - t.k + 1):
-                self.known.setdefault(t.k, {})[self.code([self.number[x] for x in w[i : i + t.k]])] = _gram(w[i : i + t.k])
-        self.codes = {k: np.array(sorted(v), np.uint64) for k, v in self.known.items()}
-
-    def code(self, numbers) -> int:
-        value = 0
-        for n in numbers:
-            value = value * (len(self.number) + 1) + int(n)
-        return value
-
-    def hits(self, found: list[bytes]) -> list[tuple[int, int, int]]:
-        """Hash, place of the first word and k of the grams."""
-        get = self.number.get
-        numbers = np.fromiter((get(w, 0) for w in found), np.uint64, len(found))
-        out = []
-        for k, codes in self.codes.items():
-            if len(numbers) < k:
-                continue
-            value = np.zeros(len(numbers) - k + 1, np.uint64)
-            for i in range(k):
-                value = value * np.uint64(len(self.number) + 1) + numbers[i : len(numbers) - k + 1 + i]
-            at = np.flatnonzero(codes[np.minimum(np.searchsorted(codes, value), len(codes) - 1)] == value)
-            out += [(self.known[k][v], p, k) for v, p in zip(value[at].tolist(), at.tolist(), strict=True)]
-        return out
-
-
-@cache
-def _grams(templates) -> _Grams:
-    return _Grams(templates)
+    return run
 
 
-def _scan(templates):
-    kind = pa.list_(pa.struct([("hash", pa.int64()), ("place", pa.int64()), ("gram", pa.string())]))
+def common_words(template: list[bytes], found: list[bytes]) -> int:
+    """Length of the longest common subsequence, a bit for each word of the template."""
+    at: dict[bytes, int] = {}
+    for i, w in enumerate(template):
+        at[w] = at.get(w, 0) | 1 << i
+    full = (1 << len(template)) - 1
+    v = full
+    for w in found:
+        u = v & at.get(w, 0)
+        v = (v + u | v - u) & full
+    return len(template) - v.bit_count()
+
+
+def _verify(templates):
+    span = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("template", pa.string()), ("label", pa.string()), ("phrase", pa.bool_()), ("cover", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = _grams(templates)
+        own = [t.words for t in templates]
         for b in batches:
-            n, hits = [], []
-            for text in b.column(2).to_pylist():
-                found = words(text)
-                n.append(len(found))
-                hits.append([{"hash": h, "place": p, "gram": b" ".join(found[p : p + k]).decode()} for h, p, k in grams.hits(found)])
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(n, pa.int64()), pa.array(hits, kind)], names=["key", "id", "n_words", "hits"])
+            spans, scores = [], []
+            for body, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                kept, score = [], 0.0
+                text = (body or "").encode().split(b" ") if found else []
+                for s in sorted(found or [], key=lambda s: (s["start"], s["stop"], s["template"])):
+                    t, part = templates[s["template"]], text[s["start"] : s["stop"]]
+                    if t.phrase:
+                        cover = dense = float(part == own[s["template"]])
+                    else:
+                        n = common_words(own[s["template"]], part)
+                        cover, dense = n / len(own[s["template"]]), n / max(len(part), 1)
+                    if cover >= (1.0 if t.phrase else COVER) and dense >= DENSE:
+                        kept.append({"start": s["start"], "stop": s["stop"], "template": t.name, "label": t.label, "phrase": t.phrase, "cover": cover})
+                    score = max(score, cover * min(1.0, dense / DENSE))
+                spans.append(kept)
+                scores.append(score)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(span)), pa.array(scores, pa.float64())], names=["id", "n_words", "spans", "score"])
 
     return run
 
@@ -148,34 +187,38 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_words, spans, labels, score), a row for every row of docs.
 
     spans: array of struct<start, stop, template, label, phrase, cover>, by start: words from 0, stop exclusive, cover
-    the share of the template's k-grams that the span holds. Complete phrases count, and license texts from COVER on.
-    labels: distinct, sorted. score: the best cover of any span, below COVER too; 0 without votes.
-    A null text counts as empty. Rows with equal ids, and repeated rows, are told apart; other columns of docs are
-    not read. An empty table gives an empty result.
+    the share of the template's words that the span holds in order. Complete phrases count, and license texts from
+    COVER and DENSE on. labels: distinct, sorted. score: the best cover of any span, less where it is not dense; 0
+    without votes. A null text counts as empty. Rows with equal ids, and repeated rows, are told apart; other columns
+    of docs are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind), T.StructField("n_words", T.LongType())])
-    schema = schema.add("hits", T.ArrayType(T.StructType().add("hash", T.LongType()).add("place", T.LongType()).add("gram", T.StringType())))
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("body", T.StringType())])
+    schema = schema.add("grams", T.ArrayType(T.LongType()))
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    hits = rows.mapInArrow(_scan(templates), schema).select("key", "id", "n_words", F.explode_outer("hits").alias("hit"))
-    known = F.broadcast(positions(spark, templates))  # a fixed list
-    votes = hits.join(known, (F.col("hit.hash") == F.col("hash")) & (F.col("hit.gram") == F.col("gram")), "left")
-    votes = votes.select("key", "id", "n_words", "template", "at", F.col("hit.place").alias("place"), (F.col("hit.place") - F.col("at")).alias("diagonal"))
+    every = rows.mapInArrow(_scan(templates), schema).select("key", "id", "n_words", "body", F.posexplode("grams").alias("pos", "gram"))
+    known = F.broadcast(spark.createDataFrame(positions(templates), "hash long, template int, at int, k int"))  # a fixed list
+    votes = every.join(known, F.col("gram") == F.col("hash"))
+    short = F.greatest(F.col("n_words") - (SHORT_K - 1), F.lit(0))  # grams of SHORT_K come first
+    place = F.when(F.col("k") == 0, 0).otherwise(F.col("pos") - 1 - F.when(F.col("k") == LONG_K, short).otherwise(0))
+    votes = votes.withColumn("place", place.cast("long")).select("key", "id", "n_words", "body", "template", "k", "at", "place", (F.col("place") - F.col("at")).alias("diagonal"))
     votes = votes.repartition("key")  # everything below is grouped by the row, so this is the only exchange
-    lines = votes.groupBy("key", "template", "diagonal").agg(F.collect_list("at").alias("at"), F.min("place").alias("start"), F.max("place").alias("last"), F.first("id").alias("id"), F.first("n_words").alias("n_words"))
-    meta = spark.createDataFrame([(i, t.name, t.label, t.phrase, t.k, len(t.words) - t.k + 1) for i, t in enumerate(templates)], "of int, name string, label string, phrase boolean, k int, grams int")
-    lines = lines.join(F.broadcast(meta), F.col("template") == F.col("of"), "left")
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("id", "n_words", "body")]
+    lines = votes.groupBy("key", "template", "diagonal").agg(F.collect_set("at").alias("at"), F.min("place").alias("start"), F.max(F.col("place") + F.col("k")).alias("stop"), *first)
     by_diagonal = Window.partitionBy("key", "template").orderBy("diagonal")
-    fresh = F.coalesce(F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > SHIFT), F.lit(True))
-    lines = lines.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(by_diagonal))
-    facts = [F.first(c).alias(c) for c in ("id", "n_words", "name", "label", "phrase", "k", "grams")]
-    spans = lines.groupBy("key", "template", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("held"), F.min("start").alias("start"), F.max("last").alias("last"), *facts)
-    spans = spans.withColumn("cover", F.col("held") / F.col("grams"))
-    counts = F.col("cover") >= F.when(F.col("phrase"), 1.0).otherwise(COVER)
-    span = F.struct("start", (F.col("last") + F.col("k")).alias("stop"), F.col("name").alias("template"), "label", "phrase", "cover")
-    out = spans.groupBy("key").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_list(F.when(counts, span))).alias("spans"), F.coalesce(F.max(F.when(~F.col("phrase") | counts, F.col("cover"))), F.lit(0.0)).alias("score"))
-    return out.select("id", "n_words", "spans", F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["label"]))).alias("labels"), "score")
+    phrase = F.col("template").isin([i for i, t in enumerate(templates) if t.phrase])
+    far = (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > SHIFT) | (F.col("start") - F.lag("stop").over(by_diagonal) > GAP)
+    lines = lines.withColumn("fresh", F.coalesce(phrase | far, F.lit(True)).cast("int")).withColumn("span", F.sum("fresh").over(by_diagonal))
+    spans = lines.groupBy("key", "template", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max(F.size("at")).alias("held"), *first)
+    grams_of = F.element_at(F.array(*[F.lit(len(t.words) - t.k + 1) for t in templates]), F.col("template") + 1)
+    worth = (F.col("template") >= 0) & (~phrase | (F.col("held") == F.when(F.col("template") >= 0, grams_of)))  # all grams of a phrase
+    found = F.collect_list(F.when(worth, F.struct("start", "stop", "template"))).alias("found")
+    done = spans.groupBy("key").agg(*first, found).select("id", "n_words", "body", "found")
+    span = T.StructType().add("start", T.LongType()).add("stop", T.LongType()).add("template", T.StringType()).add("label", T.StringType()).add("phrase", T.BooleanType()).add("cover", T.DoubleType())
+    out = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("score", T.DoubleType())])
+    checked = done.mapInArrow(_verify(templates), out)
+    return checked.select("id", "n_words", "spans", F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["label"]))).alias("labels"), "score")
 
 
 def license_query(spark, sf_dir: str) -> DataFrame:

@@ -176,13 +176,28 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-@pytest.mark.parametrize("share", [0.05, 0.5, 1.0, 1.3, 1.999, 2.0])
-def test_tilt(share):
+def test_tilt(spark):
+    """Every source comes to its target, at the one multiplier that bisection finds too."""
+    shares = [0.0, 0.05, 0.5, 1.0, 1.3, 1.999, 2.0]
     size, n = np.array([5000.0, 300.0, 20.0, 1.0]), np.array([2, 40, 500, 9])
-    rate = mixing.tilt(size, n, share * (size * n).sum())
-    assert (size * n * rate).sum() == pytest.approx(share * (size * n).sum()) and rate.max() <= 2
-    copies = mixing.diffuse(size, n, rate)
-    assert abs((copies * size).sum() - share * (size * n).sum()) <= 1 and (copies <= 2 * n).all()
+    total = float((size * n).sum())
+    rows = [(None if k == 1 else f"s{k}", int(s), int(m), share * total) for k, share in enumerate(shares) for s, m in zip(size, n, strict=True)]
+    rows += [("zero", 0, 5, 0.0)]
+    found = mixing.tilt(spark.createDataFrame(rows, "source string, size long, n long, target double")).collect()
+    assert len(found) == len(rows) and all(r["rate"] == 0 for r in found if r["source"] == "zero")
+    c = size / ((size * size * n).sum() / total)
+    for k, share in enumerate(shares):
+        by_size = {r["size"]: r["rate"] for r in found if r["source"] == (None if k == 1 else f"s{k}")}
+        rate = np.array([by_size[int(s)] for s in size])
+        assert (size * n * rate).sum() == pytest.approx(share * total) and rate.max() <= 2
+        low, high = -1e4, 1e4
+        for _ in range(200):
+            lam = (low + high) / 2
+            low, high = (low, lam) if (size * n * np.minimum(2, np.exp(np.minimum(lam * c, 1)))).sum() > share * total else (lam, high)
+        if 0 < share < 2:
+            assert rate == pytest.approx(np.minimum(2, np.exp(np.minimum(low * c, 1))), rel=1e-6)
+        copies = np.array(mixing.diffuse(size.tolist(), n.tolist(), rate.tolist()))
+        assert abs((copies * size).sum() - share * total) <= 1 and (copies <= 2 * n).all()
 
 
 # -- 8, 9 ----------------------------------------------------------------------------------------
@@ -346,6 +361,33 @@ def test_licenses(spark, docs, empty):
     assert found[6]["labels"] == ["mit"] and found[6]["score"] > 0.8 and found[7]["labels"] == [] and 0 < found[7]["score"] < 0.5
     assert found[4]["n_words"] == 0 and found[9]["n_words"] == 3002
     assert licenses.find_licenses(df).count() == len(texts) + 1
+
+    def brute(text, t):  # complete phrases; of other templates the best window of words
+        w, own = licenses.words(text), t.words
+        if t.phrase:
+            return any(w[i : i + len(own)] == own for i in range(len(w)))
+        return any(licenses.common_words(own, w[i : i + len(own)]) >= 0.75 * len(own) for i in range(len(w)))
+
+    rng, made = random.Random(9), []
+    for k in range(60):
+        t = rng.choice(licenses.TEMPLATES)
+        w = t.text.split()
+        if k % 3 == 1 and not t.phrase:  # a few edits
+            for _ in range(len(w) // 20):
+                w[rng.randrange(len(w))] = "zz"
+        if k % 3 == 2:  # its grams in any order, with a word between
+            w = [x for i in range(0, len(w) - 3) for x in (*w[i : i + 4], f"q{rng.randrange(99)}")]
+            w = w if len(w) > 40 else ["nothing"]
+        made.append((k, " ".join([*(f"x{rng.randrange(500)}" for _ in range(rng.randrange(80))), *w, *(f"y{rng.randrange(500)}" for _ in range(30))]), t.label))
+    seen = {r["id"]: r for r in licenses.find_licenses(spark.createDataFrame([m[:2] for m in made], "doc_id long, text string")).collect()}
+    for k, text, label in made:
+        expected = {t.label for t in licenses.TEMPLATES if brute(text, t)}
+        assert expected <= set(seen[k]["labels"]), (text, seen[k]["labels"])
+        assert k % 3 == 2 or label in seen[k]["labels"]
+        assert k % 3 != 2 or set(seen[k]["labels"]) <= expected, (text, seen[k])
+    scrambled = " ".join(x for i in range(len(mit) - 3) for x in (*mit[i : i + 4], "filler"))
+    row = licenses.find_licenses(spark.createDataFrame([(0, scrambled)], "doc_id long, text string")).first()
+    assert row["labels"] == [] and row["score"] < 1
     assert licenses.find_licenses(docs).count() == len(rows()) and licenses.find_licenses(empty).count() == 0
 
 
