@@ -12,7 +12,9 @@ again: around each join a window is re-encoded, and grown until its ids meet tho
   text; as the shared ids are part of both encodings, every pair in the joined sequence has that property.
 
 Texts beyond LONG characters are cut into pieces in Spark, so their parts are encoded by several tasks;
-shorter ones are encoded where they are read. Encodings of words are kept in a bounded table per worker.
+shorter ones are encoded where they are read. A run without white space beyond RUN characters is cut again:
+its pre-tokens are dealt out in batches, and a long pre-token in leaves, whose ids are joined in a tree by
+the growing window. Encodings of words are kept in a bounded table per worker.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, table
+from .common import partitions, stored, table
 
 #: Characters of the leaves of the tree, of the pieces that Spark deals out, and from which on it does.
 LEAF, PIECE, LONG = 2048, 32_768, 65_536
+#: Bytes of an unsplit run from which on its pieces are encoded by several tasks.
+RUN = 65_536
 #: Words whose ids a worker remembers; beyond that, the first half stays, as frequent words come early.
 REMEMBERED = 400_000
 #: Ids on each side of a join that are encoded again at first.
@@ -113,6 +117,12 @@ class Encoder:
     def _run(self, piece: str) -> list[tuple[int, int]]:
         """(id, characters) of a pre-token, by tree concatenation."""
         if len(piece) <= LEAF:
+            return self._leaf(piece)
+        half = len(piece) // 2
+        return self._join(piece, half, self._run(piece[:half]), self._run(piece[half:]))
+
+    def _leaf(self, piece: str) -> list[tuple[int, int]]:
+        if piece:
             suffix = self.tk.model.end_of_word_suffix or ""
             out = []
             for t in self.tk.model.tokenize(piece):
@@ -120,8 +130,26 @@ class Encoder:
                 ends = suffix and value.endswith(suffix)
                 out.append((t.id, len(value) - len(suffix) if ends else len(value)))
             return out
-        half = len(piece) // 2
-        return self._join(piece, half, self._run(piece[:half]), self._run(piece[half:]))
+        return []
+
+    def join_leaves(self, texts: list[str], ids: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+        """(id, characters) of a pre-token from those of its leaves in order."""
+        while len(ids) > 1:
+            pairs = range(0, len(ids), 2)
+            ids = [self._join(texts[i] + texts[i + 1], len(texts[i]), ids[i], ids[i + 1]) if i + 1 < len(ids) else ids[i] for i in pairs]
+            texts = ["".join(texts[i : i + 2]) for i in pairs]
+        return ids[0]
+
+    def pretokens(self, word: str) -> Iterator[str | int]:
+        """Pre-tokens of a word in the model's alphabet, and ids of its added tokens."""
+        at = 0
+        cuts = [(m.start(), m.end()) for m in self.special.finditer(word)] if self.special else []
+        for s, e in [*cuts, (len(word), len(word))]:
+            if s > at:
+                yield from (p for p, _ in self.tk.pre_tokenizer.pre_tokenize_str(self.tk.normalizer.normalize_str(word[at:s])))
+            if e > s:
+                yield self.tk.token_to_id(word[s:e])
+            at = e
 
     def _join(self, piece: str, half: int, left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple[int, int]]:
         size = WINDOW
@@ -151,15 +179,9 @@ class Encoder:
 
     def _long_word(self, word: str) -> bytes:
         """A word beyond LEAF: added tokens first, then normalised pre-tokens, each as a run."""
-        out, at = [], 0
-        cuts = [(m.start(), m.end()) for m in self.special.finditer(word)] if self.special else []
-        for s, e in [*cuts, (len(word), len(word))]:
-            if s > at:
-                for piece, _ in self.tk.pre_tokenizer.pre_tokenize_str(self.tk.normalizer.normalize_str(word[at:s])):
-                    out += [i for i, _ in self._run(piece)]
-            if e > s:
-                out.append(self.tk.token_to_id(word[s:e]))
-            at = e
+        out = []
+        for piece in self.pretokens(word):
+            out += [piece] if isinstance(piece, int) else [i for i, _ in self._run(piece)]
         return np.array(out, "<u4").tobytes()
 
     # -- texts -------------------------------------------------------------------------------
@@ -261,14 +283,135 @@ def _parts(path: str) -> Callable:
     return run
 
 
-def _trees(path: str, back: bool) -> Callable:
-    def run(rows: pa.Table) -> pa.Table:
+def segments(parts: list[Part], enc: Encoder, run: int) -> list[bytes | str]:
+    """A text's parts in order as ids, and as text where an unsplit run is longer than `run` bytes."""
+    long, size = False, 0
+    for p in parts:
+        long |= size + len(p.head) > run
+        size = size + len(p.head) if p.tail is None else len(p.tail)
+    if not long and size <= run:
+        return [tree(parts, enc)]
+    out: list[bytes | str] = [b""]
+
+    def word(pieces: list[bytes]) -> None:
+        whole = b"".join(pieces)
+        if len(whole) > run:
+            out.extend((whole.decode(), b""))
+        else:
+            out[-1] += enc.encode([whole.decode()])[0]
+
+    open_: list[bytes] = []
+    for p in parts:
+        open_.append(p.head)
+        if p.tail is not None:
+            word(open_)
+            out[-1] += p.ids
+            open_ = [p.tail]
+    word(open_)
+    return out
+
+
+def _segments(path: str, run: int) -> Callable:
+    names = ["key", "row", "seq", "cut", "ids", "run"]
+
+    def make(rows: pa.Table) -> pa.Table:
         enc = encoder(path)
         rows = rows.combine_chunks().sort_by("part")
         columns = [rows[c].to_pylist() for c in ("head", "ids", "tail")]
-        ids = tree([Part(*x) for x in zip(*columns, strict=True)], enc)
-        out = [rows["row"].slice(0, 1), pa.array([len(ids) // 4], pa.int64()), pa.array([ids], pa.binary())]
-        return pa.Table.from_arrays(out + [pa.array([enc.decode(ids)])] * back, names=["row", "n_tokens", "ids"] + ["decoded"] * back)
+        found = segments([Part(*x) for x in zip(*columns, strict=True)], enc, run)
+        n = len(found)
+        own = pa.concat_arrays([rows["row"].slice(0, 1).combine_chunks(), pa.nulls(n - 1, rows["row"].type)])
+        ids, text = ([x if isinstance(x, t) else None for x in found] for t in (bytes, str))
+        return pa.Table.from_arrays([pa.array([rows["key"][0].as_py()] * n, pa.int64()), own, pa.array(range(n), pa.int32()), pa.array([n > 1] * n), pa.array(ids, pa.binary()), pa.array(text, pa.string())], names=names)
+
+    return make
+
+
+_LEAF_ROW = "key long, seq int, unit int, leaf int, text string, added int"
+
+
+def _leaves(path: str, piece: int) -> Callable:
+    """Rows of an unsplit run: added tokens, batches of short pre-tokens (a space between), and leaves of long ones."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            for key, seq, word in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                rows, batch, size = [], [], 0
+                for p in [*enc.pretokens(word), None]:
+                    if batch and (not isinstance(p, str) or size + len(p) > piece):
+                        rows.append((-1, " ".join(batch), None))
+                        batch, size = [], 0
+                    if isinstance(p, int):
+                        rows.append((-1, None, p))
+                    elif p is not None and len(p) > piece:
+                        rows += [(k, p[i : i + piece], None) for k, i in enumerate(range(0, len(p), piece))]
+                    elif p is not None:
+                        batch.append(p)
+                        size += len(p)
+                leaf, text, added = zip(*rows, strict=True) if rows else ((), (), ())
+                unit = np.cumsum([k <= 0 for k in leaf]) if rows else []
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * n, pa.int64()), pa.array([seq] * n, pa.int32()), pa.array(unit, pa.int32()), pa.array(leaf, pa.int32()), pa.array(text, pa.string()), pa.array(added, pa.int32())],
+                    names=["key", "seq", "unit", "leaf", "text", "added"],
+                )
+
+    return run
+
+
+def _encode_leaves(path: str) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            ids, lengths = [], []
+            for leaf, text, added in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                found = [(added, 0)] if added is not None else enc._run(text) if leaf >= 0 else [t for p in text.split(" ") for t in enc._run(p)]
+                ids.append(np.array([t[0] for t in found], "<u4").tobytes())
+                lengths.append(np.array([t[1] for t in found], "<u4").tobytes())
+            text = [t if k >= 0 else None for k, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(text, pa.string()), pa.array(ids, pa.binary()), pa.array(lengths, pa.binary())], names=["key", "seq", "unit", "leaf", "text", "ids", "lengths"])
+
+    return run
+
+
+def _output(row: pa.Array, ids: list[bytes], enc: Encoder, back: bool) -> pa.Table:
+    out = [row, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+    return pa.Table.from_arrays(out + [pa.array(map(enc.decode, ids), pa.string())] * back, names=["row", "n_tokens", "ids"] + ["decoded"] * back)
+
+
+def _whole(path: str, back: bool) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _output(b.column(0), b.column(1).to_pylist(), encoder(path), back).to_batches()
+
+    return run
+
+
+def _trees(path: str, back: bool) -> Callable:
+    """A text from its segments and leaves."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        enc = encoder(path)
+        rows = rows.combine_chunks().sort_by([("seq", "ascending"), ("unit", "ascending"), ("leaf", "ascending")])
+        out, texts, leaves = [], [], []
+
+        def close() -> None:
+            if leaves:
+                out.append(np.array([i for i, _ in enc.join_leaves(texts, leaves)], "<u4").tobytes())
+                texts.clear()
+                leaves.clear()
+
+        for leaf, text, ids, lengths in zip(*(rows[c].to_pylist() for c in ("leaf", "text", "ids", "lengths")), strict=True):
+            if leaf <= 0:
+                close()
+            if leaf < 0:
+                out.append(ids)
+            else:
+                texts.append(text)
+                leaves.append(list(zip(np.frombuffer(ids, "<u4").tolist(), np.frombuffer(lengths, "<u4").tolist(), strict=True)))
+        close()
+        return _output(rows["row"].slice(0, 1).combine_chunks(), [b"".join(out)], enc, back)
 
     return run
 
@@ -296,9 +439,17 @@ def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text", decode
     parts = T.StructType([T.StructField("key", T.LongType()), T.StructField("row", kind), T.StructField("part", T.IntegerType())])
     for c in ("head", "ids", "tail"):
         parts = parts.add(c, T.BinaryType())
-    done = pieces.repartition(partitions(docs.sparkSession), "key", "part").mapInArrow(_parts(tokenizer), parts)
-    joined = done.groupBy("key").applyInArrow(_trees(tokenizer, decoded), schema)
-    return short.unionByName(joined).select("row.*", *names)
+    n = partitions(docs.sparkSession)
+    done = pieces.repartition(n, "key", "part").mapInArrow(_parts(tokenizer), parts)
+    segment = T.StructType([T.StructField("key", T.LongType()), T.StructField("row", kind), T.StructField("seq", T.IntegerType()), T.StructField("cut", T.BooleanType())])
+    segment = segment.add("ids", T.BinaryType()).add("run", T.StringType())
+    found = stored(done.groupBy("key").applyInArrow(_segments(tokenizer, RUN), segment), "bpe-segments")
+    whole = found.where("not cut").select("row", "ids").mapInArrow(_whole(tokenizer, decoded), schema)
+    leaves = found.where("run is not null").select("key", "seq", "run").mapInArrow(_leaves(tokenizer, piece), _LEAF_ROW).repartition(n, "key", "seq", "unit", "leaf")
+    leaves = leaves.mapInArrow(_encode_leaves(tokenizer), "key long, seq int, unit int, leaf int, text string, ids binary, lengths binary")
+    rest = found.where("cut and run is null").select("key", "row", "seq", F.lit(0).alias("unit"), F.lit(-1).alias("leaf"), "ids")
+    joined = rest.unionByName(leaves, allowMissingColumns=True).groupBy("key").applyInArrow(_trees(tokenizer, decoded), schema)
+    return short.unionByName(whole).unionByName(joined).select("row.*", *names)
 
 
 def bpe_query(spark, sf_dir: str) -> DataFrame:

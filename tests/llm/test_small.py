@@ -253,6 +253,21 @@ def test_encode_texts(docs, empty, tokenizer):
     assert bpe.encode_texts(empty, tokenizer).count() == 0
 
 
+def test_long_runs_are_encoded_by_pieces(spark, tokenizer, monkeypatch):
+    """Runs without white space, cut into leaves that several tasks encode, are what the library makes of the whole."""
+    monkeypatch.setattr(bpe, "RUN", 2000)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("abcdefgh", 30_000), ("the", 9000), ("ab0123.,!?é中<|>'s", 12_000), ("0123456789", 5000))]
+    texts += [f"lead {texts[0]} middle words {texts[2]}<|endoftext|>{texts[1]} tail", "x" * 20_000, f" {texts[3]} ", " ".join(texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = bpe.encode_texts(df, tokenizer, long=1500, piece=700).collect()
+    assert len(found) == len(texts)
+    tk = __import__("tokenizers").Tokenizer.from_file(tokenizer)
+    for r in found:
+        ids = library(tokenizer, r["text"])
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["decoded"] == tk.decode(ids, skip_special_tokens=False), r["doc_id"]
+
+
 def test_direct_codes():
     rng = np.random.default_rng(3)
     for ids in (np.empty(0, np.uint32), np.array([0, 255, 256, 65535, 65536, 2**32 - 1]), rng.integers(0, 50_000, 5000), rng.integers(0, 200, 700)):
