@@ -58,7 +58,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--limit", type=int, default=cfg.result_limit)
     parser.add_argument("--threshold", type=float, default=cfg.threshold)
     parser.add_argument("--model", default=cfg.model_type.lower())
-    parser.add_argument("--latent", type=int, default=8)
+    parser.add_argument("--latent", type=int, default=cfg.latent)
     parser.add_argument("--epochs", type=int, default=5)
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("simsift").getOrCreate()
@@ -73,7 +73,7 @@ def main(args: list[str] | None = None) -> None:
         names = list(indexes)
         ev.recall(ev.hits(ev.compare(items, indexes, limit=a.limit), names), names).show(truncate=False)
     elif a.command == "train":
-        net = enc.Autoencoder(a.model, WIDTH, a.latent, last="sigmoid")
+        net = enc.Autoencoder(a.model, WIDTH, a.latent, last=cfg.last_activation)
         rows = matrices(titles(spark, a.paths[0], *a.range)).orderBy(F.xxhash64("id")).limit(enc.SAMPLE)
         rows = stored(rows, "sample")
 
@@ -85,9 +85,9 @@ def main(args: list[str] | None = None) -> None:
             found = noisy.toPandas()
             return np.array(found["x"].tolist(), float), np.array(found["y"].tolist(), float)
 
-        losses = net.fit(data, a.epochs, cfg.learning_rate, batch=cfg.batch, max_drop=cfg.max_drop, max_swap=cfg.max_swap, adversarial=cfg.adversarial)
+        losses = net.fit(data, a.epochs, cfg.learning_rate, cfg.l1, cfg.l2, batch=cfg.batch, max_drop=cfg.max_drop, max_swap=cfg.max_swap, adversarial=cfg.adversarial, latent_weight=cfg.latent_weight)
         sinks.append_metrics(spark.createDataFrame(losses, "epoch int, name string, value double"), f"{a.paths[1]}/metrics")
-        net.save(spark, f"{a.paths[1]}/weights")
+        net.save(spark, f"{a.paths[1]}/weights", cfg.checkpoints_kept)
     elif a.command == "encode":
         net = enc.Autoencoder.load(spark, f"{a.paths[1]}/weights")
         items = titles(spark, a.paths[0], *a.range)

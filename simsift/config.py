@@ -10,21 +10,15 @@ class Config:
     model_type: str = "CNN"
     adversarial: bool = False
     learning_rate: float = 1e-4
-    l1: float = 0.1
-    l2: float = 0.1
-    train_range: tuple[int, int] = (0, 100_000)
-    test_range: tuple[int, int] = (100_000, 101_000)
+    l1: float = 0.0
+    l2: float = 0.0
     parse_range: tuple[int, int] = (0, 1000)
-    reconstruction_weight: float = 1.0
     latent_weight: float = 1.0
-    drop: int = 3
     max_drop: int = 10
-    swap: int = 3
     max_swap: int = 10
     batch: int = 4
-    latent: int = 1
-    sentence: int = 16
-    last_activation: str | None = None
+    latent: int = 8
+    last_activation: str = "sigmoid"
     checkpoints_kept: int = 5
     num_perm: int = 128
     threshold: float = 0.5

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,11 +83,22 @@ def fraction_digits(number: Column, places: int = 16) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(places)), lambda i: F.pmod(F.floor(part * F.pow(F.lit(2.0), i)), F.lit(2)).cast("int"))
 
 
-def float_bits(number: Column) -> Column:
-    """The 32 bits of a number as IEEE-754 single, highest first."""
+def vector_digits(vector: Column, places: int = 16) -> Column:
+    """fraction_digits of all components, one after the other."""
+    return F.flatten(F.transform(vector, lambda v: fraction_digits(v, places)))
+
+
+def resized(vector: Column, n: int) -> Column:
+    """The first n of the vector's components, which start again where they end; zeros for an empty one."""
+    times = F.ceil(F.lit(n) / F.greatest(F.size(vector), F.lit(1))).cast("int")
+    return F.when(F.size(vector) > 0, F.slice(F.flatten(F.array_repeat(vector, times)), 1, n)).otherwise(F.array_repeat(F.lit(0.0), n))
+
+
+def float_bits(vector: Column) -> Column:
+    """The 32 bits of each component as IEEE-754 single, highest first, one after the other; components are not null."""
 
     @F.pandas_udf("string")
-    def run(numbers: pd.Series) -> pd.Series:
-        return numbers.astype("float32").map(lambda x: None if pd.isna(x) else f"{int(pd.Series([x]).to_numpy('float32').view('uint32')[0]):032b}")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else "".join(np.unpackbits(np.asarray(r, ">f4").view(np.uint8)).astype(str)))
 
-    return run(number)
+    return run(vector)

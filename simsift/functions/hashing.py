@@ -30,13 +30,22 @@ def _by_digest(digest: Callable[[bytes], bytes]) -> Callable[[Column], Column]:
 
         return run(text)
 
+    def over_arrays(texts: Column) -> Column:
+        @F.pandas_udf("array<long>")
+        def run(rows: pd.Series) -> pd.Series:
+            return rows.map(lambda r: None if r is None else [struct.unpack("<I", digest(x.encode())[:4])[0] for x in r])
+
+        return run(texts)
+
+    hashed.over_arrays = over_arrays
     return hashed
 
 
 sha3_le32 = _by_digest(lambda b: hashlib.sha3_224(b).digest())
 xxh32_le32 = _by_digest(lambda b: xxhash.xxh32(b).digest())
 
-#: Hashes by name; register a Column -> Column function to add one.
+#: Hashes by name; register a Column -> Column function to add one: a built-in expression, or one that has its form for
+#: arrays of words as `over_arrays`.
 HASHES: dict[str, Callable[[Column], Column]] = {"sha1": sha1_le32, "sha3": sha3_le32, "xxh32": xxh32_le32}
 
 

@@ -7,18 +7,19 @@ the weights broadcast. A network is a list of layers; an autoencoder is an encod
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
 
-#: Rows that a fit takes at most.
-SAMPLE = 20_000
+#: Rows that a fit takes at most, and that are encoded at a time.
+SAMPLE, ENCODED = 20_000, 256
 
 
 class Layer:
@@ -249,12 +250,16 @@ class Autoencoder:
                 out.append((epoch, "discriminator", float(np.mean(judged))))
         return out
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Add a checkpoint to path; numbers of checkpoints go up."""
-        number = max([int(r[0]) for r in _numbers(spark, path)], default=0) + 1
+    def save(self, spark: SparkSession, path: str, keep: int = 5) -> None:
+        """Add a checkpoint to path; numbers of checkpoints go up, and only the last `keep` stay."""
+        before = sorted(int(r[0]) for r in _numbers(spark, path))
+        number = max(before, default=0) + 1
         arrays = [(n, i, name, list(getattr(layer, name).shape), getattr(layer, name).ravel().tolist()) for n, network in enumerate((self.encoder, self.decoder)) for i, (layer, name) in enumerate(network.arrays())]
         rows = spark.createDataFrame([(number, json.dumps(self.settings), *a) for a in arrays], "number int, settings string, network int, layer int, name string, shape array<int>, value array<double>")
         rows.write.mode("append").partitionBy("number").parquet(path)
+        for old in [*before, number][:-keep]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/number={old}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, number: int | None = None) -> Autoencoder:
@@ -303,24 +308,129 @@ def principal(vectors: DataFrame, latent: int) -> tuple[np.ndarray, np.ndarray]:
 def encode(rows: DataFrame, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(id, code) of rows (id, x): codes of flat matrices by `function`, from a batch of rows to a batch of vectors."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                codes = function(np.array(batch["x"].tolist(), float)).astype(np.float32)
-                yield pd.DataFrame({"id": batch["id"], "code": list(codes)})
+            for i in range(0, batch.num_rows, ENCODED):
+                b = batch.slice(i, ENCODED)
+                codes = function(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)).astype(np.float32)
+                ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * codes.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(codes.ravel()))], names=["id", "code"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "x").mapInPandas(run, f"id {kind}, code array<float>")
+    return rows.select("id", "x").mapInArrow(run, f"id {kind}, code array<float>")
+
+
+def fitted(rows: DataFrame, model: str, width: int, latent: int = 2, epochs: int = 2, sample: int = SAMPLE, batch: int = 32, rate: float = 1e-3) -> Autoencoder:
+    """An autoencoder fitted on `sample` of rows (id, x) at most, the first by a hash of the id, with random words
+    dropped and swapped."""
+    chosen = rows.select("id").orderBy(F.xxhash64("id")).limit(sample)  # ids first: every task sends as many rows as the limit
+    found = rows.join(chosen, "id", "left_semi").select("id", F.col("x").cast("array<float>").alias("x")).toArrow()
+    order = np.argsort(found.column("id").to_numpy(), kind="stable")
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+    net, rng = Autoencoder(model, width, latent, last="sigmoid"), np.random.default_rng(0)
+    net.fit(lambda drop, swap: noisy(x, len(x[0]) // width, drop, swap, rng), epochs=epochs, batch=batch, rate=rate)
+    return net
 
 
 def train_word_vectors(sentences: DataFrame, size: int = 200, window: int = 10, min_count: int = 1, seed: int = 1) -> DataFrame:
     """(word, vec) learned from sentences.words."""
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, inputCol="words", outputCol="out").fit(sentences)
+    parts = max(1, sentences.sparkSession.sparkContext.defaultParallelism)
+    model = Word2Vec(numPartitions=parts, vectorSize=size, windowSize=window, minCount=min_count, seed=seed, inputCol="words", outputCol="out").fit(sentences)
     from pyspark.ml.functions import vector_to_array
 
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vec"))
 
 
+def save_word_vectors(vectors: DataFrame, path: str) -> None:
+    """Write (word, vec), as a vocabulary that load_word_vectors reads."""
+    vectors.select("word", "vec").write.mode("overwrite").parquet(path)
+
+
+def load_word_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    """What save_word_vectors wrote, or None if there is nothing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+class DocVectors:
+    """Vectors of whole sentences that predict their words (distributed bag of words, negative sampling).
+
+    A fit runs on the driver over a bounded sample; the vector of any sentence, seen or not, is inferred against the
+    words' vectors by the same steps, in Arrow batches. The same seed gives the same vectors.
+    """
+
+    def __init__(self, words: list[str], output: np.ndarray, chance: np.ndarray, epochs: int = 40, rate: float = 0.05, negative: int = 5, seed: int = 1) -> None:
+        self.words, self.output, self.chance, self.epochs, self.rate, self.negative, self.seed = words, output, chance, epochs, rate, negative, seed
+        self.number = {w: i for i, w in enumerate(words)}
+        self.bounds = np.cumsum(chance)
+
+    @classmethod
+    def fit(cls, sentences: list[list[str]], size: int = 512, min_count: int = 2, epochs: int = 40, rate: float = 0.05, negative: int = 5, seed: int = 1) -> DocVectors:
+        counts: dict[str, int] = {}
+        for s in sentences:
+            for w in s:
+                counts[w] = counts.get(w, 0) + 1
+        words = sorted(w for w, n in counts.items() if n >= min_count)
+        weight = np.array([counts[w] for w in words], float) ** 0.75
+        out = cls(words, np.zeros((len(words), size)), weight / max(weight.sum(), 1e-12), epochs, rate, negative, seed)
+        rng = np.random.default_rng(seed)
+        vectors = [out._start(s) for s in sentences]
+        for epoch in range(epochs):
+            for i in rng.permutation(len(sentences)).tolist():
+                out._step(vectors[i], sentences[i], rate * (1 - epoch / epochs), rng, learn=True)
+        return out
+
+    def _start(self, words: list[str]) -> np.ndarray:
+        rng = np.random.default_rng([self.seed, zlib.crc32(" ".join(words).encode())])
+        return (rng.random(self.output.shape[1]) - 0.5) / self.output.shape[1]
+
+    def _step(self, vector: np.ndarray, words: list[str], rate: float, rng: np.random.Generator, learn: bool) -> None:
+        known = np.array([self.number[w] for w in words if w in self.number], int)
+        if not len(known):
+            return
+        other = np.minimum(np.searchsorted(self.bounds, rng.random(len(known) * self.negative)), len(self.words) - 1)
+        at, truth = np.concatenate((known, other)), np.repeat([1.0, 0.0], [len(known), len(other)])
+        error = rate * (truth - 1 / (1 + np.exp(-np.clip(self.output[at] @ vector, -30, 30))))
+        change = error @ self.output[at]
+        if learn:
+            np.add.at(self.output, at, error[:, None] * vector)
+        vector += change
+
+    def infer(self, words: list[str]) -> np.ndarray:
+        """The vector of a sentence; without known words it stays where it starts."""
+        vector, rng = self._start(words), np.random.default_rng(self.seed)
+        for epoch in range(self.epochs):
+            self._step(vector, words, self.rate * (1 - epoch / self.epochs), rng, learn=False)
+        return vector
+
+    def vectors(self, tokens: DataFrame) -> DataFrame:
+        """(id, vec) of tokens (id, tokens)."""
+        model = tokens.sparkSession.sparkContext.broadcast(self)  # at most the words of a bounded sample
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [model.value.infer(t or []).astype(np.float32) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float32()))], names=["id", "vec"])
+
+        return tokens.select("id", "tokens").mapInArrow(run, f"id {tokens.schema['id'].dataType.simpleString()}, vec array<float>")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        settings = json.dumps({"epochs": self.epochs, "rate": self.rate, "negative": self.negative, "seed": self.seed})
+        rows = [(i, w, float(self.chance[i]), self.output[i].tolist(), settings) for i, w in enumerate(self.words)]
+        spark.createDataFrame(rows, "place int, word string, chance double, vec array<double>, settings string").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> DocVectors:
+        rows = spark.read.parquet(path).orderBy("place").collect()  # the words of a bounded sample
+        return cls([r["word"] for r in rows], np.array([r["vec"] for r in rows]), np.array([r["chance"] for r in rows]), **json.loads(rows[0]["settings"]))
+
+
 def _vectors(tokens: DataFrame, vocabulary: DataFrame, size: int, limit: int | None) -> DataFrame:
     placed = tokens.select("id", F.posexplode("tokens").alias("place", "word"))
     placed = placed if limit is None else placed.where(F.col("place") < limit)
@@ -336,9 +446,10 @@ def sentence_matrix(tokens: DataFrame, vocabulary: DataFrame, size: int = 200, r
     return cells.select("id", ft.rescale(padded, -0.0005, 0.0005, 0.0, 1.0).alias("matrix"))
 
 
-def mean_vector(tokens: DataFrame, vocabulary: DataFrame, size: int = 512) -> DataFrame:
-    """(id, vec): mean of the words' vectors, [-0.0005, 0.0005] to [-1, 1]; titles without words give the middle."""
+def mean_vector(tokens: DataFrame, vocabulary: DataFrame, size: int = 512, cells: int = 512) -> DataFrame:
+    """(id, vec): mean of the words' vectors, resized to `cells` (a matrix of 16 x 32), [-0.0005, 0.0005] to [-1, 1];
+    titles without words give the middle."""
     parts = _vectors(tokens, vocabulary, size, None).select("id", F.posexplode("vec").alias("i", "x"))
     means = parts.groupBy("id", "i").agg(F.avg("x").alias("x")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))
     zero = F.array_repeat(F.lit(0.0), size)
-    return tokens.select("id").join(means, "id", "left").select("id", ft.rescale(F.coalesce("vec", zero), -0.0005, 0.0005, -1.0, 1.0).alias("vec"))
+    return tokens.select("id").join(means, "id", "left").select("id", ft.rescale(ft.resized(F.coalesce("vec", zero), cells), -0.0005, 0.0005, -1.0, 1.0).alias("vec"))

@@ -83,11 +83,9 @@ class MinHash:
         items = items.where(F.size("tokens") > 0)
         if self.shingle == "whole":
             items = items.select("id", F.array(F.array_join("tokens", " ")).alias("tokens"))
-        hash_of = HASHES[self.hash_name]
-        if self.hash_name == "sha1":
-            return items.select("id", F.transform(F.array_distinct("tokens"), hash_of).alias("hashes"))
-        words = items.select("id", F.explode(F.array_distinct("tokens")).alias("word")).withColumn("h", hash_of(F.col("word")))
-        return words.groupBy("id").agg(F.collect_list("h").alias("hashes"))
+        hash_of, words = HASHES[self.hash_name], F.array_distinct("tokens")
+        hashes = hash_of.over_arrays(words) if hasattr(hash_of, "over_arrays") else F.transform(words, hash_of)
+        return items.select("id", hashes.alias("hashes"))
 
     def signatures(self, items: DataFrame) -> DataFrame:
         """(id, sig)."""
@@ -101,6 +99,12 @@ class MinHash:
         return signatures.select("id", F.posexplode(keys).alias("band", "key"))
 
 
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left and right by equal signatures: by a hash of them, so that no key has a kilobyte, and then by themselves."""
+    hashed = lambda df, name: df.withColumn("_h", F.xxhash64("sig")).withColumnRenamed("sig", name)
+    return hashed(left, "sig").join(hashed(right, "_sig"), "_h").where(F.col("sig") == F.col("_sig"))
+
+
 class MinHashIndex:
     """tables: members (id, class), classes (class, sig, n), bands (class, band, key)."""
 
@@ -116,7 +120,7 @@ class MinHashIndex:
     def of_signatures(cls, signatures: DataFrame, method: MinHash) -> MinHashIndex:
         signed = stored(signatures, "signatures")
         classes = stored(signed.groupBy("sig").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")), "classes")
-        members = signed.join(classes.select("sig", "class"), "sig").select("id", "class")
+        members = _joined(signed, classes.select("sig", "class")).select("id", "class")
         bands = method.band_keys(classes.select(F.col("class").alias("id"), "sig")).withColumnRenamed("id", "class")
         return cls(method, stored(members, "members"), classes, stored(bands, "bands"))
 
@@ -125,7 +129,7 @@ class MinHashIndex:
         other = MinHashIndex.build(items, self.method)
         both = self.classes.union(other.classes).groupBy("sig").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
         both = stored(both, "classes")
-        renamed = lambda i: i.members.join(i.classes.select("class", "sig"), "class").select("id", "sig").join(both.select("sig", "class"), "sig").select("id", "class")
+        renamed = lambda i: _joined(i.members.join(i.classes.select("class", "sig"), "class").select("id", "sig"), both.select("sig", "class")).select("id", "class")
         bands = self.method.band_keys(both.select(F.col("class").alias("id"), "sig")).withColumnRenamed("id", "class")
         return MinHashIndex(self.method, stored(renamed(self).union(renamed(other)), "members"), both, stored(bands, "bands"))
 

@@ -152,12 +152,12 @@ def strip_html_pages(spark, sf_dir):
 
 # -- features ------------------------------------------------------------------------------------
 
-_WORD_ROWS = f"with {_TITLES}, w as (select distinct unnest(tokens) as word from t)"
+_WORD_ROWS = f"with w as (select distinct unnest({_text(_TOKENS)}) as word from documents)"
 _COUNTS = "list_transform(range(97, 129), lambda k: len(list_filter(string_split(word, ''), lambda c: c <> '' and unicode(c) = k)))"
 
 
 def _distinct_words(spark, sf_dir):
-    return titles(spark, sf_dir).select(F.explode("tokens").alias("word")).distinct()
+    return table(spark, sf_dir, "documents").select(F.explode(tx.clean_query(F.col("text"))).alias("word")).distinct()
 
 
 @query(f"{_WORD_ROWS} select word, array_to_string({_COUNTS}, ' ') as counts from w")
@@ -252,15 +252,15 @@ def threshold_binarize(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(found, lambda b: b.cast("string")), "").alias("bits"))
 
 
-@query("select vec_id, array_to_string(list_transform(range(1, 17), lambda i: (floor((abs(embedding[1]::DOUBLE) - floor(abs(embedding[1]::DOUBLE))) * pow(2.0, i)) % 2)::INT), '') as digits from embeddings")
+@query("select vec_id, array_to_string(flatten(list_transform(embedding, lambda v: list_transform(range(1, 17), lambda i: (floor((abs(v::DOUBLE) - floor(abs(v::DOUBLE))) * pow(2.0, i)) % 2)::INT))), '') as digits from embeddings")
 def binary_fraction_digits(spark, sf_dir):
-    digits = ft.fraction_digits(F.col("embedding")[0].cast("double"))
+    digits = ft.vector_digits(F.transform("embedding", lambda v: v.cast("double")))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(digits, lambda d: d.cast("string")), "").alias("digits"))
 
 
 @query()
 def float_bit_strings(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", ft.float_bits(F.col("embedding")[0]).alias("bits"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", ft.float_bits(F.col("embedding")).alias("bits"))
 
 
 # -- hashes --------------------------------------------------------------------------------------
@@ -329,6 +329,20 @@ def search_benchmark_queries(spark, sf_dir):
     return found.select("query", "id", F.round("similarity", 6).alias("similarity"), "place")
 
 
+_BENCHMARK_SQL = _topk_sql("a", f", a as (select item_id as id, ({_text(_TOKENS)}) as tokens from benchmark), {_signed(source='a')}")
+
+
+@query(f"select r.*, {_joined('k.tokens')} as title from ({_BENCHMARK_SQL}) r left join (with {_TITLES} select * from t) k on k.id = r.id")
+def search_results_titled(spark, sf_dir):
+    """Search results with the titles of what was found, written as tab-separated files and read back."""
+    items, path = titles(spark, sf_dir), scratch(spark, "results")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), tx.clean_query(F.col("text")).alias("tokens"))
+    sinks.write_results(ev.with_titles(MinHashIndex.build(items).search(asked), items), path)
+    kinds = "query long, place int, id long, similarity double, title string"
+    found = spark.read.schema(kinds).option("header", True).option("sep", "\t").csv(path)
+    return found.select("query", "id", F.round("similarity", 6).alias("similarity"), "place", "title")
+
+
 @query(f"with {_TITLES} select count(*) as index_size from t")
 def lsh_index_size(spark, sf_dir):
     """Built from one half, the other inserted, saved and loaded."""
@@ -380,11 +394,11 @@ def compat_signature(spark, sf_dir):
 
 # -- Hamming and prefix indexes ------------------------------------------------------------------
 
-_ENTRIES = f"e as (select vec_id as val, ({_BITS})[1:16] as key from embeddings), q as (select val as query, key as asked from e where val % 20 = 0)"
+_ENTRIES = f"e as (select vec_id as val, {_BITS} as key from embeddings), q as (select val as query, key as asked from e where val % 20 = 0)"
 
 
 def _entries(spark, sf_dir):
-    return vectors(spark, sf_dir, 16).select(F.col("vec").alias("key"), F.col("id").alias("val"))
+    return vectors(spark, sf_dir).select(F.col("vec").alias("key"), F.col("id").alias("val"))
 
 
 def _asked(entries):
@@ -419,28 +433,52 @@ def block_sorted_index(spark, sf_dir):
     return content.select("val", "block", F.array_join(F.transform("key", lambda b: b.cast("string")), "").alias("key"))
 
 
-@query(f"with {_BLOCKED}, f as (select block, min(key) as first from b group by block), w as (select query, asked, coalesce(max(case when first <= asked then block end), 0) as block from q, f group by query, asked), d as (select query, val, key, {_HAM.format(a='key', b='asked')} as distance from w join b using (block)) {_NEAREST.format(w='')}")
-def block_search(spark, sf_dir):
+_BLOCK_SQL = f"with {_BLOCKED}, f as (select block, min(key) as first from b group by block), w as (select query, asked, coalesce(max(case when first <= asked then block end), 0) as block from q, f group by query, asked), d as (select query, val, key, {_HAM.format(a='key', b='asked')} as distance from w join b using (block)) {_NEAREST.format(w='')}"
+
+
+def _block_query(spark, sf_dir, inserted: bool):
     entries = _entries(spark, sf_dir)
     path = scratch(spark, "block-index")
-    BlockIndex.build(entries, 50).save(path)
+    index = BlockIndex.build(entries.where("val % 2 = 0"), 50).insert(entries.where("val % 2 = 1")) if inserted else BlockIndex.build(entries, 50)
+    index.save(path)
     return _found(BlockIndex.load(spark, path).search(_asked(entries)))
 
 
-_LCP = "coalesce(list_max(list_filter(range(1, 17), lambda i: x[1:i] = y[1:i])), 0)"
+@query(_BLOCK_SQL)
+def block_inserted_search(spark, sf_dir):
+    """Built from one half, the other inserted."""
+    return _block_query(spark, sf_dir, True)
 
 
-@query(f"with v as (select vec_id as id, ({_BITS})[1:16] as vec from embeddings), p as (select q.id as query, v.id, v.vec, q.vec as x, v.vec as y from v q, v where q.id % 20 = 0), s as (select query, id, vec, {_LCP} as length from p) select query, id, length::INT as length, place::INT as place from (select *, row_number() over (partition by query order by length desc, vec, id) as place from s where length >= 1) where place <= 10")
+@query(_BLOCK_SQL)
+def block_search(spark, sf_dir):
+    return _block_query(spark, sf_dir, False)
+
+
+
+_LCP = "coalesce(list_max(list_filter(range(1, len(x) + 1), lambda i: x[1:i] = y[1:i])), 0)"
+_PREFIXED = f"with v as (select vec_id as id, {_BITS} as vec from embeddings), p as (select q.id as query, v.id, v.vec, q.vec as x, v.vec as y from v q, v where q.id % 20 = 0), s as (select query, id, vec, {_LCP} as length from p) select query, id, length::INT as length, place::INT as place from (select *, row_number() over (partition by query order by length desc, vec, id) as place from s where length >= 1) where place <= 10"
+
+
+@query(_PREFIXED)
 def prefix_topk(spark, sf_dir):
-    rows = vectors(spark, sf_dir, 16)
-    return PrefixIndex.build(rows, 16).search(rows.where("id % 20 = 0"), 10)
+    rows = vectors(spark, sf_dir)
+    return PrefixIndex.build(rows, 64).search(rows.where("id % 20 = 0"), 10)
 
 
-@query(f"with v as (select vec_id as id, ({_BITS})[1:8] as vec from embeddings) select q.id as query, v.id from v q join v using (vec) where q.id % 20 = 0")
+@query(_PREFIXED)
+def prefix_inserted_topk(spark, sf_dir):
+    """Built from one half, the other inserted."""
+    rows = vectors(spark, sf_dir)
+    index = PrefixIndex.build(rows.where("id % 2 = 0"), 64).insert(rows.where("id % 2 = 1"))
+    return index.search(rows.where("id % 20 = 0"), 10)
+
+
+@query(f"with v as (select vec_id as id, {_BITS} as vec from embeddings) select q.id as query, v.id from v q join v using (vec) where q.id % 20 = 0")
 def exact_vector_lookup(spark, sf_dir):
-    rows = vectors(spark, sf_dir, 8)
+    rows = vectors(spark, sf_dir)
     path = scratch(spark, "prefix-index")
-    PrefixIndex.build(rows, 8).save(path)
+    PrefixIndex.build(rows, 64).save(path)
     return PrefixIndex.load(spark, path).lookup(rows.where("id % 20 = 0"))
 
 
@@ -543,15 +581,19 @@ def recall_sum(spark, sf_dir):
     return ev.recall(ev.hits(ev.compare(items, _indexes(items, "sha1")), ["sha1"]), ["sha1"])
 
 
+#: Titles that the encoders of the comparison are fitted on at most.
+COMPARED_FIT = 500
+
+
 @query()
 def recall_by_hash(spark, sf_dir):
-    """The comparison of hashes: SHA-1, SHA-3 and xxh32 over tokens, and a learned hash over whole titles."""
-    items = titles(spark, sf_dir)
-    codes = _codes(spark, sf_dir).select("id", F.array(F.array_join(F.transform("vec", lambda v: v.cast("string")), "")).alias("tokens"))
-    indexes = _indexes(items, "sha1", "sha3", "xxh32") | {"whole": ev.make_index(items, whole=True)}
-    learned = ev.recall(ev.hits(ev.compare(codes, {"learned": ev.make_index(codes)}, drop=0), ["learned"]), ["learned"])
+    """The five indexes compared: SHA-1, xxh32 and SHA-3 over tokens, and the codes of a fully connected and of a
+    convolutional encoder; each is asked for whole titles and for titles with a word left out."""
+    items = stored(titles(spark, sf_dir), "titles")
+    learned = {n: ev.make_index(items, n, latent=16, epochs=2, sample=COMPARED_FIT) for n in ("fcn", "cnn")}
+    indexes = _indexes(items, "sha1", "xxh32", "sha3") | learned
     names = list(indexes)
-    return ev.recall(ev.hits(ev.compare(items, indexes), names), names).unionByName(learned)
+    return ev.recall(ev.hits(ev.compare(items, indexes), names), names)
 
 
 # -- learned encodings ---------------------------------------------------------------------------
@@ -591,31 +633,65 @@ def learned_hash(spark, sf_dir):
 @query()
 def autoencoder_codes(spark, sf_dir):
     """A small autoencoder trained on enc.SAMPLE titles at most, with random words dropped and swapped, then used for all."""
-    import numpy as np
-
-    net = enc.Autoencoder("fcn", 32, latent=2, last="sigmoid")
     rows = stored(_matrices(spark, sf_dir), "matrices")
-    chosen = rows.select("id").orderBy(F.xxhash64("id")).limit(enc.SAMPLE)  # ids first: every task sends as many rows as the limit
-    sample = rows.join(chosen, "id", "left_semi").select("id", F.col("x").cast("array<float>").alias("x")).toArrow()
-    order = np.argsort(sample.column("id").to_numpy(), kind="stable")
-    sample = sample.column("x").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
-    rng = np.random.default_rng(0)
-
-    def data(drop: int, swap: int):
-        return enc.noisy(sample, 16, drop, swap, rng)
-
-    net.fit(data, epochs=2, batch=32, rate=1e-3)
+    net = enc.fitted(rows, "fcn", 32)
     shown = F.transform("code", lambda v: F.round(v.cast("double"), 6).cast("string"))
     return enc.encode(rows, net.encode).select("id", F.array_join(shown, " ").alias("code"))
 
 
-@query(f"with {_TITLES} select id, 256 as cells from t")
+_FIXED = "((h + k * 7919) % 1000 - 500) / 1000000.0"
+_VECTOR = f"list_transform(range(0, 4), lambda k: case when {_LE32.format(x='w')} % 3 = 0 then 0.0001::DOUBLE else ({_FIXED.replace('h', '(' + _LE32.format(x='w') + ')', 1)})::DOUBLE end)"
+
+
+def _fixed_vectors(spark, sf_dir):
+    """(word, vec) of two thirds of the words of titles: vectors of four components that a hash of the word gives."""
+    h = hashing.sha1_le32(F.col("word"))
+    vec = F.array(*[((h + k * 7919) % 1000 - 500) / F.lit(1_000_000.0) for k in range(4)])
+    words = titles(spark, sf_dir).select(F.explode("tokens").alias("word")).distinct()
+    return words.where(h % 3 != 0).select("word", vec.alias("vec"))
+
+
+@query(f"with {_TITLES}, v as (select id, flatten(list_transform(tokens, lambda w: {_VECTOR})) as vs from t) select id, array_to_string(list_transform(range(1, 65), lambda i: round(greatest(0.0, least(1.0, (coalesce(vs[i], 0.0) + 0.0005) * 1000.0)) * 1000.0)::INT), ',') as cells from v")
+def sentence_matrix_fixed(spark, sf_dir):
+    """Matrices of the first words' vectors under a given vocabulary, saved and loaded; unknown words, padding and clamping included."""
+    path = scratch(spark, "fixed-vectors")
+    enc.save_word_vectors(_fixed_vectors(spark, sf_dir), path)
+    found = enc.sentence_matrix(titles(spark, sf_dir), enc.load_word_vectors(spark, path), 4)
+    return found.select("id", F.array_join(F.transform("matrix", lambda v: F.round(v * 1000).cast("int").cast("string")), ",").alias("cells"))
+
+
+@query(f"with {_TITLES}, v as (select id, list_transform(tokens, lambda w: {_VECTOR}) as vs from t), m as (select id, list_transform(range(1, 5), lambda k: list_avg(list_transform(vs, lambda x: x[k]))) as mean from v) select id, i::INT as i, round(greatest(-1.0, least(1.0, (mean[i % 4 + 1] + 0.0005) * 2000.0 - 1.0)), 6) as x from m, range(0, 10) r(i)")
+def mean_vector_fixed(spark, sf_dir):
+    """Mean vectors of titles under a given vocabulary, resized from four to ten components."""
+    found = enc.mean_vector(titles(spark, sf_dir), _fixed_vectors(spark, sf_dir), 4, 10)
+    return found.select("id", F.posexplode("vec").alias("i", "x")).select("id", "i", F.round("x", 6).alias("x"))
+
+
+@query(f"with {_TITLES}, w as (select id, unnest(tokens) as w, generate_subscripts(tokens, 1) as p from t) select id, (p - 1)::INT as place, array_to_string(list_transform({_VECTOR}, lambda x: round(x * 1000000)::INT), ',') as vec from w")
+def word_vector_lookup(spark, sf_dir):
+    """The vector of every word of a title, and that of unknown words."""
+    placed = enc._vectors(titles(spark, sf_dir), _fixed_vectors(spark, sf_dir), 4, None)
+    return placed.select("id", "place", F.array_join(F.transform("vec", lambda x: F.round(x * 1_000_000).cast("int").cast("string")), ",").alias("vec"))
+
+
+@query()
+def doc_vectors(spark, sf_dir):
+    """Vectors of whole titles, from a model fitted on COMPARED_FIT titles at most, saved and loaded."""
+    items, path = titles(spark, sf_dir), scratch(spark, "doc-vectors")
+    sample = items.orderBy(F.xxhash64("id"), "id").limit(COMPARED_FIT).collect()
+    enc.DocVectors.fit([r["tokens"] for r in sample], size=16, epochs=10).save(spark, path)
+    found = enc.DocVectors.load(spark, path).vectors(items)
+    return found.select("id", F.array_join(F.transform("vec", lambda v: F.round(v.cast("double"), 5).cast("string")), " ").alias("vec"))
+
+
+@query(f"with {_TITLES}, w as (select unnest(tokens) as word from t), v as (select word from w group by word having count(*) >= 2), u as (select id, unnest(tokens) as word from t) select id, 256 as cells, count(v.word)::INT as known from u left join v using (word) group by id")
 def word_vector_sentences(spark, sf_dir):
-    """Word vectors learned from titles, and the sum of each title's matrix."""
-    items = titles(spark, sf_dir)
-    vectors_ = stored(enc.train_word_vectors(items.select(F.col("tokens").alias("words")), size=16, min_count=2), "word-vectors")
-    found = enc.sentence_matrix(items, vectors_, 16)
-    return found.select("id", F.size("matrix").alias("cells"))
+    """Word vectors learned from titles, saved and loaded; the size of each title's matrix, and its words with a vector."""
+    items, path = titles(spark, sf_dir), scratch(spark, "word-vectors")
+    enc.save_word_vectors(enc.train_word_vectors(items.select(F.col("tokens").alias("words")), size=16, min_count=2), path)
+    vectors_ = enc.load_word_vectors(spark, path)
+    known = items.select("id", F.explode("tokens").alias("word")).join(vectors_, "word", "left").groupBy("id").agg(F.count("vec").cast("int").alias("known"))
+    return enc.sentence_matrix(items, vectors_, 16).select("id", F.size("matrix").alias("cells")).join(known, "id")
 
 
 @query("select count(*) as n_rows, 64 as width from embeddings")

@@ -28,10 +28,9 @@ def bits(vector: Column) -> Column:
     return F.transform(vector, lambda v: F.when(v > 0, 1).otherwise(0))
 
 
-def vectors(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
-    """(id, vec): the first components of embeddings as bits."""
-    rows = table(spark, sf_dir, "embeddings")
-    return rows.select(F.col("vec_id").alias("id"), F.slice(bits(F.col("embedding")), 1, length).alias("vec"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, vec): embeddings as bits."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), bits(F.col("embedding")).alias("vec"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

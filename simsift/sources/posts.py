@@ -53,6 +53,15 @@ def clean_attributes(posts: DataFrame, compat: bool = False) -> DataFrame:
     return posts.withColumns({c: tx.clean_string(F.col(c), compat) for c in ("body", "title")})
 
 
+def _starts(counts: DataFrame) -> DataFrame:
+    """(part, start) of counts (part, count): how many rows the parts before have; a row for each part."""
+    out, start = [], 0
+    for r in counts.orderBy("part").collect():
+        out.append((r["part"], start))
+        start += r["count"]
+    return counts.sparkSession.createDataFrame(out, "part int, start long")
+
+
 def with_ordinal(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:
     """df with 1-based places in the given order, and `part`: parts hold ranges of it, in order.
 
@@ -60,10 +69,8 @@ def with_ordinal(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame
     """
     n = max(1, math.ceil(df.count() / ORDERED))
     ranged = stored(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ordinals")
-    before, start = F.lit(0), 0
-    for r in ranged.groupBy("part").count().orderBy("part").collect():
-        before, start = F.when(F.col("part") == r["part"], start).otherwise(before), start + r["count"]
-    return ranged.withColumn(name, before + F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    placed = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return placed.join(_starts(ranged.groupBy("part").count()), "part").select(*df.columns, "part", (F.col("start") + F.col("_k")).alias(name))
 
 
 def in_range(ordinal: Column, lo: int, hi: int) -> Column:
@@ -84,12 +91,10 @@ def attach_positional(rows: DataFrame, answer: Column, *order: str, lo: int = 1,
     answers after the last post are lost, and a post without answers has null. Adds post_ordinal and answers.
     """
     keyed = with_ordinal(rows.select(F.struct("*").alias("row"), answer.alias("is_answer"), *order), *order, name="at")
-    counts = keyed.where("not is_answer").groupBy("part").count().orderBy("part").collect()
-    before, start = F.lit(0), 0
-    for r in counts:
-        before, start = F.when(F.col("part") == r["part"], start).otherwise(before), start + r["count"]
+    posts_of = keyed.groupBy("part").agg(F.count(F.when(~F.col("is_answer"), 1)).alias("count"))
+    keyed = keyed.join(_starts(posts_of), "part")
     by_place = Window.partitionBy("part").orderBy("at")
-    post = before + F.sum((~F.col("is_answer")).cast("int")).over(by_place)
+    post = F.col("start") + F.sum((~F.col("is_answer")).cast("int")).over(by_place)
     keyed = keyed.withColumn("post_ordinal", F.when(~F.col("is_answer"), post)).withColumn("emitted", ~F.col("is_answer") & F.coalesce(in_range(F.col("post_ordinal"), lo, hi), F.lit(False)))
     keyed = stored(keyed.withColumn("own", F.when(F.col("emitted"), F.col("at"))), "answers")
     later, carry = {}, None
@@ -97,11 +102,9 @@ def attach_positional(rows: DataFrame, answer: Column, *order: str, lo: int = 1,
     for part in sorted(firsts, reverse=True):
         later[part] = carry
         carry = firsts[part] if firsts[part] is not None else carry
-    following = F.lit(None).cast("long")
-    for part, at in later.items():
-        following = F.when(F.col("part") == part, F.lit(at).cast("long")).otherwise(following)
+    following = rows.sparkSession.createDataFrame(list(later.items()), "part int, following long")
     ahead = by_place.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    owned = keyed.withColumn("owner", F.coalesce(F.min("own").over(ahead), following))
+    owned = keyed.join(following, "part").withColumn("owner", F.coalesce(F.min("own").over(ahead), F.col("following")))
     answers = owned.where("is_answer and owner is not null").groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda a: a["row"]).alias("answers"))
     return keyed.where("emitted").join(answers, F.col("at") == F.col("owner"), "left").select("row.*", "post_ordinal", "answers")
 

@@ -33,6 +33,12 @@ def write_projector(rows: DataFrame, path: str, vector: Column, *meta: Column) -
     ordered.select(*names).write.mode("overwrite").option("header", True).option("sep", "\t").csv(f"{path}/meta")
 
 
+def write_results(found: DataFrame, path: str) -> None:
+    """Search results (query, place, id, similarity, title) as a tab-separated table with a header, in order of query and place."""
+    ordered = found.select("query", "place", "id", "similarity", "title").orderBy("query", "place")
+    ordered.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """Append (epoch, name, value) rows to the run's metrics."""
     metrics.write.mode("append").parquet(path)

@@ -114,3 +114,22 @@ def test_evaluation(spark):
     found = ev.expected(spark.createDataFrame([(1, "13")], "query int, id string"), spark.createDataFrame([(1, 13), (2, 5)], "query int, wanted int"))
     assert {r["query"]: r["found"] for r in found.collect()} == {1: True, 2: False}
     assert items.select(F.size(ev.without_words(F.col("tokens"), 2)).alias("n")).agg(F.max("n")).first()[0] == 6
+
+
+def test_blocks_insert(spark):
+    rows = [(bits(k), i) for i, k in enumerate(KEYS)]
+    make = lambda some: spark.createDataFrame(some, "key array<int>, val int")
+    whole, grown = BlockIndex.build(make(rows), 3), BlockIndex.build(make(rows[:4]), 3).insert(make(rows[4:]))
+    shown = lambda i: [(r["key"], r["val"], r["block"]) for r in i.content().collect()]
+    assert shown(grown) == shown(whole)
+    asked = spark.createDataFrame([(n, bits(k)) for n, k in enumerate(["0000", "1001", "1111", "1000"])], "query int, key array<int>")
+    firsts = sorted((r["first"], r["block"]) for r in whole.firsts.collect())
+    for r in grown.block_of(asked).collect():
+        assert r["block"] == max([b for f, b in firsts if f <= r["asked"]], default=firsts[0][1])
+
+
+def test_prefix_insert(spark):
+    rows = [(i, bits(f"{i * 37 % 64:06b}")) for i in range(60)]
+    make = lambda some: spark.createDataFrame(some, "id int, vec array<int>")
+    found = [sorted(map(tuple, i.search(make(rows), 3).collect())) for i in (PrefixIndex.build(make(rows), 6, 3), PrefixIndex.build(make(rows[:20]), 6, 3).insert(make(rows[20:])))]
+    assert found[0] == found[1]
