@@ -2,10 +2,15 @@
 
 Every token is a customer of the restaurant of its context, the previous word. Context restaurants share
 one parent, the restaurant of all words: each table of a context sends a customer there, and its tables
-draw from the uniform base measure. Seating is sampled by Gibbs: a customer is taken out and seated again,
-at a table with its dish in proportion to the table's size less the discount, or at a new one in
-proportion to (concentration + discount * tables) * parent's probability. A text's score is the sum of
-log10 of its tokens' predictive probabilities, averaged over SAMPLES seatings.
+draw from the uniform base measure. A text's score is the sum of log10 of its tokens' predictive
+probabilities, averaged over SAMPLES seatings.
+
+Seating is sampled by Gibbs, a sweep over all dishes (pairs of word and context) at a time: of each dish,
+the number of its tables is drawn given all totals after the sweep before. Which customer sits at which
+table is summed out exactly, by generalised Stirling numbers: c customers have t tables in proportion to
+S(c, t) times, for each table in turn, (concentration + discount * tables of the restaurant by then) * the
+parent's probability. The parent's tables are drawn in the same way. For a dish with more than EXACT
+customers a particle filter goes on from there, in blocks of 1/16 of those seated.
 
 Contexts are hashed to CONTEXTS restaurants, so that the totals of all contexts are two vectors of a
 fixed size that every task can hold; all tokens of all training texts are seated.
@@ -16,11 +21,11 @@ Plan
    they occur in, and deals them by word to buckets of a bounded number of tokens; a frequent word's pairs
    are dealt by context as well. This exchange, about the size of the input, is the only one of that size.
    It is written to the shared folder, a row for each bucket.
-3. Each bucket seats its customers. Words are whole in a bucket, so the parent's customers of a word are
-   local; totals by context are summed over the buckets between passes (distributed Gibbs: while a bucket
-   samples, it scales the totals of others from the last sum by the growth it sees in its own).
-4. Each bucket repeats its seating by the same seeds, now with the exact totals of each sample, and returns
-   the sums of log-probabilities by text; these are added up by chunk.
+3. A sweep is one pass over the buckets. Words are whole in a bucket, so the parent's customers of a word
+   are local; tables by context, those of frequent words and the parent's totals are summed over all
+   buckets after each sweep, and the next one is given the sums. A pass repeats the sweeps before its own
+   from their sums and seeds, so that no seating has to be kept.
+4. A last pass repeats all sweeps and returns the sums of log-probabilities by text, added up by chunk.
 """
 
 from __future__ import annotations
@@ -41,14 +46,14 @@ from .common import crc_mod, partitions, stored, table
 
 #: Restaurants of contexts.
 CONTEXTS = 1 << 16
-#: Gibbs sweeps before the first sample and in all samples (one sweep apart).
-BURN_IN, SAMPLES = 1, 3
+#: Gibbs sweeps before the first sample, and samples (one sweep apart).
+BURN_IN, SAMPLES = 2, 2
 #: Concentrations of the context restaurants and of their parent; discounts are estimated from counts of counts.
 CONCENTRATION, ROOT_CONCENTRATION = 1.0, 1.0
 #: Tokens and texts of a chunk at most; tokens of a bucket, about.
 CHUNK, CHUNK_TEXTS, BUCKET = 1 << 20, 60_000, 500_000
-#: Customers of one dish in one restaurant that are reseated one by one; more are reseated in blocks of 1/16.
-ONE_BY_ONE = 64
+#: Customers of one dish in one restaurant whose number of tables is drawn exactly, and particles for larger dishes.
+EXACT, PARTICLES = 256, 64
 #: Words that a worker remembers.
 REMEMBERED = 200_000
 _END, _START = b" end", b" start"  # no word has a space
@@ -189,23 +194,24 @@ def _deal(buckets: int, salts: dict[int, int], id_type: pa.DataType):
             salt[i] = salts[words.hashes[i]]
         bucket = (hashes[token] + (context % salt[token]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
         bucket = (bucket % np.uint64(buckets)).astype(np.int64)
-        key = bucket << 38 | token.astype(np.int64) << 16 | context
+        key = token.astype(np.int64) << 16 | context
         order = np.argsort(key, kind="stable")  # texts stay in order in a pair
-        key, at = key[order], at[order]
+        order = order[np.argsort(bucket[order], kind="stable")]
+        key, at, bucket = key[order], at[order], bucket[order]
         first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (at[1:] != at[:-1]))))
         n = np.diff(np.append(first, len(key)))
-        key, at = key[first], at[first].astype(np.uint16)
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))  # first text of each pair
-        texts_of, pair = np.diff(np.append(edge, len(key))), key[edge]
-        ends = np.flatnonzero(np.diff(np.append(pair >> 38, -1))) + 1
+        key, at, bucket = key[first], at[first].astype(np.uint16), bucket[first]
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))  # first text of each pair, which has one bucket
+        texts_of, pair, home = np.diff(np.append(edge, len(key))), key[edge], bucket[edge]
+        ends = np.flatnonzero(np.diff(np.append(home, -1))) + 1
         start, out = 0, ([], [])
         for end in ends.tolist():
             part = pair[start:end]
-            word = part >> 16 & 0x3FFFFF
+            word = part >> 16
             lead = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             a, b = edge[start], edge[end] if end < len(edge) else len(key)
             count = n[a:b]
-            out[0].append(int(part[0] >> 38))
+            out[0].append(int(home[start]))
             out[1].append(_pack(
                 np.array([chunk, len(texts), trained]), hashes[word[lead]], np.diff(np.append(lead, len(part))).astype(np.uint16 if len(lead) > 1 else np.uint32),
                 (part & 0xFFFF).astype(np.uint16), texts_of[start:end].astype(np.uint16), at[a:b], count.astype(np.uint8 if count.max() < 256 else np.uint32),
@@ -294,7 +300,7 @@ def _gather(frequent: frozenset[int]):
         once, twice = (int((b.count == k).sum()) for k in (1, 2))
         one, two = (int((types[~often] == k).sum()) for k in (1, 2))
         sums = [int((counts[~often] > 0).sum()), once, twice, one, two, int(counts.sum()), int(seen.sum())]
-        values = [key[0].as_py(), None, None, None, None, b.dump(), _pack(pairs.astype("<u4")), sums, _pack(b.words[often], counts[often])]
+        values = [key[0].as_py(), None, None, None, None, b.dump(), _pack(pairs.astype("<u4")), sums, _pack(b.words[often], counts[often], types[often])]
         return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     return run
@@ -303,138 +309,156 @@ def _gather(frequent: frozenset[int]):
 # -- 3: seating ----------------------------------------------------------------------------------
 
 
-def reseat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with so many customers, seated in turn; weight is that of a new table. Beyond 16 seated
-    customers a block of 1/16 of them is seated at once, each against the tables before it."""
-    tables, seated = np.ones(len(count)), np.ones(len(count))
-    open_ = np.flatnonzero(count > 1)
-    while len(open_):
-        n, t, a = seated[open_], tables[open_], weight[open_]
-        block = np.minimum(np.maximum(1, n // 16), count[open_] - n)
-        tables[open_] = t + rng.binomial(block.astype(np.int64), np.clip(a / (n - discount * t + a), 0, 1))
-        seated[open_] = n + block
-        open_ = open_[seated[open_] < count[open_]]
-    return tables
-
-
-class Seating:
-    """Customers of all dishes (pairs of word and context) of a bucket. Tables of each dish: self.tables."""
-
-    def __init__(self, count: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        self.count, self.discount, self.rng = count, discount, rng
-        self.tables = np.ones(len(count))
-        few = np.flatnonzero((count > 1) & (count <= ONE_BY_ONE))
-        self.few = few[np.argsort(-count[few], kind="stable")]
-        self.many = np.flatnonzero(count > ONE_BY_ONE)
-        sizes = count[self.few]
-        self.offset = np.cumsum(sizes) - sizes
-        self.at = np.zeros(int(sizes.sum()), np.int16)  # table of each customer; all start at their dish's first
-        self.seats = np.zeros(int(sizes.sum()), np.int16)  # customers of each table
-        self.seats[self.offset] = sizes
-
-    def sweep(self, weight: np.ndarray) -> None:
-        """Take out and seat again every customer; weight, by dish, is that of a new table."""
-        d, rng, offset = self.discount, self.rng, self.offset
-        sizes, tables, new_weight = self.count[self.few], self.tables[self.few], weight[self.few]
-        for k in range(int(sizes[0]) if len(sizes) else 0):
-            m = int(np.searchsorted(-sizes, -k, side="left"))  # dishes with more than k customers
-            off, c = offset[:m], sizes[:m]
-            old = off + self.at[off + k]
-            self.seats[old] -= 1
-            t = tables[:m] - (self.seats[old] == 0)
-            fresh = rng.random(m) * (new_weight[:m] + c - 1 - d * t) < new_weight[:m]
-            chosen = np.empty(m, np.int64)
-            todo = np.flatnonzero(~fresh)  # another customer's table, in proportion to its size less d
-            while len(todo):
-                other = (rng.random(len(todo)) * (c[todo] - 1)).astype(np.int64)
-                other += other >= k
-                seat = off[todo] + self.at[off[todo] + other]
-                good = rng.random(len(todo)) * self.seats[seat] < self.seats[seat] - d
-                chosen[todo[good]] = seat[good]
-                todo = todo[~good]
-            todo = np.flatnonzero(fresh)  # any empty table: there are as many places for tables as customers
-            while len(todo):
-                seat = off[todo] + (rng.random(len(todo)) * c[todo]).astype(np.int64)
-                good = self.seats[seat] == 0
-                chosen[todo[good]] = seat[good]
-                todo = todo[~good]
-            self.seats[chosen] += 1
-            self.at[off + k] = chosen - off
-            tables[:m] = t + fresh
-        self.tables[self.few] = tables
-        if len(self.many):
-            self.tables[self.many] = reseat(self.count[self.many], weight[self.many], d, rng)
+class Tables:
+    """Draws numbers of tables of dishes: t of c customers in proportion to S(c, t) times the weights of t new tables,
+    that of one being base * (concentration + discount * tables there), `others` of which are of other dishes."""
+
+    def __init__(self, discount: float, concentration: float) -> None:
+        self.discount, self.concentration = discount, concentration
+        self.log_s = [np.zeros(0), np.zeros(1)]  # by customers, from one table on
+
+    def log_stirling(self, c: int) -> np.ndarray:
+        """log S(c, t) for t = 1..c: S(n + 1, t) = S(n, t - 1) + (n - discount * t) * S(n, t)."""
+        while len(self.log_s) <= c:
+            last = self.log_s[-1]
+            n = len(last)
+            stay = np.append(last + np.log(n - self.discount * np.arange(1, n + 1)), -np.inf)
+            self.log_s.append(np.logaddexp(stay, np.append(-np.inf, last)))
+        return self.log_s[c]
+
+    def new(self, base: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Weight of a new table where there are so many."""
+        return base * (self.concentration + self.discount * tables)
+
+    def exact(self, c: int, base: np.ndarray, others: np.ndarray, rng: np.random.Generator, each: int = 1) -> np.ndarray:
+        """`each` draws for each of dishes with c customers."""
+        p = np.log(self.new(base[:, None], others[:, None] + np.arange(c)))
+        p = np.cumsum(p, axis=1) + self.log_stirling(c)
+        p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+        return 1 + np.stack([(p < rng.random(len(base))[:, None] * p[:, -1:]).sum(axis=1) for _ in range(each)], axis=1)
+
+    def draw(self, count: np.ndarray, base: np.ndarray, others: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables of dishes with so many customers, one at least."""
+        tables = np.minimum(count, 1).astype(float)
+        two = np.flatnonzero(count == 2)
+        weight = self.new(base[two], others[two] + 1)
+        tables[two] += rng.random(len(two)) * (weight + 1 - self.discount) < weight
+        some = np.flatnonzero((count > 2) & (count <= EXACT))
+        some = some[np.argsort(count[some], kind="stable")]
+        for group in np.split(some, np.flatnonzero(np.diff(count[some])) + 1) if len(some) else []:
+            c = int(count[group[0]])
+            rows = max(1, (1 << 18) // c)
+            for i in range(0, len(group), rows):
+                at = group[i : i + rows]
+                tables[at] = self.exact(c, base[at], others[at], rng)[:, 0]
+        many = np.flatnonzero(count > EXACT)
+        if len(many):
+            tables[many] = self.filtered(count[many], base[many], others[many], rng)
+        return tables
+
+    def filtered(self, count: np.ndarray, base: np.ndarray, others: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """As draw, for dishes with more than EXACT customers: PARTICLES exact draws for the first EXACT, then blocks of
+        1/16 of those seated; after each, particles are drawn anew by the weight of what they have seated."""
+        t = self.exact(EXACT, base, others, rng, PARTICLES).astype(float)
+        seated, base, others = np.full(len(count), EXACT), base[:, None], others[:, None]
+        while (seated < count).any():
+            block = np.minimum(seated // 16, count - seated)
+            weight = self.new(base, others + t)
+            norm = seated[:, None] - self.discount * t + weight
+            t = t + rng.binomial(block[:, None], np.clip(weight / norm, 0, 1))
+            heavy = block[:, None] * np.log(norm)
+            heavy = np.cumsum(np.exp(heavy - heavy.max(axis=1, keepdims=True)), axis=1)
+            turns = (rng.random(len(count))[:, None] + np.arange(PARTICLES)) / PARTICLES * heavy[:, -1:]
+            chosen = np.minimum((heavy[:, None, :] < turns[:, :, None]).sum(axis=2), PARTICLES - 1)
+            t = np.take_along_axis(t, chosen, axis=1)
+            seated = seated + block
+        return t[np.arange(len(t)), rng.integers(0, PARTICLES, len(t))]
 
 
 class Model:
-    """What all buckets know: counts, discounts, totals by context."""
+    """What all buckets know: counts, discounts, totals by context, and the totals after each sweep so far.
+
+    sums: of each sweep, from the start with one table of each dish: tables (by context), total and root (the parent's
+    customers and tables), frequent (those of each frequent word).
+    """
 
-    def __init__(self, n: int, vocabulary: int, contexts: np.ndarray, pairs: np.ndarray, discounts: tuple[float, float], frequent: dict[int, int], seed: int) -> None:
-        self.n, self.vocabulary, self.contexts, self.pairs, self.discounts, self.frequent, self.seed = n, vocabulary, contexts, pairs, discounts, frequent, seed
-        self.samples: list[dict] = []
+    def __init__(self, n: int, vocabulary: int, contexts: np.ndarray, discounts: tuple[float, float], frequent: dict[int, int], start: dict, seed: int, burn_in: int, samples: int) -> None:
+        self.n, self.vocabulary, self.contexts, self.discounts, self.frequent, self.seed = n, vocabulary, contexts, discounts, frequent, seed
+        self.burn_in, self.samples, self.sums = burn_in, samples, [start]
+
+    def new_root(self, sums: dict) -> float:
+        """Weight of a new table of a word in the parent."""
+        return (ROOT_CONCENTRATION + self.discounts[1] * sums["root"]) / (self.vocabulary + 1)
 
     def seatings(self, bucket: int, b: Bucket) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Tables by pair, and customers and tables of the parent by word, for each sample."""
-        d, d0 = self.discounts
+        """Tables by pair, and customers and tables of the parent by word, after each sweep of which the totals before are known."""
         rng = np.random.default_rng([self.seed, bucket])
         seen = np.flatnonzero(b.count > 0)
         count, word, context = b.count[seen].astype(np.int64), b.word[seen], b.context[seen]
-        seating = Seating(count, d, rng)
-        local = b.word_counts()
-        whole = np.array([self.frequent.get(h, c) for h, c in zip(b.words.tolist(), local.tolist(), strict=True)], float)
-        share = np.where(local > 0, whole / np.maximum(local, 1), 1.0)  # a frequent word has customers in other buckets
-        own, root = max(int(count.sum()), 1), np.minimum(1.0, local)
-        for k in range(BURN_IN + SAMPLES):
-            customers = np.bincount(word, seating.tables, len(b.words)) * share
-            total = max(seating.tables.sum() * self.n / own, 1.0)
-            uniform = 1 / (self.vocabulary + 1)
-            root_tables = self.vocabulary * root[local > 0].mean() if (local > 0).any() else 0.0
-            parent = np.maximum(customers - d0 * root, 0) + (ROOT_CONCENTRATION + d0 * root_tables) * uniform
-            parent /= ROOT_CONCENTRATION + total
-            growth = seating.tables.sum() / max(len(count), 1)
-            seating.sweep((CONCENTRATION + d * self.pairs[context] * growth) * parent[word])
-            customers = np.bincount(word, seating.tables, len(b.words))
-            some = customers > 0
-            root = np.zeros(len(b.words))
-            root[some] = reseat(np.round(customers * share)[some], np.full(int(some.sum()), (ROOT_CONCENTRATION + d0 * root_tables) * uniform), d0, rng)
-            if k >= BURN_IN:
-                tables = np.zeros(len(b.count))
-                tables[seen] = seating.tables
-                yield tables, customers, root
+        dishes, roots = Tables(self.discounts[0], CONCENTRATION), Tables(self.discounts[1], ROOT_CONCENTRATION)
+        customers = np.bincount(word, minlength=len(b.words)).astype(float)
+        root, drawn = np.minimum(customers, 1.0), np.ones(len(seen))
+        even = np.full(len(b.words), 1 / (self.vocabulary + 1))
+        for sums in self.sums[: self.burn_in + self.samples]:
+            parent = self.parent(sums, b.words, customers, root)
+            drawn = dishes.draw(count, parent[word], sums["tables"][context] - drawn, rng)
+            customers = np.bincount(word, drawn, len(b.words))
+            root = roots.draw(customers.astype(np.int64), even, sums["root"] - root, rng)
+            tables = np.zeros(len(b.count))
+            tables[seen] = drawn
+            yield tables, customers.copy(), root.copy()
 
     def parent(self, sample: dict, words: np.ndarray, customers: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """The parent's probability of each word in a sample."""
-        d0 = self.discounts[1]
+        """The parent's probability of each word, given the sums after a sweep and a bucket's own words after it."""
+        customers, root = customers.copy(), root.copy()
         if sample["frequent"]:
             known = np.fromiter(sample["frequent"], np.uint64, len(sample["frequent"]))
             for i in np.flatnonzero(np.isin(words, known)).tolist():
                 customers[i], root[i] = sample["frequent"][int(words[i])]
-        uniform = 1 / (self.vocabulary + 1)
-        return (customers - d0 * root + (ROOT_CONCENTRATION + d0 * sample["root"]) * uniform) / (ROOT_CONCENTRATION + sample["total"])
+        return (customers - self.discounts[1] * root + self.new_root(sample)) / (ROOT_CONCENTRATION + sample["total"])
 
 
 def _seat(model):
-    """Sums over a task's buckets: tables by context for each sample; the parent's customers and tables."""
+    """Sums over a task's buckets after the last sweep: tables by context; the parent's customers and tables."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        by_context = np.zeros((SAMPLES, CONTEXTS), np.int64)
-        sums, frequent = np.zeros((SAMPLES, 2), np.int64), {}
+        by_context, sums, frequent = np.zeros(CONTEXTS, np.int64), np.zeros(2, np.int64), {}
         for batch in batches:
             for i in range(batch.num_rows):
                 b = Bucket(*_unpack(batch.column(1)[i].as_py()))
+                for tables, customers, root in m.seatings(batch.column(0)[i].as_py(), b):
+                    pass
+                by_context += np.bincount(b.context, tables, CONTEXTS).astype(np.int64)
                 often = [(k, h) for k, h in enumerate(b.words.tolist()) if h in m.frequent]
-                places = np.array([k for k, _ in often], int)
-                for s, (tables, customers, root) in enumerate(m.seatings(batch.column(0)[i].as_py(), b)):
-                    by_context[s] += np.bincount(b.context, tables, CONTEXTS).astype(np.int64)
-                    sums[s] += int(customers.sum()), int(root.sum() - root[places].sum())
-                    for k, h in often:
-                        frequent.setdefault(h, np.zeros(SAMPLES, np.int64))[s] += int(customers[k])
-        yield _totals(sums.ravel(), by_context, frequent)
+                sums += int(customers.sum()), int(root.sum() - root[[k for k, _ in often]].sum())
+                for k, h in often:
+                    frequent[h] = frequent.get(h, 0) + int(customers[k])
+        yield _totals(sums, by_context[None], frequent)
 
     return run
 
 
+def _swept(model: Model, rows: list) -> dict:
+    """The sums after a sweep from those of its tasks; the parent's tables of frequent words are drawn here."""
+    out = {"tables": np.zeros(CONTEXTS), "total": 0.0, "root": 0.0, "frequent": {}}
+    rng, before = np.random.default_rng([model.seed, 0, len(model.sums)]), model.sums[-1]
+    draw = Tables(model.discounts[1], ROOT_CONCENTRATION).draw
+    for r in sorted(rows, key=lambda r: (r["kind"], r["key"])):
+        value = np.frombuffer(r["value"], "<i8")
+        if r["kind"] == 0:
+            out["total"], out["root"] = float(value[0]), float(value[1])
+        elif r["kind"] == 1:
+            out["tables"][r["key"] : r["key"] + _BLOCK] = value
+        else:
+            customers = float(value[0])
+            others = before["root"] - before["frequent"].get(r["key"] + (1 << 63), (0.0, 0.0))[1]
+            root = float(draw(np.array([int(customers)]), np.array([1 / (model.vocabulary + 1)]), np.array([others]), rng)[0])
+            out["frequent"][r["key"] + (1 << 63)] = customers, root
+            out["root"] += root
+    return out
+
+
 # -- 4: scores -----------------------------------------------------------------------------------
 
 
@@ -448,11 +472,14 @@ def _score(model):
             for i in range(batch.num_rows):
                 b = Bucket(*_unpack(batch.column(1)[i].as_py()))
                 total = np.zeros(len(b.count))
-                for sample, (tables, customers, root) in zip(m.samples, m.seatings(batch.column(0)[i].as_py(), b), strict=True):
+                for k, (tables, customers, root) in enumerate(m.seatings(batch.column(0)[i].as_py(), b)):
+                    if k < m.burn_in:
+                        continue
+                    sample = m.sums[k + 1]
                     parent = m.parent(sample, b.words, customers, root)
                     new = (CONCENTRATION + d * sample["tables"][b.context]) * parent[b.word]
                     total += (b.count - d * tables + new) / (CONCENTRATION + m.contexts[b.context])
-                score = np.log10(total / len(m.samples))
+                score = np.log10(total / m.samples)
                 counts = np.array([m.frequent.get(h, c) for h, c in zip(b.words.tolist(), b.word_counts().tolist(), strict=True)], float)
                 base, known = np.log10(counts + 0.5)[b.word], (counts > 0)[b.word]
                 for chunk, n_texts, pair, text, n in b.parts():
@@ -461,7 +488,7 @@ def _score(model):
                     for row, values in zip(chunks[chunk], (score, base, known), strict=True):
                         row += np.bincount(text, values[pair] * n, n_texts)
         for chunk, (score, base, known) in chunks.items():
-            values = [chunk], [score.astype("<f4").tobytes()], [base.astype("<f8").tobytes()], [known.astype("<u4").tobytes()]
+            values = [chunk], [score.astype("<f8").tobytes()], [base.astype("<f8").tobytes()], [known.astype("<u4").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if i == 0 else pa.binary()) for i, v in enumerate(values)], names=names)
 
     return run
@@ -471,7 +498,7 @@ def _finish(n: int, vocabulary: int):
     def run(rows: pa.Table) -> pa.Table:
         docs = next(r for r in rows.select(["ids", "held", "sizes"]).to_pylist() if r["sizes"] is not None)
         size = np.array(docs["sizes"], np.int64)
-        score, base, known = (sum((np.frombuffer(v, k).astype(float) for v in rows[c].to_pylist() if v is not None), np.zeros(len(size))) for c, k in (("score", "<f4"), ("base", "<f8"), ("known", "<u4")))
+        score, base, known = (sum((np.frombuffer(v, k).astype(float) for v in rows[c].to_pylist() if v is not None), np.zeros(len(size))) for c, k in (("score", "<f8"), ("base", "<f8"), ("known", "<u4")))
         base = base - size * np.log10(n + 0.5 * (vocabulary + 1))
         ids = next(x for x in rows["ids"] if x.is_valid).values
         return pa.table({"id": ids, "held_out": pa.array(docs["held"], pa.bool_()), "n_tokens": size, "n_known": known.astype(np.int64), "train_tokens": np.full(len(size), n), "base_score": base, "score": score})
@@ -483,7 +510,7 @@ def _discount(once: int, twice: int) -> float:
     return min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for every row of docs.
 
     The model is trained on rows where held_out is not true, and scores all rows. Tokens: runs without white space,
@@ -524,7 +551,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     pairs = rows.mapInArrow(_deal(buckets, salts, to_arrow_type(kind)), dealt)
     pairs = stored(pairs.groupBy("bucket").applyInArrow(_gather(frozenset(salts)), state), "hpy-buckets")
 
-    by_context, frequent = np.zeros(CONTEXTS, np.int64), {}
+    by_context, frequent, types = np.zeros(CONTEXTS, np.int64), {}, {}
     total = pairs.where("bucket >= 0").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(7)]).first()
     sums = np.array([total[i] or 0 for i in range(7)])
     for r in pairs.where("bucket >= 0").select("pairs", "frequent").mapInArrow(_facts, _TOTALS).transform(_added).collect():
@@ -532,32 +559,14 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         if r["kind"] == 1:
             by_context[r["key"] : r["key"] + _BLOCK] = value
         elif r["kind"] == 2:
-            frequent[r["key"] + (1 << 63)] = int(value[0])
+            frequent[r["key"] + (1 << 63)], types[r["key"] + (1 << 63)] = (int(v) for v in value)
     vocabulary = int(sums[0]) + sum(c > 0 for c in frequent.values())
-    model = Model(n, vocabulary, contexts, by_context, (_discount(int(sums[1]), int(sums[2])), _discount(int(sums[3]), int(sums[4]))), frequent, seed)
-
+    start = {"tables": by_context, "total": float(sums[6]), "root": float(vocabulary), "frequent": {h: (float(t), min(1.0, float(t))) for h, t in types.items()}}
+    model = Model(n, vocabulary, contexts, (_discount(int(sums[1]), int(sums[2])), _discount(int(sums[3]), int(sums[4]))), frequent, start, seed, burn_in, samples)
     buckets_only = pairs.where("bucket >= 0").select("bucket", "state")
-    first = spark.sparkContext.broadcast(model)
-    rng, d0 = np.random.default_rng([seed, 0]), model.discounts[1]
-    samples = [{"tables": np.zeros(CONTEXTS), "frequent": {}, "total": 0.0, "root": 0.0} for _ in range(SAMPLES)]
-    for r in sorted(_added(buckets_only.mapInArrow(_seat(first), _TOTALS)).collect(), key=lambda r: (r["kind"], r["key"])):
-        value = np.frombuffer(r["value"], "<i8")
-        if r["kind"] == 0:
-            for s, (customers, tables) in zip(samples, value.reshape(-1, 2).tolist(), strict=True):
-                s["total"], s["root"] = float(customers), float(tables)
-        elif r["kind"] == 1:
-            s, i = divmod(r["key"], CONTEXTS)
-            samples[s]["tables"][i : i + _BLOCK] = value
-        else:
-            for s, customers in zip(samples, value.tolist(), strict=True):
-                if customers:
-                    weight = (ROOT_CONCENTRATION + d0 * vocabulary) / (vocabulary + 1)
-                    tables = float(reseat(np.array([customers]), np.array([weight]), d0, rng)[0])
-                    s["frequent"][r["key"] + (1 << 63)] = float(customers), tables
-                    s["root"] += tables
-                else:
-                    s["frequent"][r["key"] + (1 << 63)] = 0.0, 0.0
-    model.samples = samples
+    for _ in range(burn_in + samples):
+        sent = spark.sparkContext.broadcast(model)
+        model.sums.append(_swept(model, _added(buckets_only.mapInArrow(_seat(sent), _TOTALS)).collect()))
     second = spark.sparkContext.broadcast(model)
     texts = pairs.where("bucket < 0").select("chunk", "ids", "held", "sizes")
     scored = buckets_only.mapInArrow(_score(second), "chunk long, score binary, base binary, known binary")
@@ -575,8 +584,8 @@ def _facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for pairs, often in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             by_context += _unpack(pairs)[0]
-            for h, c in zip(*(x.tolist() for x in _unpack(often)), strict=True):
-                frequent[h] = frequent.get(h, 0) + c
+            for h, c, t in zip(*(x.tolist() for x in _unpack(often)), strict=True):
+                frequent[h] = frequent.get(h, np.zeros(2, np.int64)) + (c, t)
     yield _totals([0], by_context[None], frequent)
 
 
