@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ CONCENTRATION, ROOT_CONCENTRATION = 1.0, 1.0
 #: Tokens and texts of a chunk at most; tokens of a bucket, about.
 CHUNK, CHUNK_TEXTS, BUCKET = 1 << 20, 60_000, 500_000
 #: Customers of one dish in one restaurant whose number of tables is drawn exactly, and particles for larger dishes.
-EXACT, PARTICLES = 256, 64
+EXACT, PARTICLES = 1024, 32
 #: Words that a worker remembers.
 REMEMBERED = 200_000
 _END, _START = b" end", b" start"  # no word has a space
@@ -364,17 +365,23 @@ class Tables:
         while (seated < count).any():
             block = np.minimum(seated // 16, count - seated)
             weight = self.new(base, others + t)
-            norm = seated[:, None] - self.discount * t + weight
+            norm = (seated + block / 2)[:, None] - self.discount * t + weight
             t = t + rng.binomial(block[:, None], np.clip(weight / norm, 0, 1))
             heavy = block[:, None] * np.log(norm)
             heavy = np.cumsum(np.exp(heavy - heavy.max(axis=1, keepdims=True)), axis=1)
-            turns = (rng.random(len(count))[:, None] + np.arange(PARTICLES)) / PARTICLES * heavy[:, -1:]
-            chosen = np.minimum((heavy[:, None, :] < turns[:, :, None]).sum(axis=2), PARTICLES - 1)
-            t = np.take_along_axis(t, chosen, axis=1)
+            upto = np.floor(heavy / heavy[:, -1:] * PARTICLES + rng.random((len(count), 1))).astype(np.int64)  # systematic
+            upto[:, -1] = PARTICLES
+            t = np.repeat(t.ravel(), np.diff(upto, axis=1, prepend=0).ravel()).reshape(t.shape)
             seated = seated + block
         return t[np.arange(len(t)), rng.integers(0, PARTICLES, len(t))]
 
 
+@lru_cache(4)
+def _drawing(discount: float, concentration: float) -> Tables:
+    """One per worker, as its Stirling numbers serve all buckets."""
+    return Tables(discount, concentration)
+
+
 class Model:
     """What all buckets know: counts, discounts, totals by context, and the totals after each sweep so far.
 
@@ -395,7 +402,7 @@ class Model:
         rng = np.random.default_rng([self.seed, bucket])
         seen = np.flatnonzero(b.count > 0)
         count, word, context = b.count[seen].astype(np.int64), b.word[seen], b.context[seen]
-        dishes, roots = Tables(self.discounts[0], CONCENTRATION), Tables(self.discounts[1], ROOT_CONCENTRATION)
+        dishes, roots = _drawing(self.discounts[0], CONCENTRATION), _drawing(self.discounts[1], ROOT_CONCENTRATION)
         customers = np.bincount(word, minlength=len(b.words)).astype(float)
         root, drawn = np.minimum(customers, 1.0), np.ones(len(seen))
         even = np.full(len(b.words), 1 / (self.vocabulary + 1))
@@ -443,7 +450,7 @@ def _swept(model: Model, rows: list) -> dict:
     """The sums after a sweep from those of its tasks; the parent's tables of frequent words are drawn here."""
     out = {"tables": np.zeros(CONTEXTS), "total": 0.0, "root": 0.0, "frequent": {}}
     rng, before = np.random.default_rng([model.seed, 0, len(model.sums)]), model.sums[-1]
-    draw = Tables(model.discounts[1], ROOT_CONCENTRATION).draw
+    draw = _drawing(model.discounts[1], ROOT_CONCENTRATION).draw
     for r in sorted(rows, key=lambda r: (r["kind"], r["key"])):
         value = np.frombuffer(r["value"], "<i8")
         if r["kind"] == 0:
