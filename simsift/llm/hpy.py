@@ -247,9 +247,10 @@ class Bucket:
     """
 
     FIELDS = ("words", "word", "context", "count", "place", "meta", "texts", "at", "n")
+    SEATED = 4
 
     def __init__(self, *arrays: np.ndarray) -> None:
-        for name, a in zip(self.FIELDS, arrays, strict=True):
+        for name, a in zip(self.FIELDS, arrays):  # noqa: B905  seating needs the first SEATED only
             setattr(self, name, a)
 
     @classmethod
@@ -269,8 +270,9 @@ class Bucket:
         joined = [np.concatenate([p[i] for p in parts]) for i in (4, 5, 6)]
         return cls(words, (pairs >> 16).astype(np.uint32), (pairs & 0xFFFF).astype(np.uint16), count, place.astype(np.uint32), np.array(meta), *joined)
 
-    def dump(self) -> bytes:
-        return _pack(*(getattr(self, name) for name in self.FIELDS))
+    def dump(self) -> tuple[bytes, bytes]:
+        """What seating needs, and the rest."""
+        return tuple(_pack(*(getattr(self, name) for name in part)) for part in (self.FIELDS[: self.SEATED], self.FIELDS[self.SEATED :]))
 
     def parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Of each chunk: number, texts; and by text of a pair: pair, text, tokens."""
@@ -288,11 +290,11 @@ def _gather(frequent: frozenset[int]):
     """One row for each bucket: its blobs, pairs by context, and sums over its pairs and words."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        names = ["bucket", "chunk", "ids", "held", "sizes", "state", "pairs", "sums", "frequent"]
-        kinds = pa.int64(), pa.int64(), rows.schema.field("ids").type, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()
+        names = ["bucket", "chunk", "ids", "held", "sizes", "state", "texts", "pairs", "sums", "frequent"]
+        kinds = pa.int64(), pa.int64(), rows.schema.field("ids").type, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()
         if key[0].as_py() < 0:
             first = [rows[c][0].as_py() for c in ("bucket", "chunk", "ids", "held", "sizes")]
-            return pa.table([pa.array([v], k) for v, k in zip([*first, None, None, None, None], kinds, strict=True)], names=names)
+            return pa.table([pa.array([v], k) for v, k in zip([*first, *[None] * 5], kinds, strict=True)], names=names)
         b = Bucket.merged(rows["blob"].to_pylist())
         seen = b.count > 0
         pairs = np.bincount(b.context[seen], minlength=CONTEXTS)
@@ -301,7 +303,7 @@ def _gather(frequent: frozenset[int]):
         once, twice = (int((b.count == k).sum()) for k in (1, 2))
         one, two = (int((types[~often] == k).sum()) for k in (1, 2))
         sums = [int((counts[~often] > 0).sum()), once, twice, one, two, int(counts.sum()), int(seen.sum())]
-        values = [key[0].as_py(), None, None, None, None, b.dump(), _pack(pairs.astype("<u4")), sums, _pack(b.words[often], counts[often], types[often])]
+        values = [key[0].as_py(), None, None, None, None, *b.dump(), _pack(pairs.astype("<u4")), sums, _pack(b.words[often], counts[often], types[often])]
         return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     return run
@@ -477,7 +479,7 @@ def _score(model):
         d = m.discounts[0]
         for batch in batches:
             for i in range(batch.num_rows):
-                b = Bucket(*_unpack(batch.column(1)[i].as_py()))
+                b = Bucket(*_unpack(batch.column(1)[i].as_py()), *_unpack(batch.column(2)[i].as_py()))
                 total = np.zeros(len(b.count))
                 for k, (tables, customers, root) in enumerate(m.seatings(batch.column(0)[i].as_py(), b)):
                     if k < m.burn_in:
@@ -550,6 +552,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             *[T.StructField(c, T.LongType()) for c in ("bucket", "chunk")],
             *ids,
             T.StructField("state", T.BinaryType()),
+            T.StructField("texts", T.BinaryType()),
             T.StructField("pairs", T.BinaryType()),
             T.StructField("sums", T.ArrayType(T.LongType())),
             T.StructField("frequent", T.BinaryType()),
@@ -576,7 +579,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         model.sums.append(_swept(model, _added(buckets_only.mapInArrow(_seat(sent), _TOTALS)).collect()))
     second = spark.sparkContext.broadcast(model)
     texts = pairs.where("bucket < 0").select("chunk", "ids", "held", "sizes")
-    scored = buckets_only.mapInArrow(_score(second), "chunk long, score binary, base binary, known binary")
+    scored = pairs.where("bucket >= 0").select("bucket", "state", "texts").mapInArrow(_score(second), "chunk long, score binary, base binary, known binary")
     both = texts.unionByName(scored, allowMissingColumns=True)
     out = T.StructType([T.StructField("id", kind), T.StructField("held_out", T.BooleanType())])
     for c in ("n_tokens", "n_known", "train_tokens"):
