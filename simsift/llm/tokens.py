@@ -26,6 +26,8 @@ from .bpe import encoder
 from .common import partitions, scratch, table
 
 MAGIC = b"DAC1"
+#: File parts whose starts are broadcast at most; those of more are joined like any table.
+PARTS = 100_000
 #: Places of the whole stream that are joined with the shards as one key.
 BLOCK = 1 << 20
 #: Bits of the bitmap per entry of the rank directory.
@@ -177,6 +179,7 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
         starts.append((part, at))
         at += n
     first = spark.createDataFrame(starts, "of int, offset long")
+    first = F.broadcast(first) if len(starts) <= PARTS else first
     return rows.join(first, F.col("part") == F.col("of")).withColumn("start", F.col("offset") + F.col("before")).drop("of", "offset")
 
 
