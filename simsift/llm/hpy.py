@@ -23,15 +23,16 @@ Plan
    It is written to the shared folder, a row for each bucket.
 3. A sweep is one pass over the buckets. Words are whole in a bucket, so the parent's customers of a word
    are local; tables by context, those of frequent words and the parent's totals are summed over all
-   buckets after each sweep, and the next one is given the sums. A pass repeats the sweeps before its own
-   from their sums and seeds, so that no seating has to be kept.
-4. A last pass repeats all sweeps and returns the sums of log-probabilities by text, added up by chunk.
+   buckets after each sweep, and the next one is given the sums and the tables that the one before has written.
+4. A last pass over the first table, which has the texts too, repeats all sweeps from their sums and seeds and
+   returns the sums of log-probabilities by text, added up by chunk. So texts are not written again by sweeps.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
+from contextlib import ExitStack
 from functools import lru_cache
 
 import numpy as np
@@ -39,11 +40,11 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, partitions, stored, table
+from .common import crc_mod, partitions, stored, table, temporary
 
 #: Restaurants of contexts.
 CONTEXTS = 1 << 16
@@ -399,23 +400,31 @@ class Model:
         """Weight of a new table of a word in the parent."""
         return (ROOT_CONCENTRATION + self.discounts[1] * sums["root"]) / (self.vocabulary + 1)
 
-    def seatings(self, bucket: int, b: Bucket) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Tables by pair, and customers and tables of the parent by word, after each sweep of which the totals before are known."""
-        rng = np.random.default_rng([self.seed, bucket])
+    def first(self, b: Bucket) -> tuple[np.ndarray, np.ndarray]:
+        """Before any sweep: one table of each pair seen, and one of the parent for each word."""
+        seen = b.count > 0
+        return np.ones(int(seen.sum())), np.minimum(np.bincount(b.word[seen], minlength=len(b.words)), 1.0)
+
+    def sweep(self, k: int, bucket: int, b: Bucket, drawn: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of the pairs seen, and of the parent by word, after the k-th sweep from those before it."""
+        sums, rng = self.sums[k], np.random.default_rng([self.seed, bucket + 1, k])
         seen = np.flatnonzero(b.count > 0)
-        count, word, context = b.count[seen].astype(np.int64), b.word[seen], b.context[seen]
+        word = b.word[seen]
         dishes, roots = _drawing(self.discounts[0], CONCENTRATION), _drawing(self.discounts[1], ROOT_CONCENTRATION)
-        customers = np.bincount(word, minlength=len(b.words)).astype(float)
-        root, drawn = np.minimum(customers, 1.0), np.ones(len(seen))
-        even = np.full(len(b.words), 1 / (self.vocabulary + 1))
-        for sums in self.sums[: self.burn_in + self.samples]:
-            parent = self.parent(sums, b.words, customers, root)
-            drawn = dishes.draw(count, parent[word], sums["tables"][context] - drawn, rng)
-            customers = np.bincount(word, drawn, len(b.words))
-            root = roots.draw(customers.astype(np.int64), even, sums["root"] - root, rng)
+        parent = self.parent(sums, b.words, np.bincount(word, drawn, len(b.words)), root)
+        drawn = dishes.draw(b.count[seen].astype(np.int64), parent[word], sums["tables"][b.context[seen]] - drawn, rng)
+        customers = np.bincount(word, drawn, len(b.words)).astype(np.int64)
+        return drawn, roots.draw(customers, np.full(len(b.words), 1 / (self.vocabulary + 1)), sums["root"] - root, rng)
+
+    def seatings(self, bucket: int, b: Bucket) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Tables by pair, and customers and tables of the parent by word, after each sweep."""
+        seen = np.flatnonzero(b.count > 0)
+        drawn, root = self.first(b)
+        for k in range(self.burn_in + self.samples):
+            drawn, root = self.sweep(k, bucket, b, drawn, root)
             tables = np.zeros(len(b.count))
             tables[seen] = drawn
-            yield tables, customers.copy(), root.copy()
+            yield tables, np.bincount(b.word[seen], drawn, len(b.words)), root
 
     def parent(self, sample: dict, words: np.ndarray, customers: np.ndarray, root: np.ndarray) -> np.ndarray:
         """The parent's probability of each word, given the sums after a sweep and a bucket's own words after it."""
@@ -427,27 +436,60 @@ class Model:
         return (customers - self.discounts[1] * root + self.new_root(sample)) / (ROOT_CONCENTRATION + sample["total"])
 
 
-def _seat(model):
-    """Sums over a task's buckets after the last sweep: tables by context; the parent's customers and tables."""
+def _small(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in the least type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def _seat(model, k: int):
+    """A row of each bucket, with its tables after the k-th sweep (not of the last, which nothing reads); and sums over a
+    task's buckets: tables by context; the parent's customers and tables."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         by_context, sums, frequent = np.zeros(CONTEXTS, np.int64), np.zeros(2, np.int64), {}
         for batch in batches:
             for i in range(batch.num_rows):
-                b = Bucket(*_unpack(batch.column(1)[i].as_py()))
-                for tables, customers, root in m.seatings(batch.column(0)[i].as_py(), b):
-                    pass
-                by_context += np.bincount(b.context, tables, CONTEXTS).astype(np.int64)
-                often = [(k, h) for k, h in enumerate(b.words.tolist()) if h in m.frequent]
-                sums += int(customers.sum()), int(root.sum() - root[[k for k, _ in often]].sum())
-                for k, h in often:
-                    frequent[h] = frequent.get(h, 0) + int(customers[k])
-        yield _totals(sums, by_context[None], frequent)
+                number, state, seats = (batch.column(c)[i].as_py() for c in range(3))
+                b = Bucket(*_unpack(state))
+                drawn, root = m.sweep(k, number, b, *(m.first(b) if seats is None else (a.astype(float) for a in _unpack(seats))))
+                seen = b.count > 0
+                customers = np.bincount(b.word[seen], drawn, len(b.words))
+                by_context += np.bincount(b.context[seen], drawn, CONTEXTS).astype(np.int64)
+                often = [(j, h) for j, h in enumerate(b.words.tolist()) if h in m.frequent]
+                sums += int(customers.sum()), int(root.sum() - root[[j for j, _ in often]].sum())
+                for j, h in often:
+                    frequent[h] = frequent.get(h, 0) + int(customers[j])
+                if k + 1 < m.burn_in + m.samples:
+                    values = [number], [state], [_pack(_small(drawn), _small(root))], [None], [None], [None], [None]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _SEATED_TYPES, strict=True)], names=_SEATED_NAMES)
+        total = _totals(sums, by_context[None], frequent)
+        nulls = [pa.nulls(total.num_rows, t) for t in _SEATED_TYPES[:3]]
+        yield pa.RecordBatch.from_arrays([*nulls, *total.columns], names=_SEATED_NAMES)
 
     return run
 
 
+_SEATED_NAMES = ["bucket", "state", "seats", "kind", "key", "n", "value"]
+_SEATED_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _sweeps(spark: SparkSession, model: Model, buckets: DataFrame) -> None:
+    """Adds the sums after each sweep to the model. What a sweep has written is removed after the next one."""
+    with ExitStack() as blocks:
+        before = None
+        for k in range(model.burn_in + model.samples):
+            now = blocks.enter_context(ExitStack())
+            now.enter_context(temporary(spark))
+            sent = spark.sparkContext.broadcast(model)
+            rows = stored(buckets.mapInArrow(_seat(sent, k), f"bucket long, state binary, seats binary, {_TOTALS}"), "hpy-seats")
+            model.sums.append(_swept(model, _added(rows.where("bucket is null").drop("bucket", "state", "seats")).collect()))
+            buckets = rows.where("bucket is not null").select("bucket", "state", "seats")
+            if before:
+                before.close()
+            before = now
+
+
 def _swept(model: Model, rows: list) -> dict:
     """The sums after a sweep from those of its tasks; the parent's tables of frequent words are drawn here."""
     out = {"tables": np.zeros(CONTEXTS), "total": 0.0, "root": 0.0, "frequent": {}}
@@ -573,10 +615,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     vocabulary = int(sums[0]) + sum(c > 0 for c in frequent.values())
     start = {"tables": by_context, "total": float(sums[6]), "root": float(vocabulary), "frequent": {h: (float(t), min(1.0, float(t))) for h, t in types.items()}}
     model = Model(n, vocabulary, contexts, (_discount(int(sums[1]), int(sums[2])), _discount(int(sums[3]), int(sums[4]))), frequent, start, seed, burn_in, samples)
-    buckets_only = pairs.where("bucket >= 0").select("bucket", "state")
-    for _ in range(burn_in + samples):
-        sent = spark.sparkContext.broadcast(model)
-        model.sums.append(_swept(model, _added(buckets_only.mapInArrow(_seat(sent), _TOTALS)).collect()))
+    _sweeps(spark, model, pairs.where("bucket >= 0").select("bucket", "state", F.lit(None).cast("binary").alias("seats")))
     second = spark.sparkContext.broadcast(model)
     texts = pairs.where("bucket < 0").select("chunk", "ids", "held", "sizes")
     scored = pairs.where("bucket >= 0").select("bucket", "state", "texts").mapInArrow(_score(second), "chunk long, score binary, base binary, known binary")
