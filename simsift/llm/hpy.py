@@ -60,7 +60,7 @@ EXACT, PARTICLES = 1024, 32
 REMEMBERED = 200_000
 _END, _START = b" end", b" start"  # no word has a space
 #: Contexts whose totals travel together, and groups of tasks that are added up first.
-_BLOCK, _FANIN = 1024, 32
+_BLOCK, _FANIN = 1 << 13, 32
 
 
 def _hash(word: bytes) -> int:
