@@ -572,16 +572,17 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    survey = stored(_added(rows.select("text", "held").mapInArrow(_survey, _TOTALS)), "hpy-survey")
+    survey = stored(rows.select("text", "held").mapInArrow(_survey, _TOTALS), "hpy-survey")
     tokens, n, contexts = 0, 0, np.zeros(CONTEXTS)
-    for r in survey.where("kind < 2").collect():  # of a fixed size
+    for r in _added(survey.where("kind < 2")).collect():  # of a fixed size
         value = np.frombuffer(r["value"], "<i8")
         if r["kind"] == 0:
             tokens, n = int(value[0]), int(value[1])
         else:
             contexts[r["key"] : r["key"] + _BLOCK] = value
     buckets = max(partitions(spark), tokens // BUCKET + 1)
-    often = survey.where((F.col("kind") == 2) & (F.col("n") * 4 * buckets >= tokens)).collect()  # 4 * buckets words at most
+    words = survey.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n"))
+    often = words.where(F.col("n") * 4 * buckets >= tokens).collect()  # 4 * buckets words at most
     salts = {r["key"] + (1 << 63): min(CONTEXTS, 4 * buckets * r["n"] // tokens + 1) for r in often}
 
     from pyspark.sql.pandas.types import to_arrow_type
