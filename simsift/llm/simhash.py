@@ -317,12 +317,12 @@ def _links(make):
 
 
 def _probed(nodes: DataFrame, bits: int, own: str, others: list[str]) -> DataFrame:
-    """(key, node, fp, others) of nodes by the keys of the fingerprint `own`, dealt by key."""
+    """(key, node, fp, others) of nodes by the keys of the fingerprint `own`, dealt by key; others are renamed, for one may be called fp."""
     n, ones, correlation = bit_statistics(nodes.select(F.col(own).alias("fp")))
     plan, _ = allocate(n, ones, correlation, bits)
     per_node = sum((0, 1, 1 + len(p) / 2, 1 + len(p))[t + 1] for p, t in plan)
     parts = max(partitions(nodes.sparkSession), int(n * per_node / KEYS_PER_TASK) + 1)
-    probes = nodes.select(F.explode(keys(F.col(own), plan)).alias("key"), "node", F.col(own).alias("fp"), *others)
+    probes = nodes.select(F.explode(keys(F.col(own), plan)).alias("key"), "node", F.col(own).alias("fp"), *(F.col(c).alias(f"other{i}") for i, c in enumerate(others)))
     return _hot(probes, bits).repartition(parts, "key")
 
 

@@ -100,3 +100,13 @@ def test_large_groups_are_dealt_to_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 8)
     monkeypatch.setattr(simhash, "PIVOTS", 2)
     test_drop_near(spark)
+
+
+def test_hot_keys_of_several_probes(spark, monkeypatch):
+    """Beyond about a million rows several fingerprints are probed, and keys become hot: fp is then one of the others too."""
+    hot, dealt = [], simhash._hot
+    monkeypatch.setattr(simhash, "HOT", 16)
+    monkeypatch.setattr(simhash, "reach", lambda *_: (3, 11))
+    monkeypatch.setattr(simhash, "_hot", lambda probes, bits: (hot.append((after := dealt(probes, bits)) is not probes), after)[1])
+    test_drop_near(spark)
+    assert hot.count(True) >= 3
