@@ -12,6 +12,7 @@ from .secrets import SECRETS_SQL, secrets_query
 from .simhash import simhash_query
 from .tokens import tokens_query
 from .toxicity import toxicity_query
+from .whitening import whitening_query
 
 QUERIES = {
     "op1_hpy_score": hpy_query,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bpe_tree": bpe_query,
     "op9_token_codes": tokens_query,
     "op10_secret_ledger": secrets_query,
+    "op11_exact_whitening": whitening_query,
 }
 
 ORACLES: dict[str, str] = {
