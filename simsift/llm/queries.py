@@ -8,6 +8,7 @@ from .hpy import hpy_query
 from .licenses import license_query
 from .mixing import mix_query
 from .pca import PCA_SQL, pca_query
+from .runs import runs_query
 from .secrets import SECRETS_SQL, secrets_query
 from .simhash import simhash_query
 from .tokens import tokens_query
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_codes": tokens_query,
     "op10_secret_ledger": secrets_query,
     "op11_exact_whitening": whitening_query,
+    "op12_crochemore_runs": runs_query,
 }
 
 ORACLES: dict[str, str] = {
