@@ -8,6 +8,7 @@ from .hpy import hpy_query
 from .licenses import license_query
 from .mixing import mix_query
 from .pca import PCA_SQL, pca_query
+from .recompress import repeats_query
 from .runs import runs_query
 from .secrets import SECRETS_SQL, secrets_query
 from .simhash import simhash_query
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_secret_ledger": secrets_query,
     "op11_exact_whitening": whitening_query,
     "op12_crochemore_runs": runs_query,
+    "op13_recompression_cut": repeats_query,
 }
 
 ORACLES: dict[str, str] = {
