@@ -30,15 +30,28 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """df is one path of files, filtered and projected: its rows are rows of the files, each once at most."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.getClass().getSimpleName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return node.relation().location().rootPaths().size() == 1
+
+
 def numbered(df: DataFrame, row: str, place: str) -> DataFrame:
     """All columns of df as the struct `row`, and `place`, a struct of two longs that tells rows apart and is the same
-    each time the table is read. For rows of files it is the file and the row's number in it; others are stored first."""
-    own = [F.col(f"`{c}`") for c in df.columns]
-    try:
+    each time the table is read. For rows of files it is the file and the row's number in it. Rows that may come several
+    times from one row of a file (joins, explode, unions, paths given twice), or aren't files' at all, are stored first."""
+    own = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias(row)
+    if _plain_scan(df) and "_metadata" not in map(str.lower, df.columns):
         at = F.struct(F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").cast("long").alias("at"))
-        out = df.select(F.struct(*own).alias(row), at.alias(place))
-        out.schema  # noqa: B018  fails here, where there is no such column
-        return out
-    except AnalysisException:
-        at = F.struct(F.spark_partition_id().cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
-        return stored(df.select(F.struct(*own).alias(row), at.alias(place)), "numbered")
+        try:
+            out = df.select(own, at.alias(place))
+            out.schema  # noqa: B018  fails here, where the format has no row numbers
+            return out
+        except AnalysisException:
+            pass
+    at = F.struct(F.spark_partition_id().cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return stored(df.select(own, at.alias(place)), "numbered")

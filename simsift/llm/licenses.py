@@ -5,7 +5,8 @@ document are joined with the template positions that have the same hash. A hit a
 votes for the diagonal p - q; a passage that follows a template puts all its votes on one diagonal, and words that were
 added or left out move the rest to a neighbouring one. Votes are counted by diagonal, and neighbouring diagonals whose
 places follow each other are merged into spans. A span is verified by aligning its words with the template's (longest
-common subsequence): it holds a license text if it has COVER of the template's words and these are DENSE of its own.
+common subsequence): it holds a license text if it has COVER of the template's words and these are DENSE of its own. In
+a span that is longer than that allows, the same is asked of the parts that begin where a diagonal does.
 
 Phrases have two or three words, so they use k = 2 and must be complete; license texts use k = LONG_K. The templates
 are a fixed list and broadcast; grams meet them in the map tasks, and only votes are dealt, by document, with the words
@@ -14,6 +15,7 @@ of the documents that have any. Neither a common word nor a common line brings r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -143,17 +145,46 @@ def _scan(templates):
     return run
 
 
-def common_words(template: list[bytes], found: list[bytes]) -> int:
-    """Length of the longest common subsequence, a bit for each word of the template."""
+def common_words(template: list[bytes], found: list[bytes]) -> list[int]:
+    """Length of the longest common subsequence with every prefix of found, a bit for each word of the template."""
     at: dict[bytes, int] = {}
     for i, w in enumerate(template):
         at[w] = at.get(w, 0) | 1 << i
     full = (1 << len(template)) - 1
-    v = full
+    v, out = full, []
     for w in found:
         u = v & at.get(w, 0)
         v = (v + u | v - u) & full
-    return len(template) - v.bit_count()
+        out.append(len(template) - v.bit_count())
+    return out
+
+
+def passages(template: list[bytes], text: list[bytes], start: int, stop: int, starts: list[int]) -> tuple[list[tuple[int, int, float]], float]:
+    """(start, stop, cover) of the license in a span, and the best cover of any part of it, less where that is not dense.
+
+    The span counts as a whole if it may. If it is too long for that, since fragments before and after were merged into
+    it, every part is looked at that begins with a diagonal and is no longer than a valid one can be: of those that begin
+    at one place the one with most of the template, the shorter one of equals; parts that overlap one before are left out.
+    """
+    size = len(template)
+
+    def score(n: int, length: int) -> float:
+        return n / size * min(1.0, n / length / DENSE)
+
+    whole, length = common_words(template, text[start:stop])[-1], stop - start
+    if whole >= COVER * size and whole >= DENSE * length:
+        return [(start, stop, whole / size)], score(whole, length)
+    found, best, last = [], score(whole, length), start
+    for a in starts:
+        if a < last:
+            continue
+        common = common_words(template, text[a : min(stop, a + math.floor(size / DENSE))])
+        best = max([best, *(score(n, i + 1) for i, n in enumerate(common))])
+        n, shorter = max(((n, -i - 1) for i, n in enumerate(common) if n >= DENSE * (i + 1)), default=(0, 0))
+        if n and n >= COVER * size:
+            last = a - shorter
+            found.append((a, last, n / size))
+    return found, best
 
 
 def _verify(templates):
@@ -167,15 +198,14 @@ def _verify(templates):
                 kept, score = [], 0.0
                 text = (body or "").encode().split(b" ") if found else []
                 for s in sorted(found or [], key=lambda s: (s["start"], s["stop"], s["template"])):
-                    t, part = templates[s["template"]], text[s["start"] : s["stop"]]
+                    t, start, stop = templates[s["template"]], s["start"], s["stop"]
                     if t.phrase:
-                        cover = dense = float(part == own[s["template"]])
+                        best = float(text[start:stop] == own[s["template"]])
+                        parts = [(start, stop, best)] if best else []
                     else:
-                        n = common_words(own[s["template"]], part)
-                        cover, dense = n / len(own[s["template"]]), n / max(len(part), 1)
-                    if cover >= (1.0 if t.phrase else COVER) and dense >= DENSE:
-                        kept.append({"start": s["start"], "stop": s["stop"], "template": t.name, "label": t.label, "phrase": t.phrase, "cover": cover})
-                    score = max(score, cover * min(1.0, dense / DENSE))
+                        parts, best = passages(own[s["template"]], text, start, stop, s["starts"])
+                    kept += [{"start": a, "stop": b, "template": t.name, "label": t.label, "phrase": t.phrase, "cover": c} for a, b, c in parts]
+                    score = max(score, best)
                 spans.append(kept)
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(span)), pa.array(scores, pa.float64())], names=["id", "n_words", "spans", "score"])
@@ -210,10 +240,10 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     phrase = F.col("template").isin([i for i, t in enumerate(templates) if t.phrase])
     far = (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > SHIFT) | (F.col("start") - F.lag("stop").over(by_diagonal) > GAP)
     lines = lines.withColumn("fresh", F.coalesce(phrase | far, F.lit(True)).cast("int")).withColumn("span", F.sum("fresh").over(by_diagonal))
-    spans = lines.groupBy("key", "template", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max(F.size("at")).alias("held"), *first)
+    spans = lines.groupBy("key", "template", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max(F.size("at")).alias("held"), F.sort_array(F.collect_set("start")).alias("starts"), *first)
     grams_of = F.element_at(F.array(*[F.lit(len(t.words) - t.k + 1) for t in templates]), F.col("template") + 1)
     worth = (F.col("template") >= 0) & (~phrase | (F.col("held") == F.when(F.col("template") >= 0, grams_of)))  # all grams of a phrase
-    found = F.collect_list(F.when(worth, F.struct("start", "stop", "template"))).alias("found")
+    found = F.collect_list(F.when(worth, F.struct("start", "stop", "template", "starts"))).alias("found")
     done = spans.groupBy("key").agg(*first, found).select("id", "n_words", "body", "found")
     span = T.StructType().add("start", T.LongType()).add("stop", T.LongType()).add("template", T.StringType()).add("label", T.StringType()).add("phrase", T.BooleanType()).add("cover", T.DoubleType())
     out = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("score", T.DoubleType())])
