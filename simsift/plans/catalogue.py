@@ -503,20 +503,46 @@ def _positional_sql(lo: int, hi: int | None) -> str:
     )
 
 
+def _answered(found, *key):
+    names = F.array_join(F.transform("answers", lambda a: F.concat_ws(":", *[a[k] for k in key])), ",")
+    n = F.when(F.col("answers").isNotNull(), F.size("answers").cast("long"))
+    return found.withColumns({"post_ordinal": F.col("post_ordinal").cast("long"), "answers": names, "n_answers": n})
+
+
 def _positional(lo: int, hi: int):
     def run(spark, sf_dir):
         found = posts.attach_positional(turns(spark, sf_dir), F.col("role") == "assistant", "conv_id", "turn", lo=lo, hi=hi)
-        names = F.array_join(F.transform("answers", lambda a: F.concat_ws(":", a["conv_id"], a["turn"])), ",")
-        n = F.when(F.col("answers").isNotNull(), F.size("answers").cast("long"))
-        return found.select("conv_id", "turn", F.col("post_ordinal").cast("long").alias("post_ordinal"), names.alias("answers"), n.alias("n_answers"))
+        return _answered(found, "conv_id", "turn").select("conv_id", "turn", "post_ordinal", "answers", "n_answers")
 
     return run
 
 
+def _xml_turns(spark, sf_dir):
+    """conversations written as XML dumps, in order, and read again in ranges of the files."""
+    rows = turns(spark, sf_dir).repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    path = scratch(spark, "turns-xml")
+    kind = F.when(F.col("role") == "assistant", "2").otherwise("1")
+    posts.write_posts(rows.select(F.concat_ws(":", "conv_id", "turn").alias("id"), kind.alias("post_type"), F.col("text").alias("body")), path)
+    return posts.read_posts(spark, path)
+
+
 QUERIES |= {"answers_positional": _positional(1, 0), "answers_positional_range": _positional(20, 60)}
 ORACLES |= {"answers_positional": _positional_sql(1, None), "answers_positional_range": _positional_sql(20, 60)}
 
 
+@query(_positional_sql(1, None))
+def answers_positional_xml(spark, sf_dir):
+    found = posts.attach_positional(_xml_turns(spark, sf_dir), posts.is_answer(F.col("post_type")), "file", "place")
+    key = F.split("id", ":")
+    return _answered(found, "id").select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "post_ordinal", "answers", "n_answers")
+
+
+@query("select conv_id, turn, role = 'assistant' as is_answer, length(text) as n_chars, sha256(text) as text_sha256 from conversations")
+def xml_dump_rows(spark, sf_dir):
+    found, key = _xml_turns(spark, sf_dir), F.split("id", ":")
+    return found.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), posts.is_answer(F.col("post_type")).alias("is_answer"), F.length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("text_sha256"))
+
+
 @query("with a as (select conv_id, turn, text from conversations where role = 'assistant'), p as (select conv_id, turn from conversations where role = 'user') select p.conv_id, p.turn, string_agg(a.turn::VARCHAR, ',' order by a.turn) as answers from p left join a on a.conv_id = p.conv_id and a.turn = p.turn + 1 group by p.conv_id, p.turn")
 def answers_by_parent(spark, sf_dir):
     """An assistant turn answers the turn before it."""

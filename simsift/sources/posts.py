@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,24 +19,66 @@ ATTRIBUTES = {
 }
 COMMENT_ATTRIBUTES = {"_Id": "id", "_PostId": "post_id", "_Score": "score", "_Text": "text", "_CreationDate": "creation_date"}
 NUMBERS = ("id", "parent_id", "accepted_answer_id", "score", "view_count", "answer_count", "comment_count", "favorite_count")
+#: The rest of a start tag behind its name: attributes, and a slash where the element ends at once.
+START_TAG = r"""^((?:[\s/](?:[^<>"']|"[^"]*"|'[^']*')*)?)>"""
 #: Rows that one partition puts in order.
 ORDERED = 1_000_000
 
 
-def _rows(spark: SparkSession, path: str, attributes: dict[str, str]) -> DataFrame:
+def _attribute(name: str, value: str) -> str:
+    """A pattern of a start tag that has the attribute; values that need escapes are left to the reader."""
+    return rf"""\s{re.escape(name)}\s*=\s*("{re.escape(value)}"|'{re.escape(value)}')"""
+
+
+def _rows(spark: SparkSession, path: str, attributes: dict[str, str], only: dict[str, str] | None = None) -> DataFrame:
+    """Elements `row` of XML files. A file is read in ranges: what follows one "<row" up to the next belongs to the range
+    in which it begins, as a line would. "<" can't stand in an attribute, so a record begins with the rest of its start tag.
+
+    `only` gives attributes and the values they must have: other records are passed over before they are parsed.
+    """
+    read = spark.read.option("lineSep", "<row").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"))
+    tag = F.regexp_extract("value", START_TAG, 1)
+    rows = read.select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")).where(F.col("value").rlike(START_TAG))
+    wanted = {a: v for a, v in (only or {}).items() if v is not None}
+    for name, value in wanted.items():
+        if re.fullmatch(r"[\w.:-]*", value):
+            rows = rows.where(F.col("value").rlike(_attribute(name, value)))
     schema = ", ".join(f"{a} string" for a in attributes)
-    read = spark.read.format("xml").option("rowTag", "row").schema(schema).load(path)
-    rows = read.select(*[F.col(a).alias(c) for a, c in attributes.items()], F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    parsed = F.from_xml(F.concat(F.lit("<row"), F.regexp_replace(tag, r"/\s*$", ""), F.lit("/>")), schema)
+    rows = rows.select(parsed.alias("row"), "file", "place").select(*[F.col("row")[a].alias(c) for a, c in attributes.items()], "file", "place")
+    for name, value in wanted.items():
+        rows = rows.where(F.col(attributes[f"_{name}"]) == value)
     return rows.where(" or ".join(f"{c} is not null" for c in attributes.values()))
 
 
-def read_posts(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of an XML dump, attributes as strings, with (file, place) giving their order. One partition reads a file."""
-    return _rows(spark, path, ATTRIBUTES)
+def read_posts(spark: SparkSession, path: str, post_type: str | None = None, post_id: str | None = None) -> DataFrame:
+    """All rows of XML dumps, attributes as strings, with (file, place) giving their order; or those of one type or id.
+
+    Many tasks read one file, in ranges of spark.sql.files.maxPartitionBytes. Rows without any known attribute, and text
+    between elements, are skipped; a comment that holds a row isn't told apart from one.
+    """
+    return _rows(spark, path, ATTRIBUTES, {"PostTypeId": post_type, "Id": post_id})
+
+
+def read_comments(spark: SparkSession, path: str, post_id: str | None = None) -> DataFrame:
+    """All rows of XML dumps of comments, or those on one post, as read_posts reads posts."""
+    return _rows(spark, path, COMMENT_ATTRIBUTES, {"PostId": post_id})
+
+
+def write_posts(posts: DataFrame, path: str) -> None:
+    """Write rows as XML dumps, an element `row` each: attributes are the columns that ATTRIBUTES names; null ones are left out."""
+    some = [F.col(c).cast("string").alias(a) for a, c in ATTRIBUTES.items() if c in posts.columns]
+    posts.select(*some).write.format("xml").option("rowTag", "row").option("rootTag", "posts").save(path)
 
 
-def read_comments(spark: SparkSession, path: str) -> DataFrame:
-    return _rows(spark, path, COMMENT_ATTRIBUTES)
+def attach_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """Posts with `comments`, the array of comments on each in order of their number, by one row per post and comment;
+    null without any. Comments on no post are lost."""
+    n = F.col("id").try_cast("bigint")
+    kept = comments.where(F.col("post_id").isNotNull()).groupBy(F.col("post_id").alias("_of")).agg(F.collect_list(F.struct(n.alias("n"), F.struct("id", "score", "text", "creation_date").alias("c"))).alias("_c"))
+    kept = kept.select("_of", F.transform(F.array_sort("_c"), lambda c: c["c"]).alias("comments"))
+    return posts.join(kept, F.col("id").cast("string") == F.col("_of"), "left").drop("_of")
 
 
 def typed(posts: DataFrame) -> DataFrame:

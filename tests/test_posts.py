@@ -48,6 +48,57 @@ def test_positional(dump, lo, hi, expected):
     assert attached(dump, lo, hi) == expected
 
 
+AWKWARD = """<?xml version="1.0" encoding="utf-8"?>
+<posts>
+  <row Id="1" PostTypeId="1" Title="a &lt;row Id=&quot;9&quot;/&gt; b" Body="x &gt; y > z 'q' é" />
+  <row Id='2' PostTypeId='2' Body='say "hi" />' ParentId="1"/>
+  <row
+     Id="3" PostTypeId = "1" Body="l1&#xA;l2"></row>
+  <row Id="4" PostTypeId="2"><inner a="1"/>text</row><row Id="5"
+PostTypeId="3"/><rows/><row/><row Nothing="1"/>
+</posts>
+"""
+
+
+def test_cuts_at_every_offset(spark, tmp_path):
+    """A file read in ranges of any size gives the rows, in order, that one task gives by the XML reader."""
+    (tmp_path / "a.xml").write_text(AWKWARD)
+    path, size = f"file://{tmp_path}/a.xml", len(AWKWARD.encode())
+    schema = ", ".join(f"{a} string" for a in posts.ATTRIBUTES)
+    whole = [tuple(r[a] for a in posts.ATTRIBUTES) for r in spark.read.format("xml").option("rowTag", "row").schema(schema).load(path).where("_Id is not null").collect()]
+    assert len(whole) == 5
+    names, kept = list(posts.ATTRIBUTES.values()), {k: spark.conf.get(f"spark.sql.files.{k}", None) for k in ("openCostInBytes", "minPartitionNum", "maxPartitionBytes")}
+    try:
+        for cut in [1, 2, 3, *range(4, size + 8, 23)]:
+            for k, v in zip(kept, (1, 1, cut), strict=True):
+                spark.conf.set(f"spark.sql.files.{k}", v)
+            df = posts.read_posts(spark, path)
+            assert cut > 3 or df.rdd.getNumPartitions() >= size // 3
+            assert [tuple(r[c] for c in names) for r in df.orderBy("file", "place").collect()] == whole, cut
+        assert [r["id"] for r in posts.read_posts(spark, path, post_type="2").orderBy("file", "place").collect()] == ["2", "4"]
+        assert [r["body"] for r in posts.read_posts(spark, path, post_id="3").collect()] == ["l1\nl2"]
+        assert posts.read_posts(spark, path, post_type="1", post_id="2").count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(f"spark.sql.files.{k}") if v is None else spark.conf.set(f"spark.sql.files.{k}", v)
+
+
+def test_written_and_read(spark, dump, tmp_path):
+    posts.write_posts(dump.drop("file", "place"), f"file://{tmp_path}/again")
+    again = posts.read_posts(spark, f"file://{tmp_path}/again")
+    assert sorted(map(str, again.drop("file", "place").collect())) == sorted(map(str, dump.drop("file", "place").collect()))
+
+
+def test_comments(spark, dump, tmp_path):
+    (tmp_path / "c.xml").write_text('<comments><row Id="10" PostId="1" Text="b"/><row Id="9" PostId="1" Text="a" Score="3"/><row Id="11" PostId="99" Text="c"/><row Id="12" Text="d"/></comments>')
+    comments = posts.read_comments(spark, f"file://{tmp_path}/c.xml")
+    found = {r["id"]: r["comments"] and [(c["id"], c["text"]) for c in r["comments"]] for r in posts.attach_comments(dump, comments).collect()}
+    assert len(found) == 7 and found["1"] == [("9", "a"), ("10", "b")] and found["2"] is None
+    assert [r["text"] for r in posts.read_comments(spark, f"file://{tmp_path}/c.xml", post_id="99").collect()] == ["c"]
+    row = posts.attach_comments(dump, comments).where("id = '1'").select(F.size(posts.append(F.col("comments"), F.col("comments")[0])).alias("n"), posts.comment_text(F.col("comments")[0]["id"]).alias("t")).first()
+    assert row["n"] == 3 and row["t"] == "Comment( id = 9)"
+
+
 def test_by_parent_and_accepted(dump):
     answer = posts.is_answer(F.col("post_type"))
     found = posts.attach_by_parent(dump.where(~answer), dump.where(answer))
