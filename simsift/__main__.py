@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import argparse
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +20,7 @@ from .functions import features as ft
 from .functions import text as tx
 from .operators import encode as enc
 from .operators import evaluate as ev
+from .operators import training
 from .operators.minhash import MinHash, MinHashIndex
 from .operators.prefix import PrefixIndex
 from .session import stored
@@ -60,6 +60,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--model", default=cfg.model_type.lower())
     parser.add_argument("--latent", type=int, default=cfg.latent)
     parser.add_argument("--epochs", type=int, default=5)
+    parser.add_argument("--batch", type=int, default=training.BATCH)
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("simsift").getOrCreate()
 
@@ -74,20 +75,14 @@ def main(args: list[str] | None = None) -> None:
         ev.recall(ev.hits(ev.compare(items, indexes, limit=a.limit), names), names).show(truncate=False)
     elif a.command == "train":
         net = enc.Autoencoder(a.model, WIDTH, a.latent, last=cfg.last_activation)
-        rows = matrices(titles(spark, a.paths[0], *a.range)).orderBy(F.xxhash64("id")).limit(enc.SAMPLE)
-        rows = stored(rows, "sample")
-
-        def data(drop: int, swap: int) -> tuple[np.ndarray, np.ndarray]:
-            key = F.concat_ws(":", F.lit(drop), F.col("id"))
-            clean = ft.swap_rows(F.col("x"), WIDTH, swap, key) if swap else F.col("x")
-            noisy = rows.select("id", clean.alias("y"))
-            noisy = noisy.select("y", (ft.drop_rows(F.col("y"), WIDTH, drop, key) if drop else F.col("y")).alias("x"))
-            found = noisy.toPandas()
-            return np.array(found["x"].tolist(), float), np.array(found["y"].tolist(), float)
-
-        losses = net.fit(data, a.epochs, cfg.learning_rate, cfg.l1, cfg.l2, batch=cfg.batch, max_drop=cfg.max_drop, max_swap=cfg.max_swap, adversarial=cfg.adversarial, latent_weight=cfg.latent_weight)
-        sinks.append_metrics(spark.createDataFrame(losses, "epoch int, name string, value double"), f"{a.paths[1]}/metrics")
-        net.save(spark, f"{a.paths[1]}/weights", cfg.checkpoints_kept)
+        rows = stored(matrices(titles(spark, a.paths[0], *a.range)), "matrices")
+
+        def each(epoch: int, losses: list) -> None:
+            sinks.append_metrics(spark.createDataFrame(losses, "epoch int, name string, value double"), f"{a.paths[1]}/metrics")
+
+        training.fit(
+            rows, net, a.epochs, a.batch, tx.SENTENCE, cfg.learning_rate, cfg.l1, cfg.l2, cfg.max_drop, cfg.max_swap, cfg.adversarial, cfg.latent_weight, f"{a.paths[1]}/weights", cfg.checkpoints_kept, each
+        )
     elif a.command == "encode":
         net = enc.Autoencoder.load(spark, f"{a.paths[1]}/weights")
         items = titles(spark, a.paths[0], *a.range)

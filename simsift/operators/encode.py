@@ -1,7 +1,7 @@
 """Encoders of sentence matrices to short vectors, and word vectors.
 
-Networks are plain numpy: a fit runs on the driver over a sample of bounded size, encoding runs in Arrow batches with
-the weights broadcast. A network is a list of layers; an autoencoder is an encoding and a decoding network.
+Networks are plain numpy; `training` fits them over all rows, encoding runs in Arrow batches with the weights broadcast.
+A network is a list of layers; an autoencoder is an encoding and a decoding network.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import features as ft
 
-#: Rows that a fit takes at most, and that are encoded at a time.
-SAMPLE, ENCODED = 20_000, 256
+#: Rows that are encoded at a time.
+ENCODED = 256
 
 
 class Layer:
@@ -251,27 +251,50 @@ class Autoencoder:
         return out
 
     def save(self, spark: SparkSession, path: str, keep: int = 5) -> None:
-        """Add a checkpoint to path; numbers of checkpoints go up, and only the last `keep` stay."""
-        before = sorted(int(r[0]) for r in _numbers(spark, path))
-        number = max(before, default=0) + 1
-        arrays = [(n, i, name, list(getattr(layer, name).shape), getattr(layer, name).ravel().tolist()) for n, network in enumerate((self.encoder, self.decoder)) for i, (layer, name) in enumerate(network.arrays())]
-        rows = spark.createDataFrame([(number, json.dumps(self.settings), *a) for a in arrays], "number int, settings string, network int, layer int, name string, shape array<int>, value array<double>")
-        rows.write.mode("append").partitionBy("number").parquet(path)
-        for old in [*before, number][:-keep]:
-            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/number={old}")
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        """Add a checkpoint of the weights to path; numbers of checkpoints go up, and only the last `keep` stay."""
+        checkpoint(spark, path, self.settings, [self.encoder, self.decoder], keep)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, number: int | None = None) -> Autoencoder:
-        number = number or max(r[0] for r in _numbers(spark, path))
-        rows = spark.read.parquet(path).where(F.col("number") == number).collect()
-        out = cls(**json.loads(rows[0]["settings"]))
-        for r in rows:
-            layer, name = (out.encoder, out.decoder)[r["network"]].arrays()[r["layer"]]
-            setattr(layer, name, np.array(r["value"]).reshape(r["shape"]))
+        settings, _, arrays = restored(spark, path, number)
+        out = cls(**settings)
+        for (n, i), (w, _, _) in arrays.items():
+            if n < 2:
+                layer, name = (out.encoder, out.decoder)[n].arrays()[i]
+                setattr(layer, name, w)
         return out
 
 
+def checkpoint(spark: SparkSession, path: str, settings: dict, networks: list[Network], keep: int, state: dict | None = None, moments: dict | None = None) -> None:
+    """Add the networks' arrays to path under a new number, with the optimizer's state and moments if there are any."""
+    before = sorted(int(r[0]) for r in _numbers(spark, path))
+    number = max(before, default=0) + 1
+    columns: dict[str, list] = {c: [] for c in ("settings", "state", "network", "layer", "shape", "value", "m", "v")}
+    for n, network in enumerate(networks):
+        for i, (layer, name) in enumerate(network.arrays()):
+            w, (m, v) = getattr(layer, name), (moments or {}).get((n, i), (None, None))
+            binary = [None if x is None else np.asarray(x, float).tobytes() for x in (w, m, v)]
+            for c, x in zip(columns, (json.dumps(settings), json.dumps(state), n, i, list(w.shape), *binary), strict=True):
+                columns[c].append(x)
+    kinds = pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()
+    rows = spark.createDataFrame(pa.table([pa.array(x, t) for x, t in zip(columns.values(), kinds, strict=True)], names=list(columns)))
+    rows.withColumn("number", F.lit(number)).coalesce(1).write.mode("append").partitionBy("number").parquet(path)
+    for old in [*before, number][:-keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/number={old}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def restored(spark: SparkSession, path: str, number: int | None = None) -> tuple[dict, dict | None, dict] | None:
+    """(settings, state, arrays by network and layer) of the last checkpoint of path, or None without any."""
+    number = number or max((r[0] for r in _numbers(spark, path)), default=None)
+    if number is None:
+        return None
+    rows = spark.read.parquet(path).where(F.col("number") == number).collect()
+    array = lambda value, shape: None if value is None else np.frombuffer(value, float).reshape(shape).copy()
+    arrays = {(r["network"], r["layer"]): tuple(array(r[c], r["shape"]) for c in ("value", "m", "v")) for r in rows}
+    return json.loads(rows[0]["settings"]), json.loads(rows[0]["state"]), arrays
+
+
 def _numbers(spark: SparkSession, path: str) -> list:
     from pyspark.errors import AnalysisException
 
@@ -299,10 +322,24 @@ def projection(width: int, latent: int, seed: int = 0) -> np.ndarray:
 
 
 def principal(vectors: DataFrame, latent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and first `latent` principal axes of vectors.vec, from SAMPLE rows at most, the first by a hash."""
-    rows = vectors.orderBy(F.xxhash64("vec")).limit(SAMPLE).select("vec").toPandas()["vec"]
-    x = np.array(rows.tolist(), float)
-    return x.mean(axis=0), np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:latent].T
+    """Mean and first `latent` principal axes of vectors.vec, over all rows: sums and products by task are added up."""
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1) if b.num_rows else None
+            if x is not None:
+                one = np.column_stack((np.ones(len(x)), x))  # so that counts and sums are products too
+                total = one.T @ one if total is None else total + one.T @ one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
+
+    cells = vectors.select("vec").mapInArrow(moments, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
+    found = cells.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    total = np.zeros((found["i"].max() + 1,) * 2)
+    total[found["i"], found["j"]] = found["v"]
+    n, mean = total[0, 0], total[0, 1:] / total[0, 0]
+    return mean, np.linalg.eigh(total[1:, 1:] / n - np.outer(mean, mean))[1][:, ::-1][:, :latent]
 
 
 def encode(rows: DataFrame, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -320,18 +357,6 @@ def encode(rows: DataFrame, function: Callable[[np.ndarray], np.ndarray]) -> Dat
     return rows.select("id", "x").mapInArrow(run, f"id {kind}, code array<float>")
 
 
-def fitted(rows: DataFrame, model: str, width: int, latent: int = 2, epochs: int = 2, sample: int = SAMPLE, batch: int = 32, rate: float = 1e-3) -> Autoencoder:
-    """An autoencoder fitted on `sample` of rows (id, x) at most, the first by a hash of the id, with random words
-    dropped and swapped."""
-    chosen = rows.select("id").orderBy(F.xxhash64("id")).limit(sample)  # ids first: every task sends as many rows as the limit
-    found = rows.join(chosen, "id", "left_semi").select("id", F.col("x").cast("array<float>").alias("x")).toArrow()
-    order = np.argsort(found.column("id").to_numpy(), kind="stable")
-    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
-    net, rng = Autoencoder(model, width, latent, last="sigmoid"), np.random.default_rng(0)
-    net.fit(lambda drop, swap: noisy(x, len(x[0]) // width, drop, swap, rng), epochs=epochs, batch=batch, rate=rate)
-    return net
-
-
 def train_word_vectors(sentences: DataFrame, size: int = 200, window: int = 10, min_count: int = 1, seed: int = 1) -> DataFrame:
     """(word, vec) learned from sentences.words."""
     parts = max(1, sentences.sparkSession.sparkContext.defaultParallelism)

@@ -616,7 +616,7 @@ def recall_by_hash(spark, sf_dir):
     """The five indexes compared: SHA-1, xxh32 and SHA-3 over tokens, and the codes of a fully connected and of a
     convolutional encoder; each is asked for whole titles and for titles with a word left out."""
     items = stored(titles(spark, sf_dir), "titles")
-    learned = {n: ev.make_index(items, n, latent=16, epochs=2, sample=COMPARED_FIT) for n in ("fcn", "cnn")}
+    learned = {n: ev.make_index(items, n, latent=16, epochs=2) for n in ("fcn", "cnn")}
     indexes = _indexes(items, "sha1", "xxh32", "sha3") | learned
     names = list(indexes)
     return ev.recall(ev.hits(ev.compare(items, indexes), names), names)
@@ -658,9 +658,9 @@ def learned_hash(spark, sf_dir):
 
 @query()
 def autoencoder_codes(spark, sf_dir):
-    """A small autoencoder trained on enc.SAMPLE titles at most, with random words dropped and swapped, then used for all."""
+    """A small autoencoder trained on all titles, with random words dropped and swapped, then used for all."""
     rows = stored(_matrices(spark, sf_dir), "matrices")
-    net = enc.fitted(rows, "fcn", 32)
+    net = ev.fitted(rows, "fcn", 32)
     shown = F.transform("code", lambda v: F.round(v.cast("double"), 6).cast("string"))
     return enc.encode(rows, net.encode).select("id", F.array_join(shown, " ").alias("code"))
 

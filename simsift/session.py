@@ -34,15 +34,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 _OPEN: list[list[str]] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    return _written(df, name, _OPEN[-1] if _OPEN else None)
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df to the shared folder, in a folder for each value of `by`, and read it back: cuts the lineage, survives
+    lost executors."""
+    return _written(df, name, _OPEN[-1] if _OPEN else None, *by)
 
 
-def _written(df: DataFrame, name: str, paths: list[str] | None) -> DataFrame:
+def _written(df: DataFrame, name: str, paths: list[str] | None, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     if paths is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
