@@ -7,7 +7,6 @@ A network is a list of layers; an autoencoder is an encoding and a decoding netw
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
+from ..session import removed
 
 #: Rows that are encoded at a time.
 ENCODED = 256
@@ -280,8 +280,7 @@ def checkpoint(spark: SparkSession, path: str, settings: dict, networks: list[Ne
     rows = spark.createDataFrame(pa.table([pa.array(x, t) for x, t in zip(columns.values(), kinds, strict=True)], names=list(columns)))
     rows.withColumn("number", F.lit(number)).coalesce(1).write.mode("append").partitionBy("number").parquet(path)
     for old in [*before, number][:-keep]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/number={old}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        removed(spark, f"{path}/number={old}")
 
 
 def restored(spark: SparkSession, path: str, number: int | None = None) -> tuple[dict, dict | None, dict] | None:
@@ -383,79 +382,6 @@ def load_word_vectors(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-class DocVectors:
-    """Vectors of whole sentences that predict their words (distributed bag of words, negative sampling).
-
-    A fit runs on the driver over a bounded sample; the vector of any sentence, seen or not, is inferred against the
-    words' vectors by the same steps, in Arrow batches. The same seed gives the same vectors.
-    """
-
-    def __init__(self, words: list[str], output: np.ndarray, chance: np.ndarray, epochs: int = 40, rate: float = 0.05, negative: int = 5, seed: int = 1) -> None:
-        self.words, self.output, self.chance, self.epochs, self.rate, self.negative, self.seed = words, output, chance, epochs, rate, negative, seed
-        self.number = {w: i for i, w in enumerate(words)}
-        self.bounds = np.cumsum(chance)
-
-    @classmethod
-    def fit(cls, sentences: list[list[str]], size: int = 512, min_count: int = 2, epochs: int = 40, rate: float = 0.05, negative: int = 5, seed: int = 1) -> DocVectors:
-        counts: dict[str, int] = {}
-        for s in sentences:
-            for w in s:
-                counts[w] = counts.get(w, 0) + 1
-        words = sorted(w for w, n in counts.items() if n >= min_count)
-        weight = np.array([counts[w] for w in words], float) ** 0.75
-        out = cls(words, np.zeros((len(words), size)), weight / max(weight.sum(), 1e-12), epochs, rate, negative, seed)
-        rng = np.random.default_rng(seed)
-        vectors = [out._start(s) for s in sentences]
-        for epoch in range(epochs):
-            for i in rng.permutation(len(sentences)).tolist():
-                out._step(vectors[i], sentences[i], rate * (1 - epoch / epochs), rng, learn=True)
-        return out
-
-    def _start(self, words: list[str]) -> np.ndarray:
-        rng = np.random.default_rng([self.seed, zlib.crc32(" ".join(words).encode())])
-        return (rng.random(self.output.shape[1]) - 0.5) / self.output.shape[1]
-
-    def _step(self, vector: np.ndarray, words: list[str], rate: float, rng: np.random.Generator, learn: bool) -> None:
-        known = np.array([self.number[w] for w in words if w in self.number], int)
-        if not len(known):
-            return
-        other = np.minimum(np.searchsorted(self.bounds, rng.random(len(known) * self.negative)), len(self.words) - 1)
-        at, truth = np.concatenate((known, other)), np.repeat([1.0, 0.0], [len(known), len(other)])
-        error = rate * (truth - 1 / (1 + np.exp(-np.clip(self.output[at] @ vector, -30, 30))))
-        change = error @ self.output[at]
-        if learn:
-            np.add.at(self.output, at, error[:, None] * vector)
-        vector += change
-
-    def infer(self, words: list[str]) -> np.ndarray:
-        """The vector of a sentence; without known words it stays where it starts."""
-        vector, rng = self._start(words), np.random.default_rng(self.seed)
-        for epoch in range(self.epochs):
-            self._step(vector, words, self.rate * (1 - epoch / self.epochs), rng, learn=False)
-        return vector
-
-    def vectors(self, tokens: DataFrame) -> DataFrame:
-        """(id, vec) of tokens (id, tokens)."""
-        model = tokens.sparkSession.sparkContext.broadcast(self)  # at most the words of a bounded sample
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = [model.value.infer(t or []).astype(np.float32) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float32()))], names=["id", "vec"])
-
-        return tokens.select("id", "tokens").mapInArrow(run, f"id {tokens.schema['id'].dataType.simpleString()}, vec array<float>")
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        settings = json.dumps({"epochs": self.epochs, "rate": self.rate, "negative": self.negative, "seed": self.seed})
-        rows = [(i, w, float(self.chance[i]), self.output[i].tolist(), settings) for i, w in enumerate(self.words)]
-        spark.createDataFrame(rows, "place int, word string, chance double, vec array<double>, settings string").write.mode("overwrite").parquet(path)
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> DocVectors:
-        rows = spark.read.parquet(path).orderBy("place").collect()  # the words of a bounded sample
-        return cls([r["word"] for r in rows], np.array([r["vec"] for r in rows]), np.array([r["chance"] for r in rows]), **json.loads(rows[0]["settings"]))
-
-
 def _vectors(tokens: DataFrame, vocabulary: DataFrame, size: int, limit: int | None) -> DataFrame:
     placed = tokens.select("id", F.posexplode("tokens").alias("place", "word"))
     placed = placed if limit is None else placed.where(F.col("place") < limit)

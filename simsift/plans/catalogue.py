@@ -16,6 +16,7 @@ from ..functions import text as tx
 from ..functions.similarity import hamming
 from ..operators import encode as enc
 from ..operators import evaluate as ev
+from ..operators.docvectors import DocVectors, neighbour_share
 from ..operators.hamming import BlockIndex, brute_force
 from ..operators.minhash import PRIME, MinHash, MinHashIndex, compat_permutations, permutations
 from ..operators.prefix import PrefixIndex
@@ -608,9 +609,6 @@ def recall_sum(spark, sf_dir):
 
 
 #: Titles that the encoders of the comparison are fitted on at most.
-COMPARED_FIT = 500
-
-
 @query()
 def recall_by_hash(spark, sf_dir):
     """The five indexes compared: SHA-1, xxh32 and SHA-3 over tokens, and the codes of a fully connected and of a
@@ -702,14 +700,21 @@ def word_vector_lookup(spark, sf_dir):
 
 @query()
 def doc_vectors(spark, sf_dir):
-    """Vectors of whole titles, from a model fitted on COMPARED_FIT titles at most, saved and loaded."""
-    items, path = titles(spark, sf_dir), scratch(spark, "doc-vectors")
-    sample = items.orderBy(F.xxhash64("id"), "id").limit(COMPARED_FIT).collect()
-    enc.DocVectors.fit([r["tokens"] for r in sample], size=16, epochs=10).save(spark, path)
-    found = enc.DocVectors.load(spark, path).vectors(items)
+    """Vectors of whole titles from a model fitted on all of them, saved and loaded, inferred again."""
+    items, path = stored(titles(spark, sf_dir), "titles"), scratch(spark, "doc-vectors")
+    DocVectors.fit(items, size=16, epochs=8).save(path)
+    found = DocVectors.load(spark, path).vectors(items)
     return found.select("id", F.array_join(F.transform("vec", lambda v: F.round(v.cast("double"), 5).cast("string")), " ").alias("vec"))
 
 
+@query()
+def doc_vector_neighbours(spark, sf_dir):
+    """How often the nearest title, by the vectors of the fit, has the language of the one that asks, and how often by chance."""
+    items = stored(titles(spark, sf_dir), "titles")
+    fitted = DocVectors.fit(items, size=16, epochs=12).fitted
+    return neighbour_share(fitted, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("topic")))
+
+
 @query(f"with {_TITLES}, w as (select unnest(tokens) as word from t), v as (select word from w group by word having count(*) >= 2), u as (select id, unnest(tokens) as word from t) select id, 256 as cells, count(v.word)::INT as known from u left join v using (word) group by id")
 def word_vector_sentences(spark, sf_dir):
     """Word vectors learned from titles, saved and loaded; the size of each title's matrix, and its words with a vector."""

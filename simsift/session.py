@@ -70,5 +70,10 @@ def temporary(spark: SparkSession) -> Iterator[Kept]:
     finally:
         _OPEN.remove(paths)
     for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder and all in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -179,23 +179,3 @@ def test_checkpoints_kept(spark, tmp_path):
     for _ in range(4):
         net.save(spark, path, keep=2)
     assert sorted(r[0] for r in enc._numbers(spark, path)) == [3, 4]
-
-
-def test_doc_vectors(spark, tmp_path):
-    """Sentences of one topic are nearer to each other than to another's; a saved model infers the same."""
-    import random
-
-    import numpy as np
-
-    rng = random.Random(2)
-    topic = lambda t: [f"{t}{rng.randrange(12)}" for _ in range(14)]
-    model = enc.DocVectors.fit([topic("ab"[i % 2]) for i in range(80)], size=12, epochs=40)
-    new = [model.infer(topic("ab"[i % 2])) for i in range(20)]
-    unit = np.array([v / np.linalg.norm(v) for v in new])
-    same, other = (unit @ unit.T)[::2, ::2].mean(), (unit @ unit.T)[::2, 1::2].mean()
-    assert same > other + 0.3
-    model.save(spark, f"file://{tmp_path}/doc")
-    again = enc.DocVectors.load(spark, f"file://{tmp_path}/doc")
-    assert np.allclose(again.infer(["a1", "a2", "unknown"]), model.infer(["a1", "a2", "unknown"]))
-    df = spark.createDataFrame([(1, ["a1", "b2"]), (2, [])], "id int, tokens array<string>")
-    assert all(len(r["vec"]) == 12 for r in again.vectors(df).collect())
