@@ -17,8 +17,9 @@ from ..functions.similarity import hamming
 from ..operators import encode as enc
 from ..operators import evaluate as ev
 from ..operators.docvectors import DocVectors, neighbour_share
-from ..operators.hamming import BlockIndex, brute_force
+from ..operators.hamming import BlockIndex
 from ..operators.minhash import PRIME, MinHash, MinHashIndex, compat_permutations, permutations
+from ..operators.multi_index import nearest
 from ..operators.prefix import PrefixIndex
 from ..session import scratch, stored
 from ..sources import datasets, posts, sinks
@@ -416,13 +417,13 @@ _NEAREST = "select query, val, round(distance, 6) as distance, place::INT as pla
 @query(f"with {_ENTRIES}, d as (select query, val, key, {_HAM.format(a='key', b='asked')} as distance from e, q) {_NEAREST.format(w=' where distance <= 0.125')}")
 def hamming_bruteforce(spark, sf_dir):
     entries = _entries(spark, sf_dir)
-    return _found(brute_force(entries, _asked(entries), 0.125))
+    return _found(nearest(entries, _asked(entries), 0.125))
 
 
 @query(f"with {_ENTRIES}, d as (select query, val, key, {_HAM.format(a='key', b='asked')} as distance from e, q) {_NEAREST.format(w='')}")
 def hamming_topk(spark, sf_dir):
     entries = _entries(spark, sf_dir)
-    return _found(brute_force(entries, _asked(entries), 1.0))
+    return _found(nearest(entries, _asked(entries), 1.0))
 
 
 _BLOCKED = f"{_ENTRIES}, b as (select *, (row_number() over (order by key, val) - 1) // 50 as block from e)"
