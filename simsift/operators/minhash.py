@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import HASHES
 from ..functions.similarity import equal_share
 from ..session import stored
-from ..sources.sinks import load_index, save_index
+from ..sources.sinks import append_index, load_index, save_index
 
 #: Modulus of the native family: products of two residues fit a long.
 PRIME = (1 << 31) - 1
@@ -100,49 +100,72 @@ class MinHash:
 
 
 def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left and right by equal signatures: by a hash of them, so that no key has a kilobyte, and then by themselves."""
-    hashed = lambda df, name: df.withColumn("_h", F.xxhash64("sig")).withColumnRenamed("sig", name)
-    return hashed(left, "sig").join(hashed(right, "_sig"), "_h").where(F.col("sig") == F.col("_sig"))
+    """left (.., sig) and right (class, sig, h) by equal signatures: by a hash of them, so that no key has a kilobyte, and
+    then by themselves."""
+    other = right.select("class", "h", F.col("sig").alias("_sig"))
+    return left.withColumn("h", F.xxhash64("sig")).join(other, "h").where(F.col("sig") == F.col("_sig"))
 
 
 class MinHashIndex:
-    """tables: members (id, class), classes (class, sig, n), bands (class, band, key)."""
+    """tables: members (id, class), classes (class, sig, h), bands (class, band, key).
 
-    def __init__(self, method: MinHash, members: DataFrame, classes: DataFrame, bands: DataFrame) -> None:
-        self.method, self.members, self.classes, self.bands = method, members, classes, bands
+    A class is named by the smallest id it had when it came up; `grown` says that later ones may be smaller.
+    """
+
+    def __init__(self, method: MinHash, members: DataFrame, classes: DataFrame, bands: DataFrame, grown: bool = False) -> None:
+        self.method, self.members, self.classes, self.bands, self.grown = method, members, classes, bands, grown
 
     @classmethod
     def build(cls, items: DataFrame, method: MinHash | None = None) -> MinHashIndex:
+        """items: (id, tokens), each id once."""
         method = method or MinHash()
         return cls.of_signatures(method.signatures(items), method)
 
     @classmethod
     def of_signatures(cls, signatures: DataFrame, method: MinHash) -> MinHashIndex:
         signed = stored(signatures, "signatures")
-        classes = stored(signed.groupBy("sig").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")), "classes")
-        members = _joined(signed, classes.select("sig", "class")).select("id", "class")
-        bands = method.band_keys(classes.select(F.col("class").alias("id"), "sig")).withColumnRenamed("id", "class")
-        return cls(method, stored(members, "members"), classes, stored(bands, "bands"))
+        classes = stored(cls._named(signed), "classes")
+        members = _joined(signed, classes).select("id", "class")
+        return cls(method, stored(members, "members"), classes, stored(cls._bands(method, classes), "bands"))
+
+    @staticmethod
+    def _named(signed: DataFrame) -> DataFrame:
+        return signed.groupBy("sig").agg(F.min("id").alias("class")).select("class", "sig", F.xxhash64("sig").alias("h"))
+
+    @staticmethod
+    def _bands(method: MinHash, classes: DataFrame) -> DataFrame:
+        return method.band_keys(classes.select(F.col("class").alias("id"), "sig")).withColumnRenamed("id", "class")
+
+    def _added(self, items: DataFrame) -> dict[str, DataFrame]:
+        """Rows of all tables for new items: known classes take them in, others come up."""
+        signed = stored(self.method.signatures(items), "signatures")
+        own = stored(self._named(signed), "classes")
+        known = own.join(self.classes.select("h", F.col("sig").alias("_sig"), F.col("class").alias("_class")), "h").where(F.col("sig") == F.col("_sig"))
+        known = stored(known.select(F.col("_class").alias("class"), "sig", "h"), "classes-known")
+        fresh = stored(own.join(known.select("h", "sig"), ["h", "sig"], "left_anti").select("class", "sig", "h"), "classes-new")
+        members = _joined(signed, known.unionByName(fresh)).select("id", "class")
+        return {"members": stored(members, "members"), "classes": fresh, "bands": stored(self._bands(self.method, fresh), "bands")}
 
     def insert(self, items: DataFrame) -> MinHashIndex:
-        """An index that holds items too; classes already known take them in."""
-        other = MinHashIndex.build(items, self.method)
-        both = self.classes.union(other.classes).groupBy("sig").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
-        both = stored(both, "classes")
-        renamed = lambda i: _joined(i.members.join(i.classes.select("class", "sig"), "class").select("id", "sig"), both.select("sig", "class")).select("id", "class")
-        bands = self.method.band_keys(both.select(F.col("class").alias("id"), "sig")).withColumnRenamed("id", "class")
-        return MinHashIndex(self.method, stored(renamed(self).union(renamed(other)), "members"), both, stored(bands, "bands"))
+        """An index that holds items (id, tokens) too; only what they add is written."""
+        new = self._added(items)
+        return MinHashIndex(self.method, *[getattr(self, n).unionByName(new[n]) for n in ("members", "classes", "bands")], grown=True)
 
     def size(self) -> DataFrame:
-        return self.classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("index_size"))
+        return self.members.agg(F.count(F.lit(1)).alias("index_size"))
 
     def candidates(self) -> DataFrame:
-        """Pairs of classes (a < b) with a band in common, and their estimated similarity."""
+        """Pairs of classes (a < b), named by their smallest ids, with a band in common, and their estimated similarity."""
         left, right = self.bands.select(F.col("class").alias("a"), "band", "key"), self.bands.select(F.col("class").alias("b"), "band", "key")
         pairs = left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
         sig = self.classes.select("class", "sig")
         pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-        return pairs.select("a", "b", equal_share(F.col("sig_a"), F.col("sig_b")).alias("similarity"))
+        pairs = pairs.select("a", "b", equal_share(F.col("sig_a"), F.col("sig_b")).alias("similarity"))
+        if not self.grown:
+            return pairs
+        names = self.members.groupBy("class").agg(F.min("id").alias("name"))
+        named = pairs.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
+        return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """(query, id, similarity, place) of the `limit` best items for each of queries (id, tokens), by similarity, then id."""
@@ -159,9 +182,17 @@ class MinHashIndex:
     def save(self, path: str) -> None:
         m = self.method
         settings = {"num_perm": m.num_perm, "threshold": m.threshold, "hash_name": m.hash_name, "shingle": m.shingle, "compat": m.compat}
-        save_index({"members": self.members, "classes": self.classes, "bands": self.bands}, settings, path)
+        save_index({"members": self.members, "classes": self.classes, "bands": self.bands}, {"method": settings, "grown": self.grown}, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> MinHashIndex:
+        tables, settings = load_index(spark, path, "members", "classes", "bands", version=version)
+        return cls(MinHash(**settings["method"]), **tables, grown=settings["grown"])
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> MinHashIndex:
-        tables, settings = load_index(spark, path, "members", "classes", "bands")
-        return cls(MinHash(**settings), **tables)
+    def append(cls, items: DataFrame, path: str) -> MinHashIndex:
+        """Insert items (id, tokens) into a saved index: what they add is written, and a version published that lists it."""
+        spark = items.sparkSession
+        _, settings = load_index(spark, path, "members")
+        append_index(cls.load(spark, path)._added(items), path, settings | {"grown": True})
+        return cls.load(spark, path)

@@ -377,7 +377,7 @@ def exact_jaccard_pairs(spark, sf_dir):
 def whole_string_match(spark, sf_dir):
     """Titles as one element: an index finds equal titles only."""
     index = MinHashIndex.build(titles(spark, sf_dir), MinHash(shingle="whole"))
-    classes = index.classes.select("class", "n")
+    classes = index.members.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     return index.members.join(classes, "class").select("id", F.col("class").alias("first"), "n")
 
 

@@ -121,9 +121,9 @@ def test_blocks_insert(spark):
     make = lambda some: spark.createDataFrame(some, "key array<int>, val int")
     whole, grown = BlockIndex.build(make(rows), 3), BlockIndex.build(make(rows[:4]), 3).insert(make(rows[4:]))
     shown = lambda i: [(r["key"], r["val"], r["block"]) for r in i.content().collect()]
-    assert shown(grown) == shown(whole)
+    assert shown(grown) == shown(whole) and len(grown.runs) == 2
     asked = spark.createDataFrame([(n, bits(k)) for n, k in enumerate(["0000", "1001", "1111", "1000"])], "query int, key array<int>")
-    firsts = sorted((r["first"], r["block"]) for r in whole.firsts.collect())
+    firsts = sorted((r["first"], r["block"]) for r in whole.runs[0][1].collect())
     for r in grown.block_of(asked).collect():
         assert r["block"] == max([b for f, b in firsts if f <= r["asked"]], default=firsts[0][1])
 
@@ -133,3 +133,101 @@ def test_prefix_insert(spark):
     make = lambda some: spark.createDataFrame(some, "id int, vec array<int>")
     found = [sorted(map(tuple, i.search(make(rows), 3).collect())) for i in (PrefixIndex.build(make(rows), 6, 3), PrefixIndex.build(make(rows[:20]), 6, 3).insert(make(rows[20:])))]
     assert found[0] == found[1]
+
+
+def test_blocks_by_single_inserts(spark, tmp_path, monkeypatch):
+    """Entries inserted one after the other, in memory or on disk, merged or not, are found as in an index built at once."""
+    import random
+
+    from simsift.operators import hamming
+
+    rng = random.Random(5)
+    rows = [([rng.randint(0, 1) for _ in range(6)], i) for i in range(60)]  # many equal keys
+    make = lambda some: spark.createDataFrame(some, "key array<int>, val int")
+    asked = spark.createDataFrame([(i, [rng.randint(0, 1) for _ in range(6)]) for i in range(12)] + [(90, [0] * 6), (91, [1] * 6)], "query int, key array<int>")
+    told = lambda i: sorted(map(tuple, i.search(asked, 4).collect()))
+    spots = lambda i: sorted((r["query"], r["block"]) for r in i.block_of(asked).collect())
+    path = f"file://{tmp_path}/blocks"
+    grown = BlockIndex.build(make(rows[:50]), 7)
+    grown.save(path)
+    for at in (50, 51, 52):
+        grown = grown.insert(make(rows[at : at + 1]))
+        BlockIndex.append(make(rows[at : at + 1]), path)
+    grown, saved = grown.insert(make(rows[53:])), BlockIndex.append(make(rows[53:]), path)
+    whole = BlockIndex.build(make(rows), 7)
+    assert len(grown.runs) == len(saved.runs) == 5
+    for other in (grown, saved, saved.compact()):
+        assert told(other) == told(whole) and spots(other) == spots(whole)
+    monkeypatch.setattr(hamming, "RUNS", 2)
+    merged = grown.insert(make([([0] * 6, 99)]))
+    assert len(merged.runs) == 2 and told(merged) == told(BlockIndex.build(make([*rows, ([0] * 6, 99)]), 7))
+
+
+def test_writes_follow_the_insert(spark, tmp_path):
+    """An insert writes rows in proportion to what it inserts, whatever the index holds."""
+    from simsift.sources import sinks
+
+    make = lambda lo, hi: spark.range(lo, hi).select("id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.pmod(F.call_function("shiftright", F.xxhash64("id"), b.cast("int")), F.lit(2)).cast("int")).alias("vec"))
+    entry = lambda df: df.select(F.col("vec").alias("key"), F.col("id").alias("val"))
+    item = lambda df: df.select("id", F.array(F.concat(F.lit("w"), F.pmod("id", F.lit(500))), F.concat(F.lit("v"), F.pmod("id", F.lit(450)))).alias("tokens"))
+    for kind, of in ((BlockIndex, entry), (PrefixIndex, lambda df: df), (MinHashIndex, item)):
+        path = f"file://{tmp_path}/{kind.__name__}"
+        index = kind.build(of(make(0, 800)), 16) if kind is PrefixIndex else kind.build(of(make(0, 800)))
+        index.save(path)
+        rows = lambda: sum(t.count() for t in sinks.load_index(spark, path)[0].values())  # noqa: E731, B023
+        before = rows()
+        kind.append(of(make(800, 810)), path)
+        assert 10 <= rows() - before <= 10 * 60, kind
+        assert sinks.versions(spark, path) == [1, 2]
+
+
+def test_prefix_rows_stay_few(spark):
+    """A vector is listed a few times, however many bits it has, and an insert leaves what is known alone."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.randint(0, 1) for _ in range(200)]) for i in range(300)] + [(1000 + i, [1] * 200) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, vec array<int>")
+    index = PrefixIndex.build(df, 200, 5)
+    assert index.lists.count() < 8 * len(rows)
+    grown = PrefixIndex.build(df.where("id % 3 = 0"), 200, 5).insert(df.where("id % 3 = 1")).insert(df.where("id % 3 = 2"))
+    asked = spark.createDataFrame([(1000 * i + cut, v[:cut] + [1 - b for b in v[cut:]]) for i, (_, v) in enumerate(rows[::17]) for cut in (3, 9, 100, 200)], df.schema)
+    lcp = lambda a, b: next((i for i in range(200) if a[i] != b[i]), 200)
+    expected = set()
+    for q in asked.collect():
+        best = sorted((-lcp(q["vec"], w), w, i) for i, w in rows if lcp(q["vec"], w))[:5]
+        expected |= {(q["id"], i, -n) for n, _, i in best}
+    for other in (index, grown, grown.compact()):
+        found = other.search(asked, 5)
+        assert {(r["query"], r["id"], r["length"]) for r in found.collect()} == expected
+
+
+def test_minhash_grown_is_as_built(spark):
+    rows = [(i, f"w{i % 7} w{i % 5} w{i % 3} same".split()) for i in range(40, 0, -1)]
+    make = lambda some: spark.createDataFrame(some, "id int, tokens array<string>")
+    whole, grown = MinHashIndex.build(make(rows)), MinHashIndex.build(make(rows[:25])).insert(make(rows[25:39])).insert(make(rows[39:]))
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert told(grown.candidates()) == told(whole.candidates()) and grown.size().first()[0] == 40
+    assert told(grown.search(make(rows[:6]), 4)) == told(whole.search(make(rows[:6]), 4)) and grown.classes.count() == whole.classes.count()
+
+
+def test_versions(spark, tmp_path, monkeypatch):
+    """A writer that dies between tables leaves the version before; a reader keeps the one it opened; two writers clash."""
+    from simsift.sources import sinks
+
+    path, df = f"file://{tmp_path}/index", spark.range(3)
+    assert sinks.versions(spark, path) == [] and sinks.save_index({"a": df, "b": df.where("id > 5")}, {"x": 1}, path) == 1
+    opened, settings = sinks.load_index(spark, path)
+    assert settings == {"x": 1} and opened["b"].count() == 0
+    publish = sinks._published
+    monkeypatch.setattr(sinks, "_published", lambda *a: (_ for _ in ()).throw(RuntimeError("died")))
+    with pytest.raises(RuntimeError):
+        sinks.append_index({"a": df}, path)
+    monkeypatch.setattr(sinks, "_published", publish)
+    assert sinks.versions(spark, path) == [1] and sinks.load_index(spark, path)[0]["a"].count() == 3
+    assert sinks.append_index({"a": spark.range(10, 12)}, path) == 2
+    assert sinks.load_index(spark, path)[0]["a"].count() == 5 and opened["a"].count() == 3 and sinks.load_index(spark, path, version=1)[0]["a"].count() == 3
+    with pytest.raises(RuntimeError):
+        publish(spark, path, {}, 2)
+    assert sinks.save_index({"a": spark.range(1)}, {"x": 3}, path) == 3 and sinks.vacuum_index(spark, path) == 4
+    assert sinks.versions(spark, path) == [3] and sinks.load_index(spark, path)[0]["a"].count() == 1
