@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +55,13 @@ def drop_rows(cells: Column, width: int, n: int, seed: Column, rows: int = 16) -
     return F.transform(cells, lambda v, i: F.when(F.array_contains(gone, F.floor(i / width).cast("int")), F.lit(0.0)).otherwise(v))
 
 
+def drop_drawn_rows(cells: Column, width: int, n: int, seed: Column, rows: int = 16) -> Column:
+    """Zero the rows of a flat matrix that n draws with replacement pick, so between 1 and n of them, by the seed."""
+    draw = lambda k: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("draw"), seed, k).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(rows)).cast("int")
+    gone = F.transform(F.sequence(F.lit(1), F.lit(n)), draw) if n else F.array().cast("array<int>")
+    return F.transform(cells, lambda v, i: F.when(F.array_contains(gone, F.floor(i / width).cast("int")), F.lit(0.0)).otherwise(v))
+
+
 def swap_rows(cells: Column, width: int, n: int, seed: Column, rows: int = 16) -> Column:
     """Permute n distinct rows of a flat matrix in a cycle; equal seeds permute alike, so x and its target can share one."""
     picked = F.slice(positions(rows, seed, "swap"), 1, n)
@@ -98,8 +106,14 @@ def float_bits(vector: Column) -> Column:
     """The 32 bits of each component as IEEE-754 single, highest first, one after the other; components are not null. A
     single number counts as a vector of one."""
 
-    @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: None if r is None else "".join(np.unpackbits(np.atleast_1d(np.asarray(r, ">f4")).view(np.uint8)).astype(str)))
+    @F.arrow_udf("string")
+    def run(rows: pa.Array) -> pa.Array:
+        nested = pa.types.is_list(rows.type)
+        cells = (rows.flatten() if nested else rows.drop_null()).to_numpy(zero_copy_only=False).astype(">f4")
+        text = (np.unpackbits(cells.view(np.uint8)) + ord("0")).astype(np.uint8).tobytes()  # 32 digits for each cell
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy() if nested else rows.is_valid().to_numpy(zero_copy_only=False).astype(int)
+        ends = np.concatenate(([0], np.cumsum(sizes * 32))).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends.tobytes()), pa.py_buffer(text))
+        return pc.if_else(rows.is_valid(), found, None)
 
     return run(vector)

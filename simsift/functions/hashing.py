@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,17 +24,24 @@ def sha1_le32(text: Column) -> Column:
 
 
 def _by_digest(digest: Callable[[bytes], bytes]) -> Callable[[Column], Column]:
+    def distinct(words: pa.Array) -> pa.Array:
+        """Hashes of words; each distinct word of the batch is hashed once."""
+        coded = words.dictionary_encode()
+        raw = b"".join(digest(w.encode())[:4] for w in coded.dictionary.to_pylist())
+        return pa.array(np.frombuffer(raw, "<u4").astype(np.int64)).take(coded.indices)
+
     def hashed(text: Column) -> Column:
-        @F.pandas_udf("long")
-        def run(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda x: None if x is None else struct.unpack("<I", digest(x.encode())[:4])[0]).astype("Int64")
+        @F.arrow_udf("long")
+        def run(texts: pa.Array) -> pa.Array:
+            return distinct(texts)
 
         return run(text)
 
     def over_arrays(texts: Column) -> Column:
-        @F.pandas_udf("array<long>")
-        def run(rows: pd.Series) -> pd.Series:
-            return rows.map(lambda r: None if r is None else [struct.unpack("<I", digest(x.encode())[:4])[0] for x in r])
+        @F.arrow_udf("array<long>")
+        def run(rows: pa.Array) -> pa.Array:
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy())))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), distinct(rows.flatten()), mask=rows.is_null())
 
         return run(texts)
 

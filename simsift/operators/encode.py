@@ -265,6 +265,19 @@ class Autoencoder:
         return out
 
 
+_LOADED: dict[tuple[str, int], Autoencoder] = {}
+
+
+def cached(spark: SparkSession, path: str, number: int | None = None) -> Autoencoder:
+    """The encoder of a checkpoint of path, the last if none is named; loaded once, and again when there is a newer one."""
+    number = number or max(r[0] for r in _numbers(spark, path))
+    if (path, number) not in _LOADED:
+        for old in [k for k in _LOADED if k[0] == path]:
+            del _LOADED[old]
+        _LOADED[path, number] = Autoencoder.load(spark, path, number)
+    return _LOADED[path, number]
+
+
 def checkpoint(spark: SparkSession, path: str, settings: dict, networks: list[Network], keep: int, state: dict | None = None, moments: dict | None = None) -> None:
     """Add the networks' arrays to path under a new number, with the optimizer's state and moments if there are any."""
     before = sorted(int(r[0]) for r in _numbers(spark, path))

@@ -17,6 +17,7 @@ from ..functions.hashing import HASHES
 from ..functions.similarity import equal_share
 from ..session import stored
 from ..sources.sinks import append_index, load_index, save_index
+from .jaccard import tiled_join, tiled_pairs
 
 #: Modulus of the native family: products of two residues fit a long.
 PRIME = (1 << 31) - 1
@@ -98,6 +99,32 @@ class MinHash:
         keys = F.array(*[F.slice("sig", i * r + 1, r) for i in range(b)])
         return signatures.select("id", F.posexplode(keys).alias("band", "key"))
 
+    def band_hashes(self, signatures: DataFrame) -> DataFrame:
+        """(id, band, key) of signatures, a key being a hash of the slice; see share_a_band."""
+        return self.band_keys(signatures).select("id", "band", F.xxhash64("key").alias("key"))
+
+    def share_a_band(self, a: Column, b: Column) -> Column:
+        """Two signatures have a slice in common, as their hashes said."""
+        bands, r = self.bands
+        return F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.slice(a, i * r + 1, F.lit(r)) == F.slice(b, i * r + 1, F.lit(r)))
+
+    def signatures_of_rows(self, rows: DataFrame) -> DataFrame:
+        """(id, sig) of rows (id, token): the tokens of an item may come in any number of rows, in any order, repeated.
+
+        Each slot is a minimum, so map tasks combine what they have of an item, and parts of a signature can be merged
+        later. Null tokens are passed over.
+        """
+        if self.compat or self.shingle != "token":
+            raise ValueError("rows of tokens have native signatures of tokens")
+        hashed = rows.where("token is not null").select("id", (HASHES[self.hash_name](F.col("token")) % PRIME).alias("h"))
+        slots = [F.min((F.lit(a).cast("long") * F.col("h") + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(permutations(self.num_perm))]
+        return hashed.groupBy("id").agg(*slots).select("id", F.array(*[F.col(f"m{i}") for i in range(self.num_perm)]).alias("sig"))
+
+    def merged(self, signatures: DataFrame) -> DataFrame:
+        """(id, sig) of signatures (id, sig) of parts of items: the least of each slot."""
+        slots = [F.min(F.col("sig")[i]).alias(f"m{i}") for i in range(self.num_perm)]
+        return signatures.groupBy("id").agg(*slots).select("id", F.array(*[F.col(f"m{i}") for i in range(self.num_perm)]).alias("sig"))
+
 
 def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
     """left (.., sig) and right (class, sig, h) by equal signatures: by a hash of them, so that no key has a kilobyte, and
@@ -134,7 +161,7 @@ class MinHashIndex:
 
     @staticmethod
     def _bands(method: MinHash, classes: DataFrame) -> DataFrame:
-        return method.band_keys(classes.select(F.col("class").alias("id"), "sig")).withColumnRenamed("id", "class")
+        return method.band_hashes(classes.select(F.col("class").alias("id"), "sig")).withColumnRenamed("id", "class")
 
     def _added(self, items: DataFrame) -> dict[str, DataFrame]:
         """Rows of all tables for new items: known classes take them in, others come up."""
@@ -156,10 +183,9 @@ class MinHashIndex:
 
     def candidates(self) -> DataFrame:
         """Pairs of classes (a < b), named by their smallest ids, with a band in common, and their estimated similarity."""
-        left, right = self.bands.select(F.col("class").alias("a"), "band", "key"), self.bands.select(F.col("class").alias("b"), "band", "key")
-        pairs = left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
+        pairs = tiled_pairs(self.bands, ["band", "key"], "class")
         sig = self.classes.select("class", "sig")
-        pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+        pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(self.method.share_a_band(F.col("sig_a"), F.col("sig_b")))
         pairs = pairs.select("a", "b", equal_share(F.col("sig_a"), F.col("sig_b")).alias("similarity"))
         if not self.grown:
             return pairs
@@ -170,9 +196,10 @@ class MinHashIndex:
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """(query, id, similarity, place) of the `limit` best items for each of queries (id, tokens), by similarity, then id."""
         signed = stored(self.method.signatures(queries), "queries")
-        keys = self.method.band_keys(signed).withColumnRenamed("id", "query")
-        found = keys.join(self.bands, ["band", "key"]).select("query", "class").distinct()
+        keys = self.method.band_hashes(signed).withColumnRenamed("id", "query")
+        found = tiled_join(keys, self.bands, ["band", "key"], "class").select("query", "class").distinct()
         found = found.join(signed.toDF("query", "sig_q"), "query").join(self.classes.select("class", "sig"), "class")
+        found = found.where(self.method.share_a_band(F.col("sig_q"), F.col("sig")))
         scored = found.select("query", "class", equal_share(F.col("sig_q"), F.col("sig")).alias("similarity"))
         first = self.members.withColumn("k", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("k") <= limit)
         by_rank = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")

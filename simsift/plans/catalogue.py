@@ -18,6 +18,7 @@ from ..operators import encode as enc
 from ..operators import evaluate as ev
 from ..operators.docvectors import DocVectors, neighbour_share
 from ..operators.hamming import BlockIndex
+from ..operators.jaccard import jaccard_pairs, jaccard_topk
 from ..operators.minhash import PRIME, MinHash, MinHashIndex, compat_permutations, permutations
 from ..operators.multi_index import nearest
 from ..operators.prefix import PrefixIndex
@@ -213,6 +214,15 @@ def noise_drop_words(spark, sf_dir):
     return _matrices(spark, sf_dir).select("id", _shown(ft.drop_rows(F.col("x"), 32, 3, F.concat(F.lit("1:"), F.col("id")))).alias("x"))
 
 
+_DRAWN = "g as (select distinct id, ('0x' || substr(md5('draw:1:' || id || ':' || k), 1, 8))::BIGINT % 16 as i from t cross join range(1, 9) d(k))"
+
+
+@query(f"{_MATRIX}, {_DRAWN} select m.id, string_agg(case when g.i is null then array_to_string(row, '') else repeat('0', 32) end, '' order by r) as x from m left join g on g.id = m.id and g.i = m.r - 1 group by m.id")
+def noise_drawn_words(spark, sf_dir):
+    """Words dropped by eight draws with replacement."""
+    return _matrices(spark, sf_dir).select("id", _shown(ft.drop_drawn_rows(F.col("x"), 32, 8, F.concat(F.lit("1:"), F.col("id")))).alias("x"))
+
+
 @query(f"{_MATRIX}, {_picked('swap', 3)}, {_MOVED} select id, string_agg(array_to_string(row, ''), '' order by r) as x from swapped group by id")
 def noise_swap_words(spark, sf_dir):
     return _matrices(spark, sf_dir).select("id", _shown(ft.swap_rows(F.col("x"), 32, 3, F.concat(F.lit("1:"), F.col("id")))).alias("x"))
@@ -226,13 +236,17 @@ def title_training_set(spark, sf_dir):
 
 @query()
 def synthetic_training_set(spark, sf_dir):
-    return datasets.resolve("example", spark).select("id", _shown("x").alias("x"), _shown("x_hat").alias("x_hat"))
+    return datasets.resolve("example", spark, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))).select("id", _shown("x").alias("x"), _shown("x_hat").alias("x_hat"))
 
 
 @query("select round(min(v), 6) as low, round(max(v), 6) as high from (select unnest(embedding)::DOUBLE as v from embeddings)")
 def feature_minmax(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.explode("embedding").alias("v")).select(F.col("v").cast("double").alias("v"))
-    return v.agg(F.round(F.min("v"), 6).alias("low"), F.round(F.max("v"), 6).alias("high"))
+    """The extremes of all features, as the pass that writes them has seen them."""
+    v = F.col("vec")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    seen = sinks.write_observed(rows, scratch(spark, "features"), low=F.min(F.array_min(v)), high=F.max(F.array_max(v)))
+    out = spark.createDataFrame([(seen["low"], seen["high"])], "low double, high double")
+    return out.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("select label, i::INT as i, round(avg(embedding[i + 1]::DOUBLE), 6) as mean from embeddings, range(0, 64) r(i) group by label, i")
@@ -292,6 +306,15 @@ def minhash_signature(spark, sf_dir):
     return MinHash().signatures(titles(spark, sf_dir)).select("id", F.array_join(F.transform("sig", lambda s: s.cast("string")), ",").alias("sig"))
 
 
+@query(f"with {_TITLES}, {_signed()} select id, array_to_string(sig, ',') as sig from t_sig")
+def minhash_signature_rows(spark, sf_dir):
+    """Signatures as aggregates of rows of one token each, every other one in a second part that is merged."""
+    rows = titles(spark, sf_dir).select("id", F.posexplode("tokens").alias("place", "token"))
+    method = MinHash()
+    parts = [method.signatures_of_rows(rows.where(F.col("place") % 2 == i)) for i in (0, 1)]
+    return method.merged(parts[0].union(parts[1])).select("id", F.array_join(F.transform("sig", lambda s: s.cast("string")), ",").alias("sig"))
+
+
 @query(f"with {_TITLES}, {_signed()} select id, band::INT as band, array_to_string(key, ',') as key from ({_BANDED.format(t='t')})")
 def minhash_bands(spark, sf_dir):
     method = MinHash()
@@ -355,22 +378,49 @@ def lsh_index_size(spark, sf_dir):
     return MinHashIndex.load(spark, path).size()
 
 
-@query(f"with {_TITLES}, s as (select id, list_distinct(tokens) as tokens from t), w as (select id, unnest(tokens) as word from s), p as (select x.id as a, y.id as b, count(*) as common from w x join w y using (word) where x.id < y.id group by 1, 2) select a, b, round(common / (len(u.tokens) + len(v.tokens) - common), 6) as similarity from p join s u on u.id = a join s v on v.id = b where common * 2 >= len(u.tokens) + len(v.tokens) - common")
+_SETS = "s as (select id, list_sort(list_distinct(tokens)) as tokens from t)"
+_CLASS_SETS = f"{_SETS}, k as (select min(id) as id, tokens from s group by tokens)"
+
+
+def _jaccard_sql(left: str, right: str, where: str) -> str:
+    """(a, b, similarity) of sets of two tables (id, tokens)."""
+    words = f"wa as (select id, unnest(tokens) as word from {left}), wb as (select id, unnest(tokens) as word from {right})"
+    pairs = f"p as (select x.id as a, y.id as b, count(*) as common from wa x join wb y using (word) where {where} group by 1, 2)"
+    return f"{words}, {pairs}, j as (select a, b, common / (len(u.tokens) + len(v.tokens) - common) as similarity from p join {left} u on u.id = a join {right} v on v.id = b where common * 2 >= len(u.tokens) + len(v.tokens) - common)"
+
+
+@query(f"with {_TITLES}, {_CLASS_SETS}, {_jaccard_sql('k', 'k', 'x.id < y.id')} select a, b, round(similarity, 6) as similarity from j")
 def exact_jaccard_pairs(spark, sf_dir):
-    """Pairs of titles that share half of their words, by a prefix filter: with words in order of rarity, two sets of that
-    similarity share one of their first size - ceil(size / 2) + 1 words."""
-    sets = titles(spark, sf_dir).select("id", F.array_distinct("tokens").alias("tokens"))
-    words = sets.select("id", F.explode("tokens").alias("word"))
-    order = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    ranked = words.join(order, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
-    ranked = stored(ranked.select("id", F.transform("ranked", lambda r: r["word"]).alias("tokens")), "ranked-sets")
-    size = F.size("tokens")
-    lead = ranked.select("id", F.explode(F.slice("tokens", F.lit(1), size - F.ceil(size / 2).cast("int") + 1)).alias("word"))
-    pairs = lead.toDF("a", "word").join(lead.toDF("b", "word"), "word").where("a < b").select("a", "b").distinct()
-    both = pairs.join(ranked.toDF("a", "ta"), "a").join(ranked.toDF("b", "tb"), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    similarity = common / (F.size("ta") + F.size("tb") - common)
-    return both.select("a", "b", F.round(similarity, 6).alias("similarity")).where(similarity >= 0.5)
+    """Pairs of different sets of words, each named by its smallest title, that share half of their words."""
+    return jaccard_pairs(titles(spark, sf_dir))[0].select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"with {_TITLES}, {_CLASS_SETS} select s.id, k.id as class from s join k using (tokens)")
+def jaccard_members(spark, sf_dir):
+    """Which set of words each title has."""
+    return jaccard_pairs(titles(spark, sf_dir))[1].select("id", "class")
+
+
+@query(f"with {_TITLES}, {_SETS}, q as (select * from s where id % 20 = 0), {_jaccard_sql('q', 's', 'true')} select a as query, b as id, round(similarity, 6) as similarity, place::INT as place from (select *, row_number() over (partition by a order by similarity desc, b) as place from j) where place <= 10")
+def jaccard_topk_search(spark, sf_dir):
+    """The most similar titles for every twentieth one, exactly."""
+    items = titles(spark, sf_dir)
+    return jaccard_topk(items, items.where("id % 20 = 0")).select("query", "id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+@query()
+def lsh_recall(spark, sf_dir):
+    """Of the exact nearest titles of every twentieth one, how many the banded index finds, by tenths of similarity, and
+    how many its bands should find."""
+    items = stored(titles(spark, sf_dir), "titles")
+    asked = items.where("id % 20 = 0")
+    method = MinHash()
+    bands, rows = method.bands
+    found = MinHashIndex.build(items, method).search(asked, 10).select("query", "id", F.lit(1).alias("hit"))
+    wanted = jaccard_topk(items, asked).join(found, ["query", "id"], "left")
+    expected = 1 - F.pow(1 - F.pow("similarity", F.lit(rows)), F.lit(bands))
+    tenth = F.floor(F.col("similarity") * 10 + 1e-9) / 10
+    return wanted.groupBy(tenth.alias("similarity")).agg(F.count(F.lit(1)).alias("wanted"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"), F.round(F.sum(expected), 3).alias("expected"))
 
 
 @query(f"with {_TITLES}, s as (select id, {_joined('tokens')} as s from t) select s.id, min(o.id) as first, count(*) as n from s join s o using (s) group by s.id")
@@ -539,6 +589,21 @@ def answers_positional_xml(spark, sf_dir):
     return _answered(found, "id").select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "post_ordinal", "answers", "n_answers")
 
 
+@query(_positional_sql(1, None))
+def answers_positional_stream(spark, sf_dir):
+    """conversations as a stream of four batches cut anywhere; the state carries answers over to the next post."""
+    rows = posts.with_ordinal(turns(spark, sf_dir).select("conv_id", "turn", (F.col("role") == "assistant").alias("is_answer")), "conv_id", "turn", name="at")
+    rows = stored(rows.select(F.lit("conversations").alias("source"), F.col("at").cast("long").alias("at"), F.concat_ws(":", "conv_id", "turn").alias("id"), "is_answer"), "turns")
+    path, n = scratch(spark, "turns-stream"), rows.count()
+    for i in range(4):  # files of a stream come in order of their time
+        rows.where((F.col("at") > n * i // 4 - i) & (F.col("at") <= (n * (i + 1) // 4 - (i + 1) if i < 3 else n))).coalesce(1).write.mode("append").parquet(f"{path}/rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/rows")
+    ingest.write_stream(ingest.answers_stream(stream), f"{path}/answers", f"{path}/progress").awaitTermination()
+    found, key = spark.read.parquet(f"{path}/answers"), F.split("id", ":")
+    n_answers = F.when(F.col("answers").isNotNull(), F.size("answers").cast("long"))
+    return found.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "post_ordinal", F.array_join("answers", ",").alias("answers"), n_answers.alias("n_answers"))
+
+
 @query("select conv_id, turn, role = 'assistant' as is_answer, length(text) as n_chars, sha256(text) as text_sha256 from conversations")
 def xml_dump_rows(spark, sf_dir):
     found, key = _xml_turns(spark, sf_dir), F.split("id", ":")
@@ -641,6 +706,26 @@ def learned_encode(spark, sf_dir):
     return _codes(spark, sf_dir).select("id", F.array_join(F.transform("vec", lambda v: v.cast("string")), "").alias("code"))
 
 
+_ASKED = f"titles as (select item_id as id, ({_text(_TOKENS)})[1:16] as tokens from benchmark), t as (select * from titles)"
+
+
+@query(f"{_CODES.replace(_TITLES, _ASKED)} select id, array_to_string(vec, '') as code from v")
+def learned_query_codes(spark, sf_dir):
+    """Codes of queries as they are typed, by the projection that learned_encode uses."""
+    projection = enc.projection(512, 16)
+    codes = ev.query_codes(table(spark, sf_dir, "benchmark"), lambda x: x @ projection, "item_id")
+    return codes.select("id", F.array_join(F.transform("code", lambda v: F.when(v > 0, "1").otherwise("0")), "").alias("code"))
+
+
+@query(f"{_CODES} select v.id, array_to_string(vec, '') as code, {_joined('t.tokens')} as title from v join t on t.id = v.id")
+def projector_codes(spark, sf_dir):
+    """Codes with ids and titles as the projector's two files, read back row by row."""
+    path = scratch(spark, "projector-codes")
+    rows = _codes(spark, sf_dir).join(titles(spark, sf_dir), "id")
+    sinks.write_projector(rows, path, F.col("vec"), F.col("id").alias("ID"), F.array_join("tokens", " ").alias("Title"))
+    return sinks.read_projector(spark, path, "ID long, Title string").select(F.col("ID").alias("id"), F.array_join("vec", "").alias("code"), F.col("Title").alias("title"))
+
+
 @query(f"{_CODES}, p as (select q.id as query, v.id, v.vec, q.vec as x, v.vec as y from v q, v where q.id % 20 = 0), s as (select query, id, vec, {_LCP} as length from p) select query, id, length::INT as length, place::INT as place from (select *, row_number() over (partition by query order by length desc, vec, id) as place from s where length >= 1) where place <= 10")
 def learned_prefix_search(spark, sf_dir):
     codes = _codes(spark, sf_dir)

@@ -12,12 +12,12 @@ from ..functions import text as tx
 from .posts import body_words
 
 
-def synthetic_words(spark: SparkSession, n: int = 1000, seed: int = 7) -> DataFrame:
-    """n words of letters a-z; a word goes on with probability 0.9, 100 letters at most. The same for a seed."""
+def synthetic_words(ids: DataFrame, seed: int = 7) -> DataFrame:
+    """(id, word): a word of letters a-z for each of ids (id); it goes on with probability 0.9, 100 letters at most. The same for a seed."""
     draw = lambda kind, i: F.pmod(F.xxhash64(F.lit(seed), F.lit(kind), F.col("id"), i), F.lit(1_000_003)) / 1_000_003.0
     length = F.least(F.lit(100), 1 + F.floor(F.log(draw("n", F.lit(0)) + 1e-9) / F.log(F.lit(0.9)))).cast("int")
     letters = F.transform(F.sequence(F.lit(1), length), lambda i: F.char((97 + F.floor(draw("c", i) * 26)).cast("long")))
-    return spark.range(n).select("id", F.array_join(letters, "").alias("word"))
+    return ids.select("id", F.array_join(letters, "").alias("word"))
 
 
 def word_set(words: DataFrame, feature: Callable[[Column], Column] = ft.histogram) -> DataFrame:
@@ -40,9 +40,9 @@ def title_set(titles: DataFrame, width: int, feature: Callable[[Column], Column]
 
 
 def resolve(name: str | None, spark: SparkSession, posts: DataFrame | None = None, drop: int = 0, swap: int = 0) -> DataFrame:
-    """A training set by name: example (the default), partial (body words), or titles."""
+    """A training set by name: example (the default; a made-up word for each post, or 1,000), partial (body words), or titles."""
     if name in (None, "example"):
-        return word_set(synthetic_words(spark))
+        return word_set(synthetic_words(spark.range(1000) if posts is None else posts.select("id")))
     if name == "partial":
         return word_set(body_words(posts).select("id", "word"))
     if name == "titles":

@@ -133,13 +133,13 @@ def attach_positional(rows: DataFrame, answer: Column, *order: str, lo: int = 1,
     An answer belongs to the next post of the range, whatever its parent; posts outside the range don't take any,
     answers after the last post are lost, and a post without answers has null. Adds post_ordinal and answers.
     """
-    keyed = with_ordinal(rows.select(F.struct("*").alias("row"), answer.alias("is_answer"), *order), *order, name="at")
+    keyed = with_ordinal(rows.select(F.struct("*").alias("row"), answer.alias("is_answer"), *order), *order, name="_at")
     posts_of = keyed.groupBy("part").agg(F.count(F.when(~F.col("is_answer"), 1)).alias("count"))
     keyed = keyed.join(_starts(posts_of), "part")
-    by_place = Window.partitionBy("part").orderBy("at")
+    by_place = Window.partitionBy("part").orderBy("_at")
     post = F.col("start") + F.sum((~F.col("is_answer")).cast("int")).over(by_place)
     keyed = keyed.withColumn("post_ordinal", F.when(~F.col("is_answer"), post)).withColumn("emitted", ~F.col("is_answer") & F.coalesce(in_range(F.col("post_ordinal"), lo, hi), F.lit(False)))
-    keyed = stored(keyed.withColumn("own", F.when(F.col("emitted"), F.col("at"))), "answers")
+    keyed = stored(keyed.withColumn("own", F.when(F.col("emitted"), F.col("_at"))), "answers")
     later, carry = {}, None
     firsts = {r["part"]: r["own"] for r in keyed.groupBy("part").agg(F.min("own").alias("own")).collect()}
     for part in sorted(firsts, reverse=True):
@@ -148,8 +148,8 @@ def attach_positional(rows: DataFrame, answer: Column, *order: str, lo: int = 1,
     following = rows.sparkSession.createDataFrame(list(later.items()), "part int, following long")
     ahead = by_place.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     owned = keyed.join(following, "part").withColumn("owner", F.coalesce(F.min("own").over(ahead), F.col("following")))
-    answers = owned.where("is_answer and owner is not null").groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda a: a["row"]).alias("answers"))
-    return keyed.where("emitted").join(answers, F.col("at") == F.col("owner"), "left").select("row.*", "post_ordinal", "answers")
+    answers = owned.where("is_answer and owner is not null").groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "row"))), lambda a: a["row"]).alias("answers"))
+    return keyed.where("emitted").join(answers, F.col("_at") == F.col("owner"), "left").select("row.*", "post_ordinal", "answers")
 
 
 def attach_by_parent(posts: DataFrame, answers: DataFrame, id_col: str = "id", parent_col: str = "parent_id", *order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,23 +96,50 @@ def vacuum_index(spark: SparkSession, path: str, keep: int = 1) -> int:
 
 
 def write_projector(rows: DataFrame, path: str, vector: Column, *meta: Column) -> None:
-    """Vectors and their descriptions as two tab-separated tables, rows in the same order by the first description.
+    """Vectors and their descriptions as two tab-separated tables, rows in the same order, by the descriptions.
 
     vecs has no header, meta has one.
     """
     ordered = rows.select(F.array_join(F.transform(vector, lambda x: x.cast("string")), "\t").alias("vec"), *meta)
     names = ordered.columns[1:]
-    ordered = ordered.orderBy(*names)
+    ordered = ordered.orderBy(*names, "vec")
     ordered.select("vec").write.mode("overwrite").text(f"{path}/vecs")
     ordered.select(*names).write.mode("overwrite").option("header", True).option("sep", "\t").csv(f"{path}/meta")
 
 
+def read_projector(spark: SparkSession, path: str, meta: str) -> DataFrame:
+    """Rows of write_projector's tables side by side, by their places: the columns of `meta`, a schema, and vec, an array of text."""
+    vecs = _placed(spark.read.text(f"{path}/vecs"), F.split("value", "\t").alias("vec"))
+    rows = _placed(spark.read.schema(meta).option("header", True).option("sep", "\t").csv(f"{path}/meta"), "*")
+    return rows.join(vecs, "place").drop("place")
+
+
+def _placed(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """Rows of files with their places from 1, over all files in order of name; a count for each file reaches the driver."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at")).alias("_at")
+    named = rows.select(*columns, F.col("_metadata.file_name").alias("_file"), at)
+    before, starts = 0, []
+    for r in named.groupBy("_file").count().orderBy("_file").collect():
+        starts.append((r["_file"], before))
+        before += r["count"]
+    starts = rows.sparkSession.createDataFrame(starts, "_file string, _start long")
+    own = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+    return named.withColumn("_row", own).join(starts, "_file").withColumn("place", F.col("_start") + F.col("_row")).drop("_file", "_start", "_row", "_at")
+
+
 def write_results(found: DataFrame, path: str) -> None:
     """Search results (query, place, id, similarity, title) as a tab-separated table with a header, in order of query and place."""
     ordered = found.select("query", "place", "id", "similarity", "title").orderBy("query", "place")
     ordered.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
 
 
+def write_observed(df: DataFrame, path: str, **aggregates: Column) -> dict:
+    """Write df and return the aggregates over all its rows, which the same pass has counted."""
+    seen = Observation()
+    df.observe(seen, *[a.alias(n) for n, a in aggregates.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """Append (epoch, name, value) rows to the run's metrics."""
     metrics.write.mode("append").parquet(path)
