@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, partitions, stored, table, temporary
+from .common import crc_mod, stored, table, temporary
 
 #: Restaurants of contexts.
 CONTEXTS = 1 << 16
@@ -54,6 +54,8 @@ BURN_IN, SAMPLES = 2, 2
 CONCENTRATION, ROOT_CONCENTRATION = 1.0, 1.0
 #: Tokens and texts of a chunk at most; tokens of a bucket, about.
 CHUNK, CHUNK_TEXTS, BUCKET = 1 << 20, 60_000, 500_000
+#: Buckets at least. Their number hangs on the tokens alone, and so do random numbers, which are drawn by bucket.
+BUCKETS = 64
 #: Customers of one dish in one restaurant whose number of tables is drawn exactly, and particles for larger dishes.
 EXACT, PARTICLES = 1024, 32
 #: Words that a worker remembers.
@@ -568,7 +570,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     A-Z in lower case, then one end of text. base_score: log10 under add-one-half unigrams of the training tokens;
     score: log10 under the hierarchical Pitman-Yor model. A null text is an empty one: an end alone. Repeated rows
     are trained on and scored each; null ids are kept; without training rows every word has the uniform probability.
-    An empty table gives an empty result. Reruns on the same files agree.
+    An empty table gives an empty result. Reruns on the same rows agree, in whatever partitions they come.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
@@ -580,7 +582,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             tokens, n = int(value[0]), int(value[1])
         else:
             contexts[r["key"] : r["key"] + _BLOCK] = value
-    buckets = max(partitions(spark), tokens // BUCKET + 1)
+    buckets = max(BUCKETS, tokens // BUCKET + 1)
     words = survey.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n"))
     often = words.where(F.col("n") * 4 * buckets >= tokens).collect()  # 4 * buckets words at most
     salts = {r["key"] + (1 << 63): min(CONTEXTS, 4 * buckets * r["n"] // tokens + 1) for r in often}

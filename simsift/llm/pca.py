@@ -8,9 +8,10 @@ rest of a product is at most the product of the suffix norms, and a tile, row, c
 soon as its bound falls below the threshold.
 
 Plan: equal vectors become one node with a count before anything is compared. Each pair of groups is one
-task that reads two bounded groups and returns a count of links per node and a spanning forest of the
-links - never the pairs. A vector is sent to as many tasks as its group has partners; groups grow with
-the corpus so that their number stays at GROUPS.
+task that reads two groups of GROUP numbers at most and returns a count of links per node and a spanning
+forest of the links - never the pairs. A vector is sent to as many tasks as its group has partners. While
+GROUPS groups hold all vectors, what is sent grows with the vectors; beyond, with the pairs of groups that
+bounds can't tell apart.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .common import stored, table
 from .components import Forest, components
 
 THRESHOLD = 0.9
-#: Vectors of a tile; vectors of a group, while there are no more than GROUPS groups.
-TILE, GROUP, GROUPS = 512, 8192, 1024
+#: Vectors of a tile; numbers in a group's vectors at most; groups at least, if there is a tile for each.
+TILE, GROUP, GROUPS = 512, 1 << 22, 8
 #: Leading coordinates that make the boxes of tiles and groups, and coordinates multiplied at a time.
 BOX, STEP = 8, 16
 #: Room for rounding in bounds; pairs this near the threshold are computed again from the vectors themselves.
@@ -91,19 +92,19 @@ def _pack(basis: np.ndarray):
     names = ["part", "tile", "nodes", "copies", "matrix", "box"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, k, group = [], 0, None
+        held, k, group, single = [], 0, None, False
 
         def tile(part: list) -> pa.RecordBatch:
             nodes, copies, x = (np.concatenate([p[i] for p in part]) for i in range(3))
             z = (x / np.linalg.norm(x, axis=1)[:, None]) @ basis
-            values = [group], [k], [nodes.astype("<i8").tobytes()], [copies.astype("<i8").tobytes()], [x.astype("<f8").tobytes()], [_boxes(z).ravel().tolist()]
+            values = [group], [k], [nodes.astype("<i8").tobytes()], [copies.astype("<i8").tobytes()], [x.astype("<f4" if single else "<f8").tobytes()], [_boxes(z).ravel().tolist()]
             kinds = pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=names)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            group = b.column(3)[0].as_py()
+            group, single = b.column(3)[0].as_py(), pa.types.is_float32(b.column(1).type.value_type)
             for i in range(0, b.num_rows, TILE):
                 part = b.slice(i, TILE)
                 held.append((part.column(0).to_numpy(), part.column(2).to_numpy(), _matrix(part.column(1))))
@@ -159,9 +160,10 @@ def _compare(basis: np.ndarray, threshold: float):
         g, h = (k.as_py() for k in key)
         tiles: dict = {g: [], h: []}
         for r in rows.select(["group", "nodes", "matrix", "box", "copies"]).to_pylist():
-            x = np.frombuffer(r["matrix"], "<f8").reshape(-1, len(basis))
+            nodes = np.frombuffer(r["nodes"], "<i8")
+            x = np.frombuffer(r["matrix"], f"<f{len(r['matrix']) // (len(nodes) * len(basis))}").astype(float).reshape(len(nodes), -1)
             unit = x / np.linalg.norm(x, axis=1)[:, None]
-            tiles[r["group"]].append((np.frombuffer(r["nodes"], "<i8"), np.frombuffer(r["copies"], "<i8"), x, unit @ basis, np.array(r["box"]).reshape(2, -1)))
+            tiles[r["group"]].append((nodes, np.frombuffer(r["copies"], "<i8"), x, unit @ basis, np.array(r["box"]).reshape(2, -1)))
         places: dict = {}
         at = 0
         for k in tiles:
@@ -196,11 +198,26 @@ def _compare(basis: np.ndarray, threshold: float):
     return run
 
 
+def _partners(numbers: np.ndarray, boxes: np.ndarray, reach: float):
+    """(of, g, h): the pairs g <= h of groups that a group is part of, if their boxes are near enough."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g in b.column(0).to_pylist():
+                own = boxes[np.searchsorted(numbers, g)]
+                gap = np.maximum(0, np.maximum(own[0] - boxes[:, 1], boxes[:, 0] - own[1]))
+                h = numbers[(gap**2).sum(axis=1) <= reach]
+                kinds = [pa.array(v, pa.int32()) for v in (np.full(len(h), g), np.minimum(g, h), np.maximum(g, h))]
+                yield pa.RecordBatch.from_arrays(kinds, names=["of", "g", "h"])
+
+    return run
+
+
 def _links(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(a, b, n): links a-b of a spanning forest (n = 0), or n links that node a has (b = -1)."""
     basis = axes(nodes, dim)
     n = nodes.count()
-    groups = max(1, min(GROUPS, math.ceil(n / GROUP)))
+    groups = max(1, min(GROUPS, n // TILE), math.ceil(n * dim / GROUP))
     kind = nodes.schema["vector"].dataType.simpleString()
     lead = stored(nodes.select("node", "vector", "copies").mapInArrow(_lead(basis), f"node long, vector {kind}, copies long, lead double"), "pca-lead")
     dealt = lead.repartitionByRange(groups, "lead", "node").sortWithinPartitions("lead", "node")
@@ -209,12 +226,13 @@ def _links(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
     dealt_to = (tiles.agg(F.max("part")).first()[0] or 0) + 1  # a group is a run of partitions, however many there are
     tiles = tiles.withColumn("group", F.floor(F.col("part") * F.lit(groups) / F.lit(dealt_to)).cast("int"))
     bounds = tiles.select("group", F.posexplode("box").alias("i", "v")).groupBy("group", "i").agg(F.min("v").alias("low"), F.max("v").alias("high")).orderBy("group", "i").collect()
-    boxes = {g: np.array([(r["low"], r["high"]) for r in bounds if r["group"] == g]).T for g in {r["group"] for r in bounds}}
+    numbers = np.array(sorted({r["group"] for r in bounds}))
+    values = np.array([(r["low"], r["high"]) for r in bounds]).reshape(len(numbers), -1, 2)
     half = min(BOX, dim) + 1
-    boxes = {g: np.stack((b[0][:half], b[1][half:])) for g, b in boxes.items()}
-    pairs = [(g, h) for g in boxes for h in boxes if g <= h and apart(boxes[g], boxes[h]) <= 2 - 2 * threshold + ROOM]
-    partners = tiles.sparkSession.createDataFrame([(g, g, h) for g, h in pairs] + [(h, g, h) for g, h in pairs if g != h], "of int, g int, h int")
-    sent = tiles.join(F.broadcast(partners), F.col("group") == F.col("of"))
+    boxes = np.stack((values[:, :half, 0], values[:, half:, 1]), axis=1)  # a box for each group of GROUP numbers
+    some = tiles.select("group").distinct().repartition("group")
+    partners = some.mapInArrow(_partners(numbers, boxes, 2 - 2 * threshold + ROOM), "of int, g int, h int")
+    sent = tiles.join(partners, F.col("group") == F.col("of"))
     return sent.groupBy("g", "h").applyInArrow(_compare(basis, threshold), "a long, b long, n long")
 
 

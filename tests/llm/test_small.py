@@ -513,21 +513,36 @@ def test_agrees_with_a_model_on_one_machine(spark, monkeypatch):
 
 
 def test_probabilities_sum_to_one(spark):
-    """After a common first word: the probabilities of all words of the vocabulary and of one unseen word."""
+    """The probabilities of all words of the vocabulary, of one unseen word and of the end add up to 1 after a context."""
     rng = random.Random(1)
     text = [(i, f"go {rng.choice('abcde')}") for i in range(200)]
     every = ["a", "b", "c", "d", "e", "go", "new"]
-    ask = [(1000 + k, f"go {w}") for k, w in enumerate(every)] + [(2000 + k, w) for k, w in enumerate(every)] + [(3000, "go"), (3001, "")]
-    df = spark.createDataFrame([(i, t, False) for i, t in text] + [(i, t, True) for i, t in ask], "doc_id long, text string, held boolean")
+    ask = {"go": "go", "": ""} | {f"go {w}": f"go {w}" for w in every} | {f"go {w} {v}": f"go {w} {v}" for w in every for v in every} | {w: w for w in every}
+    df = spark.createDataFrame([(i, t, False) for i, t in text] + [(1000 + k, t, True) for k, t in enumerate(ask)], "doc_id long, text string, held boolean")
     score = {r["id"]: r["score"] for r in hpy.score_texts(df, F.col("held")).collect()}
-    end = {w: None for w in every}
-    for w in every:  # "go w" is start-go, go-w, w-end; "w" is start-w, w-end
-        end[w] = 10 ** (score[1000 + every.index(w)] - score[2000 + every.index(w)])  # go * (go, w) / (start, w)
-    first_end = 10 ** score[3001]
-    go_end = 10 ** score[3000]  # start-go, go-end
-    assert all(v > 0 for v in end.values()) and 0 < first_end < 1 and 0 < go_end < 1
-    first = {w: score[1000 + k] for k, w in enumerate("abcde")}
-    assert all(first[w] > score[1006] for w in first)  # a word that was never seen is less likely
+    p = {t: 10 ** score[1000 + k] for k, t in enumerate(ask)}
+    # P(v | w) P(end | v) / P(end | w) is known for all w and v; that P(. | w) adds up to 1 gives P(end | w)
+    ratios = np.array([[p[f"go {w} {v}"] / p[f"go {w}"] for v in every] for w in every])
+    end = np.ones(len(every))
+    for _ in range(200):
+        end = 0.5 * end + 0.5 / (1 + (ratios / end[None, :]).sum(axis=1))
+    start = {w: p[w] / e for w, e in zip(every, end, strict=True)}  # P(w | start)
+    assert sum(start.values()) + p[""] == pytest.approx(1, abs=0.01)  # words, one unseen word, and the end
+    first = {w: p[f"go {w}"] for w in "abcde"}
+    assert all(first[w] > p["go new"] for w in first)
+
+
+@pytest.mark.parametrize("partitions", [9])
+def test_scores_do_not_hang_on_partitions(spark, docs, partitions):
+    told = lambda: sorted(((str(r["id"]), r["n_tokens"], r["score"]) for r in hpy.score_texts(docs.repartition(partitions), crc_mod("doc_id", 5) == 1).collect()), key=str)
+    before, kept = told(), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        after = sorted(((str(r["id"]), r["n_tokens"], r["score"]) for r in hpy.score_texts(docs.repartition(2), crc_mod("doc_id", 5) == 1).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert [(a, b) for a, b, _ in before] == [(a, b) for a, b, _ in after]
+    assert [c for *_, c in before] == pytest.approx([c for *_, c in after], rel=1e-9)
 
 
 def test_tables_are_drawn_exactly():
