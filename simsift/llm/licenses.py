@@ -145,7 +145,12 @@ def _scan(templates):
     return run
 
 
-def common_words(template: list[bytes], found: list[bytes]) -> list[int]:
+def common_words(template: list[bytes], found: list[bytes]) -> int:
+    """Length of the longest common subsequence."""
+    return common_by_prefix(template, found)[-1] if found else 0
+
+
+def common_by_prefix(template: list[bytes], found: list[bytes]) -> list[int]:
     """Length of the longest common subsequence with every prefix of found, a bit for each word of the template."""
     at: dict[bytes, int] = {}
     for i, w in enumerate(template):
@@ -171,14 +176,14 @@ def passages(template: list[bytes], text: list[bytes], start: int, stop: int, st
     def score(n: int, length: int) -> float:
         return n / size * min(1.0, n / length / DENSE)
 
-    whole, length = common_words(template, text[start:stop])[-1], stop - start
+    whole, length = common_words(template, text[start:stop]), stop - start
     if whole >= COVER * size and whole >= DENSE * length:
         return [(start, stop, whole / size)], score(whole, length)
     found, best, last = [], score(whole, length), start
     for a in starts:
         if a < last:
             continue
-        common = common_words(template, text[a : min(stop, a + math.floor(size / DENSE))])
+        common = common_by_prefix(template, text[a : min(stop, a + math.floor(size / DENSE))])
         best = max([best, *(score(n, i + 1) for i, n in enumerate(common))])
         n, shorter = max(((n, -i - 1) for i, n in enumerate(common) if n >= DENSE * (i + 1)), default=(0, 0))
         if n and n >= COVER * size:
