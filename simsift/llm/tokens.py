@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoder
-from .common import partitions, scratch, table
+from .common import partitions, scratch, stored, table
 
 MAGIC = b"DAC1"
 #: File parts whose starts are broadcast at most; those of more are joined like any table.
@@ -208,21 +208,30 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ids", "start", "lengths", "codes").mapInArrow(_documents, schema)
 
 
-def _lookup(rows: pa.Table) -> pa.Table:
-    codes, start = DirectCodes.load(rows["codes"][0].as_py()), rows["start"][0].as_py()
-    at = rows["position"].to_pylist()
-    return pa.table({"position": pa.array(at, pa.int64()), "token": pa.array([codes[i - start] for i in at], pa.int64())})
+def _lookup(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            start, codes, at = b.column(0)[i].as_py(), DirectCodes.load(b.column(1)[i].as_py()), b.column(2)[i].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([codes[p - start] for p in at], pa.int64())], names=["position", "token"])
 
 
-def read_tokens(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
-    """(position, token) of the given places in the whole stream, by random access; places outside it give no row."""
-    wanted = spark.createDataFrame([(int(p),) for p in positions], "position long")
+def read_tokens(spark: SparkSession, path: str, positions: list[int] | DataFrame) -> DataFrame:
+    """(position, token) of the given places in the whole stream, by random access, each place once; places outside it, and
+    null ones, give no row. positions: a list, or a DataFrame with a column `position`.
+
+    Places are gathered by shard first, without the codes; then each shard that is asked for is read once, where it lies
+    (or sent on once, if more than PARTS shards are asked for).
+    """
+    wanted = positions if isinstance(positions, DataFrame) else spark.createDataFrame([(int(p),) for p in positions], "position long")
+    wanted = wanted.select(F.col("position").cast("long").alias("position")).distinct()
     rows = shards(spark, path)
     end = F.col("start") + F.col("n_tokens")
     block = lambda at: F.floor(at / BLOCK)
-    spread = rows.select("start", "n_tokens", "codes", F.explode(F.sequence(block(F.col("start")), block(end - 1))).alias("block"))
+    spread = rows.select("part", "before", "start", "n_tokens", F.explode(F.sequence(block(F.col("start")), block(end - 1))).alias("block"))
     hit = spread.join(wanted.withColumn("block", block(F.col("position"))), "block").where((F.col("position") >= F.col("start")) & (F.col("position") < end))
-    return hit.select("start", "codes", "position").groupBy("start").applyInArrow(_lookup, "position long, token long")
+    hit = stored(hit.groupBy("part", "before").agg(F.collect_list("position").alias("positions")), "token-hits")  # a shard's ids at most
+    asked = F.broadcast(hit) if hit.count() <= PARTS else hit
+    return rows.join(asked, ["part", "before"]).select("start", "codes", "positions").mapInArrow(_lookup, "position long, token long")
 
 
 def tokens_query(spark, sf_dir: str) -> DataFrame:

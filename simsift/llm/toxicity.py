@@ -10,7 +10,8 @@ so a neutral mention of a group can't carry weight that other groups don't. The
 words of a text, so scoring is a sum over its distinct words, in the map tasks, with no shuffle.
 
 The fit takes a bounded sample: TOXIC and CLEAN labelled rows at most, the lowest by a hash of their id
-(one narrow top-k each). Everything else covers all rows.
+(one narrow top-k each), and of these no more than SAMPLED bytes of text of either label. Everything else
+covers all rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ from .common import crc_mod, numbered, table
 
 #: Labelled rows of either label that the fit takes at most.
 TOXIC, CLEAN = 4000, 6000
+#: Bytes of the texts of either label that the fit takes at most; the first text is taken whatever its size.
+SAMPLED = 64 << 20
 #: A feature counts if so many sampled texts have it; so many features are fitted at most.
 LEAST, FEATURES = 4, 20_000
 L1, SWAP, ROUNDS = 2e-4, 1.0, 150
@@ -148,10 +151,13 @@ def _sample(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, tex
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(trains)
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
     rows = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "row", "place")
-    there = rows.select("place", F.col("row.id").alias("id")).join(known, F.col("id") == F.col("doc_id")).select("place", "id", "toxic")
+    there = rows.select("place", F.col("row.id").alias("id"), F.coalesce(F.octet_length("row.text"), F.lit(0)).alias("size"))
+    there = there.join(known, F.col("id") == F.col("doc_id")).select("place", "id", "toxic", "size")
     order = F.xxhash64("id"), F.col("id"), F.col("place")
     parts = [there.where(F.col("toxic") == y).orderBy(*order).limit(most) for y, most in ((1, TOXIC), (0, CLEAN))]
-    chosen = parts[0].unionByName(parts[1]).select("place", "toxic")  # TOXIC + CLEAN rows at most, whatever ids repeat
+    chosen = parts[0].unionByName(parts[1])  # TOXIC + CLEAN rows at most, whatever ids repeat
+    before = F.sum("size").over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("upto", before).where((F.col("upto") <= SAMPLED) | (F.col("upto") == F.col("size"))).select("place", "toxic")
     rows = rows.join(F.broadcast(chosen), "place").select(F.col("row.id").alias("id"), F.col("row.text").alias("text"), "toxic")
     found = rows.select("id", "text", "toxic").mapInArrow(_words, "id string, words array<string>, toxic int").toArrow()
     order = np.argsort(np.array(found["id"].to_pylist(), dtype=str), kind="stable")

@@ -279,7 +279,7 @@ def test_direct_codes():
             codes[len(ids)]
 
 
-def test_token_files(spark, docs, empty, tokenizer, tmp_path):
+def test_token_files(spark, docs, empty, tokenizer, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/tokens"
     tokens.write_tokens(docs, path, tokenizer, shard=500)
     found = tokens.read_documents(spark, path).orderBy("start").collect()
@@ -295,6 +295,11 @@ def test_token_files(spark, docs, empty, tokenizer, tmp_path):
         at, stream = at + len(ids), stream + ids
     asked = [0, 1, 499, 500, 501, len(stream) - 1, len(stream)]
     assert {r["position"]: r["token"] for r in tokens.read_tokens(spark, path, asked).collect()} == {i: stream[i] for i in asked[:-1]}
+    table = spark.createDataFrame([(i,) for i in [*range(len(stream)), 3, -1, None]], "position long")
+    for most in (tokens.PARTS, 1):  # shards in place, and sent on
+        monkeypatch.setattr(tokens, "PARTS", most)
+        assert sorted(tuple(r) for r in tokens.read_tokens(spark, path, table).collect()) == list(enumerate(stream))
+    assert tokens.read_tokens(spark, path, []).count() == 0
     tokens.write_tokens(empty, f"file://{tmp_path}/none", tokenizer)
     assert tokens.read_documents(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -359,6 +364,46 @@ def test_toxicity(spark, docs, empty):
     assert none[0] == {} and toxicity.train(empty, known.limit(0), F.lit(True))[0] == {}
 
 
+@pytest.mark.parametrize("swap", [0.0, 3.0])
+def test_toxicity_fit_reaches_the_least_loss(swap):
+    """The fit's objective against a plain proximal gradient on dense matrices that runs until nothing changes."""
+    rng = random.Random(4)
+    texts = [[*rng.sample([f"p{i}" for i in range(25)], 6), *(["bad"] if rng.random() < 0.4 else []), *(["muslim"] if rng.random() < 0.4 else [])] for _ in range(120)]
+    toxic = np.array([float(("bad" in t) != (rng.random() < 0.1)) for t in texts])
+    weights, bias = toxicity.fit(texts, toxic, swap=swap, rounds=600)
+    names = sorted({f for t in texts for w in t for f in toxicity.features(w)} | {f for i, t in enumerate(texts) for w in (toxicity.swapped(t, 1 + i % 7) or []) for f in toxicity.features(w)})
+    names = [f for f in names if sum(f in {g for w in t for g in toxicity.features(w)} for t in texts) >= toxicity.LEAST or f in toxicity.TERMS]
+    coded = lambda t: np.array([sum(f == g for w in t for g in toxicity.features(w)) for f in names], float)
+    x = np.array([coded(t) for t in texts])
+    other = np.array([coded(toxicity.swapped(t, 1 + i % 7) or t) for i, t in enumerate(texts)])
+    n = len(texts)
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.logaddexp(0, np.where(toxic == 1, -z, z)).mean() + swap * (((x - other) @ w) ** 2).sum() / n + toxicity.L1 * np.abs(w).sum()
+
+    w, b = np.zeros(len(names)), 0.0
+    step = 1 / (np.linalg.norm(x, 2) ** 2 / (4 * n) + 2 * swap * np.linalg.norm(x - other, 2) ** 2 / n + 1)
+    for _ in range(20_000):
+        r = (1 / (1 + np.exp(-(x @ w + b))) - toxic) / n
+        g = x.T @ r + 2 * swap / n * (x - other).T @ ((x - other) @ w)
+        w = w - step * g
+        w, b = np.sign(w) * np.maximum(np.abs(w) - step * toxicity.L1, 0), b - step * r.sum()
+    mine = loss(np.array([weights.get(f, 0.0) for f in names]), bias)
+    assert set(weights) <= set(names) and mine <= loss(w, b) + 2e-3
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLED", 100)
+    df = spark.createDataFrame([(i, "w" * 40) for i in range(20)] + [(20, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(21)], "doc_id long, quality int, toxic int")
+    texts, toxic, _ = toxicity._sample(df, labels, F.lit(True), "doc_id", "text")
+    assert 2 <= toxic.sum() <= 3 and 2 <= len(texts) - toxic.sum() <= 3
+    monkeypatch.setattr(toxicity, "SAMPLED", 1)
+    texts, toxic, _ = toxicity._sample(df, labels, F.lit(True), "doc_id", "text")
+    assert 1 <= toxic.sum() <= 2 and 1 <= len(texts) - toxic.sum() <= 2
+
+
 # -- 7 -------------------------------------------------------------------------------------------
 
 
