@@ -706,10 +706,10 @@ def learned_encode(spark, sf_dir):
     return _codes(spark, sf_dir).select("id", F.array_join(F.transform("vec", lambda v: v.cast("string")), "").alias("code"))
 
 
-_ASKED = f"titles as (select item_id as id, ({_text(_TOKENS)})[1:16] as tokens from benchmark), t as (select * from titles)"
+_TYPED = f"titles as (select item_id as id, ({_text(_TOKENS)})[1:16] as tokens from benchmark), t as (select * from titles)"
 
 
-@query(f"{_CODES.replace(_TITLES, _ASKED)} select id, array_to_string(vec, '') as code from v")
+@query(f"{_CODES.replace(_TITLES, _TYPED)} select id, array_to_string(vec, '') as code from v")
 def learned_query_codes(spark, sf_dir):
     """Codes of queries as they are typed, by the projection that learned_encode uses."""
     projection = enc.projection(512, 16)
@@ -717,6 +717,42 @@ def learned_query_codes(spark, sf_dir):
     return codes.select("id", F.array_join(F.transform("code", lambda v: F.when(v > 0, "1").otherwise("0")), "").alias("code"))
 
 
+def _four_sql(tail: str) -> str:
+    """r (query, index_name, id, place): what four indexes find for each title, whole and with a word left out."""
+    named = f"{_TITLES.replace(', t as (', ', t0 as (')}, {_ASKED.replace('from t', 'from t0')}"
+    every = "t as (select struct_pack(id := id, kind := 'item') as id, tokens from t0 union all select id, tokens from a)"
+    coded = _CODES.replace(f"with {_TITLES}", f"with {named}, {every}")
+    pairs = f"cp as (select q.id as query, v.id.id as id, v.vec, q.vec as x, v.vec as y from v q, v where q.id.kind <> 'item' and v.id.kind = 'item'), cl as (select query, id, vec, {_LCP} as length, {_HAM.format(a='x', b='y')} as distance from cp)"
+    prefix = "select query, 'prefix' as index_name, id, row_number() over (partition by query order by length desc, vec, id) as place from cl where length >= 1"
+    near = "select query, 'hamming' as index_name, id, row_number() over (partition by query order by distance, vec, id) as place from cl"
+    whole = f"select a.id as query, 'whole' as index_name, t0.id as id, row_number() over (partition by a.id order by t0.id) as place from a join t0 on {_joined('a.tokens')} = {_joined('t0.tokens')}"
+    signed = f"{_signed(source='a')}, {_signed(source='t0')}, b as ({_BANDED.format(t='t0')}), bq as ({_BANDED.format(t='a')}), bp as (select distinct bq.id as query, b.id as id from bq join b using (band, key)), "
+    signed += f"bs as (select query, bp.id, {_SIM.format(a='bu.sig', b='bv.sig')} as similarity from bp join a_sig bu on bu.id = query join t0_sig bv on bv.id = bp.id)"
+    sha1 = "select query, 'sha1' as index_name, id, row_number() over (partition by query order by similarity desc, id) as place from bs"
+    return f"{coded}, {pairs}, {signed}, r as (select * from (({prefix}) union all ({near}) union all ({whole}) union all ({sha1})) where place <= 10), n as (select unnest(['hamming', 'prefix', 'sha1', 'whole']) as index_name) {tail}"
+
+
+def _four(spark, sf_dir):
+    items = stored(titles(spark, sf_dir), "titles")
+    projection = enc.projection(512, 16)
+    indexes = {"hamming": ev.CodeIndex(items, lambda x: x @ projection, 16, "hamming", 0.0), "prefix": ev.CodeIndex(items, lambda x: x @ projection, 16, "prefix", 0.0)}
+    return items, indexes | {"sha1": ev.make_index(items), "whole": ev.make_index(items, whole=True)}
+
+
+@query(_four_sql("select a.id.id as id, a.id.kind as kind, n.index_name, coalesce(string_agg(r.id::VARCHAR, ',' order by place), '') as results from a cross join n left join r on r.query = a.id and r.index_name = n.index_name group by all"))
+def compare_four_indexes(spark, sf_dir):
+    """What the bands of SHA-1, whole titles, prefixes of codes and Hamming distances of codes find for the same queries."""
+    found = ev.compare(*_four(spark, sf_dir))
+    return found.select("id", "kind", "index_name", F.array_join(F.transform("results", lambda r: r.cast("string")), ",").alias("results"))
+
+
+@query(_four_sql("select n.index_name, count(r.id) as hits, (select count(*) from a) as queries from n left join r on r.index_name = n.index_name and r.id = r.query.id group by n.index_name"))
+def recall_four_indexes(spark, sf_dir):
+    items, indexes = _four(spark, sf_dir)
+    names = list(indexes)
+    return ev.recall(ev.hits(ev.compare(items, indexes), names), names)
+
+
 @query(f"{_CODES} select v.id, array_to_string(vec, '') as code, {_joined('t.tokens')} as title from v join t on t.id = v.id")
 def projector_codes(spark, sf_dir):
     """Codes with ids and titles as the projector's two files, read back row by row."""
