@@ -46,8 +46,9 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, stored, table, temporary
 
-#: Restaurants of contexts.
-CONTEXTS = 1 << 16
+#: Restaurants of contexts: 2 to the power of BITS.
+BITS = 18
+CONTEXTS = 1 << BITS
 #: Gibbs sweeps before the first sample, and samples (one sweep apart).
 BURN_IN, SAMPLES = 2, 2
 #: Concentrations of the context restaurants and of their parent; discounts are estimated from counts of counts.
@@ -62,7 +63,7 @@ EXACT, PARTICLES = 1024, 32
 REMEMBERED = 200_000
 _END, _START = b" end", b" start"  # no word has a space
 #: Contexts whose totals travel together, and groups of tasks that are added up first.
-_BLOCK, _FANIN = 1 << 13, 32
+_BLOCK, _FANIN = CONTEXTS >> 3, 32
 
 
 def _hash(word: bytes) -> int:
@@ -70,7 +71,7 @@ def _hash(word: bytes) -> int:
 
 
 def _context(h: np.ndarray) -> np.ndarray:
-    return ((h >> np.uint64(11)) % np.uint64(CONTEXTS)).astype(np.uint16)
+    return ((h >> np.uint64(11)) % np.uint64(CONTEXTS)).astype(np.uint32)
 
 
 class _Words(dict):
@@ -198,7 +199,7 @@ def _deal(buckets: int, salts: dict[int, int], id_type: pa.DataType):
             salt[i] = salts[words.hashes[i]]
         bucket = (hashes[token] + (context % salt[token]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
         bucket = (bucket % np.uint64(buckets)).astype(np.int64)
-        key = token.astype(np.int64) << 16 | context
+        key = token.astype(np.int64) << BITS | context
         order = np.argsort(key, kind="stable")  # texts stay in order in a pair
         order = order[np.argsort(bucket[order], kind="stable")]
         key, at, bucket = key[order], at[order], bucket[order]
@@ -211,14 +212,14 @@ def _deal(buckets: int, salts: dict[int, int], id_type: pa.DataType):
         start, out = 0, ([], [])
         for end in ends.tolist():
             part = pair[start:end]
-            word = part >> 16
+            word = part >> BITS
             lead = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             a, b = edge[start], edge[end] if end < len(edge) else len(key)
             count = n[a:b]
             out[0].append(int(home[start]))
             out[1].append(_pack(
                 np.array([chunk, len(texts), trained]), hashes[word[lead]], np.diff(np.append(lead, len(part))).astype(np.uint16 if len(lead) > 1 else np.uint32),
-                (part & 0xFFFF).astype(np.uint16), texts_of[start:end].astype(np.uint16), at[a:b], count.astype(np.uint8 if count.max() < 256 else np.uint32),
+                (part & (CONTEXTS - 1)).astype(np.uint32), texts_of[start:end].astype(np.uint16), at[a:b], count.astype(np.uint8 if count.max() < 256 else np.uint32),
             ))
             start = end
         k = len(out[0])
@@ -260,7 +261,7 @@ class Bucket:
     def merged(cls, blobs: Iterable[bytes]) -> Bucket:
         parts = [_unpack(b) for b in blobs]
         words, word = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-        key = np.repeat(word.astype(np.int64), np.concatenate([p[2] for p in parts])) << 16
+        key = np.repeat(word.astype(np.int64), np.concatenate([p[2] for p in parts])) << BITS
         key |= np.concatenate([p[3] for p in parts])
         pairs, place = np.unique(key, return_inverse=True)
         del key
@@ -271,7 +272,7 @@ class Bucket:
             meta += [*m.tolist(), len(own), len(at)]
         count = np.bincount(place, np.concatenate(sums), len(pairs)).astype(np.uint32)
         joined = [np.concatenate([p[i] for p in parts]) for i in (4, 5, 6)]
-        return cls(words, (pairs >> 16).astype(np.uint32), (pairs & 0xFFFF).astype(np.uint16), count, place.astype(np.uint32), np.array(meta), *joined)
+        return cls(words, (pairs >> BITS).astype(np.uint32), (pairs & (CONTEXTS - 1)).astype(np.uint32), count, place.astype(np.uint32), np.array(meta), *joined)
 
     def dump(self) -> tuple[bytes, bytes]:
         """What seating needs, and the rest."""
