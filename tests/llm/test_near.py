@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from simsift.llm import simhash
@@ -29,8 +30,12 @@ def edited(rng, n, words):
     return " ".join(base), " ".join(other)
 
 
-def test_recall_by_similarity(spark):
-    """At least 0.9 of the pairs in every band from 0.8 on share a label, and none below 0.8 does."""
+@pytest.mark.parametrize("plan", [None, (3, 11), (8, 8)])
+def test_recall_by_similarity(spark, monkeypatch, plan):
+    """At least 0.9 of the pairs in every band from 0.8 on share a label, and none below 0.8 does: with the plan for so
+    many rows, and with those for about 10^6 and 10^8 rows, which probe by several fingerprints."""
+    if plan:
+        monkeypatch.setattr(simhash, "reach", lambda *_: plan)
     rng, texts, bands = random.Random(4), [], {}
     for k in range(2400):
         n = rng.choice((60, 150, 400))
