@@ -8,7 +8,7 @@ from .hpy import hpy_query
 from .licenses import license_query
 from .mixing import mix_query
 from .pca import PCA_SQL, pca_query
-from .recompress import repeats_query
+from .recompress import REPEATS_SQL, repeats_query
 from .runs import runs_query
 from .secrets import SECRETS_SQL, secrets_query
 from .simhash import simhash_query
@@ -36,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op2_radix_exact": EXACT_SQL,
     "op3_pca_tiles": PCA_SQL,
     "op10_secret_ledger": SECRETS_SQL,
+    "op13_recompression_cut": REPEATS_SQL,
 }

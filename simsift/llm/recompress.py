@@ -333,4 +333,17 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def repeats_query(spark, sf_dir: str) -> DataFrame:
     found = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+REPEATS_SQL = r"""
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+p as (select doc_id, i, ws[i:i + 19] as part from w, lateral unnest(range(1, len(ws) - 18)) u(i)),
+r as (select doc_id, i, row_number() over (partition by part order by doc_id, i) as k from p),
+c as (select distinct doc_id, unnest(range(i, i + 20)) as j from r where k > 1),
+t as (select doc_id, j, ws[j] as word from w, lateral unnest(range(1, len(ws) + 1)) u(j)),
+k as (select t.doc_id, count(c.j) as n_removed, string_agg(word, ' ' order by t.j) filter (where c.j is null) as kept
+      from t left join c on c.doc_id = t.doc_id and c.j = t.j group by t.doc_id)
+select w.doc_id, len(ws)::BIGINT as n_words, coalesce(n_removed, 0)::BIGINT as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k on k.doc_id = w.doc_id
+"""
