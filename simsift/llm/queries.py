@@ -9,7 +9,7 @@ from .licenses import license_query
 from .mixing import mix_query
 from .pca import PCA_SQL, pca_query
 from .recompress import REPEATS_SQL, repeats_query
-from .runs import runs_query
+from .runs import RUNS_SQL, runs_query
 from .secrets import SECRETS_SQL, secrets_query
 from .simhash import simhash_query
 from .tokens import tokens_query
@@ -36,5 +36,6 @@ ORACLES: dict[str, str] = {
     "op2_radix_exact": EXACT_SQL,
     "op3_pca_tiles": PCA_SQL,
     "op10_secret_ledger": SECRETS_SQL,
+    "op12_crochemore_runs": RUNS_SQL,
     "op13_recompression_cut": REPEATS_SQL,
 }

@@ -299,3 +299,26 @@ def runs_query(spark, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
     )
+
+
+#: crc32 of the decimal doc_id by its definition, a byte and then a bit at a time.
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda s, c: list_reduce(list_concat([xor(s, c)], range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"
+
+RUNS_SQL = rf"""
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+h as (select doc_id, ws, len(ws) as n, {_CRC} as h from w),
+g as (select *, h // 10 as g, case when h % 10 = 0 and n > 0 then (h // 10) % n end as a from h),
+d as (select doc_id, n, case when a is null then ws else list_transform(range(0, n), lambda i: case when i < a then ws[i + 1] else ws[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] end) end as ws from g),
+t as (select doc_id, n, j as i, ws[j + 1] as word from d, lateral unnest(range(0, n)) u(j)),
+e as (select x.doc_id, x.i, y.i - x.i as q from t x join t y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and (y.i - x.i) * 4 <= x.n),
+s as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from e),
+l as (select doc_id, min(i) as start, count(*) + q as length, q as period from s group by doc_id, q, island having count(*) >= 3 * q and count(*) + q >= 6),
+r as (select * from l where not exists (select 1 from l o where o.doc_id = l.doc_id and o.period < l.period and o.start <= l.start and o.start + o.length >= l.start + l.length)),
+b as (select *, row_number() over (partition by doc_id order by length::DOUBLE / period desc, start, period) as k from r),
+m as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as told from r group by doc_id),
+c as (select distinct doc_id, unnest(range(start + period, start + length)) as i from r),
+k as (select t.doc_id, string_agg(word, ' ' order by t.i) filter (where c.i is null) as kept from t left join c on c.doc_id = t.doc_id and c.i = t.i group by t.doc_id)
+select d.doc_id, coalesce(n_runs, 0)::BIGINT as n_runs, b.start, b.length, b.period, (1000 * b.length // b.period)::BIGINT as exponent_milli,
+       sha256(coalesce(told, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256, n::BIGINT as n_words
+from d left join m on m.doc_id = d.doc_id left join b on b.doc_id = d.doc_id and b.k = 1 left join k on k.doc_id = d.doc_id
+"""
