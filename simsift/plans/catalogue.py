@@ -25,7 +25,7 @@ from ..operators.prefix import PrefixIndex
 from ..session import scratch, stored
 from ..sources import datasets, posts, sinks
 from ..streaming import ingest
-from .tables import bits, table, titles, turns, vectors
+from .tables import bits, table, texts, titles, turns, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,7 +81,7 @@ def _joined(column: str) -> str:
 
 @query(f"select doc_id, {_text(_CLEAN)} as cleaned from documents")
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.clean(F.col("text")).alias("cleaned"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", tx.clean(F.col("text")).alias("cleaned"))
 
 
 @query(f"select item_id, {_joined(_text(_TOKENS))} as words, len({_text(_TOKENS)})::INT as n_words from benchmark")
@@ -92,37 +92,37 @@ def clean_query_tokens(spark, sf_dir):
 
 @query(f"with {_TITLES} select id, {_joined('tokens')} as tokens from titles")
 def doc_tokens16(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(tx.tokens(F.col("text")), " ").alias("tokens"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), F.array_join(tx.tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(f"with {_TITLES} select id, {_joined('tokens')} as tokens from t")
 def title_stream(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.clean(F.col("text")).alias("title"))
+    rows = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), tx.clean(F.col("text")).alias("title"))
     return posts.title_tokens(rows).select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query(f"select doc_id, count(*) as n_words from (select doc_id, unnest({_text(_WORDS)}) as word from documents) where word not in ({_STOP}) group by doc_id")
 def stopword_anti_join(spark, sf_dir):
     stop = spark.createDataFrame([(w,) for w in tx.STOP_WORDS], "word string")
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.words(tx.clean(F.col("text")))).alias("word"))
+    words = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(tx.words(tx.clean(F.col("text")))).alias("word"))
     return words.join(F.broadcast(stop), "word", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
 
 
 @query(f"select word, count(*) as n from (select unnest({_text(_WORDS)}) as word from documents) group by word having count(*) >= 2")
 def vocabulary(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(tx.words(tx.clean(F.col("text")))).alias("word"))
+    words = texts(spark, sf_dir, "documents", "text").select(F.explode(tx.words(tx.clean(F.col("text")))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
 
 
 @query(f"select id, (u.i - 1)::INT as place, ws[u.i] as word from (select doc_id as id, {_text(_WORDS)} as ws from documents), lateral unnest(range(1, len(ws) + 1)) u(i)")
 def body_words(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.clean(F.col("text")).alias("body"))
+    rows = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), tx.clean(F.col("text")).alias("body"))
     return posts.body_words(rows)
 
 
 @query(f"select (row_number() over (order by doc_id) - 1) as tag, {_joined(_text(_WORDS))} as words from documents")
 def title_sentences_tagged(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", tx.clean(F.col("text")).alias("title"))
+    rows = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", tx.clean(F.col("text")).alias("title"))
     tagged = posts.sentences(posts.with_ordinal(rows, "doc_id"))
     return tagged.select(F.col("tag").cast("long").alias("tag"), F.array_join("words", " ").alias("words"))
 
@@ -149,7 +149,7 @@ def post_lookup(spark, sf_dir):
 
 @query()
 def strip_html_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages", "page_id", "html")
     return pages.select("page_id", tx.strip_html(F.col("html")).alias("text"), tx.clean_string(F.col("html")).alias("cleaned"))
 
 
@@ -160,7 +160,7 @@ _COUNTS = "list_transform(range(97, 129), lambda k: len(list_filter(string_split
 
 
 def _distinct_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(tx.clean_query(F.col("text"))).alias("word")).distinct()
+    return texts(spark, sf_dir, "documents", "text").select(F.explode(tx.clean_query(F.col("text"))).alias("word")).distinct()
 
 
 @query(f"{_WORD_ROWS} select word, array_to_string({_COUNTS}, ' ') as counts from w")

@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt anew where there are fewer partitions than cores: a small file is one split, and text costs time."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table with long texts, on all cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as posts: the text is both body and title."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("text").alias("title"))
@@ -19,7 +30,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, tokens) of documents with at least one token."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.tokens(F.col("text")).alias("tokens"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), tx.tokens(F.col("text")).alias("tokens"))
     return docs.where(F.size("tokens") > 0)
 
 

@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a folder of our own is chosen, and set for checkpoint() as well.
+    The cluster names it in spark.checkpoint.dir; only where that is unset and Spark runs on one
+    machine (tests) a folder of our own is chosen, and set for checkpoint() as well.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = sc.getCheckpointDir()
         if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
             found = sc.getCheckpointDir()
     return found.rstrip("/")
