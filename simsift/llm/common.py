@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch, shared_dir, stored, temporary
 
-__all__ = ["SPACE", "crc_mod", "numbered", "partitions", "scratch", "shared_dir", "stored", "table", "temporary"]
+__all__ = ["SPACE", "crc_mod", "numbered", "partitions", "scratch", "shared_dir", "stored", "table", "temporary", "trim", "trimmed"]
 
 #: White space of every contract of this package: space and 0x09-0x0D, nothing else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -30,6 +33,27 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def trimmed(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """An Arrow function of a task that gives back to the system what it has used: workers live on from stage to stage, and
+    what they once held counts against the executor until then."""
+
+    def outer(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return outer
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _plain_scan(df: DataFrame) -> bool:
     """df is one path of files, filtered and projected: its rows are rows of the files, each once at most."""
     node = df._jdf.queryExecution().analyzed()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SPACE, numbered, partitions, stored, table
+from .common import SPACE, numbered, partitions, stored, table, trimmed
 
 #: Bytes of the first digits; each further one is twice as wide as the one before it.
 WIDTHS = (16, 64, 256, 1024, 4096)
@@ -225,7 +225,7 @@ def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     trie, level, total, parts = Trie(), 0, None, None
     while True:
         looked = rows.select(F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("text"), "seen_at")
-        counts = looked.mapInArrow(_count(ship(trie), level, id_type), counted).groupBy("node", "digit", "ended")
+        counts = looked.mapInArrow(trimmed(_count(ship(trie), level, id_type)), counted).groupBy("node", "digit", "ended")
         first = F.struct(F.col("id").isNull().alias("none"), "id", "seen_at")
         counts = counts.agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"), F.min(first).alias("first"))
         if total is None:
@@ -245,7 +245,7 @@ def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = T.StructType([*[docs.schema[c] for c in own], T.StructField("keep_id", kind), T.StructField("group_size", T.LongType()), T.StructField("kept", T.BooleanType()), T.StructField("text_sha256", T.StringType())])
     known = ship(trie)
     light = rows.select("row").mapInArrow(_light(known, text_col), T.StructType([rows.schema["row"], T.StructField("group", T.IntegerType())]))
-    light = light.repartition(parts, "group").select("row").mapInArrow(_finish(id_col, text_col, own, id_type), out)
+    light = light.repartition(parts, "group").select("row").mapInArrow(trimmed(_finish(id_col, text_col, own, id_type)), out)
     return light.union(rows.mapInArrow(_heavy(known, text_col, own, id_type), out)) if trie.leaves else light
 
 

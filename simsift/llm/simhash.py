@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered, partitions, stored, table, temporary
+from .common import numbered, partitions, stored, table, temporary, trimmed
 from .components import Forest, components
 
 WORDS, BITS = 4, 4
@@ -112,7 +112,7 @@ def names(further: int) -> list[str]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, fp) of every row: 64 bits as a long."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(words), schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(_fingerprints(words)), schema)
 
 
 def _together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +328,7 @@ def _probed(nodes: DataFrame, bits: int, own: str, others: list[str]) -> DataFra
 
 def near_links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (a, b) that connect just those of nodes (node, fp) that a chain of near ones connects."""
-    return _probed(nodes, bits, "fp", []).mapInArrow(_links(lambda v: _Nodes(v[0], bits)), "a long, b long")
+    return _probed(nodes, bits, "fp", []).mapInArrow(trimmed(_links(lambda v: _Nodes(v[0], bits))), "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -459,16 +459,16 @@ def similar_labels(rows: DataFrame, words: int = NEAR_WORDS, similarity: float =
     most, own = bound(similarity, n), names(n - 1)
     kind = rows.schema["row"].dataType.simpleString()
     with temporary(spark) as kept:
-        marks = stored(rows.mapInArrow(_marks(words, n), ", ".join([f"row {kind}", "node long", *(f"{c} long" for c in own)])), "near-marks")
+        marks = stored(rows.mapInArrow(trimmed(_marks(words, n)), ", ".join([f"row {kind}", "node long", *(f"{c} long" for c in own)])), "near-marks")
         nodes = stored(marks.groupBy("node", *own).agg(F.min("row").alias("row")), "near-nodes")
-        each = [_probed(nodes, bits, c, [x for x in own if x != c]).mapInArrow(_links(lambda v: _Candidates(v[0], bits, v[1:], most)), "a long, b long") for c in own[:probes]]
+        each = [_probed(nodes, bits, c, [x for x in own if x != c]).mapInArrow(trimmed(_links(lambda v: _Candidates(v[0], bits, v[1:], most))), "a long, b long") for c in own[:probes]]
         pairs = stored(reduce(DataFrame.union, each).distinct(), "near-pairs")
         groups = components(pairs, "near-groups").withColumnRenamed("label", "group")
         degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         members = stored(groups.join(degree, "node"), "near-members")
         sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
         texts = rows.join(members.join(nodes, "node").select("node", "row"), "row").select("node", "text")
-        sets = stored(texts.mapInArrow(_sets(words), "node long, shingles binary"), "near-sets")
+        sets = stored(texts.mapInArrow(trimmed(_sets(words)), "node long, shingles binary"), "near-sets")
 
         turn = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS))
         pivots = members.groupBy("group", turn.alias("turn")).agg(F.max(F.struct("degree", "node"))["node"].alias("node"))

@@ -21,11 +21,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, numbered, table
+from .common import crc_mod, numbered, table, trim, trimmed
 
 #: Labelled rows of either label that the fit takes at most.
 TOXIC, CLEAN = 4000, 6000
@@ -161,7 +162,11 @@ def _sample(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str, tex
     rows = rows.join(F.broadcast(chosen), "place").select(F.col("row.id").alias("id"), F.col("row.text").alias("text"), "toxic")
     found = rows.select("id", "text", "toxic").mapInArrow(_words, "id string, words array<string>, toxic int").toArrow()
     order = np.argsort(np.array(found["id"].to_pylist(), dtype=str), kind="stable")
-    texts, toxic = found["words"].to_pylist(), np.array(found["toxic"].to_pylist(), float)
+    toxic, sizes = np.array(found["toxic"].to_pylist(), float), pc.list_value_length(found["words"]).to_numpy()
+    coded = pc.list_flatten(found["words"]).combine_chunks().dictionary_encode()  # a word is one object in all texts
+    names, places = coded.dictionary.to_pylist(), np.split(coded.indices.to_numpy(), np.cumsum(sizes)[:-1]) if len(sizes) else []
+    texts = [[names[k] for k in p.tolist()] for p in places]
+    del found, coded
     return [texts[i] for i in order], toxic[order] if len(order) else toxic, (counts["toxic"] or 0) / max(counts["n"], 1)
 
 
@@ -178,7 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc
     without any label, or with one kind only, the model is the share of toxic ones alone.
     """
     texts, toxic, prior = _sample(docs, labels, trains, id_col, text_col)
-    return fit(texts, toxic, prior if len(texts) else None)
+    model = fit(texts, toxic, prior if len(texts) else None)
+    del texts
+    trim()
+    return model
 
 
 def _scores(weights, bias: float):
@@ -215,7 +223,7 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], float], text_
     rows = docs.select(F.struct(*own).alias("row"), F.col(text_col).cast("string").alias("text"))
     weights = docs.sparkSession.sparkContext.broadcast(model[0])
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType())])
-    scored = rows.mapInArrow(_scores(weights, model[1]), schema)
+    scored = rows.mapInArrow(trimmed(_scores(weights, model[1])), schema)
     return scored.select("row.*", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
