@@ -115,7 +115,7 @@ def test_ranges(spark):
 
 
 def test_datasets(spark, dump):
-    words = datasets.synthetic_words(spark)
+    words = datasets.synthetic_words(spark.range(1000))
     assert words.count() == 1000 and words.where("word rlike '^[a-z]{1,100}$'").count() == 1000
     assert datasets.resolve(None, spark).where("x = x_hat").count() == 1000
     made = datasets.resolve("titles", spark, posts.clean_attributes(dump), drop=2, swap=2)
