@@ -274,7 +274,7 @@ def binary_fraction_digits(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(digits, lambda d: d.cast("string")), "").alias("digits"))
 
 
-@query()
+@query("select vec_id, array_to_string(list_transform(embedding, lambda v: v::FLOAT::BIT::VARCHAR), '') as bits from embeddings")
 def float_bit_strings(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", ft.float_bits(F.col("embedding")).alias("bits"))
 
