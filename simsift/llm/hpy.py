@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 from .common import crc_mod, stored, table, temporary
 
 #: Restaurants of contexts: 2 to the power of BITS.
-BITS = 18
+BITS = 17
 CONTEXTS = 1 << BITS
 #: Gibbs sweeps before the first sample, and samples (one sweep apart).
 BURN_IN, SAMPLES = 2, 2
