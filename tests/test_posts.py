@@ -179,3 +179,16 @@ def test_checkpoints_kept(spark, tmp_path):
     for _ in range(4):
         net.save(spark, path, keep=2)
     assert sorted(r[0] for r in enc._numbers(spark, path)) == [3, 4]
+
+
+def test_answers_look_ahead_by_a_running_frame(spark):
+    df = spark.createDataFrame([(i, i % 3 > 0) for i in range(30)], "at long, is_answer boolean")
+    found = posts.attach_positional(df, F.col("is_answer"), "at")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()  # quadratic in a part's rows
+    assert [(r["at"], r["answers"] and [a["at"] for a in r["answers"]]) for r in found.orderBy("at").collect()] == [(0, None), *[(i, [i - 2, i - 1]) for i in range(3, 30, 3)]]
+
+
+def test_ordinals_are_dealt_to_many_tasks(spark):
+    placed = posts.with_ordinal(spark.range(100_000).select((-F.col("id")).alias("id")), "id")
+    assert placed.select("part").distinct().count() > 1  # rows with texts are large
+    assert placed.where(F.col("ordinal") != F.col("id") + 100_000).count() == 0
