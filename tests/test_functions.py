@@ -82,3 +82,27 @@ def test_similarity(spark):
     a, b = [1, 0, 1, 0], [1, 1, 1, 1]
     assert one(spark, hamming(F.col("a"), F.col("b")), a=a, b=b) == 0.5
     assert one(spark, common_prefix(F.col("a"), F.col("b"), 4), a=a, b=b) == 1
+
+
+def test_noise_is_drawn_once_for_a_row(spark):
+    import time
+
+    df = spark.range(200).select(F.col("id").cast("string").alias("k"), F.array_repeat(F.lit(1.0), 512).alias("x")).coalesce(1)
+
+    def seconds(column):
+        began = time.monotonic()
+        assert df.select(F.sum(F.hash(column))).count() == 1
+        return time.monotonic() - began
+
+    for noise in (lambda n: ft.drop_rows(F.col("x"), 32, n, F.col("k")), lambda n: ft.swap_rows(F.col("x"), 32, n, F.col("k")), lambda n: ft.drop_drawn_rows(F.col("x"), 32, n, F.col("k"))):
+        seconds(noise(3))
+        took = seconds(noise(3))
+        assert took < 1.5, took  # some milliseconds a row where the picks were drawn for every cell
+
+
+def test_tokens_of_a_long_text(spark):
+    long = ["the " * 400 + " ".join(f"w{i}" for i in range(20)), "x" * 600 + " b", "a" * 511 + "! c d", " ".join(f"v{i}" for i in range(400)), "\u00e9\u0130 " * 300 + "end\n\nof it", "", None]
+    df = spark.createDataFrame([(t,) for t in long], "t string")
+    for limit in (1, 3, 16):
+        for r in df.select(tx.tokens(F.col("t"), limit).alias("a"), tx.words_array(tx.clean(F.col("t")), limit).alias("b")).collect():
+            assert r["a"] == r["b"]
