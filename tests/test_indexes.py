@@ -231,3 +231,19 @@ def test_versions(spark, tmp_path, monkeypatch):
         publish(spark, path, {}, 2)
     assert sinks.save_index({"a": spark.range(1)}, {"x": 3}, path) == 3 and sinks.vacuum_index(spark, path) == 4
     assert sinks.versions(spark, path) == [3] and sinks.load_index(spark, path)[0]["a"].count() == 1
+
+
+def test_whole_titles_with_one_hash_are_two_classes(spark):
+    import hashlib
+
+    seen, pair = {}, None
+    for i in range(2_000_000):
+        h = int.from_bytes(hashlib.sha1(f"t{i}".encode()).digest()[:4], "little") % ((1 << 31) - 1)
+        if h in seen:
+            pair = seen[h], i
+            break
+        seen[h] = i
+    rows = spark.createDataFrame([(1, [f"t{pair[0]}"]), (2, [f"t{pair[1]}"]), (3, [f"t{pair[0]}"])], "id long, tokens array<string>")
+    index = MinHashIndex.build(rows, MinHash(shingle="whole"))
+    assert sorted(map(tuple, index.members.collect())) == [(1, 1), (2, 2), (3, 1)]
+    assert sorted((r["query"], r["id"]) for r in index.search(rows).collect()) == [(1, 1), (1, 3), (2, 2), (3, 1), (3, 3)]
