@@ -131,3 +131,10 @@ def test_batched_functions(spark):
     cells = spark.range(30).select(ft.drop_drawn_rows(F.array_repeat(F.lit(1.0), 16), 1, 5, F.col("id")).alias("x"))
     kept = [sum(r["x"]) for r in cells.collect()]
     assert all(11 <= k <= 15 for k in kept) and len(set(kept)) > 1
+
+
+def test_a_frequent_word_alone_makes_no_pairs(spark):
+    """Sets of ten words that have a single one in common are not candidates."""
+    rows = spark.range(60).select(F.col("id").alias("class"), F.concat(F.array(F.lit("a")), F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat_ws("-", "id", i))).alias("tokens"))
+    keyed = jaccard._keyed(rows, 0.5)
+    assert jaccard.tiled_pairs(keyed, ["key"], "class", jaccard._may_reach(0.5), ("size", "at")).count() == 0
