@@ -247,3 +247,20 @@ def test_whole_titles_with_one_hash_are_two_classes(spark):
     index = MinHashIndex.build(rows, MinHash(shingle="whole"))
     assert sorted(map(tuple, index.members.collect())) == [(1, 1), (2, 2), (3, 1)]
     assert sorted((r["query"], r["id"]) for r in index.search(rows).collect()) == [(1, 1), (1, 3), (2, 2), (3, 1), (3, 3)]
+
+
+def test_queries_of_one_signature_are_searched_once(spark, monkeypatch):
+    from simsift.operators import minhash
+
+    seen, join = [], minhash.tiled_join
+
+    def counted(asked, *rest):
+        seen.append(asked.count())
+        return join(asked, *rest)
+
+    monkeypatch.setattr(minhash, "tiled_join", counted)
+    rows = spark.createDataFrame([(i, ["a", "b", "c"]) for i in range(30)] + [(50, ["x", "y"])], "id long, tokens array<string>")
+    method = MinHash()
+    found = MinHashIndex.build(rows, method).search(rows, 4).collect()
+    assert seen == [2 * method.bands[0]]
+    assert sorted((r["query"], r["id"], r["place"]) for r in found) == sorted([(q, i, i + 1) for q in range(30) for i in range(4)] + [(50, 50, 1)])
