@@ -1,5 +1,7 @@
 """The three indexes on small fixed sets."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +266,16 @@ def test_queries_of_one_signature_are_searched_once(spark, monkeypatch):
     found = MinHashIndex.build(rows, method).search(rows, 4).collect()
     assert seen == [2 * method.bands[0]]
     assert sorted((r["query"], r["id"], r["place"]) for r in found) == sorted([(q, i, i + 1) for q in range(30) for i in range(4)] + [(50, 50, 1)])
+
+
+def test_signatures_are_made_in_batches(spark):
+    """Signatures by arrays of numbers, 300 items at a time and more, against each number; no hashes, no signature."""
+    from simsift.operators import minhash
+
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(1 << 32) for _ in range(rng.randint(0, 20))]) for i in range(600)] + [(600, None), (601, [0, minhash.PRIME, 2**32 - 1])]
+    df = spark.createDataFrame(rows, "id long, hashes array<long>").coalesce(1)
+    found = df.select("id", minhash.native_signature(F.col("hashes"), 5).alias("sig"))
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    wanted = {i: [min((a * h + b) % minhash.PRIME for h in hs) for a, b in minhash.permutations(5)] if hs else None for i, hs in rows}
+    assert {r["id"]: r["sig"] for r in found.collect()} == wanted
