@@ -279,3 +279,18 @@ def test_signatures_are_made_in_batches(spark):
     assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
     wanted = {i: [min((a * h + b) % minhash.PRIME for h in hs) for a, b in minhash.permutations(5)] if hs else None for i, hs in rows}
     assert {r["id"]: r["sig"] for r in found.collect()} == wanted
+
+
+def test_codes_are_searched_once(spark, monkeypatch):
+    """Queries of one code are one search; each has its results."""
+    from simsift.operators import evaluate
+
+    items = spark.createDataFrame([(i, ["abc"[i % 3]]) for i in range(30)], "id long, tokens array<string>")
+    asked, kept = [], evaluate.nearest
+    monkeypatch.setattr(evaluate, "nearest", lambda e, q, *a: (asked.append(q.count()), kept(e, q, *a))[1])
+    index = evaluate.CodeIndex(items, lambda x: x[:, :3] - 0.5, 3, "hamming", 0.0)
+    found = {(r["query"], r["place"]): r["id"] for r in index.search(items, 10).collect()}
+    assert asked == [3] and len(found) == 300
+    assert all([found[i, k] for k in range(1, 11)] == list(range(i % 3, 30, 3)) for i in range(30))
+    prefix = evaluate.CodeIndex(items, lambda x: x[:, :3] - 0.5, 3, "prefix", 0.0).search(items, 10)
+    assert prefix.groupBy("query").count().count() == 30
