@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import numbered, partitions, stored, table, temporary
+from .common import numbered, partitions, stored, table, temporary, trim, trimmed
 
 WINDOW = 20
 #: Rows of a block; a text with more characters than OWN is a block of its own.
@@ -41,6 +41,8 @@ BLOCK, OWN = 128, 1 << 16
 AROUND, ROUNDS = 1, 4
 #: Words of texts that are parsed together, and words whose hash a worker remembers.
 PARSED, REMEMBERED = 1 << 19, 400_000
+#: Bytes of blocks after which a worker gives back what it has used.
+TRIMMED = 4 << 20
 #: Bits of a word's number in a place; the text's number in its block is above them.
 START = 40
 #: Odd multipliers of names and of the two functions of a window.
@@ -253,6 +255,23 @@ def _candidates(window: int, id_type: pa.DataType):
     return run
 
 
+def _returned(run):
+    """A block's function that gives memory back to the system each TRIMMED bytes of blocks: workers live on from task to task."""
+    held = 0
+
+    def outer(key: tuple, block: pa.Table, known: pa.Table) -> pa.Table:
+        nonlocal held
+        held += block.nbytes + known.nbytes
+        try:
+            return run(key, block, known)
+        finally:
+            if held > TRIMMED:
+                held = 0
+                trim()
+
+    return outer
+
+
 SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
 
@@ -311,16 +330,16 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     long_ = T.LongType()
     marked = T.StructType().add("block", long_).add("at", long_).add("id", kind).add("name", long_).add("check", long_).add("many", T.BooleanType())
     packed = T.StructType().add("block", long_).add("at", T.ArrayType(long_)).add("id", T.ArrayType(kind)).add("sizes", T.ArrayType(long_)).add("packed", T.BinaryType())
-    blocks = rows.mapInArrow(_pack, packed).repartition(parts, "block").groupBy("block")
+    blocks = rows.mapInArrow(trimmed(_pack), packed).repartition(parts, "block").groupBy("block")
     with temporary(spark) as kept:
-        marks = rows.mapInArrow(_mark(window, id_type), marked).repartition(parts, "name", "check")
+        marks = rows.mapInArrow(trimmed(_mark(window, id_type)), marked).repartition(parts, "name", "check")
         ranked = Window.partitionBy("name", "check").orderBy(F.col("id").isNull(), "id", "block", "at")
         marks = marks.withColumn("rank", F.row_number().over(ranked)).withColumn("more", F.lead(F.lit(1)).over(ranked))
         again = F.col("rank") > 1
         known = marks.where(F.when(F.col("at") < 0, again | F.col("more").isNotNull() | F.col("many")).otherwise(again))
         known = stored(known.select("block", "at", "name"), "repeat-marks")
         found = T.StructType().add("block", long_).add("id", kind).add("one", long_).add("two", long_).add("places", T.ArrayType(long_))
-        windows = blocks.cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(_candidates(window, id_type), found)
+        windows = blocks.cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(_returned(_candidates(window, id_type)), found)
         in_order = Window.partitionBy("one", "two").orderBy(F.col("id").isNull(), "id", "block", F.col("places")[0])
         windows = windows.repartition(parts, "one", "two").withColumn("first", F.row_number().over(in_order) == 1)
         repeats = windows.select("block", F.lit(-1).cast("long").alias("at"), F.when(F.col("first"), F.slice("places", 2, F.size("places"))).otherwise(F.col("places")).alias("places"))
@@ -328,7 +347,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         answers = kept(repeats.where(F.size("places") > 0).unionByName(copies), "repeat-windows")
     span = T.ArrayType(T.StructType().add("start", long_).add("stop", long_))
     out = T.StructType().add("id", kind).add("n_words", long_).add("n_removed", long_).add("spans", span).add("kept", T.StringType())
-    return blocks.cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(_cut(window, id_type), out)
+    return blocks.cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(_returned(_cut(window, id_type)), out)
 
 
 def repeats_query(spark, sf_dir: str) -> DataFrame:

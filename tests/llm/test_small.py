@@ -622,3 +622,15 @@ def test_components(spark):
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == dict.fromkeys(range(31), 0) | dict.fromkeys((100, 101, 105, 200), 100)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_workers_give_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from simsift.llm import recompress
+
+    calls, block = [], pa.table({"x": list(range(1000))})
+    monkeypatch.setattr(recompress, "trim", lambda: calls.append(1))
+    monkeypatch.setattr(recompress, "TRIMMED", 3 * block.nbytes)
+    run = recompress._returned(lambda key, a, b: a)
+    assert all(run((1,), block, block) is block for _ in range(6)) and len(calls) == 3
