@@ -106,3 +106,18 @@ def test_tokens_of_a_long_text(spark):
     for limit in (1, 3, 16):
         for r in df.select(tx.tokens(F.col("t"), limit).alias("a"), tx.words_array(tx.clean(F.col("t")), limit).alias("b")).collect():
             assert r["a"] == r["b"]
+
+
+def test_cleaning_of_plain_text_matches_no_pattern(spark):
+    """ASCII texts and others are cleaned alike; a kept title is cleaned once, whatever filters stand on it."""
+    import re
+
+    from simsift.functions import text
+    from simsift.plans.tables import kept_titles
+
+    texts = ["".join(map(chr, range(128))), "Ab-1 c\n\td_e", "éA bß K!", "\U0001f600 x", "", None, "a" * 600]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r["c"] for r in df.select(text.clean(F.col("t")).alias("c")).collect()]
+    assert found == [None if t is None else re.sub("[^a-zA-Z0-9 \n]+", "", t).lower() for t in texts]
+    plan = kept_titles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "translate" not in plan
