@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from simsift.operators import docvectors
 from simsift.operators.docvectors import DocVectors, neighbour_share
 
 SCHEMA = "id long, tokens array<string>"
@@ -42,3 +43,36 @@ def test_same_rows_same_vectors(spark):
     fits = [sorted((r["id"], tuple(r["vec"])) for r in DocVectors.fit(spark.createDataFrame(rows, SCHEMA).repartition(1), size=4, epochs=2, blocks=2).fitted.collect()) for _ in range(2)]
     assert fits[0] == fits[1] and len(fits[0]) == 23
     assert DocVectors.fit(spark.createDataFrame([], SCHEMA), size=4, epochs=1).fitted.count() == 0
+
+
+def test_steps_of_many_sentences():
+    """A step adds up what its sentences would change alone; frequent words keep it small, others leave it large."""
+    rng = np.random.default_rng(3)
+    vectors, output, owner, at = rng.normal(size=(3, 4)), rng.normal(size=(6, 4)), np.array([0, 0, 2]), rng.integers(0, 6, (3, 4))
+    new, out = vectors.copy(), output.copy()
+    for o, places in zip(owner, at, strict=True):
+        for k, p in enumerate(places):
+            error = 0.1 * ((k == 0) - 1 / (1 + np.exp(-output[p] @ vectors[o])))
+            new[o] += error * output[p]
+            out[p] += error * vectors[o]
+    docvectors._stepped(vectors, output, owner, at, 0.1, True)
+    assert np.allclose(vectors, new) and np.allclose(output, out)
+    assert docvectors._together(np.full(10, 1.0), 100_000, 5) > 1000
+    assert docvectors._together(np.array([100_000.0, 2.0]) ** 0.75, 100_000, 5) < 10
+    chance = rng.random(50) ** 4
+    u = rng.random((400, 5))
+    assert np.array_equal(docvectors.Drawn(chance)(u), np.searchsorted(np.cumsum(chance), u * chance.cumsum()[-1]))
+
+
+def test_neighbours_against_all_pairs(spark):
+    """More rows than a tile; of equal ones the smallest id is found, whatever the order of rows."""
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(3)], rng.choice("abc")) for i in range(700, 0, -1)]
+    df = spark.createDataFrame(rows, "id long, vec array<float>, topic string").coalesce(1)
+    x = {i: np.array(v) / max(np.linalg.norm(v), 1e-300) for i, v, _ in rows}
+    topic = {i: t for i, _, t in rows}
+    asked = [i for i in x if i % 20 == 0]
+    best = [min((j for j in x if j != i), key=lambda j: (-round(float(x[i] @ x[j]), 9), j)) for i in asked]
+    plain = np.mean([topic[i] == topic[j] for i, j in zip(asked, best, strict=True)])
+    row = neighbour_share(df.select("id", "vec"), df.select("id", "topic")).first()
+    assert row["queries"] == 35 and row["same"] == pytest.approx(plain)
