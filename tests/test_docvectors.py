@@ -45,6 +45,19 @@ def test_same_rows_same_vectors(spark):
     assert DocVectors.fit(spark.createDataFrame([], SCHEMA), size=4, epochs=1).fitted.count() == 0
 
 
+def test_jobs_do_not_grow_with_the_epochs_of_an_inference(spark, monkeypatch):
+    """Where a task can hold all words; else each block of words takes its turns, over the same sentences."""
+    df = spark.createDataFrame(sentences(60), SCHEMA).repartition(2)
+    model = DocVectors.fit(df, size=12, epochs=12, blocks=1)
+    longer = DocVectors(model.words, model.settings | {"epochs": 60})
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    assert longer.vectors(df).count() == 60
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 40
+    monkeypatch.setattr(docvectors, "HELD", 12 * 12)
+    assert neighbour_share(model.vectors(df), topics(df), 4).first()["same"] >= 0.9
+
+
 def test_steps_of_many_sentences():
     """A step adds up what its sentences would change alone; frequent words keep it small, others leave it large."""
     rng = np.random.default_rng(3)
