@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,3 +295,22 @@ def test_codes_are_searched_once(spark, monkeypatch):
     assert all([found[i, k] for k in range(1, 11)] == list(range(i % 3, 30, 3)) for i in range(30))
     prefix = evaluate.CodeIndex(items, lambda x: x[:, :3] - 0.5, 3, "prefix", 0.0).search(items, 10)
     assert prefix.groupBy("query").count().count() == 30
+
+
+def test_bands_are_of_whole_texts(spark, tmp_path):
+    """Texts that differ after many words have other bands; a text may be longer than what is permuted at once."""
+    from simsift.operators import minhash
+    from simsift.plans.catalogue import QUERIES
+
+    words = [f"w{i}" for i in range(9000)]
+    rows = [(1, " ".join(words[:20])), (2, " ".join(words[:16])), (3, " ".join(words)), (4, "the"), (5, None), (6, "w1 w0")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    keys = {}
+    for r in QUERIES["minhash_bands"](spark, f"file://{tmp_path}").orderBy("id", "band").collect():
+        keys.setdefault(r["id"], []).append(r["key"])
+    assert sorted(keys) == [1, 2, 3, 6] and keys[1] != keys[2] != keys[3]
+    from hashlib import sha1
+
+    hashes = np.array([int.from_bytes(sha1(w.encode()).digest()[:4], "little") % minhash.PRIME for w in words])
+    sig = [int(((a * hashes + b) % minhash.PRIME).min()) for a, b in minhash.permutations(125)]
+    assert keys[3] == [",".join(map(str, sig[i : i + 5])) for i in range(0, 125, 5)]
