@@ -89,3 +89,26 @@ def test_neighbours_against_all_pairs(spark):
     plain = np.mean([topic[i] == topic[j] for i, j in zip(asked, best, strict=True)])
     row = neighbour_share(df.select("id", "vec"), df.select("id", "topic")).first()
     assert row["queries"] == 35 and row["same"] == pytest.approx(plain)
+
+
+def test_neighbours_of_all_titles(spark, tmp_path, monkeypatch):
+    """The query asks for every title, in tiles of any size; a row alone has no neighbour."""
+    from simsift.plans.catalogue import QUERIES
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{rng.randrange(9)}" for _ in range(12)), "ab"[i % 2]) for i in range(1, 60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert QUERIES["doc_vector_neighbours"](spark, f"file://{tmp_path}").first()["queries"] == 59
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)], rng.choice("abc")) for i in range(500)], "id long, vec array<double>, topic string")
+    x = np.array([r["vec"] for r in df.orderBy("id").collect()])
+    topic = [r["topic"] for r in df.orderBy("id").collect()]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -2)
+    plain = np.mean([topic[i] == topic[j] for i, j in enumerate(cosine.argmax(axis=1))])
+    for numbers in (1 << 21, 400):  # 5 blocks of queries
+        monkeypatch.setattr(docvectors, "ASKED", numbers)
+        monkeypatch.setattr(docvectors, "TILE", 64)
+        row = neighbour_share(df.select("id", "vec"), df.select("id", "topic"), 1).first()
+        assert row["queries"] == 500 and row["same"] == pytest.approx(plain)
+    assert neighbour_share(df.select("id", "vec").where("id = 1"), df.select("id", "topic"), 1).first()["queries"] == 0
