@@ -314,3 +314,48 @@ def test_bands_are_of_whole_texts(spark, tmp_path):
     hashes = np.array([int.from_bytes(sha1(w.encode()).digest()[:4], "little") % minhash.PRIME for w in words])
     sig = [int(((a * hashes + b) % minhash.PRIME).min()) for a, b in minhash.permutations(125)]
     assert keys[3] == [",".join(map(str, sig[i : i + 5])) for i in range(0, 125, 5)]
+
+
+def test_tiles_find_what_bands_find(spark, monkeypatch, tmp_path):
+    """Classes in several tiles, pairs in parts, one key that all have; against look-ups of bands and plain counts."""
+    from simsift.operators import minhash
+
+    rng = random.Random(6)
+    rows = [(i, rng.sample([f"w{k}" for k in range(14)], rng.randint(1, 9))) for i in range(1, 300)] + [(i, ["all", "same"]) for i in range(300, 330)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>").repartition(3)
+    asked = spark.createDataFrame([((i, "x"), t + ["more"] * (i % 2)) for i, t in rows if i % 3], "id struct<a:int,b:string>, tokens array<string>")
+    told = lambda found: sorted(map(tuple, found.collect()))
+    method = MinHash(threshold=0.4)
+    plain = MinHashIndex.build(df, method)
+    joined = told(plain.search(asked, 4)), told(plain.candidates())
+    for name, value in (("MANY", 0), ("HELD", 90), ("MET", 500), ("SCORED", 70)):
+        monkeypatch.setattr(minhash, name, value)
+    monkeypatch.setattr(minhash, "tiled_join", None)
+    monkeypatch.setattr(minhash, "tiled_pairs", None)
+    index = MinHashIndex.build(df, method)
+    assert (told(index.search(asked, 4)), told(index.candidates())) == joined and len(joined[1]) > 100
+    signed = {r["id"]: r["sig"] for r in method.signatures(df).collect()}
+    bands, size = method.bands
+    pairs, named = set(), {}
+    for i in sorted(signed):
+        named.setdefault(tuple(signed[i]), i)
+    for s, a in named.items():
+        for t, b in named.items():
+            if a < b and any(s[k * size : (k + 1) * size] == t[k * size : (k + 1) * size] for k in range(bands)):
+                pairs.add((a, b, sum(x == y for x, y in zip(s, t, strict=True)) / 128))
+    assert set(joined[1]) == pairs
+    index.save(f"file://{tmp_path}/index")
+    assert told(MinHashIndex.load(spark, f"file://{tmp_path}/index").search(asked, 4)) == joined[0]
+
+
+def test_search_keeps_no_signatures(spark, tmp_path, monkeypatch):
+    """Disk of an index and a search: hashes of titles, not their signatures of a kilobyte."""
+    from simsift import session
+
+    rng = random.Random(7)
+    rows = [(i, [f"w{rng.randrange(10**6)}" for _ in range(12)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    monkeypatch.setattr(session, "shared_dir", lambda s: f"file://{tmp_path}/own")
+    assert MinHashIndex.build(df).search(df, 2).count() == 3000
+    used = sum(p.stat().st_size for p in (tmp_path / "own").rglob("*.parquet"))
+    assert used < 3000 * 1200, used / 3000
