@@ -359,3 +359,16 @@ def test_search_keeps_no_signatures(spark, tmp_path, monkeypatch):
     assert MinHashIndex.build(df).search(df, 2).count() == 3000
     used = sum(p.stat().st_size for p in (tmp_path / "own").rglob("*.parquet"))
     assert used < 3000 * 1200, used / 3000
+
+
+def test_results_are_listed_once_for_each_kind(spark, monkeypatch):
+    """Copies of a query are one row until their results are listed; whole titles are found without bands."""
+    from simsift.operators import minhash
+
+    items = spark.createDataFrame([(i, ["a", "b", "c"]) for i in range(40)] + [(50, ["x", "y"])], "id long, tokens array<string>")
+    monkeypatch.setattr(minhash, "tiled_join", None)
+    index = ev.make_index(items, whole=True)
+    kinds, found = index.searched(items, 10)
+    assert (kinds.count(), kinds.select("kind").distinct().count(), found.count()) == (41, 2, 11)
+    told = {(r["id"], r["kind"]): r["results"] for r in ev.compare(items, {"whole": index}).collect()}
+    assert told[3, "title"] == list(range(10)) and told[50, "title"] == [50] and told[50, "dropped"] == [] and len(told) == 82
